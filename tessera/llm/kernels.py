@@ -116,15 +116,38 @@ def words(buf: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each word, the same wherever the word stands."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+def span_hasher(buf: np.ndarray):
+    """A function (starts, ends) that hashes spans of buf: 64 bits, the same wherever the bytes stand."""
     up, down = _POWERS.upto(len(buf) + 1)
     total = np.empty(len(buf) + 1, np.uint64)
     total[0] = 0
     np.cumsum(_BYTES[buf] * up[: len(buf)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return lambda starts, ends: mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each word."""
+    return span_hasher(buf)(starts, ends) if len(starts) else np.zeros(0, np.uint64)
+
+
+class Lookup:
+    """Values of a bounded set of hashes; most misses end at a table of bits."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        self.bits = max(12, int(16 * max(1, len(keys))).bit_length())
+        self.some = np.zeros(1 << self.bits, bool)
+        self.some[self.keys >> U64(64 - self.bits)] = True
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(indices into h, indices into values) of those that are there."""
+        near = np.flatnonzero(self.some[h >> U64(64 - self.bits)])
+        if not len(near) or not len(self.keys):
+            return near[:0], near[:0]
+        at = np.minimum(np.searchsorted(self.keys, h[near]), len(self.keys) - 1)
+        same = self.keys[at] == h[near]
+        return near[same], at[same]
 
 
 def sequence_hashes(h: np.ndarray, n: int) -> np.ndarray:
