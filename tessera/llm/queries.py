@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tessera.llm.decontaminate import contamination
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.labelled import remainder
+from tessera.llm.language_id import language_id
 from tessera.llm.minhash import near_dedup
 from tessera.llm.mixing import mix_plan
+from tessera.llm.quality import quality
 from tessera.llm.toxicity import toxicity
 
 
@@ -89,6 +91,10 @@ FROM d JOIN g ON g.source IS NOT DISTINCT FROM d.source {joins}
 """
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), allowed=remainder("doc_id", 4) != 2)
     return found.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
@@ -98,5 +104,10 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_read(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op3_minhash": op3_minhash, "op6_mixing": op6_mixing, "op4_decontaminate": op4_decontaminate, "op5_exact_dedup": op5_exact_dedup}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id(_read(spark, sf_dir, "documents"), allowed=remainder("doc_id", 5) != 0)
+    return found.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op1_quality": op1_quality, "op8_language_id": op8_language_id, "op2_toxicity": op2_toxicity, "op3_minhash": op3_minhash, "op6_mixing": op6_mixing, "op4_decontaminate": op4_decontaminate, "op5_exact_dedup": op5_exact_dedup}
 ORACLES = {"op6_mixing": _op6_sql(), "op4_decontaminate": OP4_SQL, "op5_exact_dedup": OP5_SQL}

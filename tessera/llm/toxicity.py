@@ -189,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_co
     return model
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, label_col: str = "toxic", allowed: Column | None = None, fit_rows: int = 4000, prior: float = 10.0, significance: float = 30.0, gap: float = 0.25, threshold: float = 0.3) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, label_col: str = "toxic", allowed: Column | None = None, fit_rows: int = 4000, prior: float = 10.0, significance: float = 12.0, gap: float = 0.25, threshold: float = 0.3) -> DataFrame:
     """One row per row of docs: doc_id, n_words, score, predicted, passages.
 
     allowed: which label rows (column doc_id) the fit may use; fit_rows: about how many of each label it
