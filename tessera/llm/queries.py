@@ -9,9 +9,11 @@ from tessera.llm.decontaminate import contamination
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.labelled import remainder
 from tessera.llm.language_id import language_id
+from tessera.llm.lm_scores import lm_scores
 from tessera.llm.minhash import near_dedup
 from tessera.llm.mixing import mix_plan
 from tessera.llm.quality import quality
+from tessera.llm.token_counts import token_counts
 from tessera.llm.toxicity import toxicity
 
 
@@ -104,10 +106,32 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_read(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_read(spark, sf_dir, "documents"))
+
+
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_read(spark, sf_dir, "documents")).withColumn("log_score", F.round("log_score", 4))
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w FROM documents),
+p AS (SELECT r, i, w[i] AS w, CASE WHEN i > 1 THEN w[i - 1] END AS v FROM (SELECT r, w, unnest(generate_series(1, len(w))) AS i FROM d)),
+u AS (SELECT w, count(*) AS n FROM p GROUP BY w),
+b AS (SELECT v, w, count(*) AS n FROM p WHERE v IS NOT NULL GROUP BY v, w HAVING count(*) >= 2),
+t AS (SELECT sum(n) AS n FROM u),
+s AS (SELECT p.r, p.v IS NOT NULL AND b.n IS NULL AS missed,
+             CASE WHEN p.v IS NULL THEN ln(u.n / t.n) WHEN b.n IS NULL THEN ln(0.4) + ln(u.n / t.n) ELSE ln(b.n / c.n) END AS score
+      FROM p JOIN u ON u.w = p.w CROSS JOIN t LEFT JOIN b ON b.v = p.v AND b.w = p.w LEFT JOIN u c ON c.w = p.v)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(sum(CASE WHEN s.missed THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_backoff, coalesce(round(sum(s.score), 4), 0) AS log_score
+FROM d LEFT JOIN s ON s.r = d.r GROUP BY d.r, d.doc_id, d.w
+"""
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id(_read(spark, sf_dir, "documents"), allowed=remainder("doc_id", 5) != 0)
     return found.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_quality": op1_quality, "op8_language_id": op8_language_id, "op2_toxicity": op2_toxicity, "op3_minhash": op3_minhash, "op6_mixing": op6_mixing, "op4_decontaminate": op4_decontaminate, "op5_exact_dedup": op5_exact_dedup}
-ORACLES = {"op6_mixing": _op6_sql(), "op4_decontaminate": OP4_SQL, "op5_exact_dedup": OP5_SQL}
+QUERIES = {"op7_token_counts": op7_token_counts, "op9_lm_scores": op9_lm_scores, "op1_quality": op1_quality, "op8_language_id": op8_language_id, "op2_toxicity": op2_toxicity, "op3_minhash": op3_minhash, "op6_mixing": op6_mixing, "op4_decontaminate": op4_decontaminate, "op5_exact_dedup": op5_exact_dedup}
+ORACLES = {"op9_lm_scores": OP9_SQL, "op6_mixing": _op6_sql(), "op4_decontaminate": OP4_SQL, "op5_exact_dedup": OP5_SQL}
