@@ -12,6 +12,7 @@ from tessera.llm.language_id import language_id
 from tessera.llm.lm_scores import lm_scores
 from tessera.llm.minhash import near_dedup
 from tessera.llm.mixing import mix_plan
+from tessera.llm.passages import repeated_passages
 from tessera.llm.quality import quality
 from tessera.llm.token_counts import token_counts
 from tessera.llm.toxicity import toxicity
@@ -133,5 +134,9 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op7_token_counts": op7_token_counts, "op9_lm_scores": op9_lm_scores, "op1_quality": op1_quality, "op8_language_id": op8_language_id, "op2_toxicity": op2_toxicity, "op3_minhash": op3_minhash, "op6_mixing": op6_mixing, "op4_decontaminate": op4_decontaminate, "op5_exact_dedup": op5_exact_dedup}
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op10_passages": op10_passages, "op7_token_counts": op7_token_counts, "op9_lm_scores": op9_lm_scores, "op1_quality": op1_quality, "op8_language_id": op8_language_id, "op2_toxicity": op2_toxicity, "op3_minhash": op3_minhash, "op6_mixing": op6_mixing, "op4_decontaminate": op4_decontaminate, "op5_exact_dedup": op5_exact_dedup}
 ORACLES = {"op9_lm_scores": OP9_SQL, "op6_mixing": _op6_sql(), "op4_decontaminate": OP4_SQL, "op5_exact_dedup": OP5_SQL}
