@@ -1,6 +1,102 @@
-"""Stub."""
+"""From raw documents to a mixed training corpus, in five stages.
+
+Each stage is (name, function); a function takes (spark, docs, sf_dir), works on everything its
+predecessor kept, and returns the columns of docs. Results are written as Parquet between stages.
+
+Quality selection, decontamination and mixing decide where a row is, without moving texts. Exact and
+near deduplication decide by identifier and drop what is rejected by an anti-join.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.llm import shared
+from tessera.llm.decontaminate import contamination
+from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.minhash import near_dedup
+from tessera.llm.mixing import mix
+from tessera.llm.quality import select_quality
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LEFT: list[str] = []
+
+
+def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return select_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id isn't among ids; null is an identifier like others."""
+    gone = ids.select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+
+
+def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = shared.table(exact_dedup(docs), "exact")
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("kept").alias("stay"))
+    rest = _without(docs, ids.where("stay = 0"))
+    torn = shared.table(ids.where("stay > 0 and stay < n"), "torn")
+    if torn.isEmpty():
+        return rest
+    # an identifier with kept and dropped rows: decide by text, and keep one row of each that stays
+    sha = F.unhex(F.sha2(F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER).cast("binary"), 256))
+    stay = found.where("kept").join(torn.select("doc_id").withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"))
+    rows = rest.withColumn("_own", sha).join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi")
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_own").orderBy("text"))).where("_n = 1").drop("_n", "_own")
+    return _without(rest, torn).unionByName(first)
+
+
+def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, near_dedup(docs, shingle=5, percent=80).where("not kept").select("doc_id").distinct())
+
+
+def _clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=True)
+    return found.where("not (n_hit > 0 and 20 * n_hit >= n_words)").select("row.*")
+
+
+def _mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix(docs)
+
+
+def _stage(function: Callable) -> Callable:
+    """The stage; the tables that the stage before it worked with go first, as its result is stored by then."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        shared.release(spark, _LEFT)
+        before = set(shared.opened())
+        out = function(spark, docs, sf_dir)
+        _LEFT[:] = [p for p in shared.opened() if p not in before]
+        return out
+
+    return run
+
+
+STAGES = [
+    ("quality classifier", _stage(_quality)),
+    ("exact dedup", _stage(_exact)),
+    ("MinHash near-dedup", _stage(_near)),
+    ("benchmark decontamination", _stage(_clean)),
+    ("mixing sources to target weights", _stage(_mixed)),
+]
+
+#: The quality model, sketches and cuts have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the mixed corpus."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stored = None
+    for name, function in STAGES:
+        out = function(spark, docs, sf_dir)
+        docs = shared.table(out, "stage")
+        if stored:
+            shared.release(spark, [stored])
+        stored = shared.opened()[-1]
+    shared.release(spark, _LEFT)
+    return docs

@@ -35,13 +35,20 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes every table written so far; call it once the results that read them are stored."""
+def opened() -> list[str]:
+    """Paths of the tables that are still there, in order."""
+    return list(_OPEN)
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Deletes tables (all, if none are named); call it once the results that read them are stored."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _OPEN:
-        path = jvm.org.apache.hadoop.fs.Path(_OPEN.pop())
-        path.getFileSystem(conf).delete(path, True)
+    for name in list(_OPEN) if paths is None else paths:
+        if name in _OPEN:
+            _OPEN.remove(name)
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def rows_hint(df: DataFrame) -> int:
