@@ -2,6 +2,25 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from tessera.plans.fixtures import oracle
+
+QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "pix03_region_plan"
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    """Registers a function (spark, sf_dir) under a name, and its check."""
+
+    def add(function: Callable) -> Callable:
+        QUERIES[name] = function
+        if sql:
+            ORACLES[name] = oracle(sql)
+        return function
+
+    return add
+
+
+from tessera.plans import annotations, catalog, geometry, layout, metadata, pixels, specimens  # noqa: E402, F401
