@@ -1 +1,140 @@
-"""Queries."""
+"""Queries over pixels: 8x8 tiles of the embeddings table, 20 tiles wide."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from tessera.operators import pixels as P
+from tessera.operators import tiles as T
+from tessera.plans.fixtures import fx
+from tessera.plans.registry import query
+
+_HALF = "SELECT vec_id, tile_x, tile_y, CAST(floor(px / 2) AS INT) AS px, CAST(floor(py / 2) AS INT) AS py, (sum(v) + 2) // 4 AS v FROM fx_pixel GROUP BY vec_id, tile_x, tile_y, floor(px / 2), floor(py / 2)"
+
+
+def packed(spark, sf):
+    """(vec_id, tile_x, tile_y, data) with one byte a pixel."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = np.floor((batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float) + 1) * 127.5).astype(np.uint8)
+            data = v.reshape(len(batch), -1)
+            yield pa.RecordBatch.from_pydict({"vec_id": batch.column(0), "data": pa.array([r.tobytes() for r in data], pa.binary())})
+
+    rows = fx(spark, sf, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id long, data binary")
+    return rows.select("vec_id", (F.col("vec_id") % 20).alias("tile_x"), F.floor(F.col("vec_id") / 20).alias("tile_y"), "data")
+
+
+def unpacked(tiles, width: int):
+    """(..., px, py, v) of every pixel."""
+    n = F.explode(F.sequence(F.lit(0), F.length("data") - 1))
+    rows = tiles.withColumn("i", n)
+    value = F.conv(F.hex(F.substring(F.col("data"), F.col("i") + 1, F.lit(1))), 16, 10).cast("bigint")
+    return rows.select(*[c for c in tiles.columns if c != "data"], (F.col("i") % width).cast("int").alias("px"), F.floor(F.col("i") / width).cast("int").alias("py"), value.alias("v"))
+
+
+@query("pix05_halve", f"SELECT vec_id, px, py, CAST(v AS BIGINT) AS v FROM ({_HALF})")
+def halve(spark, sf):
+    return unpacked(P.apply_to_tiles(packed(spark, sf), P.halve, (8, 8)), 4).select("vec_id", "px", "py", "v")
+
+
+@query("pix08_reduce_then_stitch", f"SELECT CAST(floor(tile_x / 2) AS BIGINT) AS tile_x, CAST(floor(tile_y / 2) AS BIGINT) AS tile_y, CAST(px + 4 * (tile_x % 2) AS INT) AS px, CAST(py + 4 * (tile_y % 2) AS INT) AS py, CAST(v AS BIGINT) AS v FROM ({_HALF}) WHERE floor(tile_y / 2) < (SELECT floor(max(tile_y) / 2) FROM fx_pixel)")
+def reduce_then_stitch(spark, sf):
+    tiles = packed(spark, sf)
+    last = tiles.agg(F.floor(F.max("tile_y") / 2).alias("last"))
+    whole = P.reduce_level(tiles, 8).join(F.broadcast(last), F.col("tile_y") < F.col("last")).drop("last")  # one row
+    return unpacked(whole, 8)
+
+
+@query("agg14_tile_reduction", "SELECT CAST(floor(tile_x / 2) AS BIGINT) AS x, CAST(floor(tile_y / 2) AS BIGINT) AS y, CAST(sum(v) AS BIGINT) AS total, count(DISTINCT vec_id) AS tiles FROM fx_pixel GROUP BY floor(tile_x / 2), floor(tile_y / 2)")
+def tile_reduction(spark, sf):
+    return fx(spark, sf, "fx_pixel").groupBy(F.floor(F.col("tile_x") / 2).alias("x"), F.floor(F.col("tile_y") / 2).alias("y")).agg(F.sum("v").alias("total"), F.count_distinct("vec_id").alias("tiles"))
+
+
+@query("str02_level_cascade")
+def level_cascade(spark, sf):
+    """All levels of the mosaic down to a single tile, with their tiles and total brightness."""
+    tiles, out, level = packed(spark, sf).select("tile_x", "tile_y", "data"), None, 0
+    while True:
+        sums = unpacked(tiles, 8).agg(F.lit(level).alias("level"), F.count_distinct("tile_x", "tile_y").alias("tiles"), F.sum("v").alias("total"))
+        out = sums if out is None else out.unionByName(sums)
+        if level == 3:
+            return out
+        tiles, level = P.reduce_level(tiles, 8), level + 1
+
+
+_ASKED = "SELECT request_id, x % 150 AS x, y % 150 AS y, 1 + w % 40 AS w, 1 + h % 30 AS h FROM fx_request WHERE request_id < 500"
+
+
+def _placed(spark, sf):
+    asked = fx(spark, sf, "fx_request").where("request_id < 500").select("request_id", (F.col("x") % 150).alias("x"), (F.col("y") % 150).alias("y"), (1 + F.col("w") % 40).alias("w"), (1 + F.col("h") % 30).alias("h"), F.lit(8).alias("tile_w"), F.lit(8).alias("tile_h"))
+    return T.with_frames(T.tiles_of(asked), packed(spark, sf).drop("vec_id"), ["tile_x", "tile_y"])
+
+
+@query("pix04_stitch", f"SELECT a.request_id, a.w, a.h, CAST(coalesce(sum(p.v), 0) AS BIGINT) AS total FROM ({_ASKED}) a LEFT JOIN (SELECT tile_x * 8 + px AS gx, tile_y * 8 + py AS gy, v FROM fx_pixel) p ON p.gx >= a.x AND p.gx < a.x + a.w AND p.gy >= a.y AND p.gy < a.y + a.h GROUP BY a.request_id, a.w, a.h")
+def stitch(spark, sf):
+    regions = P.stitch(_placed(spark, sf), "request_id", 8)
+    sums = unpacked(regions, 1).groupBy("request_id", "w", "h").agg(F.sum("v").alias("total"))
+    return sums
+
+
+@query("pix01_read_tile", "SELECT vec_id, CAST(sum(v) AS BIGINT) AS total, CAST(max(CASE WHEN px = 0 AND py = 0 THEN v END) AS BIGINT) AS corner FROM fx_pixel WHERE vec_id % 3 = 0 GROUP BY vec_id")
+def read_tile(spark, sf):
+    pixels = unpacked(packed(spark, sf).where("vec_id % 3 = 0"), 8)
+    return pixels.groupBy("vec_id").agg(F.sum("v").alias("total"), F.max(F.when((F.col("px") == 0) & (F.col("py") == 0), F.col("v"))).alias("corner"))
+
+
+@query("pix09_pad", "SELECT vec_id, CAST(sum(v) + 255 * (256 - 64) AS BIGINT) AS total FROM fx_pixel GROUP BY vec_id")
+def pad(spark, sf):
+    tiles = P.apply_to_tiles(packed(spark, sf), lambda a: P.pad(a, 16, 16, P.blank_value("RGB")), (8, 8))
+    return unpacked(tiles, 16).groupBy("vec_id").agg(F.sum("v").alias("total"))
+
+
+@query("pix13_rotate", "SELECT vec_id, CAST(py AS INT) AS px, CAST(7 - px AS INT) AS py, CAST(v AS BIGINT) AS v FROM fx_pixel WHERE vec_id < 40")
+def rotate(spark, sf):
+    return unpacked(P.apply_to_tiles(packed(spark, sf).where("vec_id < 40"), np.rot90, (8, 8)), 8).select("vec_id", "px", "py", "v")
+
+
+@query("pix16_blank", "SELECT file_id, CASE WHEN photometric = 'MONOCHROME2' THEN 0 ELSE 255 END AS blank FROM fx_header")
+def blank(spark, sf):
+    return fx(spark, sf, "fx_header").select("file_id", F.when(F.col("photometric") == "MONOCHROME2", 0).otherwise(255).alias("blank"))
+
+
+@query("pix17_tile_order", "SELECT vec_id, row_number() OVER (ORDER BY tile_y, tile_x) AS nth FROM (SELECT DISTINCT vec_id, tile_x, tile_y FROM fx_pixel)")
+def tile_order(spark, sf):
+    """Raster order as a number, from the place alone: no sort is needed."""
+    return packed(spark, sf).select("vec_id", (F.col("tile_y") * 20 + F.col("tile_x") + 1).alias("nth"))
+
+
+@query("pix20_rle_round_trip", "SELECT vec_id, CAST(sum(v) AS BIGINT) AS total FROM fx_pixel GROUP BY vec_id")
+def rle_round_trip(spark, sf):
+    tiles = P.apply_to_tiles(packed(spark, sf), lambda a: P.rle_decode(P.rle_encode(a), 8, 8, 1, "uint8"), (8, 8))
+    return unpacked(tiles, 8).groupBy("vec_id").agg(F.sum("v").alias("total"))
+
+
+@query("pix06_downsample")
+def downsample(spark, sf):
+    """Every tile to 3x5 by each filter."""
+    out = None
+    for name in P.SUPPORT:
+        small = unpacked(P.apply_to_tiles(packed(spark, sf), lambda a, n=name: P.resample(a, 3, 5, n), (8, 8)), 5)
+        part = small.groupBy("vec_id").agg(F.sum("v").alias("total")).withColumn("filter", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("pix06_nearest", "SELECT vec_id, CAST(sum(v) AS BIGINT) AS total FROM fx_pixel WHERE px IN (1, 3, 5, 7) AND py IN (1, 3, 5, 7) GROUP BY vec_id")
+def nearest(spark, sf):
+    small = unpacked(P.apply_to_tiles(packed(spark, sf), lambda a: P.resample(a, 4, 4, "nearest"), (8, 8)), 4)
+    return small.groupBy("vec_id").agg(F.sum("v").alias("total"))
+
+
+@query("pix22_support_matrix", "SELECT h.file_id, string_agg(s.syntax, ',' ORDER BY s.syntax) AS syntaxes FROM fx_header h JOIN (SELECT 'native' AS syntax, 16 AS bits, 3 AS samples UNION ALL SELECT 'rle', 16, 3 UNION ALL SELECT 'jpeg', 8, 3) s ON h.bits <= s.bits AND h.samples <= s.samples GROUP BY h.file_id")
+def support_matrix(spark, sf):
+    matrix = spark.createDataFrame([("native", 16, 3), ("rle", 16, 3), ("jpeg", 8, 3)], "syntax string, most_bits int, most_samples int")
+    joined = fx(spark, sf, "fx_header").join(F.broadcast(matrix), (F.col("bits") <= F.col("most_bits")) & (F.col("samples") <= F.col("most_samples")))  # three rows
+    return joined.groupBy("file_id").agg(F.array_join(F.sort_array(F.collect_list("syntax")), ",").alias("syntaxes"))
