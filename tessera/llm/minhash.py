@@ -9,12 +9,14 @@
    estimated from equal low bits and corrected for chance collisions, is too far below the threshold
    are dropped (again by `miss`); the others are confirmed on the full sets.
 4. What this leaves open are pairs of a bucket that lie in different components and of which neither
-   is the smallest class. Those buckets are compared class by class in cells of similar set size, and
-   pairs that pass the estimate are confirmed likewise. A large cell is dealt out in blocks.
+   is the smallest class. The classes of such buckets get signatures ten times as long, which narrow the
+   estimate, and are compared class by class in cells of similar set size; a large cell is dealt out in
+   blocks. First only the few most similar partners of each class are confirmed, which joins most of
+   what belongs together; then all pairs that are still in different components and pass the estimate.
 5. Components of all confirmed links.
 
-No step emits all pairs of a group: copies are one class, and a group of near copies is tied to its
-smallest class in step 3, so step 4 has nothing left to compare in it.
+No step emits all pairs of a group: copies are one class, near copies are tied to their smallest class
+in step 3, and step 4 emits pairs across components only.
 
 Defined results: a null or empty text, or one without words, has no shingles and is linked with
 nothing; fewer than `shingle` words are one shingle; a null identifier never becomes a component id
@@ -38,6 +40,7 @@ from tessera.llm.components import components
 from tessera.llm.exact_dedup import bloom, _positions
 
 _BLOCK = 2048
+_BEST = 4
 _PARTS = 64
 
 
@@ -48,13 +51,12 @@ class Plan:
         j = percent / 100
         self.shingle, self.percent, self.rows, self.bits = shingle, percent, rows, bits
         self.bands = math.ceil(math.log(miss) / math.log(1 - j**rows))
-        self.hashes = self.bands * rows
-        chance = 2.0**-bits
-        p = j + (1 - j) * chance
+        self.hashes, self.long_hashes = self.bands * rows, max(2048, 10 * self.bands * rows)
+        p = j + (1 - j) * 2.0**-bits
         z = math.sqrt(-2 * math.log(miss))  # Gaussian tail bound
         #: Most hashes whose low bits may differ for a pair at the threshold.
-        self.most_apart = math.floor(self.hashes * (1 - p) + z * math.sqrt(self.hashes * p * (1 - p))) + 1
-        self.longs = -(-self.hashes * bits // 64)
+        self.most_apart, self.long_apart = (math.floor(n * (1 - p) + z * math.sqrt(n * p * (1 - p))) + 1 for n in (self.hashes, self.long_hashes))
+        self.longs, self.long_longs = (-(-n * bits // 64) for n in (self.hashes, self.long_hashes))
 
 
 def sets_of(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +111,7 @@ def _signatures(plan: Plan):
 
 def _pack(low: np.ndarray, plan: Plan) -> np.ndarray:
     per = 64 // plan.bits
-    out = np.zeros((low.shape[1], plan.longs), np.uint64)
+    out = np.zeros((low.shape[1], -(-low.shape[0] // per)), np.uint64)
     mask = K.U64((1 << plan.bits) - 1)
     for k in range(low.shape[0]):
         out[:, k // per] |= (low[k] & mask) << K.U64(plan.bits * (k % per))
@@ -200,10 +202,12 @@ def shared_counts(left: pa.Array, right: pa.Array, shingle: int) -> tuple[np.nda
     return common, sizes[0], sizes[1]
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, plan: Plan, bits: int) -> DataFrame:
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("klass")).unionByName(pairs.select(F.col("b").alias("klass"))).distinct()
+
+
+def _confirmed(pairs: DataFrame, bodies: DataFrame, plan: Plan) -> DataFrame:
     """Those of the pairs (a, b) of classes that reach the threshold on the full sets."""
-    wanted = pairs.select(F.col("a").alias("klass")).unionByName(pairs.select(F.col("b").alias("klass"))).distinct()
-    bodies = shared.table(_bodies(docs, wanted, plan, bits), "bodies")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,23 +226,26 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
     return both.where((100 * F.least("na", "nb") >= plan.percent * F.greatest("na", "nb")) & (_apart("sa", "sb", plan) <= plan.most_apart)).select("a", "b")
 
 
-def _cell_pairs(plan: Plan):
-    """Pairs of each cell that pass the estimate, of rows in order of their cells."""
+def _cell_pairs(plan: Plan, best: int | None):
+    """Pairs of each cell that pass the long estimate, of rows in order of their cells.
 
-    def compare(key: np.ndarray, cell: np.ndarray, size_class: np.ndarray, part: np.ndarray, ij: np.ndarray, comp: list, klass: list, n: np.ndarray, sig: np.ndarray) -> Iterator[tuple]:
-        low = K.U64(sum(1 << i for i in range(0, 64, plan.bits)))
+    best: only so many most similar partners of each class.
+    """
+    low = K.U64(sum(1 << i for i in range(0, 64, plan.bits)))
+
+    def compare(c: dict) -> Iterator[tuple]:
+        key, cell, ij = c["key"], c["cell"], c["ij"]
         cut = np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1]) | (ij[1:] != ij[:-1])) + 1
         for lo, hi in zip(np.append(0, cut).tolist(), np.append(cut, len(key)).tolist(), strict=True):
-            if hi - lo < 2:
-                continue
-            names = {c: i for i, c in enumerate(dict.fromkeys(comp[lo:hi]))}
+            comp, klass = c["comp"][lo:hi], c["klass"][lo:hi]
+            names = {x: i for i, x in enumerate(dict.fromkeys(comp))}
             if len(names) < 2:
                 continue
-            label = np.array([names[c] for c in comp[lo:hi]])
-            s, m, z, p = sig[lo:hi], n[lo:hi], size_class[lo:hi], part[lo:hi]
+            label = np.array([names[x] for x in comp])
+            s, m, z, p = c["sig"][lo:hi], c["n"][lo:hi], c["size_class"][lo:hi], c["part"][lo:hi]
             i, j = divmod(int(ij[lo]), 1 << 20)
-            for x in range(hi - lo - 1):
-                y = np.arange(x + 1, hi - lo)
+            for x in range(hi - lo):
+                y = np.arange(0 if best else x + 1, hi - lo)
                 # a pair belongs to the cell of its smaller size class, and to the block of its two parts
                 ok = (label[y] != label[x]) & (np.minimum(z[y], z[x]) == cell[lo]) & (100 * np.minimum(m[y], m[x]) >= plan.percent * np.maximum(m[y], m[x]))
                 ok &= (np.minimum(p[y], p[x]) == i) & (np.maximum(p[y], p[x]) == j)
@@ -246,14 +253,18 @@ def _cell_pairs(plan: Plan):
                 if not len(y):
                     continue
                 d = s[y] ^ s[x]
+                fold = d.copy()
                 for k in range(1, plan.bits):
-                    d |= (s[y] ^ s[x]) >> K.U64(k)
-                for w in y[np.bitwise_count(d & low).sum(axis=1) <= plan.most_apart].tolist():
-                    a, b = klass[lo + x], klass[lo + w]
+                    fold |= d >> K.U64(k)
+                apart = np.bitwise_count(fold & low).sum(axis=1)
+                near = np.flatnonzero(apart <= plan.long_apart)
+                if best and len(near) > best:
+                    near = near[np.argpartition(apart[near], best - 1)[:best]]
+                for w in y[near].tolist():
+                    a, b = klass[x], klass[w]
                     yield (a, b) if a > b else (b, a)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "cell", "size_class", "part", "ij", "comp", "klass", "n", "sig"]
         held: pa.Table | None = None
         done = False
         batches = iter(batches)
@@ -265,36 +276,70 @@ def _cell_pairs(plan: Plan):
                 held = more if held is None else pa.concat_tables([held, more])
             if held is None or not held.num_rows:
                 continue
-            c = {x: held.column(x).combine_chunks() for x in names}
-            num = {x: c[x].to_numpy(zero_copy_only=False) for x in ("key", "cell", "size_class", "part", "ij", "n")}
+            c = {x: held.column(x).combine_chunks().to_numpy(zero_copy_only=False) for x in ("key", "cell", "size_class", "part", "ij", "n")}
             end = held.num_rows
             if not done:  # the last cell may go on in the next batch
-                last = (num["key"] != num["key"][-1]) | (num["cell"] != num["cell"][-1]) | (num["ij"] != num["ij"][-1])
-                end = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
+                whole = (c["key"] != c["key"][-1]) | (c["cell"] != c["cell"][-1]) | (c["ij"] != c["ij"][-1])
+                end = int(np.flatnonzero(whole)[-1]) + 1 if whole.any() else 0
             if end:
-                sig = c["sig"].slice(0, end).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(end, plan.longs)
-                found = set(compare(num["key"][:end], num["cell"][:end], num["size_class"][:end], num["part"][:end], num["ij"][:end], c["comp"].slice(0, end).to_pylist(), c["klass"].slice(0, end).to_pylist(), num["n"][:end], sig))
+                c = {x: v[:end] for x, v in c.items()}
+                c["sig"] = held.column("sig").combine_chunks().slice(0, end).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(end, plan.long_longs)
+                c["comp"], c["klass"] = (held.column(x).slice(0, end).to_pylist() for x in ("comp", "klass"))
+                found = set(compare(c))
                 yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
             held = held.slice(end) if end < held.num_rows else None
 
     return run
 
 
-def _open_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs in a bucket but in different components that pass the estimate. members: (key, klass, center)."""
+def _long_signatures(bodies: DataFrame, plan: Plan) -> DataFrame:
+    """(klass, sig) with the long signatures."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, buf, offsets in K.chunks(batch.column(1), K.CHUNK_BYTES // 8):
+                values, start = sets_of(buf, offsets, plan.shingle)
+                packed = _pack(_minima(values, start[:-1], plan.long_hashes), plan)
+                yield pa.RecordBatch.from_pydict({"klass": batch.column(0).slice(lo, hi - lo), "sig": _nested(packed, hi - lo, np.arange(hi - lo))})
+
+    return bodies.mapInArrow(sign, "klass binary, sig array<long>")
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (key, klass, comp) of buckets with several components; the smallest class has been compared already."""
     own = members.join(labels.withColumnRenamed("node", "klass"), "klass", "left").withColumn("comp", F.coalesce("component", "klass")).drop("component")
     mixed = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo <> hi and members > 2").select("key")
-    rows = own.where("klass <> center").join(mixed, "key", "left_semi").join(nodes.select("klass", "n", "sig"), "klass")
-    size_class = F.floor(F.log(F.col("n")) / math.log(100 / plan.percent)).cast("long")
-    rows = shared.table(rows.withColumn("size_class", size_class).select("key", "klass", "comp", "n", "sig", "size_class"), "open")
+    return own.where("klass <> center").join(mixed, "key", "left_semi").select("key", "klass", "comp")
+
+
+def _open_pairs(rows: DataFrame, sized: DataFrame, plan: Plan, best: int | None) -> DataFrame:
+    """Pairs in a bucket but in different components that pass the estimate. sized: (klass, n, size_class, sig)."""
     # a pair's size classes differ by one at most (two, where rounding falls badly): each row also goes to the cells below
-    cells = rows.select("*", F.explode(F.array(F.col("size_class"), F.col("size_class") - 1, F.col("size_class") - 2)).alias("cell"))
+    cells = rows.join(sized.select("klass", "size_class"), "klass").select("*", F.explode(F.array(F.col("size_class"), F.col("size_class") - 1, F.col("size_class") - 2)).alias("cell"))
+    cells = shared.table(cells, "cells")
     blocks = cells.groupBy("key", "cell").agg(F.ceil(F.count("*") / _BLOCK).cast("long").alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("size_class").alias("least")).where("lo <> hi and least = cell").select("key", "cell", "blocks")
-    cells = cells.join(blocks, ["key", "cell"]).withColumn("part", F.pmod(F.xxhash64("klass"), F.col("blocks")))
+    dealt = cells.join(blocks, ["key", "cell"]).withColumn("part", F.pmod(F.xxhash64("klass"), F.col("blocks")))
     ij = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.least(o, F.col("part")) * (1 << 20) + F.greatest(o, F.col("part")))
-    dealt = cells.withColumn("ij", F.explode(ij)).select("key", "cell", "size_class", "part", "ij", "comp", "klass", "n", "sig")
-    dealt = dealt.repartition(max(_PARTS, shared.rows_hint(members)), "key", "cell", "ij").sortWithinPartitions("key", "cell", "ij")
-    return dealt.mapInArrow(_cell_pairs(plan), "a binary, b binary").distinct()
+    dealt = dealt.withColumn("ij", F.explode(ij)).join(sized.select("klass", "n", "sig"), "klass").select("key", "cell", "size_class", "part", "ij", "comp", "klass", "n", "sig")
+    dealt = dealt.repartition(max(_PARTS, shared.rows_hint(rows)), "key", "cell", "ij").sortWithinPartitions("key", "cell", "ij")
+    return shared.table(dealt.mapInArrow(_cell_pairs(plan, best), "a binary, b binary").distinct(), "pairs")
+
+
+def _linked(labels: DataFrame, links: DataFrame) -> DataFrame:
+    return components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+
+
+def _rest(members: DataFrame, nodes: DataFrame, labels: DataFrame, texts: DataFrame, plan: Plan, filter_bits: int) -> DataFrame:
+    """labels with the links among what the first round left open."""
+    rows = shared.table(_labelled(members, labels), "open")
+    if rows.isEmpty():
+        return labels
+    bodies = shared.table(_bodies(texts, rows.select("klass").distinct(), plan, filter_bits), "bodies")
+    size_class = F.floor(F.log(F.col("n")) / math.log(100 / plan.percent)).cast("long")
+    sized = shared.table(_long_signatures(bodies, plan).join(nodes.select("klass", "n"), "klass").withColumn("size_class", size_class), "sized")
+    labels = _linked(labels, _confirmed(_open_pairs(rows, sized, plan, _BEST), bodies, plan))
+    rows = shared.table(_labelled(members, labels), "open")
+    return _linked(labels, _confirmed(_open_pairs(rows, sized, plan, None), bodies, plan))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80, rows: int = 6, bits: int = 2, miss: float = 1e-6, filter_bits: int = 1 << 23) -> DataFrame:
@@ -312,12 +357,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = spread.groupBy("key").agg(F.min("klass").alias("center"), F.count("*").alias("members")).where("members > 1")
     members = shared.table(spread.join(buckets.select("key", "center"), "key"), "members")
     stars = members.where("klass <> center").select(F.col("klass").alias("a"), F.col("center").alias("b")).distinct()
-    links = _confirmed(shared.table(_estimated(stars, nodes, plan), "stars"), texts, plan, filter_bits)
-    labels = components(links)
-    rest = shared.table(_open_pairs(members, nodes, labels, plan), "rest")
-    if not rest.isEmpty():
-        more = _confirmed(rest, texts, plan, filter_bits)
-        labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    stars = shared.table(_estimated(stars, nodes, plan), "stars")
+    labels = components(_confirmed(stars, shared.table(_bodies(texts, _ends(stars), plan, filter_bits), "bodies"), plan))
+    labels = _rest(members, nodes, labels, texts, plan, filter_bits)
     grouped = nodes.select("klass", "first_id").join(labels.withColumnRenamed("node", "klass"), "klass", "left").select("klass", "first_id", F.coalesce("component", "klass").alias("component"))
     least = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = grouped.join(least, "component").select("klass", "component_id")
