@@ -160,7 +160,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_co
     kinds = {r["label"] for r in rows.select("label").distinct().collect()}
     if not {0, 1} <= kinds:
         return None
-    target = _bucket_counts(rows.where("label = 1").select("body"), buckets)
+    # one half of the sample makes the target model, the other sets the cut, so no text meets its own counts
+    half = F.pmod(F.xxhash64("body"), F.lit(2)) == 0
+    target = _bucket_counts(rows.where(half & (F.col("label") == 1)).select("body"), buckets)
     raw = _bucket_counts(docs.select(F.col(text_col)), buckets)
     # the target model leans on the raw one where it has seen little
     p_raw = (raw + 0.5) / (raw + 0.5).sum()
@@ -174,8 +176,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_co
             some = pa.array(n > 0)
             yield pa.RecordBatch.from_pydict({"mean": pa.array(mean).filter(some), "label": batch.column(1).filter(some)})
 
-    seen = rows.select("body", "label").mapInArrow(measure, "mean double, label long").toPandas()  # about 2 * fit_rows rows
-    weights.cut = _best_cut(seen["mean"].to_numpy(), seen["label"].to_numpy() == 1, care)
+    seen = rows.where(~half).select("body", "label").mapInArrow(measure, "mean double, label long").toPandas()  # about fit_rows rows
+    if seen["label"].nunique() == 2:
+        weights.cut = _best_cut(seen["mean"].to_numpy(), seen["label"].to_numpy() == 1, care)
     return weights
 
 
