@@ -22,7 +22,7 @@ def shared_folder(spark: SparkSession) -> str:
         return set_to
     own = spark.sparkContext.getCheckpointDir()
     if not own:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(own)
