@@ -32,6 +32,8 @@ from tessera.llm import shared
 
 #: Bytes of a word's beginning that make a token; 0 is the whole word.
 VIEWS = (4, 5, 7, 0)
+#: Log-odds below this also come from what the labels go with, such as the language.
+_LEAST_ODDS = 4.0
 
 
 def _views(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> list[np.ndarray]:
@@ -108,6 +110,7 @@ def fit_tokens(rows: DataFrame, prior: float, significance: float, gap: float) -
     if not n_t or n_t == n:
         return empty
     counts = rows.select("body", "label").mapInArrow(_counts, "token long, texts long, toxic long").groupBy("token").agg(F.sum("texts").alias("texts"), F.sum("toxic").alias("toxic")).where("toxic >= 3")
+    counts = shared.table(counts, "tokens")
     # a text has a token or not: shares of texts, with a prior worth `prior` texts split as the sample is
     share = F.col("texts") / n
     a, b = F.col("toxic") + prior * share, F.col("texts") - F.col("toxic") + prior * share
@@ -115,7 +118,9 @@ def fit_tokens(rows: DataFrame, prior: float, significance: float, gap: float) -
     # likelihood ratio of the token's split between the labels against the sample's
     x, y = F.col("toxic"), F.col("texts") - F.col("toxic")
     ratio = 2 * (x * F.log(x / (F.col("texts") * (n_t / n))) + F.when(y > 0, y * F.log(y / (F.col("texts") * (1 - n_t / n)))).otherwise(0.0))
-    kept = counts.select("token", odds.alias("odds"), ratio.alias("ratio"), (b / (n - n_t + prior)).alias("chance")).where((F.col("odds") > 2) & (F.col("ratio") > significance))
+    # so many tokens are tried that some reach a ratio of 2 log(tokens) by chance
+    least = significance * 2 * math.log(max(counts.count(), 2))
+    kept = counts.select("token", odds.alias("odds"), ratio.alias("ratio"), (b / (n - n_t + prior)).alias("chance")).where((F.col("odds") > _LEAST_ODDS) & (F.col("ratio") > least))
     got = kept.collect()  # bounded by the sample: each token is in 3 toxic texts or more
     if not got:
         return empty
@@ -176,25 +181,27 @@ def _fit_curve(evidence: np.ndarray, label: np.ndarray, ridge: float = 0.5) -> t
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, allowed: Column, fit_rows: int, prior: float, significance: float, gap: float) -> Model:
     rows = shared.table(sample(docs, labels, label_col, id_col, text_col, allowed, fit_rows), "fit")
-    model = fit_tokens(rows, prior, significance, gap)
+    # the curve is fitted on texts that the tokens weren't taken from
+    apart = F.pmod(F.xxhash64("body"), F.lit(3)) == 0
+    model = fit_tokens(rows.where(~apart), prior, significance, gap)
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"evidence": pa.array(_evidence(sent.value, batch.column(0))[1]), "label": batch.column(1)})
 
-    seen = rows.select("body", "label").mapInArrow(measure, "evidence double, label long").toPandas()  # about 2 * fit_rows rows
+    seen = rows.where(apart).select("body", "label").mapInArrow(measure, "evidence double, label long").toPandas()  # about fit_rows rows
     if len(model.tokens.keys):
         model.slope, model.offset = _fit_curve(seen["evidence"].to_numpy(), seen["label"].to_numpy(float))
     return model
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, label_col: str = "toxic", allowed: Column | None = None, fit_rows: int = 4000, prior: float = 10.0, significance: float = 12.0, gap: float = 0.25, threshold: float = 0.3) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, label_col: str = "toxic", allowed: Column | None = None, fit_rows: int = 4000, prior: float = 10.0, significance: float = 1.0, gap: float = 0.25, threshold: float = 0.3) -> DataFrame:
     """One row per row of docs: doc_id, n_words, score, predicted, passages.
 
     allowed: which label rows (column doc_id) the fit may use; fit_rows: about how many of each label it
     uses at most. prior: texts that the Dirichlet prior is worth; significance: least likelihood ratio
-    statistic of a token. passages: word ranges expected less than once by chance, with their surprise.
+    statistic of a token, in multiples of what the best of as many tokens reaches by chance. passages: word ranges expected less than once by chance, with their surprise.
     """
     model = fit(docs, labels, label_col, id_col, text_col, F.lit(True) if allowed is None else allowed, fit_rows, prior, significance, gap)
     sent = docs.sparkSession.sparkContext.broadcast(model)
