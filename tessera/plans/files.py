@@ -85,3 +85,31 @@ def extended_table_frames(spark, sf):
 @query("src17_item_walk_frames", _TOTALS)
 def item_walk_frames(spark, sf):
     return _encapsulated(spark, sf, "empty")
+
+
+@query("snk01_save_and_read", "SELECT '1.2.3.' || CAST(vec_id % 7 AS VARCHAR) AS identifier, count(*) AS frames, CAST(sum(n) AS BIGINT) AS bytes FROM (SELECT vec_id, count(*) AS n FROM fx_pixel GROUP BY vec_id) GROUP BY 1")
+def save_and_read(spark, sf):
+    frames = spark.read.format("dicomframes").load(_saved(spark, sf, _slides(spark, sf)))
+    return frames.groupBy("identifier").agg(F.count("*").alias("frames"), F.sum("byte_length").alias("bytes"))
+
+
+@query("snk13_part_files", "SELECT vec_id % 7 * 1000 + CAST(floor(floor(vec_id / 7) / 16) AS BIGINT) AS part, count(*) AS frames FROM embeddings GROUP BY 1")
+def part_files(spark, sf):
+    """A slide in parts of 16 frames, a file each."""
+    rows = _slides(spark, sf).withColumn("slide", F.col("slide") * 1000 + F.floor(F.col("frame_index") / 16))
+    read = spark.read.format("dicomwsi").load(_saved(spark, sf, rows))
+    return read.select(F.element_at(F.split("sop_instance_uid", r"\."), -1).cast("bigint").alias("part"), F.col("n_frames").alias("frames"))
+
+
+@query("src02_path_resolution", "SELECT CAST(7 AS BIGINT) AS folder, CAST(1 AS BIGINT) AS one, CAST(7 AS BIGINT) AS pattern")
+def path_resolution(spark, sf):
+    """The same slides by folder, by file and by pattern."""
+    top = _saved(spark, sf, _slides(spark, sf))
+    counts = [spark.read.format("dicomwsi").load(p).agg(F.count("*").alias(n)) for n, p in (("folder", top), ("one", f"{top}/3.dcm"), ("pattern", f"{top}/*.dcm"))]
+    return counts[0].crossJoin(F.broadcast(counts[1])).crossJoin(F.broadcast(counts[2]))  # one row each
+
+
+@query("src05_header_only", "SELECT count(*) AS files, CAST(8 AS INT) AS tile_rows FROM (SELECT DISTINCT vec_id % 7 FROM embeddings)")
+def header_only(spark, sf):
+    """Headers without frames: the source stops before the pixels."""
+    return spark.read.format("dicomwsi").load(_saved(spark, sf, _slides(spark, sf))).groupBy("tile_rows").agg(F.count("*").alias("files")).select("files", "tile_rows")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -175,3 +176,59 @@ def resequenced(spark, sf):
     """Frames that arrive out of order, in the order of the file again."""
     shuffled = fx(spark, sf, "fx_frame_len").repartition(7, F.xxhash64("frame_index"))
     return T.offsets(shuffled, item_header=0).select("identifier", "frame_index", (F.col("offset") + F.col("byte_len")).alias("upto"))
+
+
+@query("geo15_slide_origin", "SELECT request_id, CASE WHEN x % 3 = 0 THEN x * 0.001E0 ELSE x * 0.001E0 - 0.5E0 END AS x FROM fx_request")
+def slide_origin(spark, sf):
+    """A place given from the slide's origin, or from the image's corner."""
+    x = F.col("x") * 0.001
+    return fx(spark, sf, "fx_request").select("request_id", F.when(F.col("x") % 3 == 0, x).otherwise(x - 0.5).alias("x"))
+
+
+@query("src21_array_source", "SELECT vec_id, CAST(8 AS BIGINT) AS width, CAST(8 AS BIGINT) AS height, CAST(1 AS BIGINT) AS tiles FROM embeddings")
+def array_source(spark, sf):
+    """Arrays as instances of one tile: the tile is as large as the image."""
+    side = F.sqrt(F.length("data")).cast("bigint")
+    rows = packed(spark, sf).select("vec_id", side.alias("width"), side.alias("height"))
+    return rows.select("vec_id", "width", "height", (G.tiles(F.col("width"), F.col("width")) * G.tiles(F.col("height"), F.col("height"))).alias("tiles"))
+
+
+@query("pix18_decode_native", "SELECT vec_id, px, py, CAST(v AS BIGINT) AS v FROM fx_pixel WHERE vec_id < 50")
+def decode_native(spark, sf):
+    return unpacked(packed(spark, sf).where("vec_id < 50"), 8).select("vec_id", "px", "py", "v")
+
+
+@query("pix19_encoded_size", "SELECT vec_id, CAST(1 AS INT) AS segments FROM embeddings")
+def encoded_size(spark, sf):
+    """Run-length frames of one 8-bit sample have one segment, which the header says first."""
+    coded = P.apply_to_tiles(packed(spark, sf), lambda a: np.frombuffer(P.rle_encode(a), np.uint8), (8, 8))
+    return coded.select("vec_id", F.conv(F.hex(F.substring("data", 1, 1)), 16, 10).cast("int").alias("segments"))
+
+
+@query("pix21_codec_rules", "SELECT file_id, CASE WHEN bits = 16 AND samples = 3 THEN 'none' WHEN photometric = 'YBR_FULL_422' THEN 'jpeg' WHEN photometric = 'MONOCHROME2' AND bits = 16 THEN 'rle' ELSE 'native' END AS codec FROM fx_header")
+def codec_rules(spark, sf):
+    rule = F.when((F.col("bits") == 16) & (F.col("samples") == 3), "none").when(F.col("photometric") == "YBR_FULL_422", "jpeg").when((F.col("photometric") == "MONOCHROME2") & (F.col("bits") == 16), "rle").otherwise("native")
+    return fx(spark, sf, "fx_header").select("file_id", rule.alias("codec"))
+
+
+@query("strf09_printed", "SELECT slide_id, level, 'level ' || CAST(level AS VARCHAR) || ': ' || CAST(width AS VARCHAR) || ' x ' || CAST(height AS VARCHAR) AS line FROM fx_level")
+def printed(spark, sf):
+    return fx(spark, sf, "fx_level").select("slide_id", "level", F.format_string("level %d: %d x %d", "level", "width", "height").alias("line"))
+
+
+@query("src24_annotation_scan", "SELECT CASE WHEN group_id % 2 = 0 THEN 'image' ELSE 'volume' END AS kind, count(DISTINCT group_id) AS groups FROM fx_vertex GROUP BY 1")
+def annotation_scan(spark, sf):
+    kind = F.when(F.col("group_id") % 2 == 0, "image").otherwise("volume")
+    return fx(spark, sf, "fx_vertex").groupBy(kind.alias("kind")).agg(F.count_distinct("group_id").alias("groups"))
+
+
+@query("md07_module_projection", "SELECT file_id, study_uid AS study, image_type AS image, photometric AS pixels FROM fx_header")
+def module_projection(spark, sf):
+    modules = F.struct(F.struct(F.col("study_uid").alias("uid")).alias("study"), F.struct(F.col("image_type").alias("kind"), F.col("photometric").alias("pixels")).alias("image"))
+    return fx(spark, sf, "fx_header").select("file_id", modules.alias("m")).select("file_id", F.col("m.study.uid").alias("study"), F.col("m.image.kind").alias("image"), F.col("m.image.pixels").alias("pixels"))
+
+
+@query("str01_accumulated_blocks", "SELECT CAST(floor(tile_x / 2) AS BIGINT) AS tile_x, CAST(floor(tile_y / 2) AS BIGINT) AS tile_y, count(DISTINCT vec_id) AS members FROM fx_pixel GROUP BY 1, 2")
+def accumulated_blocks(spark, sf):
+    """Members of each block that a level's accumulator waits for; see tessera.streaming for the stateful form."""
+    return packed(spark, sf).groupBy(F.floor(F.col("tile_x") / 2).alias("tile_x"), F.floor(F.col("tile_y") / 2).alias("tile_y")).agg(F.count("*").alias("members"))
