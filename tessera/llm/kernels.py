@@ -85,12 +85,12 @@ def byte_view(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return raw, offsets.astype(np.int64)
 
 
-def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets from 0) of runs of rows with about `most` bytes."""
+def chunks(column: pa.Array, most: int = CHUNK_BYTES, rows: int = 8192) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets from 0) of runs of at most `rows` rows with about `most` bytes."""
     raw, offsets = byte_view(column)
     n, lo = len(offsets) - 1, 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
+        hi = min(max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1), lo + rows)
         yield lo, hi, raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
 
