@@ -242,7 +242,7 @@ def _cell_pairs(plan: Plan, best: int | None):
             if len(names) < 2:
                 continue
             label = np.array([names[x] for x in comp])
-            s, m, z, p = c["sig"][lo:hi], c["n"][lo:hi], c["size_class"][lo:hi], c["part"][lo:hi]
+            s, own, m, z, p = c["sig"][lo:hi], c["bands"][lo:hi], c["n"][lo:hi], c["size_class"][lo:hi], c["part"][lo:hi]
             i, j = divmod(int(ij[lo]), 1 << 20)
             for x in range(hi - lo):
                 y = np.arange(0 if best else x + 1, hi - lo)
@@ -250,6 +250,8 @@ def _cell_pairs(plan: Plan, best: int | None):
                 ok = (label[y] != label[x]) & (np.minimum(z[y], z[x]) == cell[lo]) & (100 * np.minimum(m[y], m[x]) >= plan.percent * np.maximum(m[y], m[x]))
                 ok &= (np.minimum(p[y], p[x]) == i) & (np.maximum(p[y], p[x]) == j)
                 y = y[ok]
+                # and to the first bucket that the two share
+                y = y[own[y, (own[y] == own[x]).argmax(axis=1)] == key[lo]]
                 if not len(y):
                     continue
                 d = s[y] ^ s[x]
@@ -283,7 +285,8 @@ def _cell_pairs(plan: Plan, best: int | None):
                 end = int(np.flatnonzero(whole)[-1]) + 1 if whole.any() else 0
             if end:
                 c = {x: v[:end] for x, v in c.items()}
-                c["sig"] = held.column("sig").combine_chunks().slice(0, end).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(end, plan.long_longs)
+                c["sig"], c["bands"] = (held.column(x).combine_chunks().slice(0, end).flatten().to_numpy(zero_copy_only=False).reshape(end, -1) for x in ("sig", "bands"))
+                c["sig"] = c["sig"].view(np.uint64)
                 c["comp"], c["klass"] = (held.column(x).slice(0, end).to_pylist() for x in ("comp", "klass"))
                 found = set(compare(c))
                 yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
@@ -297,7 +300,7 @@ def _long_signatures(bodies: DataFrame, plan: Plan) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, offsets in K.chunks(batch.column(1), K.CHUNK_BYTES // 8):
+            for lo, hi, buf, offsets in K.chunks(batch.column(1), K.CHUNK_BYTES // 8, 1024):
                 values, start = sets_of(buf, offsets, plan.shingle)
                 packed = _pack(_minima(values, start[:-1], plan.long_hashes), plan)
                 yield pa.RecordBatch.from_pydict({"klass": batch.column(0).slice(lo, hi - lo), "sig": _nested(packed, hi - lo, np.arange(hi - lo))})
@@ -313,14 +316,14 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _open_pairs(rows: DataFrame, sized: DataFrame, plan: Plan, best: int | None) -> DataFrame:
-    """Pairs in a bucket but in different components that pass the estimate. sized: (klass, n, size_class, sig)."""
+    """Pairs in a bucket but in different components that pass the estimate. sized: (klass, n, bands, size_class, sig)."""
     # a pair's size classes differ by one at most (two, where rounding falls badly): each row also goes to the cells below
     cells = rows.join(sized.select("klass", "size_class"), "klass").select("*", F.explode(F.array(F.col("size_class"), F.col("size_class") - 1, F.col("size_class") - 2)).alias("cell"))
     cells = shared.table(cells, "cells")
     blocks = cells.groupBy("key", "cell").agg(F.ceil(F.count("*") / _BLOCK).cast("long").alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("size_class").alias("least")).where("lo <> hi and least = cell").select("key", "cell", "blocks")
     dealt = cells.join(blocks, ["key", "cell"]).withColumn("part", F.pmod(F.xxhash64("klass"), F.col("blocks")))
     ij = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.least(o, F.col("part")) * (1 << 20) + F.greatest(o, F.col("part")))
-    dealt = dealt.withColumn("ij", F.explode(ij)).join(sized.select("klass", "n", "sig"), "klass").select("key", "cell", "size_class", "part", "ij", "comp", "klass", "n", "sig")
+    dealt = dealt.withColumn("ij", F.explode(ij)).join(sized.select("klass", "n", "sig", "bands"), "klass").select("key", "cell", "size_class", "part", "ij", "comp", "klass", "n", "sig", "bands")
     dealt = dealt.repartition(max(_PARTS, shared.rows_hint(rows)), "key", "cell", "ij").sortWithinPartitions("key", "cell", "ij")
     return shared.table(dealt.mapInArrow(_cell_pairs(plan, best), "a binary, b binary").distinct(), "pairs")
 
@@ -336,7 +339,7 @@ def _rest(members: DataFrame, nodes: DataFrame, labels: DataFrame, texts: DataFr
         return labels
     bodies = shared.table(_bodies(texts, rows.select("klass").distinct(), plan, filter_bits), "bodies")
     size_class = F.floor(F.log(F.col("n")) / math.log(100 / plan.percent)).cast("long")
-    sized = shared.table(_long_signatures(bodies, plan).join(nodes.select("klass", "n"), "klass").withColumn("size_class", size_class), "sized")
+    sized = shared.table(_long_signatures(bodies, plan).join(nodes.select("klass", "n", "bands"), "klass").withColumn("size_class", size_class), "sized")
     labels = _linked(labels, _confirmed(_open_pairs(rows, sized, plan, _BEST), bodies, plan))
     rows = shared.table(_labelled(members, labels), "open")
     return _linked(labels, _confirmed(_open_pairs(rows, sized, plan, None), bodies, plan))
