@@ -5,8 +5,8 @@ A passage that repeats rarely fills a line of its own, so paragraphs are cut by
 consecutive ones. A passage of `reach` + `length` - 1 words (50) or more has an anchor whose paragraph
 lies inside it, the same one wherever the passage stands.
 
-1. Every paragraph gives `bands` keys of its shingles' minima. Keys that two documents or two texts
-   share survive; they are found by smallest and largest value, so a key needs no room for its members.
+1. Every paragraph gives `bands` keys of its shingles' minima. Keys that two documents share survive;
+   they are found by smallest and largest identifier, so a key needs no room for its members.
 2. Paragraphs with a surviving key (a fixed-size filter picks them in a second scan) become classes of
    equal words, and classes are compared by near-duplicate detection: bands tuned by the accepted
    chance to miss, exact Jaccard of the 5-word shingles, components.
@@ -84,14 +84,14 @@ def _paragraphs(column: pa.Array, reach: int, length: int, bands: int) -> Iterat
 
 
 def _marks(reach: int, length: int, bands: int):
-    """(key, mark): the mark's upper half is the class, the lower the document."""
+    """(key, mark): the mark is the document's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             for lo, row, _, klass, keys, *_ in _paragraphs(batch.column(1), reach, length, bands):
                 once = np.unique(np.stack([row.astype(np.uint64), klass]), axis=1, return_index=True)[1] if len(row) > 1 else np.arange(len(row))
-                mark = (klass[once] & K.U64(0xFFFFFFFF00000000)) | (K.mix(ids[lo + row[once]] + K.U64(1)) >> K.U64(32))
+                mark = ids[lo + row[once]]
                 yield pa.RecordBatch.from_pydict({"key": pa.array(keys[once].reshape(-1).view(np.int64)), "mark": pa.array(np.repeat(mark, bands).view(np.int64))})
 
     return run
