@@ -48,7 +48,7 @@ def _totals(frames):
 
 @query("src01_open_headers", "SELECT '1.2.3.' || CAST(vec_id % 7 AS VARCHAR) AS sop_instance_uid, 'VOLUME' AS image_type, count(*) AS n_frames, CAST(80 AS BIGINT) AS total_columns, CAST(ceil(count(*) / 10) * 8 AS BIGINT) AS total_rows, 0.00025E0 AS spacing_x FROM embeddings GROUP BY vec_id % 7")
 def open_headers(spark, sf):
-    rows = spark.read.format("dicomwsi").load(_saved(spark, sf, _slides(spark, sf)))
+    rows = spark.read.format("dicomslides").load(_saved(spark, sf, _slides(spark, sf)))
     return rows.select("sop_instance_uid", "image_type", "n_frames", "total_columns", "total_rows", "spacing_x")
 
 
@@ -97,7 +97,7 @@ def save_and_read(spark, sf):
 def part_files(spark, sf):
     """A slide in parts of 16 frames, a file each."""
     rows = _slides(spark, sf).withColumn("slide", F.col("slide") * 1000 + F.floor(F.col("frame_index") / 16))
-    read = spark.read.format("dicomwsi").load(_saved(spark, sf, rows))
+    read = spark.read.format("dicomslides").load(_saved(spark, sf, rows))
     return read.select(F.element_at(F.split("sop_instance_uid", r"\."), -1).cast("bigint").alias("part"), F.col("n_frames").alias("frames"))
 
 
@@ -105,11 +105,11 @@ def part_files(spark, sf):
 def path_resolution(spark, sf):
     """The same slides by folder, by file and by pattern."""
     top = _saved(spark, sf, _slides(spark, sf))
-    counts = [spark.read.format("dicomwsi").load(p).agg(F.count("*").alias(n)) for n, p in (("folder", top), ("one", f"{top}/3.dcm"), ("pattern", f"{top}/*.dcm"))]
+    counts = [spark.read.format("dicomslides").load(p).agg(F.count("*").alias(n)) for n, p in (("folder", top), ("one", f"{top}/3.dcm"), ("pattern", f"{top}/*.dcm"))]
     return counts[0].crossJoin(F.broadcast(counts[1])).crossJoin(F.broadcast(counts[2]))  # one row each
 
 
 @query("src05_header_only", "SELECT count(*) AS files, CAST(8 AS INT) AS tile_rows FROM (SELECT DISTINCT vec_id % 7 FROM embeddings)")
 def header_only(spark, sf):
     """Headers without frames: the source stops before the pixels."""
-    return spark.read.format("dicomwsi").load(_saved(spark, sf, _slides(spark, sf))).groupBy("tile_rows").agg(F.count("*").alias("files")).select("files", "tile_rows")
+    return spark.read.format("dicomslides").load(_saved(spark, sf, _slides(spark, sf))).groupBy("tile_rows").agg(F.count("*").alias("files")).select("files", "tile_rows")

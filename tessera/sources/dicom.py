@@ -1,6 +1,6 @@
 """Reading and writing slide files in the DICOM format, as Spark data sources.
 
-`dicomwsi` reads one row a file with the typed header, and never the pixels; `dicomframes` one row a
+`dicomslides` reads one row a file with the typed header, and never the pixels; `dicomframes` one row a
 frame with its place and bytes. Parsing follows the public standard: explicit and implicit value
 representation, little endian, sequences with and without a length, encapsulated and native pixels.
 Files that aren't slides are left out.
@@ -301,7 +301,7 @@ class _FrameReader(_Reader):
 class DicomHeaders(DataSource):
     @classmethod
     def name(cls) -> str:
-        return "dicomwsi"
+        return "dicomslides"
 
     def schema(self) -> str:
         return HEADER
@@ -323,6 +323,6 @@ class DicomFrames(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes spark.read.format("dicomwsi") and ("dicomframes") known."""
+    """Makes spark.read.format("dicomslides") and ("dicomframes") known."""
     spark.dataSource.register(DicomHeaders)
     spark.dataSource.register(DicomFrames)

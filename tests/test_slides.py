@@ -104,7 +104,7 @@ def test_other_files_are_left_out(spark, tmp_path):
     dicom.write_file(str(tmp_path / "b.dcm"), HEADER | {"SOPClassUID": "1.2.3"}, [b"\0" * 16] * 3)
     (tmp_path / "folder").mkdir()
     dicom.register(spark)
-    rows = spark.read.format("dicomwsi").load(str(tmp_path)).collect()
+    rows = spark.read.format("dicomslides").load(str(tmp_path)).collect()
     assert [(r.sop_instance_uid, r.image_type, r.n_frames, r.spacing_x, r.spacing_y) for r in rows] == [("1.2.3.4", "VOLUME", 3, 0.25, 0.5)]
     with pytest.raises(NotEmpty):
         prepare_folder(str(tmp_path))
