@@ -68,6 +68,7 @@ def _stage(function: Callable) -> Callable:
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         shared.release(spark, _LEFT)
+        shared.small_batches(spark)
         before = set(shared.opened())
         out = function(spark, docs, sf_dir)
         _LEFT[:] = [p for p in shared.opened() if p not in before]

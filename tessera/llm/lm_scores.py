@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tessera.llm import kernels as K
 from tessera.llm import shared
 
-_CHUNK_WORDS = 2_000_000
+_CHUNK_WORDS = 1_000_000
 _ROW = "chunk string, bucket long, a binary, b binary, c binary"
 _NAMES = ["chunk", "bucket", "a", "b", "c"]
 

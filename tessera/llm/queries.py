@@ -15,10 +15,12 @@ from tessera.llm.mixing import mix_plan
 from tessera.llm.passages import repeated_passages
 from tessera.llm.quality import quality
 from tessera.llm.token_counts import token_counts
+from tessera.llm.shared import small_batches
 from tessera.llm.toxicity import toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -53,6 +53,12 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets Spark hand texts to Python in batches of a few MB; at the default of 10,000 rows long texts fill the workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def rows_hint(df: DataFrame) -> int:
     """Shuffle partitions the session asks for."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
