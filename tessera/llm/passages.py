@@ -62,7 +62,7 @@ def anchors(h: np.ndarray, first: np.ndarray, reach: int, length: int) -> tuple[
 
 
 def _paragraphs(column: pa.Array, reach: int, length: int, bands: int) -> Iterator[tuple]:
-    """(first row, row of each paragraph, place in the row, class, band keys, starts and ends of all words, bytes)."""
+    """(first row, row of each paragraph, place in the row, class, band keys, starts and ends of all words, paragraphs' first words, bytes, hashes of words, rows' first words)."""
     for lo, _, buf, offsets in K.chunks(column):
         buf = K.LOWER[buf]
         s, e, first = K.words(buf, offsets, K.SPACED)
@@ -80,7 +80,7 @@ def _paragraphs(column: pa.Array, reach: int, length: int, bands: int) -> Iterat
         for b in range(bands):
             low = [(grams * multipliers[b * _ROWS + r]).min(axis=1) for r in range(_ROWS)]
             keys[:, b] = K.mix(sum(x * K._SHIFTS[42 + r] for r, x in enumerate(low)) + salt[b])
-        yield lo, row, at - first[row], K.mix(klass), keys, s, e, at, buf
+        yield lo, row, at - first[row], K.mix(klass), keys, s, e, at, buf, h, first
 
 
 def _marks(reach: int, length: int, bands: int):
@@ -105,7 +105,7 @@ def _places(sent, bits: int, reach: int, length: int, bands: int):
         some = np.unpackbits(np.frombuffer(sent.value, np.uint8), bitorder="little").astype(bool)
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for lo, row, place, klass, keys, s, e, at, buf in _paragraphs(batch.column(1), reach, length, bands):
+            for lo, row, place, klass, keys, s, e, at, buf, *_ in _paragraphs(batch.column(1), reach, length, bands):
                 hit = np.flatnonzero(some[_slots(keys, bits)].all(axis=2).any(axis=1))
                 if not len(hit):
                     continue
@@ -126,6 +126,66 @@ def _places(sent, bits: int, reach: int, length: int, bands: int):
     return run
 
 
+def _edges(length: int):
+    """(component, right) of paragraphs beside which the document's next one doesn't touch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: set[tuple[int, bool]] = set()
+            for found in batch.column(0).to_pylist():
+                at = sorted({p for f in found for p in f["places"]})
+                left = {q for p, q in zip([None, *at], at, strict=False) if p is None or p + length < q}
+                right = {p for p, q in zip(at, [*at[1:], None], strict=True) if q is None or p + length < q}
+                rows |= {(f["component"], side) for f in found for side, some in ((False, left), (True, right)) if not some.isdisjoint(f["places"])}
+            ordered = sorted(rows)
+            yield pa.RecordBatch.from_pydict({"component": pa.array([c for c, _ in ordered], pa.int64()), "right": pa.array([r for _, r in ordered], pa.bool_())})
+
+    return run
+
+
+def _beside(sent, bits: int, reach: int, length: int):
+    """(class, doc_id, place, right, beside) of paragraphs that the filter lets through.
+
+    beside: hashes of the nearest 1, 2, ... words on that side, up to `reach` - 1 or the text's end.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = np.unpackbits(np.frombuffer(sent.value, np.uint8), bitorder="little").astype(bool)
+        for batch in batches:
+            ids = batch.column(0)
+            for lo, row, place, klass, _, _, _, at, _, h, first in _paragraphs(batch.column(1), reach, length, 0):
+                hit = np.flatnonzero(some[_slots(klass[:, None], bits)].all(axis=2)[:, 0])
+                if not len(hit):
+                    continue
+                for right in (False, True):
+                    size = first[1:][row[hit]] - at[hit] - length if right else place[hit]
+                    size = np.minimum(size, reach - 1)
+                    sums = np.zeros((len(hit), reach - 1), np.uint64)
+                    so_far = np.full(len(hit), 1 + right, np.uint64)
+                    for j in range(reach - 1):
+                        word = np.clip(at[hit] + length + j if right else at[hit] - 1 - j, 0, len(h) - 1)
+                        so_far = K.mix(so_far * K._SHIFTS[43] + h[word])
+                        sums[:, j] = so_far
+                    flat = sums[np.arange(reach - 1) < size[:, None]].view(np.int64)
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(flat))
+                    yield pa.RecordBatch.from_pydict({"klass": pa.array(klass[hit].view(np.int64)), "doc_id": ids.take(pa.array(lo + row[hit])), "place": pa.array(place[hit].astype(np.int64)), "right": pa.array(np.full(len(hit), right)), "beside": lists})
+
+    return run
+
+
+def _extended(texts: DataFrame, flagged: DataFrame, by_doc: DataFrame, bits: int, reach: int, length: int) -> DataFrame:
+    """(doc_id, place, right, more, gone): words beside a paragraph that repeat with it, and of them those that go."""
+    edges = by_doc.select("found").mapInArrow(_edges(length), "component long, right boolean").distinct()
+    wanted = shared.table(flagged.select("component", "klass").distinct().join(edges, "component"), "edges")
+    sent = texts.sparkSession.sparkContext.broadcast(_filter(wanted.select("klass").distinct(), bits))
+    beside = texts.mapInArrow(_beside(sent, bits, reach, length), "klass long, doc_id long, place long, right boolean, beside array<long>")
+    grams = shared.table(beside.join(wanted, ["klass", "right"]).where(F.size("beside") > 0), "beside").select("component", "doc_id", "place", "right", F.posexplode("beside").alias("j", "sum"))
+    both = grams.groupBy("component", "sum").agg(F.min(F.struct("doc_id")).alias("one"), F.max(F.struct("doc_id")).alias("other")).where(~F.col("one.doc_id").eqNullSafe(F.col("other.doc_id"))).select("component", "sum", "one")
+    words = F.col("j") + 1
+    goes = ~F.col("one.doc_id").eqNullSafe(F.col("doc_id"))
+    return grams.join(both, ["component", "sum"]).groupBy("doc_id", "place", "right").agg(F.max(words).cast("long").alias("more"), F.coalesce(F.max(F.when(goes, words)), F.lit(0)).cast("long").alias("gone"))
+
+
 def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
     """Three places in the filter for each key."""
     return np.stack([(K.mix(keys * K._SHIFTS[30 + i]) & K.U64(bits - 1)).astype(np.int64) for i in range(3)], axis=2)
@@ -162,23 +222,29 @@ def _filter(keys: DataFrame, bits: int) -> bytes:
 
 
 def _merged(length: int):
-    """Documents' paragraphs as disjoint word ranges, and the words to remove."""
+    """Documents' paragraphs and the words beside them as disjoint word ranges, and the words to remove."""
 
-    def cover(places: list[int]) -> list[int]:
+    def cover(ranges: list[tuple[int, int]]) -> list[int]:
         out: list[int] = []
-        for p in sorted(places):
-            if out and p <= out[-1]:
-                out[-1] = max(out[-1], p + length)
+        for lo, hi in sorted(ranges):
+            if out and lo <= out[-1]:
+                out[-1] = max(out[-1], hi)
             else:
-                out += [p, p + length]
+                out += [lo, hi]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans, removed, firsts = [], [], []
-            for found in batch.column(1).to_pylist():
-                spans.append(cover([p for f in found for p in f["places"]]))
-                removed.append(cover([p for f in found for p in f["places"] if not f["stays"]]))
+            for found, beside in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                every = [(p, p + length) for f in found for p in f["places"]]
+                go = [(p, p + length) for f in found for p in f["places"] if not f["stays"]]
+                for x in beside or ():
+                    for out, n in ((every, x["more"]), (go, x["gone"])):
+                        if n:
+                            out.append((x["place"] + length, x["place"] + length + n) if x["right"] else (x["place"] - n, x["place"]))
+                spans.append(cover(every))
+                removed.append(cover(go))
                 firsts.append(sorted({f["first_doc"] for f in found if f["first_doc"] is not None}))
             words = [sum(x[1::2]) - sum(x[::2]) for x in spans]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_passages": pa.array([len(x) // 2 for x in spans], pa.int64()), "repeated_words": pa.array(words, pa.int64()), "removed_words": pa.array([sum(x[1::2]) - sum(x[::2]) for x in removed], pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64())), "removed": pa.array(removed, pa.list_(pa.int64())), "first_docs": pa.array(firsts, pa.list_(pa.int64()))})
@@ -204,7 +270,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     own = shared.table(places.drop("body").join(linked, "klass"), "own")
     # in a struct nulls count, as the smallest
     clusters = own.groupBy("component").agg(F.min(F.struct("doc_id")).alias("first"), F.max(F.struct("doc_id")).alias("last")).where(~F.col("first.doc_id").eqNullSafe(F.col("last.doc_id")))
-    flagged = own.join(clusters.select("component", "first"), "component")
-    each = F.struct("places", F.col("first.doc_id").alias("first_doc"), F.col("first.doc_id").eqNullSafe(F.col("doc_id")).alias("stays"))
-    by_doc = flagged.groupBy("doc_id").agg(F.collect_list(each).alias("found"))  # bounded by the text
-    return by_doc.mapInArrow(_merged(length), "doc_id long, n_passages long, repeated_words long, removed_words long, spans array<long>, removed array<long>, first_docs array<long>")
+    flagged = shared.table(own.join(clusters.select("component", "first"), "component"), "flagged")
+    each = F.struct("component", "places", F.col("first.doc_id").alias("first_doc"), F.col("first.doc_id").eqNullSafe(F.col("doc_id")).alias("stays"))
+    by_doc = shared.table(flagged.groupBy("doc_id").agg(F.collect_list(each).alias("found")), "flagged_docs")  # bounded by the text
+    more = _extended(texts, flagged, by_doc, filter_bits, reach, length).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("place", "right", "more", "gone")).alias("beside"))
+    return by_doc.join(more, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "found", "beside").mapInArrow(_merged(length), "doc_id long, n_passages long, repeated_words long, removed_words long, spans array<long>, removed array<long>, first_docs array<long>")

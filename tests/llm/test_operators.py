@@ -282,6 +282,42 @@ def test_repeated_passages(spark):
     assert got[200].removed_words == 0 and all(got[200 + k].removed_words >= 24 and got[200 + k].first_docs == [200] for k in range(1, 6))
 
 
+def test_repeated_passages_are_covered_whole(spark):
+    """Passages of 50 words or more, between words of their own, and exact copies: every word is in the spans."""
+    import random
+
+    r = random.Random(8)
+    own = lambda tag, n: [f"{tag}_{i}" for i in range(n)]
+    rows, expected = [], {}
+    for n in range(50, 130, 3):
+        passage = [f"p{n}_{i}_{r.randrange(99)}" for i in range(n)]
+        for k in range(3):
+            before = r.randrange(60)
+            i = 1000 * (k + 1) + n
+            rows.append((i, " ".join(own(f"a{i}", before) + passage + own(f"z{i}", r.randrange(60)))))
+            expected[i] = [before, before + n]
+    copy = " ".join(own("copy", 300))
+    rows += [(9000, copy), (9001, copy.upper()), (None, copy)]
+    expected |= {i: [0, 300] for i in (9000, 9001, None)}
+    got = {x.doc_id: x for x in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert set(got) == set(expected)
+    for i, (lo, hi) in expected.items():
+        (start, end), gone = got[i].spans, got[i].removed
+        # a window at Jaccard 0.8 may hold two words from beside the passage
+        assert lo - 2 <= start <= lo and hi <= end <= hi + 2
+        # of the null copy and the first of three documents nothing goes
+        assert gone == [] if i is None or i < 2000 else len(gone) == 2 and lo - 2 <= gone[0] <= lo and hi <= gone[1] <= hi + 2
+
+
+def test_repeated_passages_of_unlike_length(spark):
+    """Two documents share more than the third: what only they share is removed from the later one."""
+    a, b = [[f"{t}{i}" for i in range(n)] for t, n in (("a", 60), ("b", 20))]
+    tail = [f"t{i}" for i in range(30)]
+    rows = [(1, " ".join(a + [f"x{t}" for t in tail])), (2, " ".join(a + b + tail[:15])), (3, " ".join(["own", *a, *b]))]
+    got = {x.doc_id: (x.spans, x.removed) for x in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ([0, 60], []), 2: ([0, 80], [0, 60]), 3: ([1, 81], [1, 81])}
+
+
 def test_awkward_rows_do_not_crash(docs, labels, no_labels, spark):
     for lab in (labels, no_labels):
         assert toxicity(docs, lab).count() == N
