@@ -5,7 +5,8 @@ A passage that repeats rarely fills a line of its own, so paragraphs are cut by
 consecutive ones. A passage of `reach` + `length` - 1 words (50) or more has an anchor whose paragraph
 lies inside it, the same one wherever the passage stands.
 
-1. Every paragraph gives `bands` keys of its shingles' minima. Keys that two documents share survive;
+1. Every paragraph gives keys of its shingles' minima, as many as the accepted chance to miss a pair at the
+   threshold asks for (7 at 0.001). Keys that two documents share survive;
    they are found by smallest and largest identifier, so a key needs no room for its members.
 2. Paragraphs with a surviving key (a fixed-size filter picks them in a second scan) become classes of
    equal words, and classes are compared by near-duplicate detection: bands tuned by the accepted
@@ -21,6 +22,7 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,11 @@ _SHINGLE = 5
 _ROWS = 2
 
 
+def bands_for(percent: int, miss: float) -> int:
+    """Bands with which a pair at the threshold shares no key with a chance of `miss` at most."""
+    return max(1, math.ceil(math.log(miss) / math.log1p(-((percent / 100) ** _ROWS)))) if percent < 100 else 1
+
+
 def anchors(h: np.ndarray, first: np.ndarray, reach: int, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Word positions where paragraphs begin, and the row of each; h are word hashes."""
     size = np.diff(first)
@@ -252,14 +259,16 @@ def _merged(length: int):
     return run
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 24, reach: int = 27, percent: int = 80, bands: int = 3, miss: float = 1e-3, filter_bits: int = 1 << 25) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 24, reach: int = 27, percent: int = 80, miss: float = 1e-3, filter_bits: int = 1 << 25) -> DataFrame:
     """One row per document with repeats: doc_id, n_passages, repeated_words, removed_words, spans, removed, first_docs.
 
     spans and removed: flat word ranges [start, end, ...) that repeat elsewhere, and of them those that
-    go; first_docs: the documents that keep the passages. filter_bits (a power of two) is the size of
+    go; miss: accepted chance to miss a pair at the threshold, for the keys and for the near-duplicates among
+    the survivors; first_docs: the documents that keep the passages. filter_bits (a power of two) is the size of
     the filter sent to all tasks.
     """
     spark = docs.sparkSession
+    bands = bands_for(percent, miss)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"))
     marks = texts.mapInArrow(_marks(reach, length, bands), "key long, mark long")
     shared_keys = marks.groupBy("key").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi").select("key")

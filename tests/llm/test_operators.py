@@ -2,6 +2,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tessera.llm.components import components
@@ -318,6 +319,25 @@ def test_repeated_passages_of_unlike_length(spark):
     assert got == {1: ([0, 60], []), 2: ([0, 80], [0, 60]), 3: ([1, 81], [1, 81])}
 
 
+def test_passage_keys_miss_few_pairs():
+    """Paragraphs at Jaccard 18/22, close to the threshold, share a key but for the accepted chance."""
+    import inspect
+
+    import pyarrow as pa
+
+    from tessera.llm import passages
+
+    default = inspect.signature(repeated_passages).parameters
+    bands = passages.bands_for(default["percent"].default, default["miss"].default)
+    n, pairs = 3000, []
+    for i in range(n):
+        same = " ".join(f"w{i}_{k}" for k in range(22))
+        pairs += [f"{same} x{i} y{i}", f"{same} u{i} v{i}"]
+    keys = np.concatenate([x[4] for x in passages._paragraphs(pa.array(pairs), default["reach"].default, default["length"].default, bands)])
+    assert len(keys) == 2 * n
+    assert (keys[::2] != keys[1::2]).all(axis=1).sum() <= 10  # 1.3 expected; with three bands 108
+
+
 def test_awkward_rows_do_not_crash(docs, labels, no_labels, spark):
     for lab in (labels, no_labels):
         assert toxicity(docs, lab).count() == N
