@@ -27,9 +27,9 @@ def region_ends(spark, sf):
 
 
 @query("geo09_iterate_region", "SELECT request_id, px, py FROM (SELECT request_id, w, unnest(generate_series(0, h % 5)) AS py FROM fx_request WHERE request_id < 300) r, LATERAL (SELECT unnest(generate_series(0, r.w % 6)) AS px) u")
-def iterate_region(spark, sf):
+def iterate_region(spark, sf, keep="request_id < 300"):
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), c))
-    return fx(spark, sf, "fx_request").where("request_id < 300").withColumn("py", upto(F.col("h") % 5)).withColumn("px", upto(F.col("w") % 6)).select("request_id", "px", "py")
+    return fx(spark, sf, "fx_request").where(keep).withColumn("py", upto(F.col("h") % 5)).withColumn("px", upto(F.col("w") % 6)).select("request_id", "px", "py")
 
 
 @query("geo10_region_mm_shift", "SELECT request_id, round(x * 0.001E0 + 2.5E0, 6) AS x0, round(x * 0.001E0 + 2.5E0 + w * 0.001E0, 6) AS x1 FROM fx_request")
@@ -194,8 +194,8 @@ def array_source(spark, sf):
 
 
 @query("pix18_decode_native", "SELECT vec_id, px, py, CAST(v AS BIGINT) AS v FROM fx_pixel WHERE vec_id < 50")
-def decode_native(spark, sf):
-    return unpacked(packed(spark, sf).where("vec_id < 50"), 8).select("vec_id", "px", "py", "v")
+def decode_native(spark, sf, keep="vec_id < 50"):
+    return unpacked(packed(spark, sf).where(keep), 8).select("vec_id", "px", "py", "v")
 
 
 @query("pix19_encoded_size", "SELECT vec_id, CAST(1 AS INT) AS segments FROM embeddings")

@@ -1,0 +1,53 @@
+"""Queries over whole tables, of those that are registered with SQL over a part of the identifiers or levels.
+
+The registered SQL stays as it is and so do the queries that it checks; here the same plans run
+without the filter, under the name with `_whole` behind it. Their SQL is the registered one without the
+filter. Where DuckDB would be too slow (range join, all pairs), tests compare with brute force.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import functions as F
+
+from tessera.plans import geometry, more, pixels
+from tessera.plans.fixtures import fx
+from tessera.plans.registry import ORACLES, query
+
+
+def _without(name: str, *filters: tuple[str, str]) -> str:
+    sql = ORACLES[name]
+    for old, new in filters:
+        if sql.count(old) != 1:
+            raise ValueError(f"{name}: {old}")
+        sql = sql.replace(old, new)
+    return sql
+
+
+def _whole(name: str, function: Callable, *filters: tuple[str, str], **more_args) -> None:
+    query(f"{name}_whole")(lambda spark, sf: function(spark, sf, "true", **more_args))
+    if filters:
+        ORACLES[f"{name}_whole"] = _without(name, *filters)
+
+
+_whole("pix01_read_tile", pixels.read_tile, (" WHERE vec_id % 3 = 0", ""))
+_whole("pix04_stitch", pixels.stitch)
+_whole("pix13_rotate", pixels.rotate, (" WHERE vec_id < 40", ""))
+_whole("pix18_decode_native", more.decode_native, (" WHERE vec_id < 50", ""))
+_whole("geo09_iterate_region", more.iterate_region, (" WHERE request_id < 300", ""))
+_whole("geo19_full_frame_index", geometry.full_frame_index, (" FROM fx_level WHERE level = 3)", " FROM fx_level)"), ("SELECT slide_id, f AS frame", "SELECT slide_id, level, f AS frame"), extra=("level",))
+_whole("jn01_tile_frame", geometry.tile_frame, (" AND slide_id < 50", ""))
+_whole("flt14_sparse_tiles", geometry.sparse_tiles, (" AND slide_id < 50", ""))
+
+
+@query("flt10_coordinate_match_whole")
+def coordinate_match(spark, sf):
+    """All pairs of a level whose origins are 0.02 apart at most, whatever their slides."""
+    rows = fx(spark, sf, "fx_instance").where("ordinal = 0").select("uid", "slide_id", "level", "origin_x")
+    # cells a little wider than the distance: a pair lies in the same cell or in neighbours
+    cell = F.floor(F.col("origin_x") / 0.021)
+    left = rows.withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
+    right = rows.withColumn("cell", cell).toDF("b", "sb", "level", "ob", "cell")
+    near = (F.col("slide_id") < F.col("sb")) & (F.abs(F.col("origin_x") - F.col("ob")) <= 0.02)
+    return left.join(right, ["level", "cell"]).where(near).select(F.col("uid").alias("a"), "b")
