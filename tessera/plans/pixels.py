@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tessera.llm import shared
 from tessera.operators import pixels as P
 from tessera.operators import tiles as T
 from tessera.plans.fixtures import fx
@@ -60,9 +61,11 @@ def level_cascade(spark, sf):
     """All levels of the mosaic down to a single tile, with their tiles and total brightness."""
     tiles, out, level = packed(spark, sf).select("tile_x", "tile_y", "data"), None, 0
     while True:
+        tiles = shared.table(tiles, f"level{level}")
         sums = unpacked(tiles, 8).agg(F.lit(level).alias("level"), F.count_distinct("tile_x", "tile_y").alias("tiles"), F.sum("v").alias("total"))
         out = sums if out is None else out.unionByName(sums)
-        if level == 3:
+        last = tiles.agg(F.greatest(F.max("tile_x"), F.max("tile_y")).alias("n")).first()["n"]
+        if not last:  # a single tile, or none at all
             return out
         tiles, level = P.reduce_level(tiles, 8), level + 1
 

@@ -51,3 +51,22 @@ def test_coordinate_match_against_brute_force(spark):
     assert got == expected
     slide = {r.uid: r.slide_id for r in rows}
     assert any(slide[b] - slide[a] >= 4 for a, b in got)
+
+
+def test_level_cascade_against_brute_force(spark):
+    """Every level down to a single tile, whatever the mosaic's size."""
+    import numpy as np
+
+    pixels = fx(spark, DATA, "fx_pixel").toPandas()
+    image, expected, tiles = np.zeros((int(pixels.tile_y.max() + 1) * 8, 160), np.int64), {}, {(int(y), int(x)) for y, x in zip(pixels.tile_y, pixels.tile_x, strict=True)}
+    image[pixels.tile_y * 8 + pixels.py, pixels.tile_x * 8 + pixels.px] = pixels.v
+    level = 0
+    while True:
+        expected[level] = (len(tiles), int(image.sum()))
+        if tiles == {(0, 0)}:
+            break
+        image = np.pad(image, [(0, -n % 16) for n in image.shape])
+        image = (image.reshape(image.shape[0] // 2, 2, -1, 2).sum(axis=(1, 3)) + 2) // 4
+        tiles, level = {(y // 2, x // 2) for y, x in tiles}, level + 1
+    got = {r.level: (r.tiles, r.total) for r in registry.QUERIES["str02_level_cascade"](spark, DATA).collect()}
+    assert level > 3 and got == expected
