@@ -51,7 +51,13 @@ def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, near_dedup(docs, shingle=5, percent=80).where("not kept").select("doc_id").distinct())
+    many = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
+    if many.isEmpty():
+        return _without(docs, near_dedup(docs, shingle=5, percent=80).where("not kept").select("doc_id"))
+    # null or repeated identifiers: decide by row; rows are numbered in order of their identifiers, null last
+    numbered = shared.table(docs.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    gone = near_dedup(numbered, "_row", shingle=5, percent=80).where("not kept").select(F.col("doc_id").alias("_gone"))
+    return numbered.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
 
 
 def _clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,3 +48,20 @@ def test_torn_identifiers(spark, folder):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = dict(corpus_pipeline.STAGES)["exact dedup"](spark, docs, "").collect()
     assert sorted(r.text.lower() for r in out) == ["four", "one", "three", "two"]
+
+
+def test_near_dedup_by_row(spark):
+    """Null and repeated identifiers: one row of each component stays, rows of other components are untouched."""
+    texts = {k: [f"{k}{i}" for i in range(60)] for k in "abcdef"}
+    copy = lambda k, tail: " ".join([*texts[k], tail])
+    rows = [
+        (1, copy("a", "x")), (None, copy("a", "y")), (None, copy("b", "x")),  # a null copy, and a clean null row
+        (2, copy("c", "x")), (3, copy("c", "y")), (3, copy("d", "x")),  # an identifier with a copy and a clean text
+        (4, copy("e", "x")), (4, copy("e", "y")), (4, copy("e", "z")),  # copies under one identifier
+        (5, copy("f", "x")), (6, None), (None, None), (None, ""),  # no words: never copies
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = dict(corpus_pipeline.STAGES)["MinHash near-dedup"](spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, (r.text or " ")[0]) for r in out.collect()), key=str)
+    assert got == sorted([(1, "a"), (None, "b"), (2, "c"), (3, "d"), (4, "e"), (5, "f"), (6, " "), (None, " "), (None, " ")], key=str)
