@@ -117,6 +117,11 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_read(spark, sf_dir, "documents")).withColumn("log_score", F.round("log_score", 4))
 
 
+def op9_lm_scores_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order 3; OP9_SQL is of order 2 and checks op9_lm_scores only."""
+    return lm_scores(_read(spark, sf_dir, "documents"), order=3).withColumn("log_score", F.round("log_score", 4))
+
+
 OP9_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w FROM documents),
 p AS (SELECT r, i, w[i] AS w, CASE WHEN i > 1 THEN w[i - 1] END AS v FROM (SELECT r, w, unnest(generate_series(1, len(w))) AS i FROM d)),
@@ -140,5 +145,5 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_passages": op10_passages, "op7_token_counts": op7_token_counts, "op9_lm_scores": op9_lm_scores, "op1_quality": op1_quality, "op8_language_id": op8_language_id, "op2_toxicity": op2_toxicity, "op3_minhash": op3_minhash, "op6_mixing": op6_mixing, "op4_decontaminate": op4_decontaminate, "op5_exact_dedup": op5_exact_dedup}
+QUERIES = {"op10_passages": op10_passages, "op7_token_counts": op7_token_counts, "op9_lm_scores": op9_lm_scores, "op9_lm_scores_trigrams": op9_lm_scores_trigrams, "op1_quality": op1_quality, "op8_language_id": op8_language_id, "op2_toxicity": op2_toxicity, "op3_minhash": op3_minhash, "op6_mixing": op6_mixing, "op4_decontaminate": op4_decontaminate, "op5_exact_dedup": op5_exact_dedup}
 ORACLES = {"op9_lm_scores": OP9_SQL, "op6_mixing": _op6_sql(), "op4_decontaminate": OP4_SQL, "op5_exact_dedup": OP5_SQL}

@@ -271,6 +271,18 @@ def test_token_counts(docs):
     assert {r.doc_id: r.n_bytes for r in got}[10] == len(LINE)
 
 
+def test_trigrams_are_registered(spark, tmp_path):
+    """The registered query scores "c" after "a b" by the trigram, which order 2 can't tell from "x b c"."""
+    from math import log
+
+    from tessera.llm.queries import QUERIES
+
+    spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "x b d"), (4, "x b d")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.log_score for r in QUERIES["op9_lm_scores_trigrams"](spark, str(tmp_path)).collect()}
+    # P(a) = 2/12, P(b | a) = 1, P(c | a b) = 1
+    assert got == {i: round(log(2 / 12), 4) for i in range(1, 5)}
+
+
 def test_repeated_passages(spark):
     passage = " ".join(f"shared{i}" for i in range(51))
     other = prose(40, seed=12, size=120)
