@@ -133,19 +133,22 @@ def _places(sent, bits: int, reach: int, length: int, bands: int):
     return run
 
 
-def _edges(length: int):
-    """(component, right) of paragraphs beside which the document's next one doesn't touch."""
+def _edges(reach: int, length: int):
+    """(component, right, room) of paragraphs beside which the document's next one doesn't touch: the words up to it, `reach` - 1 at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: set[tuple[int, bool]] = set()
+            rooms: dict[tuple[int, bool], int] = {}
             for found in batch.column(0).to_pylist():
                 at = sorted({p for f in found for p in f["places"]})
-                left = {q for p, q in zip([None, *at], at, strict=False) if p is None or p + length < q}
-                right = {p for p, q in zip(at, [*at[1:], None], strict=True) if q is None or p + length < q}
-                rows |= {(f["component"], side) for f in found for side, some in ((False, left), (True, right)) if not some.isdisjoint(f["places"])}
-            ordered = sorted(rows)
-            yield pa.RecordBatch.from_pydict({"component": pa.array([c for c, _ in ordered], pa.int64()), "right": pa.array([r for _, r in ordered], pa.bool_())})
+                gap = [reach - 1, *[min(q - p - length, reach - 1) for p, q in zip(at, at[1:], strict=False)], reach - 1]
+                sides = {False: dict(zip(at, gap, strict=False)), True: dict(zip(at, gap[1:], strict=True))}
+                for f in found:
+                    for side, room in sides.items():
+                        n = max(room[p] for p in f["places"])
+                        if n > rooms.get((f["component"], side), 0):
+                            rooms[f["component"], side] = n
+            yield pa.RecordBatch.from_pydict({"component": pa.array([c for c, _ in rooms], pa.int64()), "right": pa.array([r for _, r in rooms], pa.bool_()), "room": pa.array(rooms.values(), pa.int32())})
 
     return run
 
@@ -180,13 +183,15 @@ def _beside(sent, bits: int, reach: int, length: int):
     return run
 
 
-def _extended(texts: DataFrame, flagged: DataFrame, by_doc: DataFrame, bits: int, reach: int, length: int) -> DataFrame:
+def _extended(texts: DataFrame, by_doc: DataFrame, bits: int, reach: int, length: int) -> DataFrame:
     """(doc_id, place, right, more, gone): words beside a paragraph that repeat with it, and of them those that go."""
-    edges = by_doc.select("found").mapInArrow(_edges(length), "component long, right boolean").distinct()
-    wanted = shared.table(flagged.select("component", "klass").distinct().join(edges, "component"), "edges")
+    edges = by_doc.select("found").mapInArrow(_edges(reach, length), "component long, right boolean, room int").groupBy("component", "right").agg(F.max("room").alias("room"))
+    members = by_doc.select(F.explode("found").alias("f")).select("f.component", "f.klass").distinct()
+    wanted = shared.table(members.join(edges, "component"), "edges")
     sent = texts.sparkSession.sparkContext.broadcast(_filter(wanted.select("klass").distinct(), bits))
     beside = texts.mapInArrow(_beside(sent, bits, reach, length), "klass long, doc_id long, place long, right boolean, beside array<long>")
-    grams = shared.table(beside.join(wanted, ["klass", "right"]).where(F.size("beside") > 0), "beside").select("component", "doc_id", "place", "right", F.posexplode("beside").alias("j", "sum"))
+    near = beside.join(wanted, ["klass", "right"]).select("component", "doc_id", "place", "right", F.slice("beside", F.lit(1), F.col("room")).alias("beside"))
+    grams = shared.table(near.where(F.size("beside") > 0), "beside").select("component", "doc_id", "place", "right", F.posexplode("beside").alias("j", "sum"))
     both = grams.groupBy("component", "sum").agg(F.min(F.struct("doc_id")).alias("one"), F.max(F.struct("doc_id")).alias("other")).where(~F.col("one.doc_id").eqNullSafe(F.col("other.doc_id"))).select("component", "sum", "one")
     words = F.col("j") + 1
     goes = ~F.col("one.doc_id").eqNullSafe(F.col("doc_id"))
@@ -279,8 +284,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     own = shared.table(places.drop("body").join(linked, "klass"), "own")
     # in a struct nulls count, as the smallest
     clusters = own.groupBy("component").agg(F.min(F.struct("doc_id")).alias("first"), F.max(F.struct("doc_id")).alias("last")).where(~F.col("first.doc_id").eqNullSafe(F.col("last.doc_id")))
-    flagged = shared.table(own.join(clusters.select("component", "first"), "component"), "flagged")
-    each = F.struct("component", "places", F.col("first.doc_id").alias("first_doc"), F.col("first.doc_id").eqNullSafe(F.col("doc_id")).alias("stays"))
+    flagged = own.join(clusters.select("component", "first"), "component")
+    each = F.struct("component", "klass", "places", F.col("first.doc_id").alias("first_doc"), F.col("first.doc_id").eqNullSafe(F.col("doc_id")).alias("stays"))
     by_doc = shared.table(flagged.groupBy("doc_id").agg(F.collect_list(each).alias("found")), "flagged_docs")  # bounded by the text
-    more = _extended(texts, flagged, by_doc, filter_bits, reach, length).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("place", "right", "more", "gone")).alias("beside"))
+    more = _extended(texts, by_doc, filter_bits, reach, length).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("place", "right", "more", "gone")).alias("beside"))
     return by_doc.join(more, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "found", "beside").mapInArrow(_merged(length), "doc_id long, n_passages long, repeated_words long, removed_words long, spans array<long>, removed array<long>, first_docs array<long>")
