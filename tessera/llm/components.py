@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import kernels as K
 from tessera.llm import shared
 
 _FOREST_ROWS = 500_000
@@ -59,7 +60,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     a and b have one type, not null, any that has an order.
     """
     kind = links.schema["a"].dataType.simpleString()
-    own = links.select("a", "b").where("a <> b").mapInArrow(_forest, f"a {kind}, b {kind}")
+    own = links.select("a", "b").where("a <> b").mapInArrow(K.lean(_forest), f"a {kind}, b {kind}")
     now = shared.table(own.distinct(), "links")
     for _ in range(most_rounds):
         if _settled(now):

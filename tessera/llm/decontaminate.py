@@ -158,7 +158,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     out = docs.select(*row, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<string>").alias("items"), F.array().cast("array<long>").alias("spans"))
     for k in range(0, max(len(sets), 1), _PASS):
-        out = out.mapInArrow(_scanner(sets[k : k + _PASS]), out.schema)
+        out = out.mapInArrow(K.lean(_scanner(sets[k : k + _PASS])), out.schema)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: x - a)  # ... - start + end, pair by pair
     return out.select(*(["row"] if carry else []), "doc_id", "n_words", n_hit.alias("n_hit"), "items", "spans")
 

@@ -82,7 +82,7 @@ def _runs(docs: DataFrame, keep: str, cut: int, memtable_bytes: int) -> DataFram
         if table:
             yield from _flush(table, f"{part}-{n}", pick, cut)
 
-    return docs.mapInArrow(fill, _ENTRY)
+    return docs.mapInArrow(K.lean(fill), _ENTRY)
 
 
 def bloom(digests: DataFrame, bits: int) -> bytes:
@@ -106,7 +106,7 @@ def bloom(digests: DataFrame, bits: int) -> bytes:
         return pd.DataFrame({"segment": [frame["segment"].iloc[0]], "bits": [out.tobytes()]})
 
     schema = "segment int, bits binary"
-    parts = digests.mapInArrow(local, schema).groupBy("segment").applyInPandas(join, schema).collect()  # at most bits / 8 bytes
+    parts = digests.mapInArrow(K.lean(local), schema).groupBy("segment").applyInPandas(join, schema).collect()  # at most bits / 8 bytes
     whole = np.zeros((_SEGMENTS, each), np.uint8)
     for r in parts:
         whole[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
@@ -135,7 +135,7 @@ def _hit_texts(docs: DataFrame, hits: bytes, bits: int, cut: int, memtable_bytes
                     seen, held = set(), 0
             yield pa.RecordBatch.from_pydict({"digest": pa.array(digests, pa.binary()), "body": pa.array(texts, pa.binary())})
 
-    return docs.mapInArrow(probe, "digest binary, body binary")
+    return docs.mapInArrow(K.lean(probe), "digest binary, body binary")
 
 
 def _winner(keep: str) -> Column:
@@ -190,4 +190,4 @@ def _sha_bodies(rows: DataFrame, clash: DataFrame, cut: int) -> DataFrame:
             shas = [hashlib.sha256(t).digest() for t in texts]
             yield pa.RecordBatch.from_pydict({"digest": pa.array([s[:cut] for s in shas], pa.binary()), "sha": pa.array(shas, pa.binary()), "body": pa.array(texts, pa.binary())})
 
-    return rows.mapInArrow(bodies, "digest binary, sha binary, body binary").join(clash, "digest", "left_semi").select("sha", "body").distinct()
+    return rows.mapInArrow(K.lean(bodies), "digest binary, sha binary, body binary").join(clash, "digest", "left_semi").select("sha", "body").distinct()

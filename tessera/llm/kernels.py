@@ -7,7 +7,8 @@ of it (a single longer document makes its own chunk).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -198,10 +199,44 @@ def distinct_by_row(values: np.ndarray, start: np.ndarray) -> tuple[np.ndarray,
 
 
 def sum_by_row(values: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Sum of the values of each row; 0 for empty rows."""
-    total = np.zeros(len(values) + 1, values.dtype)
-    np.cumsum(values, out=total[1:])
-    return total[start[1:]] - total[start[:-1]]
+    """Sum of the values of each row; 0 for empty rows. A row's sum depends on its own values only."""
+    out = np.zeros((len(start) - 1, *values.shape[1:]), values.dtype)
+    some = np.flatnonzero(start[1:] > start[:-1])
+    if len(some):
+        out[some] = np.add.reduceat(values, start[:-1][some], axis=0)
+    return out
+
+
+@lru_cache(maxsize=1)
+def _trimmer() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # not glibc: its allocator decides
+        return None
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    if trim := _trimmer():
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """run, giving back the memory of a batch's working arrays when it asks for the next one and when it ends.
+
+    Workers are reused by later tasks, so what they keep adds up to the executor's memory.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                _trim()
+
+        yield from run(each())
+        _trim()
+
+    return wrapped
 
 
 @lru_cache(maxsize=8)

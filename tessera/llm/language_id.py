@@ -122,9 +122,7 @@ class Scorer:
             known = np.concatenate([self.known, h[new]])
             order = np.argsort(known)
             self.known, self.rows = known[order], np.concatenate([self.rows, values[new]])[order]
-        total = np.zeros((len(s) + 1, values.shape[1]))
-        np.cumsum(values[back], axis=0, out=total[1:])
-        return total[first[1:]] - total[first[:-1]]
+        return K.sum_by_row(values[back], first)
 
 
 def _lettered(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -161,7 +159,7 @@ def fit(rows: DataFrame, vocabulary: list[bytes], smooth: float) -> Pieces | Non
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "piece": pa.array(at), "n": pa.array(n[at])})
 
-    counts = rows.select("body", "lang").mapInArrow(count, "lang string, piece long, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()  # vocabulary times languages
+    counts = rows.select("body", "lang").mapInArrow(K.lean(count), "lang string, piece long, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()  # vocabulary times languages
     table = np.zeros((len(vocabulary), len(languages)))
     table[counts["piece"], counts["lang"].map({x: i for i, x in enumerate(languages)})] = counts["n"]
     return Pieces(vocabulary, languages, table, smooth)
@@ -196,4 +194,4 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 scores += np.where(some, score, 0.0).tolist()
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
 
-    return own.select("doc_id", "body").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return own.select("doc_id", "body").mapInArrow(K.lean(run), "doc_id long, lang_pred string, score double")

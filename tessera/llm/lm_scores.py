@@ -195,14 +195,14 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     n_backoff: words whose longest n-gram is in no table, so that a shorter one gave the score.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"))
-    chunks = shared.table(texts.mapInArrow(_encode, _ROW), "chunks")
+    chunks = shared.table(texts.mapInArrow(K.lean(_encode), _ROW), "chunks")
     parts = max(8, shared.rows_hint(docs))
     buckets = 1 << (2 * parts - 1).bit_length()
-    asked = chunks.mapInArrow(_ask(order, buckets), _ROW)
-    answered = shared.table(asked.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, _ROW), "answers")
-    sizes = chunks.select("a").mapInArrow(_count_words, "n long").agg(F.sum("n")).first()[0] or 0
+    asked = chunks.mapInArrow(K.lean(_ask(order, buckets)), _ROW)
+    answered = shared.table(asked.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(K.lean(_answer), _ROW), "answers")
+    sizes = chunks.select("a").mapInArrow(K.lean(_count_words), "n long").agg(F.sum("n")).first()[0] or 0
     together = chunks.unionByName(answered).repartition(parts, "chunk").sortWithinPartitions("chunk", "bucket")
-    return together.mapInArrow(_join(order, sizes, alpha, min_count), "doc_id long, n_words long, n_backoff long, log_score double")
+    return together.mapInArrow(K.lean(_join(order, sizes, alpha, min_count)), "doc_id long, n_words long, n_backoff long, log_score double")
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -176,7 +176,7 @@ def _bodies(docs: DataFrame, wanted: DataFrame, plan: Plan, bits: int) -> DataFr
                 texts = [raw[offsets[r] : offsets[r + 1]] for r in rows]
                 yield pa.RecordBatch.from_pydict({"klass": pa.array(keys, pa.binary()), "body": pa.array(texts, pa.binary())})
 
-    return docs.mapInArrow(pick, "klass binary, body binary").dropDuplicates(["klass"])
+    return docs.mapInArrow(K.lean(pick), "klass binary, body binary").dropDuplicates(["klass"])
 
 
 def shared_counts(left: pa.Array, right: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,7 +216,7 @@ def _confirmed(pairs: DataFrame, bodies: DataFrame, plan: Plan) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"a": batch.column(0).filter(ok), "b": batch.column(1).filter(ok)})
 
     both = pairs.join(bodies.withColumnsRenamed({"klass": "a", "body": "x"}), "a").join(bodies.withColumnsRenamed({"klass": "b", "body": "y"}), "b")
-    return shared.table(both.select("a", "b", "x", "y").mapInArrow(confirm, "a binary, b binary"), "confirmed")
+    return shared.table(both.select("a", "b", "x", "y").mapInArrow(K.lean(confirm), "a binary, b binary"), "confirmed")
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
@@ -305,7 +305,7 @@ def _long_signatures(bodies: DataFrame, plan: Plan) -> DataFrame:
                 packed = _pack(_minima(values, start[:-1], plan.long_hashes), plan)
                 yield pa.RecordBatch.from_pydict({"klass": batch.column(0).slice(lo, hi - lo), "sig": _nested(packed, hi - lo, np.arange(hi - lo))})
 
-    return bodies.mapInArrow(sign, "klass binary, sig array<long>")
+    return bodies.mapInArrow(K.lean(sign), "klass binary, sig array<long>")
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -325,7 +325,7 @@ def _open_pairs(rows: DataFrame, sized: DataFrame, plan: Plan, best: int | None)
     ij = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.least(o, F.col("part")) * (1 << 20) + F.greatest(o, F.col("part")))
     dealt = dealt.withColumn("ij", F.explode(ij)).join(sized.select("klass", "n", "sig", "bands"), "klass").select("key", "cell", "size_class", "part", "ij", "comp", "klass", "n", "sig", "bands")
     dealt = dealt.repartition(max(_PARTS, shared.rows_hint(rows)), "key", "cell", "ij").sortWithinPartitions("key", "cell", "ij")
-    return shared.table(dealt.mapInArrow(_cell_pairs(plan, best), "a binary, b binary").distinct(), "pairs")
+    return shared.table(dealt.mapInArrow(K.lean(_cell_pairs(plan, best)), "a binary, b binary").distinct(), "pairs")
 
 
 def _linked(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -354,7 +354,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     plan = Plan(shingle, percent, rows, bits, miss)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"))
-    signed = shared.table(texts.mapInArrow(_signatures(plan), "doc_id long, n long, klass binary, sig array<long>, bands array<long>"), "signed")
+    signed = shared.table(texts.mapInArrow(K.lean(_signatures(plan)), "doc_id long, n long, klass binary, sig array<long>, bands array<long>"), "signed")
     nodes = shared.table(signed.where("n > 0").groupBy("klass").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
     spread = nodes.select("klass", F.explode("bands").alias("key"))
     buckets = spread.groupBy("key").agg(F.min("klass").alias("center"), F.count("*").alias("members")).where("members > 1")
@@ -366,6 +366,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     grouped = nodes.select("klass", "first_id").join(labels.withColumnRenamed("node", "klass"), "klass", "left").select("klass", "first_id", F.coalesce("component", "klass").alias("component"))
     least = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = grouped.join(least, "component").select("klass", "component_id")
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "klass").join(named, "klass", "left")
-    component = F.when(F.col("klass").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    # texts without shingles go past the join: they have no class, and may be many
+    rows = signed.select("doc_id", F.col("n").alias("n_shingles"), "klass")
+    bare = rows.where("klass is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = rows.where("klass is not null").join(named, "klass").select("doc_id", "n_shingles", "component_id").unionByName(bare)
+    return out.select("*", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -185,11 +185,11 @@ def _beside(sent, bits: int, reach: int, length: int):
 
 def _extended(texts: DataFrame, by_doc: DataFrame, bits: int, reach: int, length: int) -> DataFrame:
     """(doc_id, place, right, more, gone): words beside a paragraph that repeat with it, and of them those that go."""
-    edges = by_doc.select("found").mapInArrow(_edges(reach, length), "component long, right boolean, room int").groupBy("component", "right").agg(F.max("room").alias("room"))
+    edges = by_doc.select("found").mapInArrow(K.lean(_edges(reach, length)), "component long, right boolean, room int").groupBy("component", "right").agg(F.max("room").alias("room"))
     members = by_doc.select(F.explode("found").alias("f")).select("f.component", "f.klass").distinct()
     wanted = shared.table(members.join(edges, "component"), "edges")
     sent = texts.sparkSession.sparkContext.broadcast(_filter(wanted.select("klass").distinct(), bits))
-    beside = texts.mapInArrow(_beside(sent, bits, reach, length), "klass long, doc_id long, place long, right boolean, beside array<long>")
+    beside = texts.mapInArrow(K.lean(_beside(sent, bits, reach, length)), "klass long, doc_id long, place long, right boolean, beside array<long>")
     near = beside.join(wanted, ["klass", "right"]).select("component", "doc_id", "place", "right", F.slice("beside", F.lit(1), F.col("room")).alias("beside"))
     grams = shared.table(near.where(F.size("beside") > 0), "beside").select("component", "doc_id", "place", "right", F.posexplode("beside").alias("j", "sum"))
     both = grams.groupBy("component", "sum").agg(F.min(F.struct("doc_id")).alias("one"), F.max(F.struct("doc_id")).alias("other")).where(~F.col("one.doc_id").eqNullSafe(F.col("other.doc_id"))).select("component", "sum", "one")
@@ -226,7 +226,7 @@ def _filter(keys: DataFrame, bits: int) -> bytes:
             yield pa.RecordBatch.from_pydict({"segment": pa.array([i], pa.int32()), "bits": pa.array([x.tobytes()], pa.binary())})
 
     schema = "segment int, bits binary"
-    parts = keys.mapInArrow(local, schema).repartition(segments, "segment").mapInArrow(unite, schema).collect()  # at most bits / 8 bytes
+    parts = keys.mapInArrow(K.lean(local), schema).repartition(segments, "segment").mapInArrow(K.lean(unite), schema).collect()  # at most bits / 8 bytes
     whole = np.zeros((segments, each // 8), np.uint8)
     for r in parts:
         whole[r["segment"]] |= np.frombuffer(r["bits"], np.uint8)
@@ -275,10 +275,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     bands = bands_for(percent, miss)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"))
-    marks = texts.mapInArrow(_marks(reach, length, bands), "key long, mark long")
+    marks = texts.mapInArrow(K.lean(_marks(reach, length, bands)), "key long, mark long")
     shared_keys = marks.groupBy("key").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi").select("key")
     sent = spark.sparkContext.broadcast(_filter(shared_keys, filter_bits))
-    places = shared.table(texts.mapInArrow(_places(sent, filter_bits, reach, length, bands), "klass long, doc_id long, places array<long>, body string"), "places")
+    places = shared.table(texts.mapInArrow(K.lean(_places(sent, filter_bits, reach, length, bands)), "klass long, doc_id long, places array<long>, body string"), "places")
     classes = places.where("body is not null").groupBy("klass").agg(F.min("body").alias("body"))
     linked = near_dedup(shared.table(classes, "classes"), "klass", "body", shingle=_SHINGLE, percent=percent, rows=3, miss=miss).select(F.col("doc_id").alias("klass"), F.col("component_id").alias("component"))
     own = shared.table(places.drop("body").join(linked, "klass"), "own")
@@ -288,4 +288,4 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     each = F.struct("component", "klass", "places", F.col("first.doc_id").alias("first_doc"), F.col("first.doc_id").eqNullSafe(F.col("doc_id")).alias("stays"))
     by_doc = shared.table(flagged.groupBy("doc_id").agg(F.collect_list(each).alias("found")), "flagged_docs")  # bounded by the text
     more = _extended(texts, by_doc, filter_bits, reach, length).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("place", "right", "more", "gone")).alias("beside"))
-    return by_doc.join(more, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "found", "beside").mapInArrow(_merged(length), "doc_id long, n_passages long, repeated_words long, removed_words long, spans array<long>, removed array<long>, first_docs array<long>")
+    return by_doc.join(more, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "found", "beside").mapInArrow(K.lean(_merged(length)), "doc_id long, n_passages long, repeated_words long, removed_words long, spans array<long>, removed array<long>, first_docs array<long>")

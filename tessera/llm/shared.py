@@ -54,9 +54,13 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lets Spark hand texts to Python in batches of a few MB; at the default of 10,000 rows long texts fill the workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Lets Spark hand texts to Python in batches of a few MB, unless the session says otherwise already.
+
+    At the default of 10,000 rows long texts fill the workers.
+    """
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))):
+        if key not in spark.conf.getAll:
+            spark.conf.set(key, value)
 
 
 def rows_hint(df: DataFrame) -> int:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import kernels as K
 from tessera.llm.language_id import read_vocabulary
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -105,4 +106,4 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_pretokens": pa.array(n_pre, pa.int64()), "n_tokens": pa.array(n_tok, pa.int64()), "n_bytes": pa.array(n_bytes, pa.int64())})
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"))
-    return texts.mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long, n_bytes long")
+    return texts.mapInArrow(K.lean(run), "doc_id long, n_pretokens long, n_tokens long, n_bytes long")

@@ -109,7 +109,7 @@ def fit_tokens(rows: DataFrame, prior: float, significance: float, gap: float) -
     empty = Model(K.Lookup(np.zeros(0, np.uint64), np.zeros(0)), gap, 1.0, 1.0)
     if not n_t or n_t == n:
         return empty
-    counts = rows.select("body", "label").mapInArrow(_counts, "token long, texts long, toxic long").groupBy("token").agg(F.sum("texts").alias("texts"), F.sum("toxic").alias("toxic")).where("toxic >= 3")
+    counts = rows.select("body", "label").mapInArrow(K.lean(_counts), "token long, texts long, toxic long").groupBy("token").agg(F.sum("texts").alias("texts"), F.sum("toxic").alias("toxic")).where("toxic >= 3")
     counts = shared.table(counts, "tokens")
     # a text has a token or not: shares of texts, with a prior worth `prior` texts split as the sample is
     share = F.col("texts") / n
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_co
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"evidence": pa.array(_evidence(sent.value, batch.column(0))[1]), "label": batch.column(1)})
 
-    seen = rows.where(apart).select("body", "label").mapInArrow(measure, "evidence double, label long").toPandas()  # about fit_rows rows
+    seen = rows.where(apart).select("body", "label").mapInArrow(K.lean(measure), "evidence double, label long").toPandas()  # about fit_rows rows
     if len(model.tokens.keys):
         model.slope, model.offset = _fit_curve(seen["evidence"].to_numpy(), seen["label"].to_numpy(float))
     return model
@@ -214,5 +214,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_words": pa.array(n_words), "score": pa.array(sent.value.score(evidence)), "passages": pa.array(rows, passage)})
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"))
-    out = texts.mapInArrow(run, "doc_id long, n_words long, score double, passages array<struct<start: long, end: long, surprise: double>>")
+    out = texts.mapInArrow(K.lean(run), "doc_id long, n_words long, score double, passages array<struct<start: long, end: long, surprise: double>>")
     return out.select("doc_id", "n_words", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "passages")

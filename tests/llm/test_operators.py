@@ -225,11 +225,46 @@ def test_quality_keeps_good_texts(spark):
     rows = [(i, t if i % 4 else " ".join([t.split()[0]] * 30)) for i, t in enumerate(good)] + [(900, None), (901, " ")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(150)], "doc_id long, quality int")
-    got = {r.doc_id: r.kept for r in quality(df, labels).collect()}
-    assert all(got[i] == (i % 4 > 0) for i in range(300)) and not got[900] and not got[901]
+    rows = {r.doc_id: r for r in quality(df, labels).collect()}
+    got = {i: r.kept for i, r in rows.items()}
+    # weights part the texts; the draw may only swap some whose weights are within the noise of the cut
+    assert all((rows[i].log_weight >= 0) == (i % 4 > 0) for i in range(300)) and not got[900] and not got[901]
+    swapped = [i for i in range(300) if got[i] != (i % 4 > 0)]
+    assert len(swapped) <= 6 and all(abs(rows[i].log_weight) < 5 for i in swapped) and sum(got.values()) == 225
     assert {r.doc_id for r in select_quality(df, labels).collect()} == {i for i, k in got.items() if k}
 
 
+def test_quality_without_labels(spark, no_labels):
+    """Texts with words are kept, marks alone are not, n_grams counts n-grams; `draw` draws that many."""
+    df = spark.createDataFrame([(i, f"word{i} and more") for i in range(40)] + [(90, "!!! ???"), (91, "   "), (92, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality(df, no_labels).collect()}
+    assert all(got[i].kept and got[i].n_grams == 9 for i in range(40)) and not any(got[i].kept or got[i].n_grams for i in (90, 91, 92))
+    drawn = [{r.doc_id for r in quality(df, no_labels, draw=10, seed=s).collect() if r.kept} for s in (1, 1, 2)]
+    assert [len(d) for d in drawn] == [10, 10, 10] and drawn[0] == drawn[1] != drawn[2]
+
+
+def test_gumbel_top_k_draws_in_proportion():
+    """The largest of log-weight plus noise is item i as often as its weight says; the next one likewise among the rest."""
+    from tessera.llm.quality import gumbel
+
+    w = np.array([1.0, 2.0, 3.0, 10.0])
+    n = 20_000
+    keys = np.log(w) + np.stack([gumbel(np.full(n, i, np.uint64) * np.uint64(7919) + np.arange(n, dtype=np.uint64) * np.uint64(100_003), 29) for i in range(4)], axis=1)
+    order = np.argsort(-keys, axis=1)
+    first = np.bincount(order[:, 0], minlength=4) / n
+    assert np.allclose(first, w / w.sum(), atol=0.015)
+    after = order[order[:, 0] == 3, 1]
+    assert np.allclose(np.bincount(after, minlength=4)[:3] / len(after), w[:3] / w[:3].sum(), atol=0.02)
+
+
+def test_equal_texts_have_equal_weights(spark, labels):
+    """A text's weight doesn't depend on what stands beside it in a batch."""
+    texts = prose(200, seed=5)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1000 + i, t) for i, t in reversed(list(enumerate(texts)))], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.log_weight for r in quality(df, labels).collect()}
+    assert all(got[i] == got[1000 + i] for i in range(200))
+
+
 def test_kth_largest(spark):
     import random
 

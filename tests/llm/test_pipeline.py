@@ -65,3 +65,49 @@ def test_near_dedup_by_row(spark):
     assert out.columns == docs.columns
     got = sorted(((r.doc_id, (r.text or " ")[0]) for r in out.collect()), key=str)
     assert got == sorted([(1, "a"), (None, "b"), (2, "c"), (3, "d"), (4, "e"), (5, "f"), (6, " "), (None, " "), (None, " ")], key=str)
+
+
+def _run_stages(spark, folder, docs, labels, bench):
+    labels.write.mode("overwrite").parquet(f"{folder}/labels.parquet")
+    bench.write.mode("overwrite").parquet(f"{folder}/benchmark.parquet")
+    for k, (name, function) in enumerate(corpus_pipeline.STAGES):
+        out = function(spark, docs, str(folder))
+        assert out.columns == docs.columns, name
+        out.write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+        yield name, docs
+
+
+def test_awkward_rows(spark, docs, none, labels, no_labels, tmp_path):
+    """Nulls, long texts, ties and clashing names go through every stage; empty tables give no rows."""
+    names = ["_n", "_id", "_own", "_sha", "gone", "key", "kept", "span", "copies", "size"]
+    wide = docs.select("*", *[docs["text"].alias(n) for n in names])
+    bench = spark.createDataFrame([(1, "nothing like it")], "item_id long, text string")
+    seen = {name: out.collect() for name, out in _run_stages(spark, tmp_path / "a", wide, no_labels, bench)}
+    texts = [r.text for r in seen["exact dedup"]]
+    assert len(texts) == len({(t or "").lower() for t in texts})
+    assert all(r["_n"] == r.text for rows in seen.values() for r in rows)
+    assert any(len(r.text) > 100_000 for r in seen["benchmark decontamination"])
+    for k, lab in enumerate((labels, no_labels)):
+        assert all(out.isEmpty() for _, out in _run_stages(spark, tmp_path / f"b{k}", none, lab, bench.limit(0)))
+
+
+def test_leaks_in_long_documents(spark, tmp_path):
+    """A whole window of a test item makes a leak of a document of any length; short items only where they weigh a twentieth."""
+    item = [f"exam{i}" for i in range(20)]
+    rows = [(1, " ".join([f"own{i}" for i in range(5000)] + item[3:16])), (2, " ".join([f"own{i}" for i in range(5000)] + item[3:15])), (3, " ".join([f"own{i}" for i in range(100)] + ["short", "one"])), (4, "short one here"), (5, None), (6, "")]
+    spark.createDataFrame([(1, " ".join(item)), (2, "short one")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = dict(corpus_pipeline.STAGES)["benchmark decontamination"](spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert sorted(r.doc_id for r in out.collect()) == [2, 3, 5, 6]
+
+
+def test_near_dedup_leaves_other_rows_of_an_identifier(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(60)) for k in "ab")
+    stage = dict(corpus_pipeline.STAGES)["MinHash near-dedup"]
+    for rows, expected in (
+        ([(1, a), (2, a + " tail"), (2, b)], [(1, "a"), (2, "b")]),
+        ([(1, a), (None, a + " end"), (None, b)], [(1, "a"), (None, "b")]),
+        ([(1, a), (1, a + " tail")], [(1, "a")]),
+    ):
+        got = stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+        assert sorted(((r.doc_id, r.text[0]) for r in got), key=str) == sorted(expected, key=str)
