@@ -4,14 +4,24 @@ Each stage is (name, function); a function takes (spark, docs, sf_dir), works on
 predecessor kept, and returns the columns of docs. Results are written as Parquet between stages.
 
 Quality selection, decontamination and mixing decide where a row is, without moving texts. Exact and
-near deduplication decide by identifier and drop what is rejected by an anti-join.
+near deduplication decide by a key of the row and drop what is rejected by an anti-join; the rejected
+keys are stored first, so that their measured size decides whether they are broadcast. The key is the
+identifier where identifiers are unique, else a number that follows the identifiers' order.
+
+Defined results, for every stage: input columns travel in a struct, so they may have any names and
+come back as they were; an empty table gives no rows. A text that is null, empty or has no word goes
+in the quality stage if labels teach it, and is a text like others for exact dedup (null counts as
+empty, one stays); it is linked with nothing in near-dedup, has no hit in decontamination, and is never
+taken by the mix. Null or repeated identifiers are judged row by row: of equal or near texts exactly one
+row stays, whatever their identifiers, and rows of other texts are untouched. Of ties the smallest
+identifier stays, null last.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import shared
@@ -21,7 +31,8 @@ from tessera.llm.minhash import near_dedup
 from tessera.llm.mixing import mix
 from tessera.llm.quality import select_quality
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Words in a row of a test item that make a document a leak, however long it is.
+WINDOW = 13
 _LEFT: list[str] = []
 
 
@@ -29,40 +40,30 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return select_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id isn't among ids; null is an identifier like others."""
-    gone = ids.select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+def _kept(docs: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows of docs that judge, a function of (key, body) rows to (doc_id, kept), doesn't reject."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("key"), F.col("text").alias("body"))
+    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        ordered = rows.orderBy(F.col("key").asc_nulls_last(), F.xxhash64("body"))
+        rows = shared.table(ordered.select("row", F.monotonically_increasing_id().alias("key"), "body"), "numbered")
+    gone = shared.table(judge(rows.select("key", "body")).where("not kept").select(F.col("doc_id").alias("gone")), "gone")
+    return rows.join(gone, F.col("key") == F.col("gone"), "left_anti").select("row.*")
 
 
 def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = shared.table(exact_dedup(docs), "exact")
-    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("kept").alias("stay"))
-    rest = _without(docs, ids.where("stay = 0"))
-    torn = shared.table(ids.where("stay > 0 and stay < n"), "torn")
-    if torn.isEmpty():
-        return rest
-    # an identifier with kept and dropped rows: decide by text, and keep one row of each that stays
-    sha = F.unhex(F.sha2(F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER).cast("binary"), 256))
-    stay = found.where("kept").join(torn.select("doc_id").withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"))
-    rows = rest.withColumn("_own", sha).join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi")
-    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_own").orderBy("text"))).where("_n = 1").drop("_n", "_own")
-    return _without(rest, torn).unionByName(first)
+    return _kept(docs, lambda rows: exact_dedup(rows, "key", "body"))
 
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    many = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
-    if many.isEmpty():
-        return _without(docs, near_dedup(docs, shingle=5, percent=80).where("not kept").select("doc_id"))
-    # null or repeated identifiers: decide by row; rows are numbered in order of their identifiers, null last
-    numbered = shared.table(docs.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    gone = near_dedup(numbered, "_row", shingle=5, percent=80).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return numbered.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
+    return _kept(docs, lambda rows: near_dedup(rows, "key", "body", shingle=5, percent=80))
 
 
 def _clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=True)
-    return found.where("not (n_hit > 0 and 20 * n_hit >= n_words)").select("row.*")
+    """Documents go that hold a whole window of a test item, or of which a twentieth is of test items shorter than that."""
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=WINDOW, carry=True)
+    steps = F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2))
+    whole = F.when(F.size("spans") > 0, F.exists(steps, lambda i: F.get("spans", i + 1) - F.get("spans", i) >= WINDOW)).otherwise(False)
+    return found.where(~whole & ~((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))).select("row.*")
 
 
 def _mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
