@@ -21,8 +21,11 @@ def thinned(rows: DataFrame, label: str, key: Column, most: int, seed: int = 5)
 
 
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, allowed: Column, most: int) -> DataFrame:
-    """(doc_id, body, label) of about `most` labelled documents for each label, of the allowed ids, equal texts once."""
+    """(body, label) of about `most` labelled documents for each label, of the allowed ids.
+
+    Equal texts count once, with the label that half of them or more have, of ties the larger.
+    """
     rows = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("long").alias("label")).where(allowed)
     chosen = thinned(rows, "label", F.col("doc_id"), most).groupBy("doc_id").agg(F.max("label").alias("label"))  # bounded by the parameter
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["body"])
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("body").agg((F.avg("label") >= 0.5).cast("long").alias("label"))

@@ -3,22 +3,20 @@
 A fixed public vocabulary of byte pieces gets a probability a language, from the pieces of a bounded
 sample of labelled documents. A word's probability in a language is the sum over all ways to cut it
 into pieces of the products of their probabilities, by the forward algorithm; a text's is the product
-over its words. The forward pass runs once for each distinct word a task meets, for all languages and
-all new words together, position by position.
+over its words. The forward pass runs over the trie of the distinct words a task meets, for all languages
+and all new words together, depth by depth, in logarithms. Words of any length are summed whole, over
+all pieces of the vocabulary; in scripts without spaces a word is what stands between marks.
 
 One scan, no shuffle. The model is bounded by the vocabulary times the number of languages.
 
 Defined results: `und` with score 0 for a null text or one without a letter, and wherever there is
-nothing to learn from; a text of other letters than words are made of goes to the language that
-learned most; words beyond 40 bytes are scored in stretches of 40; rows that repeat an identifier are
+nothing to learn from; languages that tie go to the first by name; rows that repeat an identifier are
 judged one by one; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,28 +24,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
-from tessera.llm import shared
+from tessera.llm import segment, shared
 from tessera.llm.labelled import thinned
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-_STRETCH = 40
+#: Log-probability of a word that no pieces make up.
+_NEVER = -1e4
 _KNOWN = 300_000
 _CHUNK = 4 << 20
 _ASCII_LETTER = K.byte_class((0x41, 0x5A), (0x61, 0x7A))
 
 
-def read_vocabulary(path: str) -> list[bytes]:
-    """Pieces in order of their ranks, from a file of base64 pieces and ranks."""
-    rows = [line.split() for line in Path(path).read_bytes().splitlines() if line]
-    return [base64.b64decode(p) for p, _ in sorted(rows, key=lambda r: int(r[1]))]
-
-
-def _flat(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    buf = np.frombuffer(b"".join(pieces), np.uint8)
-    ends = np.cumsum([len(p) for p in pieces])
-    return buf, ends - [len(p) for p in pieces], ends
-
-
 def _spaced(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words, each after a space, one after the other; and their starts, one more at the end."""
     size = e - s + 1
@@ -59,56 +46,41 @@ def _spaced(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray,
     return out, at
 
 
-class Pieces:
-    """Piece probabilities by language, and the forward pass over them."""
+class Model:
+    """Piece log-probabilities by language."""
 
     def __init__(self, pieces: list[bytes], languages: list[str], counts: np.ndarray, smooth: float) -> None:
         self.languages = languages
+        self.pieces = segment.Pieces(pieces)
         p = counts + smooth
-        self.longest = min(12, max(len(x) for x in pieces))
-        some = [i for i, x in enumerate(pieces) if len(x) <= self.longest]
-        self.table = K.Lookup(K.word_hashes(*_flat([pieces[i] for i in some])), (p / p.sum(axis=0))[some])
+        with np.errstate(divide="ignore"):
+            self.log_p = np.log(p / p.sum(axis=0))
 
     def forward(self, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        """(word, language) log-probabilities of distinct words."""
-        text, at = _spaced(buf, s, e)
-        # stretches: (start, length, word)
-        size = np.diff(at)
-        n = -(-size // _STRETCH)
-        word = np.repeat(np.arange(len(s)), n)
-        start = at[:-1][word] + (np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)) * _STRETCH
-        length = np.minimum(at[1:][word] - start, _STRETCH)
-        order = np.argsort(-length, kind="stable")
-        word, start, length = word[order], start[order], length[order]
-        span = K.span_hasher(text)
-        alpha = np.zeros((_STRETCH + 1, len(start), len(self.languages)))
-        alpha[0] = 1
-        for t in range(1, int(length[0]) + 1 if len(length) else 0):
-            live = int(np.searchsorted(-length, -t, "right"))
-            end = start[:live] + t
-            for k in range(1, min(t, self.longest) + 1):
-                i, piece = self.table.find(span(end - k, end))
-                alpha[t][i] += alpha[t - k][i] * self.table.values[piece]
-        out = np.zeros((len(s), len(self.languages)))
-        np.add.at(out, word, np.log(np.maximum(alpha[length, np.arange(len(length))], 1e-300)))
-        return out
+        """(word, language) log-probabilities of distinct words, each taken after a space."""
+        data = buf.tobytes()
+        words = [b" " + data[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)]
+        order = sorted(range(len(words)), key=words.__getitem__)
+        out = np.empty((len(words), len(self.languages)))
+        out[order] = segment.log_sums([words[i] for i in order], self.pieces, self.log_p)
+        return np.where(np.isinf(out), _NEVER, out)
 
 
 class Scorer:
     """Text log-probabilities; keeps the words it has met, up to a bound."""
 
-    def __init__(self, pieces: Pieces) -> None:
-        self.pieces = pieces
+    def __init__(self, model: Model) -> None:
+        self.model = model
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.rows = np.zeros(0, np.uint64), np.zeros((0, len(self.pieces.languages)))
+        self.known, self.rows = np.zeros(0, np.uint64), np.zeros((0, len(self.model.languages)))
 
     def texts(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         buf = K.LOWER[buf]
         s, e, first = K.words(buf, offsets, K.ALNUM)
         if not len(s):
-            return np.zeros((len(offsets) - 1, len(self.pieces.languages)))
+            return np.zeros((len(offsets) - 1, len(self.model.languages)))
         h, where, back = np.unique(K.word_hashes(buf, s, e), return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.known, h), max(len(self.known) - 1, 0))
         old = self.known[at] == h if len(self.known) else np.zeros(len(h), bool)
@@ -116,7 +88,7 @@ class Scorer:
         values[old] = self.rows[at[old]]
         new = ~old
         if new.any():
-            values[new] = self.pieces.forward(buf, s[where[new]], e[where[new]])
+            values[new] = self.model.forward(buf, s[where[new]], e[where[new]])
             if len(self.known) + int(new.sum()) > _KNOWN:
                 self.clear()
             known = np.concatenate([self.known, h[new]])
@@ -136,7 +108,7 @@ def _lettered(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(rows: DataFrame, vocabulary: list[bytes], smooth: float) -> Pieces | None:
+def fit(rows: DataFrame, vocabulary: list[bytes], smooth: float) -> Model | None:
     """Piece probabilities from (body, lang) rows, cut by the vocabulary's own merge order."""
     languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())  # one row a language
     if not languages:
@@ -162,7 +134,7 @@ def fit(rows: DataFrame, vocabulary: list[bytes], smooth: float) -> Pieces | Non
     counts = rows.select("body", "lang").mapInArrow(K.lean(count), "lang string, piece long, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()  # vocabulary times languages
     table = np.zeros((len(vocabulary), len(languages)))
     table[counts["piece"], counts["lang"].map({x: i for i, x in enumerate(languages)})] = counts["n"]
-    return Pieces(vocabulary, languages, table, smooth)
+    return Model(vocabulary, languages, table, smooth)
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, lang_col: str = "lang", allowed: Column | None = None, vocabulary: str = VOCABULARY, fit_rows: int = 1500, smooth: float = 0.1) -> DataFrame:
@@ -173,8 +145,8 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"), F.col(lang_col).alias("lang"))
     rows = own.where(F.col("lang").isNotNull() & (F.lit(True) if allowed is None else allowed))
-    pieces = fit(shared.table(thinned(rows, "lang", F.col("doc_id"), fit_rows), "fit"), read_vocabulary(vocabulary), smooth)
-    sent = docs.sparkSession.sparkContext.broadcast(pieces)
+    model = fit(shared.table(thinned(rows, "lang", F.col("doc_id"), fit_rows), "fit"), segment.read_vocabulary(vocabulary), smooth)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value) if sent.value else None
@@ -190,7 +162,7 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 best = p.argmax(axis=1)
                 score = 1 / np.exp(np.maximum(p - p[np.arange(n), best][:, None], -700)).sum(axis=1)
                 some = _lettered(buf, offsets)
-                names += [scorer.pieces.languages[b] if x else "und" for b, x in zip(best.tolist(), some.tolist(), strict=True)]
+                names += [scorer.model.languages[b] if x else "und" for b, x in zip(best.tolist(), some.tolist(), strict=True)]
                 scores += np.where(some, score, 0.0).tolist()
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
 

@@ -6,13 +6,11 @@ longer n-grams that occur `min_count` times or more.
 
 Relationally: documents are exploded to n-grams, these are grouped by hash into count tables, and the
 tables are joined back to the n-grams, whose scores are summed by document. Rows hold blocks instead of
-single n-grams. A chunk of documents asks, once for each distinct n-gram, with its own count; requests
-go to partitions by hash; each partition sums the counts and answers the chunks; a chunk joins the
-answers with its n-grams and sums by document. So the most frequent n-gram is one request a chunk,
-however many rows have it, and everything is counted.
-
-Chunks are written to the shared folder first, as indices into their own words, so asking and joining
-see the same n-grams even if an executor is lost between.
+single n-grams (`blocks`): a chunk of documents asks once for each distinct n-gram, with its own count;
+each partition of the count table sums the counts and answers the chunks. Everything is counted. Unigrams and bigrams are asked for together, then each longer length in a
+round of its own: an n-gram can only reach `min_count` if both (n-1)-grams in it do, so the others, most
+of a natural corpus, needn't be asked for. What a chunk knows is written to the shared folder between the
+rounds, so no round depends on an earlier one being repeated alike.
 
 Defined results: a null or empty text, or one without words, has 0 words and score 0; a text's first
 word is scored as a unigram; rows that repeat are scored one by one (and counted as often); an empty
@@ -28,187 +26,131 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import blocks as B
 from tessera.llm import kernels as K
 from tessera.llm import shared
 
-_CHUNK_WORDS = 1_000_000
-_ROW = "chunk string, bucket long, a binary, b binary, c binary"
-_NAMES = ["chunk", "bucket", "a", "b", "c"]
-
-
-def _packed(x: np.ndarray) -> bytes:
-    """Compressed, byte planes apart."""
-    import zstandard
-
-    size = x.dtype.itemsize
-    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, size).T
-    return np.int64(len(x)).tobytes() + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def _unpacked(data: bytes, dtype) -> np.ndarray:
-    import zstandard
-
-    n, size = int(np.frombuffer(data[:8], np.int64)[0]), np.dtype(dtype).itemsize
-    raw = zstandard.ZstdDecompressor().decompress(data[8:], max_output_size=max(n * size, 1))
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(dtype).reshape(n)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=_NAMES)
-
-
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row a chunk: a = identifiers and words of its documents, b = its distinct word hashes, c = words as indices."""
-    from pyspark import TaskContext
-
-    part, n, held = TaskContext.get().partitionId(), 0, 0
-    ids: list[int | None] = []
-    sizes: list[np.ndarray] = []
-    hashes: list[np.ndarray] = []
-
-    def out() -> pa.RecordBatch:
-        vocabulary, index = np.unique(np.concatenate(hashes), return_inverse=True)
-        who = np.array([0 if i is None else i for i in ids], np.int64)
-        none = np.array([i is None for i in ids])
-        docs = np.stack([who, np.where(none, -1 - np.concatenate(sizes), np.concatenate(sizes))]).reshape(-1)
-        return _batch([(f"{part}-{n}", -1, _packed(docs), _packed(np.diff(vocabulary, prepend=K.U64(0))), _packed(index.astype(np.int32)))])
-
-    for batch in batches:
-        own = batch.column(0).to_pylist()
-        for lo, hi, buf, offsets in K.chunks(batch.column(1)):
-            buf = K.LOWER[buf]
-            s, e, first = K.words(buf, offsets, K.ALNUM)
-            ids += own[lo:hi]
-            sizes.append(np.diff(first))
-            hashes.append(K.word_hashes(buf, s, e))
-            held += len(s) + (hi - lo)
-            if held > _CHUNK_WORDS:
-                yield out()
-                n, held, ids, sizes, hashes = n + 1, 0, [], [], []
-    if ids:
-        yield out()
-
-
-class _Chunk:
-    """A chunk's documents and n-grams, from its row."""
-
-    def __init__(self, a: bytes, b: bytes, c: bytes, order: int) -> None:
-        docs = _unpacked(a, np.int64).reshape(2, -1)
-        self.none = docs[1] < 0
-        self.ids, sizes = docs[0], np.where(self.none, -1 - docs[1], docs[1])
-        self.first = np.zeros(len(sizes) + 1, np.int64)
-        np.cumsum(sizes, out=self.first[1:])
-        words = np.cumsum(_unpacked(b, np.uint64), dtype=np.uint64)[_unpacked(c, np.int32)]
-        #: words before each position in its document
-        self.depth = np.arange(len(words)) - np.repeat(self.first[:-1], sizes)
-        self.at, grams = [], []
-        for n in range(1, order + 1):
-            at = np.flatnonzero(self.depth >= n - 1)
-            h = words[at - n + 1] * K._SHIFTS[20]
-            for k in range(1, n):
-                h += words[at - n + 1 + k] * K._SHIFTS[20 + k]
-            self.at.append(at)
-            grams.append(K.mix(h + K.U64(n)))
-        #: distinct n-grams of all lengths, sorted; where each occurrence's is; their counts here
-        self.keys, self.back, self.counts = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
-
-    def scores(self, totals: np.ndarray, words: int, alpha: float, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def _grams(own: B.Chunk, lengths: tuple[int, ...], at: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams that end at the given positions, sorted; each occurrence's place among them; their counts here."""
+    out = []
+    for n, where in zip(lengths, at, strict=True):
+        h = own.words[where - n + 1] * K._SHIFTS[20]
+        for k in range(1, n):
+            h += own.words[where - n + 1 + k] * K._SHIFTS[20 + k]
+        out.append(K.mix(h + K.U64(n)))
+    return np.unique(np.concatenate(out), return_inverse=True, return_counts=True)
+
+
+class _Rounds:
+    """Which n-grams a chunk asks for in each round, and how its answers are read. counts: of the n-gram that ends at each word, by n."""
+
+    def __init__(self, order: int, min_count: int) -> None:
+        self.order, self.min_count = order, min_count
+        self.lengths = [tuple(range(1, min(order, 2) + 1)), *[(n,) for n in range(3, order + 1)]]
+
+    def positions(self, own: B.Chunk, nth: int, counts: dict[int, np.ndarray]) -> list[np.ndarray]:
+        out = []
+        for n in self.lengths[nth]:
+            at = np.flatnonzero(own.depth >= n - 1)
+            if n > 2:  # both parts must be in the table
+                at = at[(counts[n - 1][at] >= self.min_count) & (counts[n - 1][at - 1] >= self.min_count)]
+            out.append(at)
+        return out
+
+    def learned(self, own: B.Chunk, known: bytes, answers: list[bytes]) -> tuple[dict[int, np.ndarray], bytes]:
+        """Counts after the rounds so far, and what to keep of them. known: totals of the earlier rounds' distinct n-grams; answers: this round's."""
+        totals = [B.unpacked(t, np.int64) for t in B.parts_of(known)]
+        totals.append(np.concatenate([np.zeros(0, np.int64), *(B.unpacked(t, np.int64) for t in answers)]))
+        counts: dict[int, np.ndarray] = {}
+        for nth, total in enumerate(totals):
+            at = self.positions(own, nth, counts)
+            back = _grams(own, self.lengths[nth], at)[1]
+            lo = 0
+            for n, where in zip(self.lengths[nth], at, strict=True):
+                counts[n] = np.zeros(len(own.words), np.int64)
+                counts[n][where] = total[back[lo : lo + len(where)]]
+                lo += len(where)
+        return counts, B.joined([B.packed(t) for t in totals])
+
+    def requests(self, chunk: str, own: B.Chunk, nth: int, counts: dict[int, np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+        keys, _, here = _grams(own, self.lengths[nth], self.positions(own, nth, counts))
+        yield from B.questions(chunk, keys, [here.astype(np.int32)], buckets)
+
+    def scores(self, own: B.Chunk, counts: dict[int, np.ndarray], words: int, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words, words whose longest n-gram was not in the table, and summed log-score of each document."""
-        size = np.diff(self.first)
-        every = totals[self.back]
-        lo = len(self.at[0])
-        before = every[:lo].astype(float)
-        score = np.log(before / words)
-        missed = np.zeros(lo, bool)
-        for at in self.at[1:]:
-            count = every[lo : lo + len(at)]
-            lo += len(at)
-            known = count >= min_count
-            context = before[at - 1]
+        score = np.log(counts[1] / words)
+        missed = np.zeros(len(score), bool)
+        for n in range(2, self.order + 1):
+            at = np.flatnonzero(own.depth >= n - 1)
+            count, context = counts[n][at], counts[n - 1][at - 1]
+            known = count >= self.min_count
             score[at] = np.where(known, np.log(np.maximum(count, 1) / np.maximum(context, 1)), np.log(alpha) + score[at])
             missed[at] = ~known
-            before = np.full(len(score), np.nan)
-            before[at] = count
-        some = np.flatnonzero(size)
-        total, gone = np.zeros(len(size)), np.zeros(len(size), np.int64)
-        if len(some):
-            total[some] = np.add.reduceat(score, self.first[:-1][some])
-            gone[some] = np.add.reduceat(missed.astype(np.int64), self.first[:-1][some])
-        return size, gone, total
+        return np.diff(own.first), K.sum_by_row(missed.astype(np.int64), own.first), K.sum_by_row(score, own.first)
+
 
+def _ask(rounds: _Rounds, buckets: int):
+    """The first round's requests."""
 
-def _ask(order: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = K.U64(64 - (buckets.bit_length() - 1))
         for batch in batches:
-            for chunk, _, a, b, c in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
-                own = _Chunk(a, b, c, order)
-                edge = np.searchsorted(own.keys >> bits, np.arange(buckets + 1, dtype=np.uint64))
-                rows = [(chunk, k, _packed(np.diff(own.keys[lo:hi], prepend=K.U64(0))), _packed(own.counts[lo:hi].astype(np.int32)), b"") for k, (lo, hi) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)) if lo < hi]
-                for i in range(0, len(rows), 64):
-                    yield _batch(rows[i : i + 64])
+            for chunk, a, b, c in zip(*[batch.column(i).to_pylist() for i in (0, 2, 3, 4)], strict=True):
+                yield from rounds.requests(chunk, B.Chunk(a, b, c), 0, {}, buckets)
+
+    return run
+
+
+def _totals(rows: list[tuple]) -> Iterator[bytes]:
+    """Sums the counts of a bucket's n-grams and answers every request in its own order."""
+    keys = [B.unpacked_sorted(r[2]) for r in rows]
+    counts = np.concatenate([B.unpacked(r[3], np.int32) for r in rows])
+    table, back = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(back, weights=counts, minlength=len(table)).astype(np.int64)
+    lo = 0
+    for k in keys:
+        yield B.packed(total[back[lo : lo + len(k)]])
+        lo += len(k)
+
+
+def _more(rounds: _Rounds, nth: int, buckets: int):
+    """Each chunk with what it knows after the round before, and its requests of round nth."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in B.runs(batches, 0):
+            chunk, _, a, b, c, d = rows[0]
+            own = B.Chunk(a, b, c)
+            counts, known = rounds.learned(own, d, [r[2] for r in rows[1:]])
+            yield B.batch_of([(chunk, -1, a, b, c, known)])
+            yield from rounds.requests(chunk, own, nth, counts, buckets)
 
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[list[tuple]]:
-    """Rows in runs of equal values of a column."""
-    run: list[tuple] = []
-    for batch in batches:
-        for row in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
-            if run and row[key] != run[0][key]:
-                yield run
-                run = []
-            run.append(row)
-    if run:
-        yield run
-
-
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums the counts of each bucket's n-grams and answers every request in its own order."""
-    for run in _runs(batches, 1):
-        keys = [np.cumsum(_unpacked(r[2], np.uint64), dtype=np.uint64) for r in run]
-        counts = [_unpacked(r[3], np.int32) for r in run]
-        table, back = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(back, weights=np.concatenate(counts), minlength=len(table)).astype(np.int64)
-        lo = 0
-        for r, k in zip(run, keys, strict=True):
-            yield _batch([(r[0], r[1], _packed(total[back[lo : lo + len(k)]]), b"", b"")])
-            lo += len(k)
-
-
-def _join(order: int, words: int, alpha: float, min_count: int):
+def _score(rounds: _Rounds, words: int, alpha: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, 0):  # the chunk itself comes first, its answers in order of their buckets
-            own = _Chunk(*rows[0][2:], order)
-            totals = np.concatenate([_unpacked(r[2], np.int64) for r in rows[1:]]) if len(rows) > 1 else np.zeros(0, np.int64)
-            size, gone, total = own.scores(totals, words, alpha, min_count)
+        for rows in B.runs(batches, 0):
+            own = B.Chunk(*rows[0][2:5])
+            counts, _ = rounds.learned(own, rows[0][5], [r[2] for r in rows[1:]])
+            size, gone, total = rounds.scores(own, counts, words, alpha)
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(own.ids, pa.int64(), mask=own.none), "n_words": pa.array(size), "n_backoff": pa.array(gone), "log_score": pa.array(total)})
 
     return run
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, order: int = 2, alpha: float = 0.4, min_count: int = 2) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, order: int = 3, alpha: float = 0.4, min_count: int = 2) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_backoff, log_score (natural log, summed).
 
     n_backoff: words whose longest n-gram is in no table, so that a shorter one gave the score.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"))
-    chunks = shared.table(texts.mapInArrow(K.lean(_encode), _ROW), "chunks")
-    parts = max(8, shared.rows_hint(docs))
-    buckets = 1 << (2 * parts - 1).bit_length()
-    asked = chunks.mapInArrow(K.lean(_ask(order, buckets)), _ROW)
-    answered = shared.table(asked.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(K.lean(_answer), _ROW), "answers")
-    sizes = chunks.select("a").mapInArrow(K.lean(_count_words), "n long").agg(F.sum("n")).first()[0] or 0
-    together = chunks.unionByName(answered).repartition(parts, "chunk").sortWithinPartitions("chunk", "bucket")
-    return together.mapInArrow(K.lean(_join(order, sizes, alpha, min_count)), "doc_id long, n_words long, n_backoff long, log_score double")
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n = 0
-        for a in batch.column(0).to_pylist():
-            size = _unpacked(a, np.int64).reshape(2, -1)[1]
-            n += int(np.where(size < 0, -1 - size, size).sum())
-        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+    spark = docs.sparkSession
+    layout = B.Layout(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body")), K.ALNUM, 2)
+    rounds, buckets = _Rounds(order, min_count), layout.buckets
+    chunks, asked = layout.chunks, layout.chunks.mapInArrow(K.lean(_ask(rounds, buckets)), B.ROW)
+    for nth in range(len(rounds.lengths)):
+        together = layout.together(chunks, layout.answered(asked, _totals))
+        if nth + 1 < len(rounds.lengths):
+            state = shared.table(together.mapInArrow(K.lean(_more(rounds, nth + 1, buckets)), B.ROW).withColumn("asks", F.col("bucket") >= 0), "state", "asks")
+            shared.release(spark, shared.opened()[-3:-1])  # the chunks and answers before
+            chunks, asked = state.where("not asks").drop("asks"), state.where("asks").drop("asks")
+    return together.mapInArrow(K.lean(_score(rounds, layout.words, alpha)), "doc_id long, n_words long, n_backoff long, log_score double")

@@ -340,6 +340,7 @@ def _rest(members: DataFrame, nodes: DataFrame, labels: DataFrame, texts: DataFr
     bodies = shared.table(_bodies(texts, rows.select("klass").distinct(), plan, filter_bits), "bodies")
     size_class = F.floor(F.log(F.col("n")) / math.log(100 / plan.percent)).cast("long")
     sized = shared.table(_long_signatures(bodies, plan).join(nodes.select("klass", "n", "bands"), "klass").withColumn("size_class", size_class), "sized")
+    shared.rest(texts.sparkSession)
     labels = _linked(labels, _confirmed(_open_pairs(rows, sized, plan, _BEST), bodies, plan))
     rows = shared.table(_labelled(members, labels), "open")
     return _linked(labels, _confirmed(_open_pairs(rows, sized, plan, None), bodies, plan))

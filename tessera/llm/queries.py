@@ -117,20 +117,18 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_read(spark, sf_dir, "documents")).withColumn("log_score", F.round("log_score", 4))
 
 
-def op9_lm_scores_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order 3; OP9_SQL is of order 2 and checks op9_lm_scores only."""
-    return lm_scores(_read(spark, sf_dir, "documents"), order=3).withColumn("log_score", F.round("log_score", 4))
-
-
 OP9_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w FROM documents),
-p AS (SELECT r, i, w[i] AS w, CASE WHEN i > 1 THEN w[i - 1] END AS v FROM (SELECT r, w, unnest(generate_series(1, len(w))) AS i FROM d)),
-u AS (SELECT w, count(*) AS n FROM p GROUP BY w),
-b AS (SELECT v, w, count(*) AS n FROM p WHERE v IS NOT NULL GROUP BY v, w HAVING count(*) >= 2),
-t AS (SELECT sum(n) AS n FROM u),
-s AS (SELECT p.r, p.v IS NOT NULL AND b.n IS NULL AS missed,
-             CASE WHEN p.v IS NULL THEN ln(u.n / t.n) WHEN b.n IS NULL THEN ln(0.4) + ln(u.n / t.n) ELSE ln(b.n / c.n) END AS score
-      FROM p JOIN u ON u.w = p.w CROSS JOIN t LEFT JOIN b ON b.v = p.v AND b.w = p.w LEFT JOIN u c ON c.w = p.v)
+p AS (SELECT r, i, w[i] AS w, CASE WHEN i > 1 THEN w[i - 1] END AS v, CASE WHEN i > 2 THEN w[i - 2] END AS u FROM (SELECT r, w, unnest(generate_series(1, len(w))) AS i FROM d)),
+g1 AS (SELECT w, count(*) AS n FROM p GROUP BY w),
+g2 AS (SELECT v, w, count(*) AS n FROM p WHERE v IS NOT NULL GROUP BY v, w HAVING count(*) >= 2),
+g3 AS (SELECT u, v, w, count(*) AS n FROM p WHERE u IS NOT NULL GROUP BY u, v, w HAVING count(*) >= 2),
+t AS (SELECT sum(n) AS n FROM g1),
+s AS (SELECT p.r, CASE WHEN p.u IS NOT NULL THEN g3.n IS NULL ELSE p.v IS NOT NULL AND g2.n IS NULL END AS missed,
+             CASE WHEN g3.n IS NOT NULL THEN ln(g3.n / c2.n)
+                  ELSE CASE WHEN p.u IS NULL THEN 0 ELSE ln(0.4) END + CASE WHEN p.v IS NULL THEN ln(g1.n / t.n) WHEN g2.n IS NULL THEN ln(0.4) + ln(g1.n / t.n) ELSE ln(g2.n / c1.n) END END AS score
+      FROM p JOIN g1 ON g1.w = p.w CROSS JOIN t LEFT JOIN g2 ON g2.v = p.v AND g2.w = p.w LEFT JOIN g1 c1 ON c1.w = p.v
+      LEFT JOIN g3 ON g3.u = p.u AND g3.v = p.v AND g3.w = p.w LEFT JOIN g2 c2 ON c2.v = p.u AND c2.w = p.v)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(sum(CASE WHEN s.missed THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_backoff, coalesce(round(sum(s.score), 4), 0) AS log_score
 FROM d LEFT JOIN s ON s.r = d.r GROUP BY d.r, d.doc_id, d.w
 """
@@ -145,5 +143,5 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_passages": op10_passages, "op7_token_counts": op7_token_counts, "op9_lm_scores": op9_lm_scores, "op9_lm_scores_trigrams": op9_lm_scores_trigrams, "op1_quality": op1_quality, "op8_language_id": op8_language_id, "op2_toxicity": op2_toxicity, "op3_minhash": op3_minhash, "op6_mixing": op6_mixing, "op4_decontaminate": op4_decontaminate, "op5_exact_dedup": op5_exact_dedup}
+QUERIES = {"op10_passages": op10_passages, "op7_token_counts": op7_token_counts, "op9_lm_scores": op9_lm_scores, "op1_quality": op1_quality, "op8_language_id": op8_language_id, "op2_toxicity": op2_toxicity, "op3_minhash": op3_minhash, "op6_mixing": op6_mixing, "op4_decontaminate": op4_decontaminate, "op5_exact_dedup": op5_exact_dedup}
 ORACLES = {"op9_lm_scores": OP9_SQL, "op6_mixing": _op6_sql(), "op4_decontaminate": OP4_SQL, "op5_exact_dedup": OP5_SQL}

@@ -7,10 +7,12 @@ contents, so two reads can't disagree.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OPEN: list[str] = []
 
@@ -29,10 +31,10 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back."""
+def table(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df written to the shared folder, in parts by the columns `by`, and read back."""
     path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     _OPEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -53,6 +55,18 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def rest(spark: SparkSession) -> None:
+    """Collects garbage in the driver and in the executors' JVMs, between phases that need memory for other things.
+
+    A heap that has grown to its limit in one phase shrinks only then, and leaves its room to the Python
+    workers of the next; in the driver, shuffles whose DataFrames are gone are cleaned up.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Lets Spark hand texts to Python in batches of a few MB, unless the session says otherwise already.
 

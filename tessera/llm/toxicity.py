@@ -2,17 +2,21 @@
 
 Fit, on a bounded labelled sample: the log-odds of a token between toxic and other texts, smoothed by a
 Dirichlet prior in proportion to the token's share of the sample, and kept where it is positive and
-significant. A token is a word or the first few bytes of one, so inflected forms count together.
+significant. A token is a word or the first few letters of one, so inflected forms count together.
 
 Score, in one scan without a shuffle: known tokens add their log-odds, every other word subtracts
 `gap`; a linear scan finds all maximal-scoring segments. Their scores are calibrated by the extreme
-value law for random sequences: a segment of score S in a text of n words is expected K n exp(-lambda S)
-times by chance. The text's evidence, the sum over its segments of their surprise, goes through a
-logistic curve fitted on the same sample.
+value law for random sequences: a segment of score S is expected K n exp(-lambda S) times by chance in
+a text of n words. lambda follows from the tokens' shares in other texts, K from the segments that such
+texts have, in a part of the sample that the tokens weren't taken from. The minus log of that number is
+a segment's surprise; segments expected less than once are significant. A text's evidence is the sum of
+the surprise of its significant segments, and its logarithm goes through a logistic curve fitted on the
+same part of the sample.
 
 Defined results: null, empty and word-free texts have no segment and get the lowest score; rows that
-repeat an identifier are scored one by one; without labelled rows every score is 0; an empty table
-gives no rows; other columns are ignored, whatever their names.
+repeat an identifier are scored one by one; equal labelled texts count once, as toxic if half of their
+labels or more say so; without labelled rows every score is 0; an empty table gives no rows; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,18 +31,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
-from tessera.llm.labelled import sample
 from tessera.llm import shared
+from tessera.llm.labelled import sample
 
-#: Bytes of a word's beginning that make a token; 0 is the whole word.
+#: Letters of a word's beginning that make a token; 0 is the whole word.
 VIEWS = (4, 5, 7, 0)
-#: Log-odds below this also come from what the labels go with, such as the language.
-_LEAST_ODDS = 4.0
 
 
 def _views(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> list[np.ndarray]:
     hasher = K.span_hasher(buf)
-    return [hasher(s, np.minimum(e, s + v) if v else e) + K.U64(v) for v in VIEWS]
+    starts = (buf & 0xC0) != 0x80  # of characters
+    before = np.append(0, np.cumsum(starts))[s]
+    at = np.append(np.flatnonzero(starts), np.full(max(VIEWS), len(buf)))
+    return [hasher(s, np.minimum(e, at[before + v]) if v else e) + K.U64(v) for v in VIEWS]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +80,7 @@ class Model:
     def score(self, evidence: np.ndarray) -> np.ndarray:
         if math.isinf(self.offset):
             return np.zeros(len(evidence))
-        return 1 / (1 + np.exp(-np.clip(self.offset + self.slope * np.minimum(evidence, 30), -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(self.offset + self.slope * np.log1p(evidence), -50, 50)))
 
 
 def segments(at: list[int], value: list[float], gap: float) -> list[tuple[int, int, float]]:
@@ -120,11 +125,13 @@ def fit_tokens(rows: DataFrame, prior: float, significance: float, gap: float) -
     ratio = 2 * (x * F.log(x / (F.col("texts") * (n_t / n))) + F.when(y > 0, y * F.log(y / (F.col("texts") * (1 - n_t / n)))).otherwise(0.0))
     # so many tokens are tried that some reach a ratio of 2 log(tokens) by chance
     least = significance * 2 * math.log(max(counts.count(), 2))
-    kept = counts.select("token", odds.alias("odds"), ratio.alias("ratio"), (b / (n - n_t + prior)).alias("chance")).where((F.col("odds") > _LEAST_ODDS) & (F.col("ratio") > least))
+    kept = counts.select("token", odds.alias("odds"), ratio.alias("ratio"), (b / (n - n_t + prior)).alias("chance")).where((F.col("odds") > 0) & (F.col("ratio") > least))
     got = kept.collect()  # bounded by the sample: each token is in 3 toxic texts or more
     if not got:
         return empty
-    odds_, chance = np.array([r["odds"] for r in got]), np.array([r["chance"] for r in got]) / 100  # a text has about a hundred places for a token
+    # share of places with a token, from the share of texts with it
+    places = rows.agg(F.sum(F.size(F.split(F.trim("body"), r"\s+")))).first()[0] / n
+    odds_, chance = np.array([r["odds"] for r in got]), np.array([r["chance"] for r in got]) / max(places, 1.0)
     model = Model(K.Lookup(np.array([r["token"] for r in got], np.int64).view(np.uint64), odds_), gap, 1.0, 1.0)
     rest = max(1 - chance.sum(), 0.5)
     lo, hi = 1e-3, 5.0  # lambda: where the expected exp(lambda score) is 1
@@ -134,14 +141,14 @@ def fit_tokens(rows: DataFrame, prior: float, significance: float, gap: float) -
             lo = mid
         else:
             hi = mid
-    model.decay, model.k = lo, float(chance.sum())
+    model.decay = lo
     return model
 
 
-def _evidence(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list]]:
-    """For each text: its words, the evidence, and its segments [(start, end, surprise)]."""
-    n_words, evidence = np.zeros(len(column), np.int64), np.zeros(len(column))
-    passages: list[list] = [[] for _ in range(len(column))]
+def _segments(model: Model, column: pa.Array) -> tuple[np.ndarray, list[list]]:
+    """For each text: its words, and its segments [(start, end, score)]."""
+    n_words = np.zeros(len(column), np.int64)
+    found: list[list] = [[] for _ in range(len(column))]
     for lo, hi, buf, offsets in K.chunks(column):
         buf = K.LOWER[buf]
         s, e, first = K.words(buf, offsets, K.ALNUM)
@@ -156,20 +163,22 @@ def _evidence(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, l
         row = np.searchsorted(first, hot, "right") - 1
         cut = np.flatnonzero(np.diff(row)) + 1
         for a, b in zip(np.append(0, cut).tolist(), np.append(cut, len(hot)).tolist(), strict=True):
-            if a == b:
-                continue
-            r, chance = int(row[a]), model.k
-            for x, y, score in segments((hot[a:b] - first[row[a]]).tolist(), best[hot[a:b]].tolist(), model.gap):
-                # -log of the number of such segments expected by chance in a text of this length
-                surprise = model.decay * score - math.log(max(chance * n_words[lo + r], 1e-9))
-                passages[lo + r].append((x, y, surprise))
-                evidence[lo + r] += max(model.decay * score / 4, surprise)
-    return n_words, evidence, passages
+            if a < b:
+                found[lo + int(row[a])] = segments((hot[a:b] - first[row[a]]).tolist(), best[hot[a:b]].tolist(), model.gap)
+    return n_words, found
+
+
+def _evidence(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list]]:
+    """For each text: its words, the evidence, and its significant segments [(start, end, surprise)]."""
+    n_words, found = _segments(model, column)
+    # -log of the number of such segments expected by chance in a text of this length
+    passages = [[(x, y, v) for x, y, score in f if (v := model.decay * score - math.log(model.k * n)) > 0] for n, f in zip(n_words.tolist(), found, strict=True)]
+    return n_words, np.array([sum(v for *_, v in f) for f in passages], float), passages
 
 
 def _fit_curve(evidence: np.ndarray, label: np.ndarray, ridge: float = 0.5) -> tuple[float, float]:
     """Slope and offset of the logistic curve, by Newton's method with a small ridge."""
-    x = np.stack([np.minimum(evidence, 30), np.ones(len(evidence))], axis=1)
+    x = np.stack([np.log1p(evidence), np.ones(len(evidence))], axis=1)
     w = np.array([0.1, math.log((label.sum() + 1) / (len(label) - label.sum() + 1))])
     keep = np.diag([ridge, ridge / 100])
     for _ in range(50):
@@ -181,18 +190,28 @@ def _fit_curve(evidence: np.ndarray, label: np.ndarray, ridge: float = 0.5) -> t
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, allowed: Column, fit_rows: int, prior: float, significance: float, gap: float) -> Model:
     rows = shared.table(sample(docs, labels, label_col, id_col, text_col, allowed, fit_rows), "fit")
-    # the curve is fitted on texts that the tokens weren't taken from
+    # K and the curve are fitted on texts that the tokens weren't taken from
     apart = F.pmod(F.xxhash64("body"), F.lit(3)) == 0
     model = fit_tokens(rows.where(~apart), prior, significance, gap)
+    if not len(model.tokens.keys):
+        return model
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"evidence": pa.array(_evidence(sent.value, batch.column(0))[1]), "label": batch.column(1)})
-
-    seen = rows.where(apart).select("body", "label").mapInArrow(K.lean(measure), "evidence double, label long").toPandas()  # about fit_rows rows
-    if len(model.tokens.keys):
-        model.slope, model.offset = _fit_curve(seen["evidence"].to_numpy(), seen["label"].to_numpy(float))
+            n_words, found = _segments(sent.value, batch.column(0))
+            scores = [[v for *_, v in f] for f in found]
+            yield pa.RecordBatch.from_pydict({"n_words": pa.array(n_words), "scores": pa.array(scores, pa.list_(pa.float64())), "label": batch.column(1)})
+
+    seen = rows.where(apart).select("body", "label").mapInArrow(K.lean(measure), "n_words long, scores array<double>, label long").toPandas()  # about fit_rows rows
+    other = seen[seen["label"] == 0]
+    by_chance = np.array([v for f in other["scores"] for v in f])
+    least = float(model.tokens.values.min())
+    # K n exp(-lambda S) at the least score is what such texts have; one more, so that K is never 0
+    model.k = (len(by_chance) + 1) * math.exp(model.decay * least) / (int(other["n_words"].sum()) + 1)
+    evidence = np.array([sum(max(model.decay * v - math.log(model.k * n), 0) for v in f) for n, f in zip(seen["n_words"], seen["scores"], strict=True)], float)
+    if seen["label"].nunique() == 2:
+        model.slope, model.offset = _fit_curve(evidence, seen["label"].to_numpy(float))
     return model
 
 

@@ -4,8 +4,8 @@ import numpy as np
 import pyarrow as pa
 
 from tessera.llm import kernels as K
-from tessera.llm.lm_scores import _packed, _unpacked
-from tessera.llm.token_counts import Trie
+from tessera.llm import segment
+from tessera.llm.blocks import joined, packed, parts_of, unpacked
 from tessera.llm.toxicity import segments
 
 TEXTS = ["", "a b  c", None, "Été\tÀ\x0b\n x", " lead", "trail ", "one", "a b c a b c", "x" * 3000 + " y"]
@@ -38,21 +38,28 @@ def test_shingle_sets():
 
 
 def test_trie_finds_the_best_segmentation():
-    trie = Trie([bytes([b]) for b in range(97, 105)] + [b"ab", b"abc", b"cde", b"bcd", b"gh", b"fgh"])
+    pieces = [bytes([b]) for b in range(97, 105)] + [b"ab", b"abc", b"cde", b"bcd", b"gh", b"fgh"]
+    score = np.log(np.random.default_rng(3).integers(1, 50, len(pieces)) / 300)
+    unknown = float(score.min()) - 1
+    value = dict(zip(pieces, score.tolist(), strict=True))
 
     def brute(word):
-        best = {0: (0.0, 0)}
+        best = [(0.0, 0)]
         for end in range(1, len(word) + 1):
-            options = [(best[end - 1][0] + trie.unknown, -best[end - 1][1] - 1)]
-            options += [(best[a][0] + trie.score[word[a:end]], -best[a][1] - 1) for a in range(end) if word[a:end] in trie.score]
-            score, n = max(options)
-            best[end] = (score, -n)
-        return best[len(word)][1]
+            options = [(best[end - 1][0] + unknown, best[end - 1][1] - 1)]
+            options += [(best[a][0] + value[word[a:end]], best[a][1] - 1) for a in range(end) if word[a:end] in value]
+            best.append(max(options))
+        return -best[-1][1]
 
     rng = np.random.default_rng(1)
-    words = {"".join(rng.choice(list("abcdefghz"), rng.integers(1, 9))) for _ in range(300)}
-    trie.insert(words)
-    assert all(trie.terminal[w] == brute(w.encode()) for w in words)
+    words = sorted({"".join(rng.choice(list("abcdefghz"), rng.integers(0, 9))).encode() for _ in range(400)} | {b"abcdefgh" * 40})
+    assert segment.best_counts(words, segment.Pieces(pieces), score, unknown).tolist() == [brute(w) for w in words]
+    assert segment.best_counts([], segment.Pieces(pieces), score, unknown).tolist() == []
+
+
+def test_depths_visit_each_prefix_once():
+    words = sorted({b"", b"a", b"ab", b"abc", b"abd", b"b", b"bcd"})
+    assert [d.n for d in segment.depths(words, segment.Pieces([b"a"]))] == [2, 2, 3]
 
 
 def test_segments_are_all_maximal():
@@ -76,5 +83,6 @@ def test_segments_are_all_maximal():
 
 
 def test_packed_arrays_come_back():
+    assert parts_of(joined([b"", b"ab", b"c"])) == [b"", b"ab", b"c"] and parts_of(b"") == []
     for x in (np.arange(1000, dtype=np.uint64) ** 3, np.zeros(0, np.int32), np.array([7, -1], np.int64)):
-        assert np.array_equal(_unpacked(_packed(x), x.dtype), x)
+        assert np.array_equal(unpacked(packed(x), x.dtype), x)

@@ -190,7 +190,7 @@ def test_forward_sums_all_segmentations():
     import numpy as np
 
     from tessera.llm import kernels as K
-    from tessera.llm.language_id import Pieces
+    from tessera.llm.language_id import Model
 
     pieces = [b" ", b"a", b"b", b" a", b"ab", b"ba", b"bab"]
     counts = np.random.default_rng(0).integers(1, 9, (len(pieces), 2)).astype(float)
@@ -204,7 +204,7 @@ def test_forward_sums_all_segmentations():
 
     text = np.frombuffer(b"abab b babba", np.uint8)
     s, e, _ = K.words(text, np.array([0, len(text)]), K.ALNUM)
-    got = Pieces(pieces, ["x", "y"], counts, 0.0).forward(text, s, e)
+    got = Model(pieces, ["x", "y"], counts, 0.0).forward(text, s, e)
     for row, word in zip(got, (b" abab", b" b", b" babba"), strict=True):
         assert np.allclose(row, [np.log(total(word, 0)), np.log(total(word, 1))])
 
@@ -279,7 +279,7 @@ def test_lm_scores_against_brute_force(docs):
     from math import log
 
     token = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(LOWER))
-    for order in (1, 2, 3):
+    for order in (1, 2, 3, 4):
         count = Counter()
         for _, t, *_ in awkward():
             w = token(t)
@@ -299,11 +299,72 @@ def test_lm_scores_against_brute_force(docs):
         assert sorted(got) == sorted(expected)
 
 
-def test_token_counts(docs):
-    got = token_counts(docs).collect()
-    assert len(got) == N
-    assert all((r.n_tokens == 0) == (r.n_bytes == 0) and r.n_tokens >= r.n_pretokens for r in got)
-    assert {r.doc_id: r.n_bytes for r in got}[10] == len(LINE)
+def test_token_counts_against_brute_force(docs):
+    """Scores from the merge order's pieces of all documents, and the best of all segmentations, a word at a time."""
+    import regex
+    import tiktoken
+
+    from tessera.llm.segment import read_vocabulary
+    from tessera.llm.token_counts import PATTERN, VOCABULARY
+
+    pieces = read_vocabulary(VOCABULARY)
+    rank = {p: i for i, p in enumerate(pieces)}
+    merged = tiktoken.Encoding("x", pat_str=r"[\s\S]+", mergeable_ranks=rank, special_tokens={})
+    cuts = {t: regex.findall(PATTERN, t or "") for _, t, *_ in awkward()}
+    counts = np.full(len(pieces), 0.5)
+    for _, t, *_ in awkward():
+        for w in cuts[t]:
+            for i in merged.encode_ordinary(w):
+                counts[i] += 1
+    score = np.log(counts / counts.sum())
+
+    def best(word):
+        rows = [(0.0, 0)]
+        for end in range(1, len(word) + 1):
+            rows.append(max((rows[a][0] + score[rank[word[a:end]]], rows[a][1] - 1) for a in range(end) if word[a:end] in rank))
+        return -rows[-1][1]
+
+    known = {w: best(w.encode()) for c in cuts.values() for w in c}
+    expected = Counter((i, len(cuts[t]), sum(known[w] for w in cuts[t]), len((t or "").encode())) for i, t, *_ in awkward())
+    assert Counter((r.doc_id, r.n_pretokens, r.n_tokens, r.n_bytes) for r in token_counts(docs).collect()) == expected
+
+
+def test_language_id_against_brute_force(spark):
+    """The whole query: every segmentation of every word, long ones and ones without spaces too, summed one by one."""
+    import tiktoken
+
+    from tessera.llm.language_id import VOCABULARY
+    from tessera.llm.segment import read_vocabulary
+
+    long = "straßenbahnhaltestelle" * 6
+    rows = [(1, "the river and the stone", "en"), (2, f"der fluss {long}", "de"), (3, "你好世界今天天气很好我们去河边看石头", "zh"), (4, "river stone river", "en"), (5, "fluss und stein", "de"), (6, "今天去看世界", "zh")]
+    asked = [(10, f"{long}x{long}", None), (11, "世界河边" * 20, None), (12, "stone and", None), (13, "das boot", None), (14, "... 42", None), (15, None, None), (16, "ñ", None)]
+    got = {r.doc_id: r for r in language_id(spark.createDataFrame(rows + asked, "doc_id long, text string, lang string")).collect()}
+    pieces = read_vocabulary(VOCABULARY)
+    rank = {p: i for i, p in enumerate(pieces)}
+    cut = tiktoken.Encoding("x", pat_str=r" ?[^ ]+", mergeable_ranks=rank, special_tokens={})
+    word = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(LOWER))
+    langs = ["de", "en", "zh"]
+    counts = np.full((len(pieces), 3), 0.1)
+    for _, t, la in rows:
+        for w in word(t):
+            for i in cut.encode_ordinary(" " + w):
+                counts[i, langs.index(la)] += 1
+    p = counts / counts.sum(axis=0)
+
+    def log_p(w, k):
+        f = [(0.0)]
+        for e in range(1, len(w) + 1):
+            f.append(float(np.logaddexp.reduce([f[a] + np.log(p[rank[w[a:e]], k]) for a in range(max(0, e - 64), e) if w[a:e] in rank])))
+        return f[-1]
+
+    for i, t, _ in rows + asked:
+        total = np.array([sum(log_p((" " + w).encode(), k) for w in word(t)) for k in range(3)])
+        if not re.search(r"[^\W\d_]", t or ""):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        assert got[i].lang_pred == langs[int(total.argmax())]
+        assert abs(got[i].score - 1 / np.exp(total - total.max()).sum()) < 1e-9
 
 
 def test_trigrams_are_registered(spark, tmp_path):
@@ -313,7 +374,7 @@ def test_trigrams_are_registered(spark, tmp_path):
     from tessera.llm.queries import QUERIES
 
     spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "x b d"), (4, "x b d")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.log_score for r in QUERIES["op9_lm_scores_trigrams"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.log_score for r in QUERIES["op9_lm_scores"](spark, str(tmp_path)).collect()}
     # P(a) = 2/12, P(b | a) = 1, P(c | a b) = 1
     assert got == {i: round(log(2 / 12), 4) for i in range(1, 5)}
 
@@ -366,23 +427,97 @@ def test_repeated_passages_of_unlike_length(spark):
     assert got == {1: ([0, 60], []), 2: ([0, 80], [0, 60]), 3: ([1, 81], [1, 81])}
 
 
-def test_passage_keys_miss_few_pairs():
-    """Paragraphs at Jaccard 18/22, close to the threshold, share a key but for the accepted chance."""
-    import inspect
-
-    import pyarrow as pa
+def brute_passages(rows, length=16, least=50, percent=80):
+    """Stretches covered by windows of other documents, joined over short gaps, by document."""
+    texts = [words(t) for _, t in rows]
+    who = defaultdict(set)
+    for (i, _), w in zip(rows, texts, strict=True):
+        for k in range(len(w) - length + 1):
+            who[tuple(w[k : k + length])].add(i)
+    out = {}
+    for (i, _), w in zip(rows, texts, strict=True):
+        inside, gone = [False] * len(w), [False] * len(w)
+        for k in range(len(w) - length + 1):
+            ids = who[tuple(w[k : k + length])]
+            if len(ids) > 1:
+                inside[k : k + length] = [True] * length
+                if min(ids) != i:
+                    gone[k : k + length] = [True] * length
+        edges = [k for k in range(len(w) + 1) if (inside[k - 1] if k else False) != (inside[k] if k < len(w) else False)]
+        spans, lost = [], 0
+        for a, b in zip(edges[::2], edges[1::2], strict=True):
+            if spans and a - spans[-1][1] < 5 and (lost + a - spans[-1][1] + 4) * (100 + percent) <= (b - spans[-1][0] - 4) * (100 - percent):
+                lost += a - spans[-1][1] + 4
+                spans[-1][1] = b
+            else:
+                spans.append([a, b])
+                lost = 0
+        out[i] = ([x for s in spans if s[1] - s[0] >= least for x in s], sum(gone))
+    return {i: v for i, v in out.items() if v[0]}
+
+
+def edited(passage, r, share):
+    """The passage with words replaced here and there, as long as the sets of 5-word shingles are alike by `share`."""
+    base = {tuple(passage[k : k + 5]) for k in range(len(passage) - 4)}
+    best, order = list(passage), list(range(len(passage)))
+    r.shuffle(order)
+    for k in order:
+        trial = [*best[:k], f"edit{r.randrange(10**6)}", *best[k + 1 :]]
+        own = {tuple(trial[j : j + 5]) for j in range(len(trial) - 4)}
+        if len(own & base) < share * len(own | base):
+            break
+        best = trial
+    return best
+
+
+def test_passages_against_brute_force(spark):
+    """Exact copies, shared passages of many lengths and ones that lie inside others: the same spans, and the same words go."""
+    import random
 
-    from tessera.llm import passages
+    r = random.Random(14)
+    own = lambda tag, n: [f"{tag}_{i}_{r.randrange(99)}" for i in range(n)]
+    pool = [own(f"p{k}", 30 + 7 * k) for k in range(12)]
+    rows = []
+    for i in range(80):
+        w = own(f"d{i}", r.randrange(40))
+        for _ in range(r.randrange(4)):
+            p = pool[r.randrange(12)]
+            cut = r.randrange(len(p) - 28)
+            w += [*(p if r.random() < 0.5 else p[cut : cut + r.randrange(27, 90)]), *own(f"e{i}", r.randrange(6, 40))]
+        rows.append((i, " ".join(w)))
+    rows += [(900 + k, rows[k][1]) for k in range(0, 20, 3)]
+    expected = brute_passages(rows)
+    got = {x.doc_id: x for x in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert {i: x.spans for i, x in got.items()} == {i: s for i, (s, _) in expected.items()}
+    exact = [i for i, (s, n) in expected.items() if n == 0]
+    assert len(expected) > 40 and any(got[i].removed == [] for i in exact)
+    for i, (s, _) in expected.items():  # of every passage somebody keeps a copy
+        assert got[i].removed_words == 0 or min(got[i].first_docs) < i
+
+
+@pytest.mark.parametrize("share", [0.8, 0.9])
+def test_recall_of_edited_passages(spark, share):
+    """Passages of 51 to 200 words with edits, alike by 0.8 or more: at least 0.9 of the pairs are found; texts of their own are left alone."""
+    import random
 
-    default = inspect.signature(repeated_passages).parameters
-    bands = passages.bands_for(default["percent"].default, default["miss"].default)
-    n, pairs = 3000, []
-    for i in range(n):
-        same = " ".join(f"w{i}_{k}" for k in range(22))
-        pairs += [f"{same} x{i} y{i}", f"{same} u{i} v{i}"]
-    keys = np.concatenate([x[4] for x in passages._paragraphs(pa.array(pairs), default["reach"].default, default["length"].default, bands)])
-    assert len(keys) == 2 * n
-    assert (keys[::2] != keys[1::2]).all(axis=1).sum() <= 10  # 1.3 expected; with three bands 108
+    r = random.Random(15)
+    own = lambda tag, n: [f"{tag}_{i}_{r.randrange(99)}" for i in range(n)]
+    rows, sizes = [], {}
+    for k in range(150):
+        p = own(f"p{k}", r.randrange(51, 201))
+        for i, text in ((2 * k, p), (2 * k + 1, edited(p, r, share))):
+            before = r.randrange(50)
+            rows.append((i, " ".join([*own(f"a{i}", before), *text, *own(f"z{i}", r.randrange(50))])))
+            sizes[i] = (before, before + len(p))
+    rows += [(1000 + i, " ".join(own(f"c{i}", 150))) for i in range(50)]
+    got = {x.doc_id: x for x in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert not [i for i in got if i >= 1000]
+    covered = [i for i, (lo, hi) in sizes.items() if i in got and got[i].repeated_words >= 0.9 * (hi - lo)]
+    assert len(covered) >= 0.9 * len(sizes)
+    assert all(lo <= got[i].spans[0] and got[i].spans[-1] <= hi for i, (lo, hi) in sizes.items() if i in got)
+    # the later one of a pair goes whole: words that differ, too
+    later = [i for i in covered if i % 2 and i - 1 in got]
+    assert sum(got[i].removed == got[i].spans and got[i].first_docs == [i - 1] for i in later) >= 0.9 * len(later)
 
 
 def test_awkward_rows_do_not_crash(docs, labels, no_labels, spark):
