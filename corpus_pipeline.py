@@ -75,6 +75,7 @@ def _stage(function: Callable) -> Callable:
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         shared.release(spark, _LEFT)
+        shared.rest(spark)
         shared.small_batches(spark)
         before = set(shared.opened())
         out = function(spark, docs, sf_dir)
