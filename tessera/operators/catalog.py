@@ -2,25 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Image types and photometric interpretations that a slide file may have.
-IMAGE_TYPES = ("VOLUME", "LABEL", "OVERVIEW", "THUMBNAIL")
-PHOTOMETRIC = ("MONOCHROME2", "RGB", "YBR_FULL", "YBR_FULL_422", "YBR_ICT", "YBR_RCT", "YBR_PARTIAL_420")
-
-
-def supported() -> Column:
-    """Whether a file can be read: required values, a known type, and more than 8 bits only for one sample."""
-    return F.col("study_uid").isNotNull() & F.col("image_type").isin(*IMAGE_TYPES) & F.col("photometric").isin(*PHOTOMETRIC) & ((F.col("bits") == 8) | (F.col("samples") == 1))
-
-
-def tile_type() -> Column:
-    """FULL or SPARSE: as declared, a label is full, and so is a file with one frame a plane and path."""
-    return F.when(F.col("organization") == "TILED_FULL", "FULL").when(F.col("organization") == "TILED_SPARSE", "SPARSE").when((F.col("image_type") == "LABEL") | (F.col("n_frames") == F.col("planes") * F.col("paths")), "FULL")
 
 
 def identifier() -> Column:
@@ -44,29 +28,6 @@ def duplicates(files: DataFrame, key: str) -> DataFrame:
     return files.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def pyramids(instances: DataFrame, threshold: float = 0.02) -> DataFrame:
-    """Instances of a slide to pyramids, taken in order: an instance joins the first pyramid whose members all match it.
-
-    Matching is not transitive, so the order is part of the meaning; a slide's instances are few.
-    """
-
-    def group(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("uid")
-        found: list[list] = []
-        out = []
-        for r in frame.itertuples():
-            for n, members in enumerate(found):
-                if all(abs(r.origin_x - m.origin_x) <= threshold and r.ext_dof == m.ext_dof for m in members):
-                    members.append(r)
-                    out.append(n)
-                    break
-            else:
-                found.append([r])
-                out.append(len(found) - 1)
-        return pd.DataFrame({"slide_id": frame["slide_id"], "uid": frame["uid"], "pyramid": out})
-
-    return instances.groupBy("slide_id").applyInPandas(group, "slide_id long, uid string, pyramid long")
-
 
 def best_instance(instances: DataFrame, keys: list[str], order: str = "ordinal") -> DataFrame:
     """The instance with the fewest planes for each key; of equals the first."""

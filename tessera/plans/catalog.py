@@ -10,50 +10,6 @@ from tessera.operators import catalog as C
 from tessera.plans.fixtures import fx
 from tessera.plans.registry import query
 
-_OK = "study_uid IS NOT NULL AND image_type IN ('VOLUME', 'LABEL', 'OVERVIEW', 'THUMBNAIL') AND (bits = 8 OR samples = 1)"
-
-
-@query("flt01_supported_files", f"SELECT file_id, image_type FROM fx_header WHERE {_OK}")
-def supported_files(spark, sf):
-    return fx(spark, sf, "fx_header").where(C.supported()).select("file_id", "image_type")
-
-
-@query("src04_split_by_kind", f"SELECT slide_id, CAST(sum(CASE WHEN image_type = 'VOLUME' THEN 1 ELSE 0 END) AS BIGINT) AS volumes, CAST(sum(CASE WHEN image_type = 'LABEL' THEN 1 ELSE 0 END) AS BIGINT) AS labels, CAST(sum(CASE WHEN image_type = 'OVERVIEW' THEN 1 ELSE 0 END) AS BIGINT) AS overviews FROM fx_header WHERE {_OK} GROUP BY slide_id")
-def split_by_kind(spark, sf):
-    kinds = [F.count_if(F.col("image_type") == k.upper()).alias(k + "s") for k in ("volume", "label", "overview")]
-    return fx(spark, sf, "fx_header").where(C.supported()).groupBy("slide_id").agg(*kinds)
-
-
-@query("src23_readiness", f"SELECT slide_id, bool_and(coalesce(organization, '') = 'TILED_FULL') AS ready FROM fx_header WHERE {_OK} GROUP BY slide_id")
-def readiness(spark, sf):
-    return fx(spark, sf, "fx_header").where(C.supported()).groupBy("slide_id").agg(F.bool_and(F.coalesce("organization", F.lit("")) == "TILED_FULL").alias("ready"))
-
-
-@query("flt02_series_match", "WITH b AS (SELECT slide_id, min(study_uid) AS study FROM fx_header WHERE image_type = 'VOLUME' GROUP BY slide_id) SELECT h.file_id, h.study_uid = b.study AND h.total_columns >= 512 AS matches FROM fx_header h JOIN b ON b.slide_id = h.slide_id WHERE h.study_uid IS NOT NULL")
-def series_match(spark, sf):
-    rows = fx(spark, sf, "fx_header")
-    base = rows.where("image_type = 'VOLUME'").groupBy("slide_id").agg(F.min("study_uid").alias("study"))
-    return rows.where("study_uid is not null").join(base, "slide_id").select("file_id", ((F.col("study_uid") == F.col("study")) & (F.col("total_columns") >= 512)).alias("matches"))
-
-
-@query("flt03_instance_match", "SELECT coalesce(concat_uid, uid) AS identifier, count(DISTINCT total_columns) = 1 AND count(DISTINCT total_rows) = 1 AS consistent FROM fx_header GROUP BY 1")
-def instance_match(spark, sf):
-    return fx(spark, sf, "fx_header").groupBy(C.identifier().alias("identifier")).agg(((F.count_distinct("total_columns") == 1) & (F.count_distinct("total_rows") == 1)).alias("consistent"))
-
-
-@query("flt04_group_match", "SELECT slide_id, level, count(DISTINCT width) = 1 AND count(DISTINCT spacing_x) = 1 AS matches FROM fx_instance GROUP BY slide_id, level")
-def group_match(spark, sf):
-    return fx(spark, sf, "fx_instance").groupBy("slide_id", "level").agg(((F.count_distinct("width") == 1) & (F.count_distinct("spacing_x") == 1)).alias("matches"))
-
-
-@query("flt05_violations", "SELECT 'duplicate' AS kind, uid AS id FROM fx_header GROUP BY uid HAVING count(*) > 1 UNION ALL SELECT 'series' AS kind, CAST(slide_id AS VARCHAR) AS id FROM fx_header WHERE study_uid IS NOT NULL GROUP BY slide_id HAVING count(DISTINCT study_uid) > 1")
-def violations(spark, sf):
-    rows = fx(spark, sf, "fx_header")
-    twice = C.duplicates(rows, "uid").select(F.lit("duplicate").alias("kind"), F.col("uid").alias("id"))
-    series = rows.where("study_uid is not null").groupBy("slide_id").agg(F.count_distinct("study_uid").alias("n")).where("n > 1").select(F.lit("series").alias("kind"), F.col("slide_id").cast("string").alias("id"))
-    return twice.unionByName(series)
-
-
 @query("flt06_duplicates", "SELECT uid, count(*) AS n FROM fx_header GROUP BY uid HAVING count(*) > 1")
 def duplicates(spark, sf):
     return C.duplicates(fx(spark, sf, "fx_header"), "uid")
@@ -78,16 +34,6 @@ def size_comparisons(spark, sf):
     return fx(spark, sf, "fx_request").select("request_id", ((w < 400) & (h < 300)).alias("all_less"), ((w < 400) | (h < 300)).alias("any_less"), ((w >= 400) & (h >= 300)).alias("all_not_less"), ((w > 400) | (h > 300)).alias("any_more"))
 
 
-@query("flt10_coordinate_match", "SELECT a.uid AS a, b.uid AS b FROM fx_instance a JOIN fx_instance b ON a.level = b.level AND a.ordinal = 0 AND b.ordinal = 0 AND a.slide_id < b.slide_id AND b.slide_id - a.slide_id < 4 AND sqrt(pow(a.origin_x - b.origin_x, 2)) <= 0.02")
-def coordinate_match(spark, sf):
-    rows = fx(spark, sf, "fx_instance").where("ordinal = 0").select("uid", "slide_id", "level", "origin_x")
-    # neighbours lie in the same block of four slides or the next: an equi-join on blocks, not a theta join
-    left = rows.withColumn("block", F.explode(F.array(F.floor(F.col("slide_id") / 4), F.floor(F.col("slide_id") / 4) + 1)))
-    right = rows.withColumn("block", F.floor(F.col("slide_id") / 4)).toDF("b", "sb", "lb", "ob", "block")
-    near = (F.col("level") == F.col("lb")) & (F.col("slide_id") < F.col("sb")) & (F.col("sb") - F.col("slide_id") < 4) & (F.abs(F.col("origin_x") - F.col("ob")) <= 0.02)
-    return left.join(right, "block").where(near).select(F.col("uid").alias("a"), "b")
-
-
 @query("flt11_identifier_relaxed", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM fx_identifier a JOIN fx_identifier b ON a.s_suppkey % 10 = b.s_suppkey % 10 AND a.s_suppkey < b.s_suppkey WHERE a.issuer = '' OR b.issuer = '' OR a.issuer = b.issuer")
 def identifier_relaxed(spark, sf):
     a, b = (fx(spark, sf, "fx_identifier").select(F.col("s_suppkey").alias(n), F.nullif("issuer", F.lit("")).alias(f"issuer_{n}"), (F.col("s_suppkey") % 10).alias("value")) for n in "ab")
@@ -100,11 +46,6 @@ def code_equality(spark, sf):
     return a.join(b, "annotation_id").where((F.col("oa") < F.col("ob")) & (F.col("ca") == F.col("cb"))).agg(F.count("*").alias("pairs"))
 
 
-@query("prj01_tile_type", "SELECT file_id, CASE WHEN organization = 'TILED_FULL' THEN 'FULL' WHEN organization = 'TILED_SPARSE' THEN 'SPARSE' WHEN image_type = 'LABEL' OR n_frames = planes * paths THEN 'FULL' END AS tile_type FROM fx_header")
-def tile_type(spark, sf):
-    return fx(spark, sf, "fx_header").select("file_id", C.tile_type().alias("tile_type"))
-
-
 @query("prj02_image_size", "SELECT file_id, CASE WHEN image_type <> 'VOLUME' AND n_frames = 1 AND total_columns > tile_size THEN tile_size ELSE total_columns END AS width FROM fx_header")
 def image_size(spark, sf):
     one = (F.col("image_type") != "VOLUME") & (F.col("n_frames") == 1) & (F.col("total_columns") > F.col("tile_size"))
@@ -116,22 +57,6 @@ def pixel_spacing(spark, sf):
     return fx(spark, sf, "fx_header").select("file_id", F.when(F.col("spacing") > 0, F.col("spacing")).alias("spacing_x"))
 
 
-@query("prj04_fallbacks", "SELECT file_id, coalesce(z_offset, 0.0E0) AS z, coalesce(organization, 'TILED_FULL') AS organization FROM fx_header")
-def fallbacks(spark, sf):
-    return fx(spark, sf, "fx_header").select("file_id", F.coalesce("z_offset", F.lit(0.0)).alias("z"), F.coalesce("organization", F.lit("TILED_FULL")).alias("organization"))
-
-
-@query("prj05_identifier", "SELECT file_id, coalesce(concat_uid, uid) AS identifier, CASE WHEN concat_uid IS NULL THEN 0 ELSE n_frames END AS frame_offset FROM fx_header")
-def identifier(spark, sf):
-    return fx(spark, sf, "fx_header").select("file_id", C.identifier().alias("identifier"), F.when(F.col("concat_uid").isNull(), 0).otherwise(F.col("n_frames")).alias("frame_offset"))
-
-
-@query("prj06_extended_depth", "SELECT uid, ext_dof = 'YES' AS extended, CASE WHEN ext_dof = 'YES' THEN n_planes END AS planes FROM fx_instance")
-def extended_depth(spark, sf):
-    yes = F.col("ext_dof") == "YES"
-    return fx(spark, sf, "fx_instance").select("uid", yes.alias("extended"), F.when(yes, F.col("n_planes")).alias("planes"))
-
-
 @query("prj07_image_type", "SELECT file_id, (['ORIGINAL', 'PRIMARY', image_type, 'NONE'])[3] AS image_type FROM fx_header")
 def image_type(spark, sf):
     return fx(spark, sf, "fx_header").select("file_id", F.element_at(F.array(F.lit("ORIGINAL"), F.lit("PRIMARY"), "image_type", F.lit("NONE")), 3).alias("image_type"))
@@ -158,11 +83,6 @@ def levels(spark, sf):
     return C.levels(fx(spark, sf, "fx_instance")).select("slide_id", "width", "height", "n_instances", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("agg03_pyramids", """SELECT slide_id, uid, CAST(CASE WHEN n = 1 OR ext_dof = first_dof THEN 0 ELSE 1 END AS BIGINT) AS pyramid FROM (SELECT slide_id, uid, ext_dof, first_value(ext_dof) OVER (PARTITION BY slide_id ORDER BY uid) AS first_dof, row_number() OVER (PARTITION BY slide_id ORDER BY uid) AS n FROM fx_instance)""")
-def pyramids(spark, sf):
-    return C.pyramids(fx(spark, sf, "fx_instance"))
-
-
 @query("agg04_frame_count", "SELECT identifier, CAST(sum(n_frames) AS BIGINT) AS frames FROM fx_concat_file GROUP BY identifier")
 def frame_count(spark, sf):
     return fx(spark, sf, "fx_concat_file").groupBy("identifier").agg(F.sum("n_frames").alias("frames"))
@@ -180,24 +100,11 @@ def focal_planes(spark, sf):
     return planes.select("slide_id", F.size("z").cast("bigint").alias("planes"), F.element_at("z", 1).alias("lowest"), F.element_at("z", -1).alias("highest"))
 
 
-@query("agg07_full_planes", "SELECT slide_id, level, CAST(round_even((slide_id % 7) * 500.0E0 + k * spacing_x * 1000 * 1000, 0) AS BIGINT) AS nm FROM (SELECT slide_id, level, spacing_x, unnest(generate_series(0, n_planes - 1)) AS k FROM fx_level)")
-def full_planes(spark, sf):
-    k = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_planes") - 1))
-    rows = fx(spark, sf, "fx_level").select("slide_id", "level", "spacing_x", k.alias("k"))
-    return rows.select("slide_id", "level", G.half_even((F.col("slide_id") % 7) * 500.0 + F.col("k") * F.col("spacing_x") * 1000 * 1000).alias("nm"))
-
-
 @query("agg08_base_dataset", "SELECT slide_id, max_by(file_id, total_columns * 1000000 - file_id) AS base_file FROM fx_header WHERE image_type = 'VOLUME' GROUP BY slide_id")
 def base_dataset(spark, sf):
     return fx(spark, sf, "fx_header").where("image_type = 'VOLUME'").groupBy("slide_id").agg(F.max_by("file_id", F.struct(F.col("total_columns"), -F.col("file_id"))).alias("base_file"))
 
 
-@query("agg13_sparse_grid", "SELECT slide_id, count(DISTINCT p) > 1 AS sparse FROM (SELECT slide_id, path_no, string_agg(DISTINCT CAST(n_planes AS VARCHAR), ',' ORDER BY CAST(n_planes AS VARCHAR)) AS p FROM fx_instance GROUP BY slide_id, path_no) GROUP BY slide_id")
-def sparse_grid(spark, sf):
-    planes = fx(spark, sf, "fx_instance").groupBy("slide_id", "path_no").agg(F.sort_array(F.collect_set("n_planes")).alias("p"))
-    return planes.groupBy("slide_id").agg((F.count_distinct("p") > 1).alias("sparse"))
-
-
 @query("agg15_series_lists", "SELECT slide_id, string_agg(CAST(level AS VARCHAR), ',' ORDER BY spacing_x) AS levels, count(*) AS n FROM fx_level GROUP BY slide_id")
 def series_lists(spark, sf):
     rows = fx(spark, sf, "fx_level").groupBy("slide_id").agg(F.sort_array(F.collect_list(F.struct("spacing_x", "level"))).alias("l"), F.count("*").alias("n"))
@@ -230,17 +137,6 @@ def best_instance(spark, sf):
     return C.best_instance(fx(spark, sf, "fx_instance"), ["slide_id", "level", "path_no"]).select("slide_id", "level", "path_no", "uid")
 
 
-@query("jn14_kept_paths", "SELECT i.uid FROM fx_instance i SEMI JOIN (SELECT slide_id, level FROM fx_level WHERE n_paths > 1) p ON p.slide_id = i.slide_id AND p.level = i.level")
-def kept_paths(spark, sf):
-    return fx(spark, sf, "fx_instance").join(fx(spark, sf, "fx_level").where("n_paths > 1"), ["slide_id", "level"], "left_semi").select("uid")
-
-
-@query("jn15_annotation_slide", "SELECT v.annotation_id, h.slide_id IS NOT NULL AS matches FROM (SELECT DISTINCT annotation_id FROM fx_vertex) v LEFT JOIN (SELECT DISTINCT slide_id FROM fx_header WHERE study_uid IS NOT NULL AND slide_id % 3 = 0) h ON h.slide_id = v.annotation_id % 200")
-def annotation_slide(spark, sf):
-    slides = fx(spark, sf, "fx_header").where("study_uid is not null and slide_id % 3 = 0").select("slide_id").distinct()
-    return fx(spark, sf, "fx_vertex").select("annotation_id").distinct().withColumn("k", F.col("annotation_id") % 200).join(slides, F.col("k") == F.col("slide_id"), "left").select("annotation_id", F.col("slide_id").isNotNull().alias("matches"))
-
-
 @query("srt01_levels_by_width", "SELECT slide_id, level, row_number() OVER (PARTITION BY slide_id ORDER BY width DESC) AS nth FROM fx_level")
 def levels_by_width(spark, sf):
     return fx(spark, sf, "fx_level").select("slide_id", "level", F.row_number().over(Window.partitionBy("slide_id").orderBy(F.desc("width"))).cast("bigint").alias("nth"))

@@ -36,6 +36,20 @@ FROM fx_level l CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2)
        1 + event_id % 2 AS planes, 1 + event_id % 2 AS paths, CASE WHEN event_id % 6 = 0 THEN NULL ELSE CAST(event_id % 6 AS DOUBLE) * 0.5E0 END AS z_offset, CASE WHEN event_id % 9 = 0 THEN CONCAT('1.4.', CAST(event_id % 50 AS VARCHAR(20))) ELSE NULL END AS concat_uid,
        CONCAT('1.5.', CAST(event_id % 9000 AS VARCHAR(20))) AS uid, value AS amount, CASE WHEN event_id % 8 = 0 THEN -1.0E0 ELSE 0.00025E0 * (1 + event_id % 4) END AS spacing
 FROM events""",
+    # headers of slide files as a scan finds them: twelve files a slide, with values missing and wrong here and there
+    "fx_file": """SELECT event_id AS file_id, slide AS slide_id, CASE WHEN b % 41 = 0 THEN NULL WHEN b % 37 = 0 THEN '1.3.other' ELSE CONCAT('1.3.', CAST(slide AS VARCHAR(20))) END AS study_uid, CONCAT('1.4.', CAST(slide AS VARCHAR(20))) AS series_uid,
+       CASE WHEN c % 29 = 0 THEN NULL WHEN c % 31 = 0 THEN '1.6.other' ELSE CONCAT('1.6.', CAST(slide AS VARCHAR(20))) END AS frame_of_reference, CASE WHEN a % 43 = 0 THEN '1.2.840.10008.5.1.4.1.1.77.1.5' ELSE '1.2.840.10008.5.1.4.1.1.77.1.6' END AS sop_class,
+       CASE WHEN a % 7 = 0 THEN CONCAT('1.5.', CAST(slide AS VARCHAR(20)), '.0') ELSE CONCAT('1.5.', CAST(event_id AS VARCHAR(20))) END AS uid, CASE WHEN b % 5 = 0 THEN CONCAT('1.7.', CAST(slide AS VARCHAR(20)), '.', CAST(k % 3 AS VARCHAR(4))) ELSE NULL END AS concat_uid,
+       CASE WHEN b % 5 = 0 AND c % 11 <> 0 THEN k * 4 ELSE NULL END AS concat_offset, CASE k WHEN 8 THEN 'LABEL' WHEN 9 THEN 'OVERVIEW' WHEN 10 THEN 'THUMBNAIL' WHEN 11 THEN 'OTHER' ELSE 'VOLUME' END AS image_type,
+       CASE WHEN b % 3 = 0 THEN 1 ELSE 3 END AS samples, CASE WHEN c % 23 = 0 THEN NULL WHEN c % 7 = 0 THEN 16 ELSE 8 END AS bits, CASE WHEN a % 59 = 0 THEN 1 WHEN a % 2 = 0 THEN 0 ELSE NULL END AS representation, CASE WHEN a % 61 = 0 THEN 1 WHEN a % 3 = 0 THEN 0 ELSE NULL END AS planar,
+       CASE b % 9 WHEN 0 THEN 'MONOCHROME2' WHEN 1 THEN 'RGB' WHEN 2 THEN 'YBR_FULL' WHEN 3 THEN 'YBR_FULL_422' WHEN 4 THEN 'YBR_ICT' WHEN 5 THEN 'YBR_RCT' WHEN 6 THEN 'YBR_PARTIAL_420' WHEN 7 THEN 'MONOCHROME1' ELSE 'RGB' END AS photometric,
+       CASE WHEN (slide + k) % 7 < 2 THEN '1.2.840.10008.1.2.1' WHEN (slide + k) % 7 = 2 THEN '1.2.840.10008.1.2.5' WHEN (slide + k) % 7 < 5 THEN '1.2.840.10008.1.2.4.50' ELSE '1.2.840.10008.1.2.4.90' END AS syntax,
+       CASE WHEN c % 47 = 0 THEN 512 ELSE 256 END AS tile_rows, 256 AS tile_columns, CAST(CEIL((1024 + (slide * 977) % 7168) / POWER(2, k % 4)) AS BIGINT) AS total_columns, CAST(CEIL((768 + (slide * 613) % 5120) / POWER(2, k % 4)) AS BIGINT) AS total_rows, CAST(0.00025E0 * POWER(2, k % 4) AS DOUBLE) AS spacing,
+       CASE WHEN a % 4 = 0 THEN NULL ELSE 1 + a % 6 END AS n_frames, CASE WHEN a % 6 = 0 THEN NULL ELSE 1 + a % 3 END AS planes, CASE WHEN b % 6 = 0 THEN NULL ELSE 1 + b % 2 END AS paths, CASE c % 4 WHEN 0 THEN 'TILED_FULL' WHEN 1 THEN 'TILED_SPARSE' ELSE NULL END AS organization, c % 5 < 2 AS per_frame,
+       CASE WHEN a % 13 = 0 THEN NULL ELSE 10 + 0.004E0 * (b % 9) END AS origin_x, CASE WHEN a % 13 = 0 THEN NULL ELSE 20 + 0.005E0 * (c % 3) END AS origin_y, CASE WHEN a % 13 = 0 THEN NULL WHEN b % 8 = 0 THEN CAST(90 * (b % 4) AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS rotation,
+       CASE WHEN a % 5 = 0 THEN 0.5E0 * (a % 4) ELSE NULL END AS origin_z, CASE WHEN b % 4 = 0 THEN 0.25E0 * (b % 7) ELSE NULL END AS shared_z, CASE WHEN c % 6 = 0 THEN NULL ELSE 0.0005E0 * (c % 4) END AS spacing_between, CASE WHEN c % 3 = 0 THEN 0.001E0 * (c % 7) ELSE NULL END AS thickness,
+       CASE WHEN b % 3 = 1 THEN 0.006E0 ELSE NULL END AS depth_mm, CASE WHEN a % 4 = 1 THEN 'YES' WHEN a % 4 = 2 THEN 'NO' ELSE NULL END AS ext_dof, CASE WHEN c % 8 = 0 THEN NULL ELSE 2 + c % 2 END AS ext_planes, CASE WHEN c % 10 = 0 THEN NULL ELSE 0.5E0 END AS ext_distance, CASE WHEN b % 2 = 0 THEN 'MANUAL' ELSE NULL END AS focus_method
+FROM (SELECT event_id, CAST(FLOOR(event_id / 12) AS BIGINT) AS slide, event_id % 12 AS k, (event_id * 7919) % 1009 AS a, (event_id * 104729) % 997 AS b, (event_id * 1299709) % 991 AS c FROM events) v""",
     # regions that are asked for
     "fx_request": """SELECT event_id AS request_id, event_id % 50 AS slide_id, CAST(event_id % 6 AS INT) AS level, (event_id * 37) % 2000 AS x, (event_id * 53) % 1500 AS y, 1 + (event_id * 11) % 900 AS w, 1 + (event_id * 17) % 700 AS h FROM events""",
 }

@@ -140,16 +140,16 @@ def tiled_size(spark, sf):
     return fx(spark, sf, "fx_level").select("slide_id", "level", G.tiles(F.col("width"), F.col("tile_w")).alias("tiles_x"), G.tiles(F.col("height"), F.col("tile_h")).alias("tiles_y"))
 
 
-@query("geo19_full_frame_index", """WITH g AS (SELECT slide_id, level, CAST(ceil(width / 256) AS BIGINT) AS nx, CAST(ceil(height / 256) AS BIGINT) AS ny, n_planes, n_paths FROM fx_level WHERE level = 3),
+@query("geo19_full_frame_index", """WITH g AS (SELECT slide_id, level, CAST(ceil(width / 256) AS BIGINT) AS nx, CAST(ceil(height / 256) AS BIGINT) AS ny, n_planes, n_paths FROM fx_level),
 t AS (SELECT g.*, unnest(generate_series(0, nx * ny * n_planes * n_paths - 1)) AS f FROM g)
-SELECT slide_id, f AS frame, f % nx AS x, CAST(floor(f / nx) AS BIGINT) % ny AS y, CAST(floor(f / (nx * ny)) AS BIGINT) % n_planes AS z, CAST(floor(f / (nx * ny * n_planes)) AS BIGINT) AS p FROM t""")
-def full_frame_index(spark, sf, keep="level = 3", extra=()):
+SELECT slide_id, level, f AS frame, f % nx AS x, CAST(floor(f / nx) AS BIGINT) % ny AS y, CAST(floor(f / (nx * ny)) AS BIGINT) % n_planes AS z, CAST(floor(f / (nx * ny * n_planes)) AS BIGINT) AS p FROM t""")
+def full_frame_index(spark, sf):
     nx, ny = G.tiles(F.col("width"), F.col("tile_w")), G.tiles(F.col("height"), F.col("tile_h"))
-    rows = fx(spark, sf, "fx_level").where(keep).select("slide_id", "level", nx.alias("nx"), ny.alias("ny"), "n_planes", "n_paths")
+    rows = fx(spark, sf, "fx_level").select("slide_id", "level", nx.alias("nx"), ny.alias("ny"), "n_planes", "n_paths")
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
     rows = rows.withColumn("p", upto("n_paths")).withColumn("z", upto("n_planes")).withColumn("y", upto("ny")).withColumn("x", upto("nx"))
     frame = G.full_frame(*[F.col(c) for c in ("x", "y", "z", "p", "nx", "ny", "n_planes")])
-    return rows.select("slide_id", *extra, frame.alias("frame"), "x", "y", "z", "p")
+    return rows.select("slide_id", "level", frame.alias("frame"), "x", "y", "z", "p")
 
 
 @query("geo20_sparse_tile_index", """SELECT slide_id, x, y, z, path, max(frame_no) AS frame FROM (SELECT slide_id, CAST(floor((col_pos - 1) / 256) AS BIGINT) AS x, CAST(floor((row_pos - 1) / 256) AS BIGINT) AS y, CAST(round_even(z * 1000, 0) AS BIGINT) AS z, path, frame_no FROM fx_sparse_frame) GROUP BY slide_id, x, y, z, path""")
@@ -159,26 +159,26 @@ def sparse_tile_index(spark, sf):
     return T.last_frame(rows, ["slide_id", "x", "y", "z", "path"], "frame_no").withColumnRenamed("frame_no", "frame")
 
 
-@query("jn01_tile_frame", """WITH g AS (SELECT slide_id, CAST(ceil(width / 256) AS BIGINT) AS nx, CAST(ceil(height / 256) AS BIGINT) AS ny FROM fx_level WHERE level = 0 AND slide_id < 50),
+@query("jn01_tile_frame", """WITH g AS (SELECT slide_id, CAST(ceil(width / 256) AS BIGINT) AS nx, CAST(ceil(height / 256) AS BIGINT) AS ny FROM fx_level WHERE level = 0),
 t AS (SELECT slide_id, nx, ny, unnest(generate_series(0, nx * ny - 1)) AS i FROM g),
 f AS (SELECT slide_id, CAST(floor((col_pos - 1) / 256) AS BIGINT) AS x, CAST(floor((row_pos - 1) / 256) AS BIGINT) AS y, max(frame_no) AS frame FROM fx_sparse_frame WHERE z = 0 GROUP BY ALL)
 SELECT t.slide_id, CAST(count(*) AS BIGINT) AS tiles, CAST(count(f.frame) AS BIGINT) AS stored, CAST(sum(CASE WHEN f.frame IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS blank
 FROM t LEFT JOIN f ON f.slide_id = t.slide_id AND f.x = t.i % t.nx AND f.y = CAST(floor(t.i / t.nx) AS BIGINT) GROUP BY t.slide_id""")
-def tile_frame(spark, sf, keep="slide_id < 50"):
+def tile_frame(spark, sf):
     nx, ny = G.tiles(F.col("width"), F.col("tile_w")), G.tiles(F.col("height"), F.col("tile_h"))
-    grid = fx(spark, sf, "fx_level").where("level = 0").where(keep).withColumn("y", F.explode(F.sequence(F.lit(0).cast("bigint"), ny - 1))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("bigint"), nx - 1))).select("slide_id", "x", "y")
+    grid = fx(spark, sf, "fx_level").where("level = 0").withColumn("y", F.explode(F.sequence(F.lit(0).cast("bigint"), ny - 1))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("bigint"), nx - 1))).select("slide_id", "x", "y")
     frames = fx(spark, sf, "fx_sparse_frame").where("z = 0").select("slide_id", G.sparse_tile(F.col("col_pos"), F.lit(256)).alias("x"), G.sparse_tile(F.col("row_pos"), F.lit(256)).alias("y"), "frame_no")
     joined = T.with_frames(grid, T.last_frame(frames, ["slide_id", "x", "y"], "frame_no"), ["slide_id", "x", "y"])
     return joined.groupBy("slide_id").agg(F.count("*").alias("tiles"), F.count("frame_no").alias("stored"), F.count_if(F.col("frame_no").isNull()).alias("blank"))
 
 
-@query("flt14_sparse_tiles", """WITH g AS (SELECT slide_id, CAST(ceil(width / 256) AS BIGINT) AS nx, CAST(ceil(height / 256) AS BIGINT) AS ny FROM fx_level WHERE level = 0 AND slide_id < 50),
+@query("flt14_sparse_tiles", """WITH g AS (SELECT slide_id, CAST(ceil(width / 256) AS BIGINT) AS nx, CAST(ceil(height / 256) AS BIGINT) AS ny FROM fx_level WHERE level = 0),
 t AS (SELECT slide_id, nx, unnest(generate_series(0, nx * ny - 1)) AS i FROM g)
 SELECT slide_id, i % nx AS x, CAST(floor(i / nx) AS BIGINT) AS y FROM t ANTI JOIN (SELECT DISTINCT slide_id AS s, CAST(floor((col_pos - 1) / 256) AS BIGINT) AS x, CAST(floor((row_pos - 1) / 256) AS BIGINT) AS y FROM fx_sparse_frame) f
 ON f.s = t.slide_id AND f.x = t.i % t.nx AND f.y = CAST(floor(t.i / t.nx) AS BIGINT)""")
-def sparse_tiles(spark, sf, keep="slide_id < 50"):
+def sparse_tiles(spark, sf):
     nx, ny = G.tiles(F.col("width"), F.col("tile_w")), G.tiles(F.col("height"), F.col("tile_h"))
-    grid = fx(spark, sf, "fx_level").where("level = 0").where(keep).withColumn("y", F.explode(F.sequence(F.lit(0).cast("bigint"), ny - 1))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("bigint"), nx - 1))).select("slide_id", "x", "y")
+    grid = fx(spark, sf, "fx_level").where("level = 0").withColumn("y", F.explode(F.sequence(F.lit(0).cast("bigint"), ny - 1))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("bigint"), nx - 1))).select("slide_id", "x", "y")
     frames = fx(spark, sf, "fx_sparse_frame").select("slide_id", G.sparse_tile(F.col("col_pos"), F.lit(256)).alias("x"), G.sparse_tile(F.col("row_pos"), F.lit(256)).alias("y")).distinct()
     return grid.join(frames, ["slide_id", "x", "y"], "left_anti")
 

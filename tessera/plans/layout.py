@@ -21,22 +21,6 @@ def level_plan(spark, sf):
     return L.plan_levels(rows, rows.where("(slide_id + level) % 3 <> 0 or level = 0"))
 
 
-@query("snk06_buckets", "SELECT slide_id, path_no, n_planes, count(*) AS n FROM fx_instance GROUP BY slide_id, path_no, n_planes")
-def buckets(spark, sf):
-    return fx(spark, sf, "fx_instance").groupBy("slide_id", "path_no", "n_planes").agg(F.count("*").alias("n"))
-
-
-@query("snk07_equal_spacing", "SELECT slide_id, coalesce(max(d) - min(d), 0) <= 1e-6 AS equal FROM (SELECT slide_id, z - lag(z) OVER (PARTITION BY slide_id ORDER BY z) AS d FROM (SELECT DISTINCT slide_id, z * (1 + slide_id % 2 * z) AS z FROM fx_sparse_frame)) GROUP BY slide_id")
-def equal_spacing(spark, sf):
-    planes = fx(spark, sf, "fx_sparse_frame").select("slide_id", (F.col("z") * (1 + F.col("slide_id") % 2 * F.col("z"))).alias("z")).distinct()
-    return L.equally_spaced(planes, "slide_id", "z")
-
-
-@query("snk08_shared_files", "SELECT photometric, bits, samples, organization, count(*) AS files FROM fx_header GROUP BY ALL")
-def shared_files(spark, sf):
-    return fx(spark, sf, "fx_header").groupBy("photometric", "bits", "samples", "organization").agg(F.count("*").alias("files"))
-
-
 @query("snk09_split_by_frames", "SELECT identifier, frame_index, CAST(floor((row_number() OVER (PARTITION BY identifier ORDER BY frame_index) - 1) / 64) AS BIGINT) AS part FROM fx_frame_len")
 def split_by_frames(spark, sf):
     return L.split_by_frames(fx(spark, sf, "fx_frame_len"), 64).select("identifier", "frame_index", "part")
@@ -66,38 +50,11 @@ def frame_order(spark, sf):
     return fx(spark, sf, "fx_sparse_frame").select("slide_id", "frame_no", F.row_number().over(Window.partitionBy("slide_id").orderBy("path", "z", "row_pos", "col_pos", "frame_no")).cast("bigint").alias("nth"))
 
 
-@query("snk16_offset_table_kind", "SELECT file_id, CASE WHEN photometric = 'YBR_FULL_422' THEN 'BASIC' ELSE 'NONE' END AS kind FROM fx_header")
-def offset_table_kind(spark, sf):
-    return fx(spark, sf, "fx_header").select("file_id", F.when(F.col("photometric") == "YBR_FULL_422", "BASIC").otherwise("NONE").alias("kind"))
-
-
 @query("snk18_compression_ratio", "SELECT identifier, round(CAST(count(*) * 65536 AS DOUBLE) / CAST(sum(byte_len) AS DOUBLE), 2) AS ratio FROM fx_frame_len GROUP BY identifier")
 def compression_ratio(spark, sf):
     return fx(spark, sf, "fx_frame_len").groupBy("identifier").agg(F.round((F.count("*") * 65536).cast("double") / F.sum("byte_len").cast("double"), 2).alias("ratio"))
 
 
-@query("snk19_header_rewrite", "SELECT slide_id, level, CAST(ceil(width / 2) AS BIGINT) AS width, CAST(ceil(height / 2) AS BIGINT) AS height, CAST(ceil(ceil(width / 2) / 256) * ceil(ceil(height / 2) / 256) * n_planes * n_paths AS BIGINT) AS n_frames FROM fx_level")
-def header_rewrite(spark, sf):
-    w, h = F.ceil(F.col("width") / 2), F.ceil(F.col("height") / 2)
-    return fx(spark, sf, "fx_level").select("slide_id", "level", w.alias("width"), h.alias("height"), (F.ceil(w / 256) * F.ceil(h / 256) * F.col("n_planes") * F.col("n_paths")).alias("n_frames"))
-
-
-@query("snk20_compression_history", "SELECT file_id, CASE WHEN n_frames % 2 = 0 THEN 'OLD,NEW' ELSE 'NEW' END AS methods FROM fx_header")
-def compression_history(spark, sf):
-    old = F.when(F.col("n_frames") % 2 == 0, F.array(F.lit("OLD"))).otherwise(F.array().cast("array<string>"))
-    return fx(spark, sf, "fx_header").select("file_id", F.array_join(F.array_append(old, F.lit("NEW")), ",").alias("methods"))
-
-
-@query("snk21_header_overlay", "SELECT file_id, coalesce(CASE WHEN n_frames % 3 = 0 THEN 'NEW' END, organization) AS organization FROM fx_header")
-def header_overlay(spark, sf):
-    return fx(spark, sf, "fx_header").select("file_id", F.coalesce(F.when(F.col("n_frames") % 3 == 0, F.lit("NEW")), "organization").alias("organization"))
-
-
-@query("snk22_transcode", "SELECT file_id, n_frames % 5 = 0 OR photometric <> 'YBR_FULL_422' AS transcode FROM fx_header")
-def transcode(spark, sf):
-    return fx(spark, sf, "fx_header").select("file_id", ((F.col("n_frames") % 5 == 0) | (F.col("photometric") != "YBR_FULL_422")).alias("transcode"))
-
-
 @query("win02_running_positions", "SELECT identifier, frame_index, CAST(sum(byte_len + 8) OVER (PARTITION BY identifier ORDER BY frame_index ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM fx_frame_len")
 def running_positions(spark, sf):
     return fx(spark, sf, "fx_frame_len").select("identifier", "frame_index", F.sum(F.col("byte_len") + 8).over(Window.partitionBy("identifier").orderBy("frame_index").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))

@@ -26,10 +26,10 @@ def region_ends(spark, sf):
     return fx(spark, sf, "fx_request").select("request_id", end.alias("x1"), (F.col("y") + F.col("h")).alias("y1"), (end * 3).alias("x3"))
 
 
-@query("geo09_iterate_region", "SELECT request_id, px, py FROM (SELECT request_id, w, unnest(generate_series(0, h % 5)) AS py FROM fx_request WHERE request_id < 300) r, LATERAL (SELECT unnest(generate_series(0, r.w % 6)) AS px) u")
-def iterate_region(spark, sf, keep="request_id < 300"):
+@query("geo09_iterate_region", "SELECT request_id, px, py FROM (SELECT request_id, w, unnest(generate_series(0, h % 5)) AS py FROM fx_request) r, LATERAL (SELECT unnest(generate_series(0, r.w % 6)) AS px) u")
+def iterate_region(spark, sf):
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), c))
-    return fx(spark, sf, "fx_request").where(keep).withColumn("py", upto(F.col("h") % 5)).withColumn("px", upto(F.col("w") % 6)).select("request_id", "px", "py")
+    return fx(spark, sf, "fx_request").withColumn("py", upto(F.col("h") % 5)).withColumn("px", upto(F.col("w") % 6)).select("request_id", "px", "py")
 
 
 @query("geo10_region_mm_shift", "SELECT request_id, round(x * 0.001E0 + 2.5E0, 6) AS x0, round(x * 0.001E0 + 2.5E0 + w * 0.001E0, 6) AS x1 FROM fx_request")
@@ -38,13 +38,6 @@ def region_mm_shift(spark, sf):
     return fx(spark, sf, "fx_request").select("request_id", F.round(x0, 6).alias("x0"), F.round(x0 + F.col("w") * 0.001, 6).alias("x1"))
 
 
-@query("geo13_centred_origin", """SELECT slide_id, level, round(12.5E0 + CASE slide_id % 4 WHEN 0 THEN -1 WHEN 1 THEN -1 ELSE 1 END * CASE WHEN slide_id % 2 = 0 THEN height ELSE width END * spacing_x / 2, 6) AS ox FROM fx_level""")
-def centred_origin(spark, sf):
-    across = F.when(F.col("slide_id") % 2 == 0, F.col("height")).otherwise(F.col("width"))
-    sign = F.when(F.col("slide_id") % 4 < 2, -1).otherwise(1)
-    return fx(spark, sf, "fx_level").select("slide_id", "level", F.round(12.5 + sign * across * F.col("spacing_x") / 2, 6).alias("ox"))
-
-
 @query("geo21_plane_lookup", "SELECT i.uid, q.z AS plane, CASE WHEN q.z < i.n_planes THEN q.z END AS plane_no FROM fx_instance i CROSS JOIN (SELECT CAST(0 AS BIGINT) AS z UNION ALL SELECT 1 UNION ALL SELECT 2) q WHERE i.level = 0")
 def plane_lookup(spark, sf):
     planes = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n_planes") - 1), lambda k: k * 1500)
@@ -52,24 +45,6 @@ def plane_lookup(spark, sf):
     return rows.select("uid", "plane", F.nullif(F.array_position("planes", F.col("plane") * 1500), F.lit(0).cast("bigint")).alias("n")).select("uid", "plane", (F.col("n") - 1).alias("plane_no"))
 
 
-@query("src03_class_filter", "SELECT file_id FROM fx_header WHERE image_type IN ('VOLUME', 'LABEL') AND bits = 8")
-def class_filter(spark, sf):
-    return fx(spark, sf, "fx_header").where(F.col("image_type").isin("VOLUME", "LABEL") & (F.col("bits") == 8)).select("file_id")
-
-
-@query("src10_negotiated_syntax", "SELECT file_id, CASE WHEN file_id % 2 = 0 THEN 'rle' WHEN file_id % 3 = 0 THEN 'native' END AS syntax FROM fx_header")
-def negotiated_syntax(spark, sf):
-    offered = F.array_compact(F.array(F.lit("jpegxl"), F.when(F.col("file_id") % 2 == 0, "rle"), F.when(F.col("file_id") % 3 == 0, "native")))
-    usable = F.array_intersect(offered, F.array(F.lit("native"), F.lit("rle")))
-    return fx(spark, sf, "fx_header").select("file_id", F.get(usable, 0).alias("syntax"))
-
-
-@query("set06_syntax_intersection", "SELECT file_id, CASE WHEN file_id % 2 = 0 AND file_id % 3 = 0 THEN 2 WHEN file_id % 2 = 0 OR file_id % 3 = 0 THEN 1 ELSE 0 END AS n FROM fx_header")
-def syntax_intersection(spark, sf):
-    offered = F.array_compact(F.array(F.lit("jpegxl"), F.when(F.col("file_id") % 2 == 0, "rle"), F.when(F.col("file_id") % 3 == 0, "native")))
-    return fx(spark, sf, "fx_header").select("file_id", F.size(F.array_intersect(offered, F.array(F.lit("native"), F.lit("rle")))).alias("n"))
-
-
 @query("flt15_item_selection", "SELECT annotation_id, arg_min(value, ordinal) AS first_value, count(*) AS n FROM fx_measurement WHERE code = 'click' GROUP BY annotation_id")
 def item_selection(spark, sf):
     items = fx(spark, sf, "fx_measurement").groupBy("annotation_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "code", "value"))).alias("items"))
@@ -193,9 +168,9 @@ def array_source(spark, sf):
     return rows.select("vec_id", "width", "height", (G.tiles(F.col("width"), F.col("width")) * G.tiles(F.col("height"), F.col("height"))).alias("tiles"))
 
 
-@query("pix18_decode_native", "SELECT vec_id, px, py, CAST(v AS BIGINT) AS v FROM fx_pixel WHERE vec_id < 50")
-def decode_native(spark, sf, keep="vec_id < 50"):
-    return unpacked(packed(spark, sf).where(keep), 8).select("vec_id", "px", "py", "v")
+@query("pix18_decode_native", "SELECT vec_id, px, py, CAST(v AS BIGINT) AS v FROM fx_pixel")
+def decode_native(spark, sf):
+    return unpacked(packed(spark, sf), 8).select("vec_id", "px", "py", "v")
 
 
 @query("pix19_encoded_size", "SELECT vec_id, CAST(1 AS INT) AS segments FROM embeddings")

@@ -70,24 +70,24 @@ def level_cascade(spark, sf):
         tiles, level = P.reduce_level(tiles, 8), level + 1
 
 
-_ASKED = "SELECT request_id, x % 150 AS x, y % 150 AS y, 1 + w % 40 AS w, 1 + h % 30 AS h FROM fx_request WHERE request_id < 500"
+_ASKED = "SELECT request_id, x % 150 AS x, y % 150 AS y, 1 + w % 40 AS w, 1 + h % 30 AS h FROM fx_request"
 
 
-def _placed(spark, sf, keep):
-    asked = fx(spark, sf, "fx_request").where(keep).select("request_id", (F.col("x") % 150).alias("x"), (F.col("y") % 150).alias("y"), (1 + F.col("w") % 40).alias("w"), (1 + F.col("h") % 30).alias("h"), F.lit(8).alias("tile_w"), F.lit(8).alias("tile_h"))
+def _placed(spark, sf):
+    asked = fx(spark, sf, "fx_request").select("request_id", (F.col("x") % 150).alias("x"), (F.col("y") % 150).alias("y"), (1 + F.col("w") % 40).alias("w"), (1 + F.col("h") % 30).alias("h"), F.lit(8).alias("tile_w"), F.lit(8).alias("tile_h"))
     return T.with_frames(T.tiles_of(asked), packed(spark, sf).drop("vec_id"), ["tile_x", "tile_y"])
 
 
 @query("pix04_stitch", f"SELECT a.request_id, a.w, a.h, CAST(coalesce(sum(p.v), 0) AS BIGINT) AS total FROM ({_ASKED}) a LEFT JOIN (SELECT tile_x * 8 + px AS gx, tile_y * 8 + py AS gy, v FROM fx_pixel) p ON p.gx >= a.x AND p.gx < a.x + a.w AND p.gy >= a.y AND p.gy < a.y + a.h GROUP BY a.request_id, a.w, a.h")
-def stitch(spark, sf, keep="request_id < 500"):
-    regions = P.stitch(_placed(spark, sf, keep), "request_id", 8)
+def stitch(spark, sf):
+    regions = P.stitch(_placed(spark, sf), "request_id", 8)
     sums = unpacked(regions, 1).groupBy("request_id", "w", "h").agg(F.sum("v").alias("total"))
     return sums
 
 
-@query("pix01_read_tile", "SELECT vec_id, CAST(sum(v) AS BIGINT) AS total, CAST(max(CASE WHEN px = 0 AND py = 0 THEN v END) AS BIGINT) AS corner FROM fx_pixel WHERE vec_id % 3 = 0 GROUP BY vec_id")
-def read_tile(spark, sf, keep="vec_id % 3 = 0"):
-    pixels = unpacked(packed(spark, sf).where(keep), 8)
+@query("pix01_read_tile", "SELECT vec_id, CAST(sum(v) AS BIGINT) AS total, CAST(max(CASE WHEN px = 0 AND py = 0 THEN v END) AS BIGINT) AS corner FROM fx_pixel GROUP BY vec_id")
+def read_tile(spark, sf):
+    pixels = unpacked(packed(spark, sf), 8)
     return pixels.groupBy("vec_id").agg(F.sum("v").alias("total"), F.max(F.when((F.col("px") == 0) & (F.col("py") == 0), F.col("v"))).alias("corner"))
 
 
@@ -97,9 +97,9 @@ def pad(spark, sf):
     return unpacked(tiles, 16).groupBy("vec_id").agg(F.sum("v").alias("total"))
 
 
-@query("pix13_rotate", "SELECT vec_id, CAST(py AS INT) AS px, CAST(7 - px AS INT) AS py, CAST(v AS BIGINT) AS v FROM fx_pixel WHERE vec_id < 40")
-def rotate(spark, sf, keep="vec_id < 40"):
-    return unpacked(P.apply_to_tiles(packed(spark, sf).where(keep), np.rot90, (8, 8)), 8).select("vec_id", "px", "py", "v")
+@query("pix13_rotate", "SELECT vec_id, CAST(py AS INT) AS px, CAST(7 - px AS INT) AS py, CAST(v AS BIGINT) AS v FROM fx_pixel")
+def rotate(spark, sf):
+    return unpacked(P.apply_to_tiles(packed(spark, sf), np.rot90, (8, 8)), 8).select("vec_id", "px", "py", "v")
 
 
 @query("pix16_blank", "SELECT file_id, CASE WHEN photometric = 'MONOCHROME2' THEN 0 ELSE 255 END AS blank FROM fx_header")

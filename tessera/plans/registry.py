@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
-from tessera.plans import annotations, catalog, files, geometry, layout, metadata, more, pixels, specimens, whole  # noqa: E402, F401
+from tessera.plans import annotations, catalog, files, geometry, headers, layout, metadata, more, pixels, specimens  # noqa: E402, F401

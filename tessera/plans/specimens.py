@@ -102,8 +102,3 @@ def leaves(spark, sf):
 def unsampled(spark, sf):
     edges = fx(spark, sf, "fx_specimen_edge")
     return edges.select("child").subtract(edges.select("parent"))
-
-
-@query("win06_previous_specimen", f"SELECT specimen, ordinal, lag(ordinal) OVER (PARTITION BY specimen ORDER BY ordinal) AS before FROM ({_STEPS})")
-def previous_specimen(spark, sf):
-    return _steps(spark, sf).select("specimen", "ordinal", F.lag("ordinal").over(Window.partitionBy("specimen").orderBy("ordinal")).alias("before"))

@@ -9,24 +9,15 @@ from tessera.plans.fixtures import fx
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
-CUT = ("pix01_read_tile", "pix13_rotate", "pix18_decode_native", "geo09_iterate_region", "geo19_full_frame_index")
-
-
-@pytest.mark.parametrize("name", CUT)
-def test_more_rows_than_the_part(spark, name):
-    part, whole = (registry.QUERIES[n](spark, DATA) for n in (name, f"{name}_whole"))
-    assert part.count() < whole.count()
-    assert not part.exceptAll(whole.select(part.columns)).count()
-
 
 def test_slides_without_frames(spark):
     data = "/root/testdata/sf0.01"
     if not Path(data).exists():
         pytest.skip("no test tables here")
-    rows = registry.QUERIES["jn01_tile_frame_whole"](spark, data).collect()
+    rows = registry.QUERIES["jn01_tile_frame"](spark, data).collect()
     assert len(rows) == fx(spark, data, "fx_level").where("level = 0").count() > 50
     assert all(r.stored == 0 and r.blank == r.tiles for r in rows if r.slide_id >= 50)
-    blank = {r.slide_id: r["count"] for r in registry.QUERIES["flt14_sparse_tiles_whole"](spark, data).groupBy("slide_id").count().collect()}
+    blank = {r.slide_id: r["count"] for r in registry.QUERIES["flt14_sparse_tiles"](spark, data).groupBy("slide_id").count().collect()}
     assert all(blank[r.slide_id] == r.tiles for r in rows if r.slide_id >= 50)
 
 
@@ -40,17 +31,34 @@ def test_stitch_against_brute_force(spark):
     for r in fx(spark, DATA, "fx_request").collect():
         x, y, w, h = r.x % 150, r.y % 150, 1 + r.w % 40, 1 + r.h % 30
         expected[r.request_id] = (w, h, int(image[y : y + h, x : x + w].sum()))
-    got = {r.request_id: (r.w, r.h, r.total) for r in registry.QUERIES["pix04_stitch_whole"](spark, DATA).collect()}
+    got = {r.request_id: (r.w, r.h, r.total) for r in registry.QUERIES["pix04_stitch"](spark, DATA).collect()}
     assert len(got) > 500 and got == expected
 
 
-def test_coordinate_match_against_brute_force(spark):
-    rows = fx(spark, DATA, "fx_instance").where("ordinal = 0").collect()
-    expected = sorted((a.uid, b.uid) for a in rows for b in rows if a.level == b.level and a.slide_id < b.slide_id and abs(a.origin_x - b.origin_x) <= 0.02)
-    got = sorted((r.a, r.b) for r in registry.QUERIES["flt10_coordinate_match_whole"](spark, DATA).collect())
-    assert got == expected
-    slide = {r.uid: r.slide_id for r in rows}
-    assert any(slide[b] - slide[a] >= 4 for a, b in got)
+def test_coordinates_match_against_brute_force(spark):
+    """Pairs over cell borders too."""
+    import math
+    import random
+
+    from tessera.operators.headers import coordinates_match
+
+    r = random.Random(3)
+    rows = [(i, r.uniform(-0.2, 0.2), r.uniform(-0.1, 0.1), float(r.choice([0, 90])), "a") for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, x double, y double, rotation double, k string")
+    got = {(p[0], p[1]) for p in coordinates_match(df, df, ["k"]).select("l.i", "r.i").collect()}
+    assert got == {(a[0], b[0]) for a in rows for b in rows if a[3] == b[3] and math.hypot(a[1] - b[1], a[2] - b[2]) <= 0.02}
+
+
+def test_undetermined_headers_raise(spark):
+    """What the format doesn't allow is an error where it is asked for strictly."""
+    from pyspark.errors import PySparkException
+
+    from tessera.operators import headers as H
+
+    row = spark.createDataFrame([("1", None, None, "VOLUME", 3, 1, 1, False, "2", None)], "uid string, organization string, concat_uid2 string, image_type string, n_frames int, planes int, paths int, per_frame boolean, concat_uid string, concat_offset int")
+    for column in (H.tile_type(strict=True), H.frame_offset(strict=True)):
+        with pytest.raises(PySparkException):
+            row.select(column).collect()
 
 
 def test_level_cascade_against_brute_force(spark):
