@@ -5,25 +5,17 @@ class SlideError(Exception):
     """Any error of this package."""
 
 
-class NotFound(SlideError):
-    """Nothing stored fits the request."""
+class NotASlide(SlideError, ValueError):
+    """The file isn't one that this source reads."""
 
 
-class LevelNotFound(NotFound):
-    """No stored level at or below the one asked for."""
+class FrameTableError(SlideError, ValueError):
+    """Where the frames are contradicts the file or its header."""
 
 
-class RegionOutside(SlideError):
-    """The region isn't inside the image."""
-
-
-class DuplicateUid(SlideError):
-    """Two files or instances share an identifier."""
-
-
-class SeriesMismatch(SlideError):
-    """Files of different slides are together."""
+class Unsupported(SlideError, ValueError):
+    """A transfer syntax, type or format that can't be read or written."""
 
 
-class Unsupported(SlideError):
-    """A transfer syntax, type or format that can't be read or written."""
+class AnnotationError(SlideError, ValueError):
+    """Annotations whose points, kinds or measurements don't fit together."""

@@ -34,13 +34,6 @@ def homogeneous(spark, sf):
     return A.polygons(fx(spark, sf, "fx_vertex")).groupBy("group_id").agg((F.count_distinct(kind) == 1).alias("homogeneous"), F.count("*").alias("annotations"))
 
 
-@query("ann02_decode_points", "SELECT annotation_id, ordinal, x, y FROM fx_vertex")
-def decode_points(spark, sf):
-    flat = A.flat(A.polygons(fx(spark, sf, "fx_vertex"))).select("annotation_id", F.posexplode("coordinates").alias("i", "c"))
-    pairs = flat.groupBy("annotation_id", F.floor(F.col("i") / 2).alias("ordinal")).agg(F.max(F.when(F.col("i") % 2 == 0, F.col("c"))).alias("x"), F.max(F.when(F.col("i") % 2 == 1, F.col("c"))).alias("y"))
-    return pairs
-
-
 @query("ann03_encode_coordinates", "SELECT group_id, CAST(count(*) * 2 AS BIGINT) AS n, round(sum(CAST(CAST(x AS FLOAT) AS DOUBLE)), 3) AS sum_x FROM fx_vertex GROUP BY group_id")
 def encode_coordinates(spark, sf):
     flat = A.flat(A.polygons(fx(spark, sf, "fx_vertex")))
@@ -48,11 +41,6 @@ def encode_coordinates(spark, sf):
     return flat.groupBy("group_id").agg(F.sum(F.size("coordinates")).alias("n"), F.round(F.sum(xs), 3).alias("sum_x"))
 
 
-@query("ann04_encode_measurements", "SELECT code, unit, count(*) AS n, round(sum(CAST(CAST(value AS FLOAT) AS DOUBLE)), 2) AS total FROM fx_measurement GROUP BY code, unit")
-def encode_measurements(spark, sf):
-    return fx(spark, sf, "fx_measurement").groupBy("code", "unit").agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("float").cast("double")), 2).alias("total"))
-
-
 @query("ann05_slice_access", f"SELECT group_id, annotation_id FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY annotation_id) AS rn FROM ({_LIST})) WHERE rn BETWEEN 3 AND 7")
 def slice_access(spark, sf):
     rows = A.polygons(fx(spark, sf, "fx_vertex")).withColumn("rn", F.row_number().over(Window.partitionBy("group_id").orderBy("annotation_id")))

@@ -68,12 +68,6 @@ def number_bytes(spark, sf):
     return rows.select("request_id", (byte(1) + 256 * byte(2)).alias("n"))
 
 
-@query("ann06_group_kinds", "SELECT CASE annotation_id % 3 WHEN 0 THEN 'POINT' WHEN 1 THEN 'POLYLINE' ELSE 'POLYGON' END AS kind, count(DISTINCT annotation_id) AS n FROM fx_vertex GROUP BY 1")
-def group_kinds(spark, sf):
-    kind = F.when(F.col("annotation_id") % 3 == 0, "POINT").when(F.col("annotation_id") % 3 == 1, "POLYLINE").otherwise("POLYGON")
-    return fx(spark, sf, "fx_vertex").groupBy(kind.alias("kind")).agg(F.count_distinct("annotation_id").alias("n"))
-
-
 @query("spm11_new_samples", "SELECT child, parent FROM fx_specimen_edge UNION ALL SELECT child || '.1' AS child, child AS parent FROM fx_specimen_edge WHERE child LIKE 'S%'")
 def new_samples(spark, sf):
     edges = fx(spark, sf, "fx_specimen_edge")
@@ -160,14 +154,6 @@ def slide_origin(spark, sf):
     return fx(spark, sf, "fx_request").select("request_id", F.when(F.col("x") % 3 == 0, x).otherwise(x - 0.5).alias("x"))
 
 
-@query("src21_array_source", "SELECT vec_id, CAST(8 AS BIGINT) AS width, CAST(8 AS BIGINT) AS height, CAST(1 AS BIGINT) AS tiles FROM embeddings")
-def array_source(spark, sf):
-    """Arrays as instances of one tile: the tile is as large as the image."""
-    side = F.sqrt(F.length("data")).cast("bigint")
-    rows = packed(spark, sf).select("vec_id", side.alias("width"), side.alias("height"))
-    return rows.select("vec_id", "width", "height", (G.tiles(F.col("width"), F.col("width")) * G.tiles(F.col("height"), F.col("height"))).alias("tiles"))
-
-
 @query("pix18_decode_native", "SELECT vec_id, px, py, CAST(v AS BIGINT) AS v FROM fx_pixel")
 def decode_native(spark, sf):
     return unpacked(packed(spark, sf), 8).select("vec_id", "px", "py", "v")
@@ -191,12 +177,6 @@ def printed(spark, sf):
     return fx(spark, sf, "fx_level").select("slide_id", "level", F.format_string("level %d: %d x %d", "level", "width", "height").alias("line"))
 
 
-@query("src24_annotation_scan", "SELECT CASE WHEN group_id % 2 = 0 THEN 'image' ELSE 'volume' END AS kind, count(DISTINCT group_id) AS groups FROM fx_vertex GROUP BY 1")
-def annotation_scan(spark, sf):
-    kind = F.when(F.col("group_id") % 2 == 0, "image").otherwise("volume")
-    return fx(spark, sf, "fx_vertex").groupBy(kind.alias("kind")).agg(F.count_distinct("group_id").alias("groups"))
-
-
 @query("md07_module_projection", "SELECT file_id, study_uid AS study, image_type AS image, photometric AS pixels FROM fx_header")
 def module_projection(spark, sf):
     modules = F.struct(F.struct(F.col("study_uid").alias("uid")).alias("study"), F.struct(F.col("image_type").alias("kind"), F.col("photometric").alias("pixels")).alias("image"))

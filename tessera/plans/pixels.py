@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tessera.llm import shared
+from tessera import tables
 from tessera.operators import pixels as P
 from tessera.operators import tiles as T
 from tessera.plans.fixtures import fx
@@ -31,11 +31,21 @@ def packed(spark, sf):
 
 
 def unpacked(tiles, width: int):
-    """(..., px, py, v) of every pixel."""
-    n = F.explode(F.sequence(F.lit(0), F.length("data") - 1))
-    rows = tiles.withColumn("i", n)
-    value = F.conv(F.hex(F.substring(F.col("data"), F.col("i") + 1, F.lit(1))), 16, 10).cast("bigint")
-    return rows.select(*[c for c in tiles.columns if c != "data"], (F.col("i") % width).cast("int").alias("px"), F.floor(F.col("i") / width).cast("int").alias("py"), value.alias("v"))
+    """(..., px, py, v) of every pixel of 8-bit tiles; the bytes are spread in Arrow, not one expression a byte."""
+    others = [c for c in tiles.columns if c != "data"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in tiles.schema if f.name != "data"), "px int, py int, v long"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = batch.column(len(others)).to_pylist()
+            size = np.array([len(d or b"") for d in data], np.int64)
+            row = pa.array(np.repeat(np.arange(len(data)), size))
+            i = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            v = np.frombuffer(b"".join(d for d in data if d), np.uint8).astype(np.int64)
+            spread = [batch.column(k).take(row) for k in range(len(others))]
+            yield pa.RecordBatch.from_arrays([*spread, pa.array((i % width).astype(np.int32)), pa.array((i // width).astype(np.int32)), pa.array(v)], names=[*others, "px", "py", "v"])
+
+    return tiles.select(*others, "data").mapInArrow(run, schema)
 
 
 @query("pix05_halve", f"SELECT vec_id, px, py, CAST(v AS BIGINT) AS v FROM ({_HALF})")
@@ -61,7 +71,7 @@ def level_cascade(spark, sf):
     """All levels of the mosaic down to a single tile, with their tiles and total brightness."""
     tiles, out, level = packed(spark, sf).select("tile_x", "tile_y", "data"), None, 0
     while True:
-        tiles = shared.table(tiles, f"level{level}")
+        tiles = tables.table(tiles, f"level{level}")
         sums = unpacked(tiles, 8).agg(F.lit(level).alias("level"), F.count_distinct("tile_x", "tile_y").alias("tiles"), F.sum("v").alias("total"))
         out = sums if out is None else out.unionByName(sums)
         last = tiles.agg(F.greatest(F.max("tile_x"), F.max("tile_y")).alias("n")).first()["n"]

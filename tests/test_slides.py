@@ -9,6 +9,8 @@ from tessera.functions import strings as S
 from tessera.operators import layout as L
 from tessera.operators import pixels as P
 from tessera.operators import specimens
+from tessera.errors import AnnotationError, FrameTableError, NotASlide
+from tessera.sources import annotations as A
 from tessera.sources import dicom
 from tessera.sources.sinks import NotEmpty, prepare_folder
 
@@ -81,38 +83,103 @@ def test_rle_round_trip(shape, dtype):
 HEADER = {"SOPInstanceUID": "1.2.3.4", "StudyInstanceUID": "1.2", "ImageType": ["ORIGINAL", "PRIMARY", "VOLUME"], "Rows": 4, "Columns": 4, "SamplesPerPixel": 1, "BitsAllocated": 8, "BitsStored": 8, "NumberOfFrames": 3, "PixelSpacing": [0.5, 0.25], "TotalPixelMatrixColumns": 9}
 
 
-@pytest.mark.parametrize(("syntax", "table"), [(dicom.EXPLICIT, "basic"), (dicom.RLE, "basic"), (dicom.RLE, "extended"), (dicom.RLE, "empty")])
-def test_file_round_trip(tmp_path, syntax, table):
+@pytest.mark.parametrize("undefined", [False, True])
+@pytest.mark.parametrize(("syntax", "table", "kind"), [(dicom.EXPLICIT, "basic", "native"), (dicom.IMPLICIT, "basic", "native"), (dicom.RLE, "basic", "basic"), (dicom.RLE, "extended", "extended"), (dicom.RLE, "empty", "items"), (dicom.RLE, "tiff", "tiff")])
+def test_file_round_trip(tmp_path, syntax, table, kind, undefined):
     tiles = [np.full((4, 4), k, np.uint8) for k in range(3)]
     data = [P.rle_encode(t) if syntax == dicom.RLE else t.tobytes() for t in tiles]
     path = str(tmp_path / "a.dcm")
-    dicom.write_file(path, HEADER, data, syntax, table)
+    groups = [{"PixelMeasuresSequence": [{"SpacingBetweenSlices": 0.5}, {}]}]
+    dicom.write_file(path, HEADER | {"SharedFunctionalGroupsSequence": groups}, data, syntax, table, undefined)
     with open(path, "rb") as f:
         h = dicom.read_header(f)
-        assert h.values["Rows"] == [4] and h.values["PixelSpacing"] == [0.5, 0.25] and h.values["ImageType"][2] == "VOLUME"
+        assert h.values["Rows"] == 4 and h.values["PixelSpacing"] == [0.5, 0.25] and h.values["ImageType"][2] == "VOLUME" and h.values["SharedFunctionalGroupsSequence"] == groups
+        found, index = dicom.frame_index(f, h)
+        assert found == kind
         got = []
-        for at, n in list(dicom.frames(f, h)):
+        for at, n in index:
             f.seek(at)
             got.append(f.read(n))
     assert got == data
 
 
+@pytest.mark.parametrize("table", ["basic", "extended", "empty"])
+def test_wrong_frame_counts_are_errors(tmp_path, table):
+    path = str(tmp_path / "a.dcm")
+    dicom.write_file(path, HEADER | {"NumberOfFrames": 2}, [b"ab"] * 2, dicom.RLE, table)
+    raw = open(path, "rb").read()
+    for n in (b"1 ", b"5 "):
+        with pytest.raises(FrameTableError):
+            wrong = io.BytesIO(raw.replace(b"(\0\x08\0IS\x02\x002 ", b"(\0\x08\0IS\x02\0" + n))
+            dicom.frame_index(wrong, dicom.read_header(wrong))
+
+
+def test_writer_keeps_to_its_header(tmp_path):
+    with pytest.raises(FrameTableError):
+        dicom.write_file(str(tmp_path / "a"), HEADER, [b"\0" * 16] * 2)
+    with pytest.raises(FrameTableError):
+        dicom.write_file(str(tmp_path / "b"), HEADER, [b"\0" * 15] * 3)
+
+
+def test_places_of_frames():
+    """Column by column within planes and paths as declared, or as the frames say."""
+    full = dicom.Header({"Rows": 4, "Columns": 4, "TotalPixelMatrixColumns": 9, "TotalPixelMatrixRows": 4, "TotalPixelMatrixFocalPlanes": 2, "DimensionOrganizationType": "TILED_FULL", "SharedFunctionalGroupsSequence": [{"PixelMeasuresSequence": [{"SpacingBetweenSlices": 0.0015}]}], "OpticalPathSequence": [{"OpticalPathIdentifier": "a"}, {"OpticalPathIdentifier": "b"}]})
+    assert list(dicom.places(full, range(12)))[2:8] == [(2, 0, 0.0, "a"), (0, 0, 1.5, "a"), (1, 0, 1.5, "a"), (2, 0, 1.5, "a"), (0, 0, 0.0, "b"), (1, 0, 0.0, "b")]
+    place = {"PlanePositionSlideSequence": [{"ColumnPositionInTotalImagePixelMatrix": 9, "RowPositionInTotalImagePixelMatrix": 5, "ZOffsetInSlideCoordinateSystem": 2.0}], "OpticalPathIdentificationSequence": [{"OpticalPathIdentifier": "b"}]}
+    assert list(dicom.places(dicom.Header({"Rows": 4, "Columns": 4, "PerFrameFunctionalGroupsSequence": [place]}), range(1))) == [(2, 1, 2.0, "b")]
+
+
 def test_other_files_are_left_out(spark, tmp_path):
     (tmp_path / "x.txt").write_text("not a slide")
     (tmp_path / "empty").write_bytes(b"")
     dicom.write_file(str(tmp_path / "a.dcm"), HEADER, [b"\0" * 16] * 3)
     dicom.write_file(str(tmp_path / "b.dcm"), HEADER | {"SOPClassUID": "1.2.3"}, [b"\0" * 16] * 3)
+    dicom.write_dataset(str(tmp_path / "no-pixels.dcm"), HEADER | {"SOPClassUID": dicom.SLIDE_CLASS, "SOPInstanceUID": "9"})
+    (tmp_path / "cut.dcm").write_bytes((tmp_path / "a.dcm").read_bytes()[:400])
     (tmp_path / "folder").mkdir()
     dicom.register(spark)
-    rows = spark.read.format("dicomslides").load(str(tmp_path)).collect()
-    assert [(r.sop_instance_uid, r.image_type, r.n_frames, r.spacing_x, r.spacing_y) for r in rows] == [("1.2.3.4", "VOLUME", 3, 0.25, 0.5)]
+    rows = spark.read.format("dicomslides").load(str(tmp_path)).where("frame_table is not null").collect()
+    assert [(r.uid, r.image_type, r.n_frames, r.spacing_x, r.spacing_y) for r in rows] == [("1.2.3.4", "VOLUME", 3, 0.25, 0.5)]
+    assert spark.read.format("dicomframes").load(str(tmp_path)).count() == 3
+    assert spark.read.format("dicomslides").option("classes", "1.2.3").load(str(tmp_path)).count() == 1
     with pytest.raises(NotEmpty):
         prepare_folder(str(tmp_path))
     assert prepare_folder(str(tmp_path / "new" / "one"))
 
 
+def test_streams_of_a_store(spark, tmp_path):
+    """An address with a scheme is opened by Arrow's file systems."""
+    dicom.write_file(str(tmp_path / "a.dcm"), HEADER, [bytes([k]) * 16 for k in range(3)])
+    with dicom.open_stream(f"file://{tmp_path}/a.dcm") as f:
+        assert dicom.read_header(f).values["Rows"] == 4
+    from pyarrow import fs
+
+    found, inside = fs.FileSystem.from_uri(f"file://{tmp_path}/a.dcm")
+    with found.open_input_file(inside) as f:
+        h = dicom.read_header(f)
+        at, n = dicom.frame_index(f, h)[1][2]
+        f.seek(at)
+        assert f.read(n) == b"\2" * 16
+
+
+@pytest.mark.parametrize("double", [True, False])
+def test_annotation_groups(double):
+    points = [np.arange(2 * n, dtype=float).reshape(n, 2) + n for n in (3, 5, 4)]
+    found = {("area", "mm2"): {0: 1.5, 2: 2.5}, ("length", "mm"): {0: 1.0, 1: 2.0, 2: 3.0}}
+    g = A.encode_group("POLYGON", points, found, double)
+    assert g["LongPrimitivePointIndexList"] == [1, 7, 17] and "AnnotationIndexList" not in g["MeasurementsSequence"][1]["MeasurementValuesSequence"][0]
+    got, m = A.decode_group(g)
+    assert all(np.array_equal(a, b) for a, b in zip(got, points, strict=True)) and m == [[("area", "mm2", 1.5), ("length", "mm", 1.0)], [("length", "mm", 2.0)], [("area", "mm2", 2.5), ("length", "mm", 3.0)]]
+    for wrong in ({"LongPrimitivePointIndexList": [1, 7]}, {"LongPrimitivePointIndexList": [1, 8, 17]}, {"LongPrimitivePointIndexList": [3, 7, 17]}, {"MeasurementsSequence": [{"MeasurementValuesSequence": [{"FloatingPointValues": [1.0]}]}]}):
+        with pytest.raises(AnnotationError):
+            A.decode_group(g | wrong)
+    for graphic, where in (("STAR", points), ("POINT", points), ("POLYGON", [points[0], np.zeros((3, 3))])):
+        with pytest.raises(AnnotationError):
+            A.encode_group(graphic, where)
+
+
 def test_no_preamble():
-    with pytest.raises(dicom.NotASlide):
+    with pytest.raises(NotASlide):
         dicom.read_header(io.BytesIO(b"x" * 200))
 
 

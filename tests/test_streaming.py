@@ -1,6 +1,5 @@
 import numpy as np
 
-from tessera import config
 from tessera.operators.pixels import reduce_level
 from tessera.streaming.pyramid import accumulate, members
 
@@ -23,10 +22,3 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r.tile_x, r.tile_y): bytes(r.data) for r in spark.sql("select * from blocks").collect()}
     expected = {(r.tile_x, r.tile_y): bytes(r.data) for r in reduce_level(spark.createDataFrame(tiles, schema), 8).collect()}
     assert got == expected and len(got) == 6
-
-
-def test_settings_scope():
-    assert config.current().pyramids_origin_threshold == 0.02
-    with config.override(pyramids_origin_threshold=1.0) as s:
-        assert s.pyramids_origin_threshold == config.current().pyramids_origin_threshold == 1.0
-    assert config.current().pyramids_origin_threshold == 0.02
