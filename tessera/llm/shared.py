@@ -1,58 +1,15 @@
-"""Tables in the folder that the driver and all executors share.
-
-An operator that reads an intermediate result more than once writes it here as Parquet and reads it
-back. That cuts the lineage (a lost executor costs a re-read, not a recomputation) and fixes the
-contents, so two reads can't disagree.
-"""
+"""Tables in the shared folder, and memory between the phases of an operator."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OPEN: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local folder only where that is unset (tests, local mode)."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None)
-    if set_to:
-        return set_to
-    own = spark.sparkContext.getCheckpointDir()
-    if not own:
-        if not (spark.sparkContext.master + "[").startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        own = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-def table(df: DataFrame, name: str, *by: str) -> DataFrame:
-    """df written to the shared folder, in parts by the columns `by`, and read back."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(*by) if by else df.write).parquet(path)
-    _OPEN.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def opened() -> list[str]:
-    """Paths of the tables that are still there, in order."""
-    return list(_OPEN)
-
+from tessera.tables import opened, release, shared_folder, table
 
-def release(spark: SparkSession, paths: list[str] | None = None) -> None:
-    """Deletes tables (all, if none are named); call it once the results that read them are stored."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for name in list(_OPEN) if paths is None else paths:
-        if name in _OPEN:
-            _OPEN.remove(name)
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
+__all__ = ["opened", "release", "rest", "rows_hint", "shared_folder", "small_batches", "table"]
 
 
 def rest(spark: SparkSession) -> None:

@@ -36,6 +36,8 @@ from tessera.llm.labelled import sample
 
 #: Letters of a word's beginning that make a token; 0 is the whole word.
 VIEWS = (4, 5, 7, 0)
+#: Segments of other texts that tell how far chance reaches; a single one may be a wrong label.
+_FEW = 5
 
 
 def _views(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> list[np.ndarray]:
@@ -118,14 +120,15 @@ def fit_tokens(rows: DataFrame, prior: float, significance: float, gap: float) -
     counts = shared.table(counts, "tokens")
     # a text has a token or not: shares of texts, with a prior worth `prior` texts split as the sample is
     share = F.col("texts") / n
-    a, b = F.col("toxic") + prior * share, F.col("texts") - F.col("toxic") + prior * share
-    odds = F.log(a / (n_t + prior - a)) - F.log(b / (n - n_t + prior - b))
+    # half a text on each side keeps tokens of every text, or of none, finite
+    a, b = F.col("toxic") + prior * share + 0.5, F.col("texts") - F.col("toxic") + prior * share + 0.5
+    odds = F.log(a / (n_t + prior + 1 - a)) - F.log(b / (n - n_t + prior + 1 - b))
     # likelihood ratio of the token's split between the labels against the sample's
     x, y = F.col("toxic"), F.col("texts") - F.col("toxic")
     ratio = 2 * (x * F.log(x / (F.col("texts") * (n_t / n))) + F.when(y > 0, y * F.log(y / (F.col("texts") * (1 - n_t / n)))).otherwise(0.0))
     # so many tokens are tried that some reach a ratio of 2 log(tokens) by chance
     least = significance * 2 * math.log(max(counts.count(), 2))
-    kept = counts.select("token", odds.alias("odds"), ratio.alias("ratio"), (b / (n - n_t + prior)).alias("chance")).where((F.col("odds") > 0) & (F.col("ratio") > least))
+    kept = counts.select("token", odds.alias("odds"), ratio.alias("ratio"), (b / (n - n_t + prior + 1)).alias("chance")).where((F.col("odds") > 0) & (F.col("ratio") > least))
     got = kept.collect()  # bounded by the sample: each token is in 3 toxic texts or more
     if not got:
         return empty
@@ -205,10 +208,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_co
 
     seen = rows.where(apart).select("body", "label").mapInArrow(K.lean(measure), "n_words long, scores array<double>, label long").toPandas()  # about fit_rows rows
     other = seen[seen["label"] == 0]
-    by_chance = np.array([v for f in other["scores"] for v in f])
-    least = float(model.tokens.values.min())
-    # K n exp(-lambda S) at the least score is what such texts have; one more, so that K is never 0
-    model.k = (len(by_chance) + 1) * math.exp(model.decay * least) / (int(other["n_words"].sum()) + 1)
+    # K n exp(-lambda S) is the number of segments of a score of S or more that such texts have, for every S that
+    # some of them reach; one more at the least score, so that K is never 0
+    by_chance = np.append(np.sort([v for f in other["scores"] for v in f])[::-1], model.tokens.values.min())
+    n = np.arange(1, len(by_chance) + 1)
+    some = n >= min(_FEW, len(n))
+    model.k = float((n * np.exp(model.decay * by_chance))[some].max()) / (int(other["n_words"].sum()) + 1)
     evidence = np.array([sum(max(model.decay * v - math.log(model.k * n), 0) for v in f) for n, f in zip(seen["n_words"], seen["scores"], strict=True)], float)
     if seen["label"].nunique() == 2:
         model.slope, model.offset = _fit_curve(evidence, seen["label"].to_numpy(float))

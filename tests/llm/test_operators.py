@@ -534,3 +534,79 @@ def test_empty_tables(none, labels, spark):
     assert none.schema == spark.createDataFrame([], SCHEMA).schema
     for out in (exact_dedup(none), near_dedup(none), contamination(none, bench), mix_plan(none), mix(none), language_id(none), toxicity(none, labels), quality(none, labels), select_quality(none, labels), lm_scores(none), token_counts(none), repeated_passages(none)):
         assert out.count() == 0
+
+
+def test_toxicity_against_brute_force(spark):
+    """The whole query: tokens, segments, calibration and curve from plain loops over the same sample."""
+    from math import exp, log, log1p
+
+    import random
+
+    r = random.Random(31)
+    calm = [f"calm{k}" for k in range(60)]
+    rows = []
+    for i in range(240):
+        w = [r.choice(calm) for _ in range(r.randrange(8, 60))]
+        if i % 4 == 0:
+            for _ in range(r.randrange(1, 4)):
+                w.insert(r.randrange(len(w)), r.choice(["Vileß", "vileßer", "scum", "scumbag", "rötten"]))
+        elif i % 37 == 0:
+            w.append("scum")
+        rows.append((i, " ".join(w)))
+    rows += [(900, None), (901, ""), (902, "scum"), (903, "calm1 " * 300 + "scum")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(240)], "doc_id long, toxic int")
+    third = {x.doc_id: x.m for x in df.selectExpr("doc_id", "pmod(xxhash64(coalesce(text, '')), 3) as m").collect()}
+    word = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(LOWER))
+    views = lambda w: {(v, w[:v] if v else w) for v in (4, 5, 7, 0)}
+    train = [(word(t), int(i % 4 == 0), t) for i, t in rows if i < 240 and third[i]]
+    rest = [(word(t), int(i % 4 == 0)) for i, t in rows if i < 240 and not third[i]]
+    n, n_t = len(train), sum(y for _, y, _ in train)
+    texts, toxic = Counter(), Counter()
+    for w, y, _ in train:
+        for token in {x for a in w for x in views(a)}:
+            texts[token] += 1
+            toxic[token] += y
+    many = [t for t in texts if toxic[t] >= 3]
+    places = sum(len(t.split()) for *_, t in train) / n
+    odds, chance = {}, []
+    for t in many:
+        a, b = toxic[t] + 10 * texts[t] / n + 0.5, texts[t] - toxic[t] + 10 * texts[t] / n + 0.5
+        x, y = toxic[t], texts[t] - toxic[t]
+        ratio = 2 * (x * log(x / (texts[t] * n_t / n)) + (y * log(y / (texts[t] * (1 - n_t / n))) if y else 0))
+        value = log(a / (n_t + 11 - a)) - log(b / (n - n_t + 11 - b))
+        if value > 0 and ratio > 2 * log(len(many)):
+            odds[t] = value
+            chance.append((value, b / (n - n_t + 11) / places))
+    lo, hi = 1e-3, 5.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        total = sum(c * exp(mid * v) for v, c in chance) + max(1 - sum(c for _, c in chance), 0.5) * exp(-mid * 0.25)
+        lo, hi = (mid, hi) if total < 1 else (lo, mid)
+
+    def found(w):
+        score = [max([odds.get(x, 0) for x in views(a)]) or -0.25 for a in w]
+
+        def best(a, b):  # the best stretch, and what lies beside it
+            top = max(((sum(score[i:j]), i - j, -i) for i in range(a, b) if score[i] > 0 for j in range(i + 1, b + 1) if score[j - 1] > 0), default=None)
+            if top is None:
+                return []
+            i = -top[2]
+            j = i - top[1]
+            return [*best(a, i), top[0], *best(j, b)]
+
+        return best(0, len(w))
+
+    clean = sorted([s for w, y in rest if not y for s in found(w)], reverse=True) + [min(odds.values())]
+    k = max((i + 1) * exp(lo * s) for i, s in enumerate(clean) if i + 1 >= min(5, len(clean))) / (sum(len(w) for w, y in rest if not y) + 1)
+    evidence = lambda w: sum(max(lo * s - log(k * len(w)), 0) for s in found(w))
+    x = np.array([[log1p(evidence(w)), 1] for w, _ in rest])
+    y = np.array([y for _, y in rest], float)
+    beta = np.array([0.1, log((y.sum() + 1) / (len(y) - y.sum() + 1))])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-(x @ beta)))
+        beta = beta + np.clip(np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag([0.5, 0.005]), x.T @ (y - p) - np.array([0.5, 0.005]) * beta), -2, 2)
+    got = {g.doc_id: g.score for g in toxicity(df, labels).collect()}
+    for i, t in rows:
+        assert abs(got[i] - 1 / (1 + exp(-(beta[0] * log1p(evidence(word(t))) + beta[1])))) < 1e-6
+    assert got[902] > got[903] > got[901]
