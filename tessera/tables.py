@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OPEN: list[str] = []
+_ROW_GROUP = 32 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,7 +33,8 @@ def shared_folder(spark: SparkSession) -> str:
 def table(df: DataFrame, name: str, *by: str) -> DataFrame:
     """df written to the shared folder, in parts by the columns `by`, and read back."""
     path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    writer = df.write.option("parquet.block.size", _ROW_GROUP)  # a task holds a row group of each file that it writes
+    (writer.partitionBy(*by) if by else writer).parquet(path)
     _OPEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
