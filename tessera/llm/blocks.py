@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tessera.llm import kernels as K
 from tessera.llm import shared
 
-_CHUNK_WORDS = 500_000
+_CHUNK_WORDS = 300_000
 _BUCKET_KEYS = 2_000_000
 _TASK_WORDS = 1_500_000
 ROW = "chunk string, bucket long, a binary, b binary, c binary, d binary"
@@ -121,6 +121,7 @@ class Layout:
 
     def __init__(self, texts: DataFrame, kind: np.ndarray, keys_per_word: float) -> None:
         self.chunks = shared.table(texts.mapInArrow(K.lean(_encode(kind)), ROW), "chunks")
+        shared.rest(texts.sparkSession)
         self.words = self.chunks.select("a").mapInArrow(K.lean(_count), "n long").agg(F.sum("n")).first()[0] or 0
         self.tasks = max(8, shared.rows_hint(texts), -(-self.words // _TASK_WORDS))
         self.buckets = 1 << max(2 * self.tasks - 1, int(keys_per_word * self.words) // _BUCKET_KEYS).bit_length()
@@ -133,7 +134,9 @@ class Layout:
                 for r, a in zip(rows, answer(rows), strict=True):
                     yield batch_of([(r[0], r[1], a, b"", b"", b"")])
 
-        return shared.table(asked.repartition(self.tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(K.lean(run), ROW), "answers")
+        out = shared.table(asked.repartition(self.tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(K.lean(run), ROW), "answers")
+        shared.rest(asked.sparkSession)
+        return out
 
     def together(self, chunks: DataFrame, answered: DataFrame) -> DataFrame:
         """Each chunk's row followed by its answers in order of their buckets; read them with `runs(batches, 0)`."""

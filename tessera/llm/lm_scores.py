@@ -152,5 +152,6 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
         if nth + 1 < len(rounds.lengths):
             state = shared.table(together.mapInArrow(K.lean(_more(rounds, nth + 1, buckets)), B.ROW).withColumn("asks", F.col("bucket") >= 0), "state", "asks")
             shared.release(spark, shared.opened()[-3:-1])  # the chunks and answers before
+            shared.rest(spark)
             chunks, asked = state.where("not asks").drop("asks"), state.where("asks").drop("asks")
     return together.mapInArrow(K.lean(_score(rounds, layout.words, alpha)), "doc_id long, n_words long, n_backoff long, log_score double")
