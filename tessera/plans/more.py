@@ -103,13 +103,6 @@ def raster_chunks(spark, sf):
     return fx(spark, sf, "fx_sparse_frame").select("slide_id", "frame_no", F.floor(G.sparse_tile(F.col("row_pos"), F.lit(256)) / 4).alias("chunk"))
 
 
-@query("pix11_region_mm", "SELECT q.request_id, CAST(trunc(q.x * 0.0005E0 / l.spacing_x) AS BIGINT) AS x, CAST(trunc(q.w * 0.0005E0 / l.spacing_x) AS BIGINT) AS w FROM fx_request q JOIN fx_level l ON l.slide_id = q.slide_id AND l.level = q.level WHERE trunc(q.x * 0.0005E0 / l.spacing_x) + trunc(q.w * 0.0005E0 / l.spacing_x) <= l.width")
-def region_mm(spark, sf):
-    rows = fx(spark, sf, "fx_request").join(fx(spark, sf, "fx_level").select("slide_id", "level", "spacing_x", "width"), ["slide_id", "level"])
-    x, w = (G.mm_to_pixel(F.col(c) * 0.0005, F.col("spacing_x")) for c in "xw")
-    return rows.where(x + w <= F.col("width")).select("request_id", x.alias("x"), w.alias("w"))
-
-
 @query("pix12_region_mpp", "SELECT q.request_id, max(l.level) AS level, CAST(trunc(q.w * 0.001E0 / (0.0003E0 * (1 + q.w % 9))) AS BIGINT) AS out_w FROM fx_request q JOIN fx_level l ON l.slide_id = q.slide_id AND l.spacing_x <= 0.0003E0 * (1 + q.w % 9) GROUP BY q.request_id, q.w")
 def region_mpp(spark, sf):
     stored = fx(spark, sf, "fx_level").groupBy("slide_id").agg(F.collect_list(F.struct("spacing_x", "level")).alias("l"))
@@ -118,28 +111,6 @@ def region_mpp(spark, sf):
     return fx(spark, sf, "fx_request").join(stored, "slide_id").select("request_id", best["level"].alias("level"), G.truncate(F.col("w") * 0.001 / wanted).alias("out_w")).where("level is not null")
 
 
-@query("pix10_scaled_tile", "SELECT CAST(floor(tile_x / 2) AS BIGINT) AS tile_x, CAST(floor(tile_y / 2) AS BIGINT) AS tile_y, CAST(sum(v) AS BIGINT) AS total FROM (SELECT tile_x, tile_y, (sum(v) + 2) // 4 AS v FROM fx_pixel GROUP BY tile_x, tile_y, floor(px / 2), floor(py / 2)) GROUP BY 1, 2")
-def scaled_tile(spark, sf):
-    """Tiles of a level that isn't stored, from the one below."""
-    return unpacked(P.reduce_level(packed(spark, sf), 8), 8).groupBy("tile_x", "tile_y").agg(F.sum("v").alias("total"))
-
-
-@query("pix14_thumbnail_source", "SELECT slide_id, coalesce(max(CASE WHEN width >= 400 THEN level END), 0) AS level FROM fx_level GROUP BY slide_id")
-def thumbnail_source(spark, sf):
-    return fx(spark, sf, "fx_level").groupBy("slide_id").agg(F.coalesce(F.max(F.when(F.col("width") >= 400, F.col("level"))), F.lit(0)).alias("level"))
-
-
-@query("pix15_label_read", "SELECT slide_id, min(file_id) AS file_id FROM fx_header WHERE image_type = 'LABEL' GROUP BY slide_id")
-def label_read(spark, sf):
-    return fx(spark, sf, "fx_header").where("image_type = 'LABEL'").groupBy("slide_id").agg(F.min("file_id").alias("file_id"))
-
-
-@query("pix02_encoded_tile", "SELECT identifier, frame_index, byte_len, frame_index % 20 = 19 AS edge FROM fx_frame_len")
-def encoded_tile(spark, sf):
-    """Inner tiles go out as stored; those at the right edge have to be cropped and encoded again."""
-    return fx(spark, sf, "fx_frame_len").select("identifier", "frame_index", "byte_len", (F.col("frame_index") % 20 == 19).alias("edge"))
-
-
 @query("str03_resequenced", "SELECT identifier, frame_index, CAST(sum(byte_len) OVER (PARTITION BY identifier ORDER BY frame_index) AS BIGINT) AS upto FROM fx_frame_len")
 def resequenced(spark, sf):
     """Frames that arrive out of order, in the order of the file again."""
@@ -154,24 +125,6 @@ def slide_origin(spark, sf):
     return fx(spark, sf, "fx_request").select("request_id", F.when(F.col("x") % 3 == 0, x).otherwise(x - 0.5).alias("x"))
 
 
-@query("pix18_decode_native", "SELECT vec_id, px, py, CAST(v AS BIGINT) AS v FROM fx_pixel")
-def decode_native(spark, sf):
-    return unpacked(packed(spark, sf), 8).select("vec_id", "px", "py", "v")
-
-
-@query("pix19_encoded_size", "SELECT vec_id, CAST(1 AS INT) AS segments FROM embeddings")
-def encoded_size(spark, sf):
-    """Run-length frames of one 8-bit sample have one segment, which the header says first."""
-    coded = P.apply_to_tiles(packed(spark, sf), lambda a: np.frombuffer(P.rle_encode(a), np.uint8), (8, 8))
-    return coded.select("vec_id", F.conv(F.hex(F.substring("data", 1, 1)), 16, 10).cast("int").alias("segments"))
-
-
-@query("pix21_codec_rules", "SELECT file_id, CASE WHEN bits = 16 AND samples = 3 THEN 'none' WHEN photometric = 'YBR_FULL_422' THEN 'jpeg' WHEN photometric = 'MONOCHROME2' AND bits = 16 THEN 'rle' ELSE 'native' END AS codec FROM fx_header")
-def codec_rules(spark, sf):
-    rule = F.when((F.col("bits") == 16) & (F.col("samples") == 3), "none").when(F.col("photometric") == "YBR_FULL_422", "jpeg").when((F.col("photometric") == "MONOCHROME2") & (F.col("bits") == 16), "rle").otherwise("native")
-    return fx(spark, sf, "fx_header").select("file_id", rule.alias("codec"))
-
-
 @query("strf09_printed", "SELECT slide_id, level, 'level ' || CAST(level AS VARCHAR) || ': ' || CAST(width AS VARCHAR) || ' x ' || CAST(height AS VARCHAR) AS line FROM fx_level")
 def printed(spark, sf):
     return fx(spark, sf, "fx_level").select("slide_id", "level", F.format_string("level %d: %d x %d", "level", "width", "height").alias("line"))

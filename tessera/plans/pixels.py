@@ -144,10 +144,3 @@ def downsample(spark, sf):
 def nearest(spark, sf):
     small = unpacked(P.apply_to_tiles(packed(spark, sf), lambda a: P.resample(a, 4, 4, "nearest"), (8, 8)), 4)
     return small.groupBy("vec_id").agg(F.sum("v").alias("total"))
-
-
-@query("pix22_support_matrix", "SELECT h.file_id, string_agg(s.syntax, ',' ORDER BY s.syntax) AS syntaxes FROM fx_header h JOIN (SELECT 'native' AS syntax, 16 AS bits, 3 AS samples UNION ALL SELECT 'rle', 16, 3 UNION ALL SELECT 'jpeg', 8, 3) s ON h.bits <= s.bits AND h.samples <= s.samples GROUP BY h.file_id")
-def support_matrix(spark, sf):
-    matrix = spark.createDataFrame([("native", 16, 3), ("rle", 16, 3), ("jpeg", 8, 3)], "syntax string, most_bits int, most_samples int")
-    joined = fx(spark, sf, "fx_header").join(F.broadcast(matrix), (F.col("bits") <= F.col("most_bits")) & (F.col("samples") <= F.col("most_samples")))  # three rows
-    return joined.groupBy("file_id").agg(F.array_join(F.sort_array(F.collect_list("syntax")), ",").alias("syntaxes"))
