@@ -138,16 +138,25 @@ class Lookup:
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
         self.bits = max(12, int(16 * max(1, len(keys))).bit_length())
+        slot = self.keys >> U64(64 - self.bits)
         self.some = np.zeros(1 << self.bits, bool)
-        self.some[self.keys >> U64(64 - self.bits)] = True
+        self.some[slot] = True
+        #: where the keys of each slot begin, and how many the fullest slot has
+        self.first = np.searchsorted(slot, np.arange(1 << self.bits, dtype=np.uint64)).astype(np.int32)
+        self.most = int(np.bincount(slot.astype(np.int64)).max()) if len(keys) else 0
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(indices into h, indices into values) of those that are there."""
-        near = np.flatnonzero(self.some[h >> U64(64 - self.bits)])
-        if not len(near) or not len(self.keys):
-            return near[:0], near[:0]
-        at = np.minimum(np.searchsorted(self.keys, h[near]), len(self.keys) - 1)
-        same = self.keys[at] == h[near]
+        slot = h >> U64(64 - self.bits)
+        near = np.flatnonzero(self.some[slot])
+        if not len(near):
+            return near, near
+        wanted, at = h[near], self.first[slot[near]].astype(np.int64)
+        same = self.keys[at] == wanted
+        for _ in range(self.most - 1):
+            on = np.flatnonzero(~same)
+            at[on] = np.minimum(at[on] + 1, len(self.keys) - 1)
+            same[on] = self.keys[at[on]] == wanted[on]
         return near[same], at[same]
 
 

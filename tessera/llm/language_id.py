@@ -62,7 +62,7 @@ class Model:
         words = [b" " + data[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)]
         order = sorted(range(len(words)), key=words.__getitem__)
         out = np.empty((len(words), len(self.languages)))
-        out[order] = segment.log_sums([words[i] for i in order], self.pieces, self.log_p)
+        out[order] = segment.log_sums(segment.flat([words[i] for i in order]), self.pieces, self.log_p)
         return np.where(np.isinf(out), _NEVER, out)
 
 

@@ -17,18 +17,28 @@ import numpy as np
 from tessera.llm import kernels as K
 
 
+Words = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
 def read_vocabulary(path: str) -> list[bytes]:
     """Pieces in order of their ranks, from a file of base64 pieces and ranks."""
     rows = [line.split() for line in Path(path).read_bytes().splitlines() if line]
     return [base64.b64decode(p) for p, _ in sorted(rows, key=lambda r: int(r[1]))]
 
 
-def flat(words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All bytes of the words, one after the other, their starts and ends."""
+def flat(words: Sequence[bytes]) -> Words:
+    """All bytes of the words, their starts and ends."""
     ends = np.cumsum([len(w) for w in words], dtype=np.int64)
     return np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends
 
 
+def flat_texts(words: Sequence[str]) -> Words:
+    """Like `flat`, of texts: their bytes never are 255, which stands between them."""
+    buf = np.frombuffer(b"\xff".join(map(str.encode, words)) + b"\xff", np.uint8) if words else np.zeros(0, np.uint8)
+    ends = np.flatnonzero(buf == 255)
+    return buf, np.append(0, ends[:-1] + 1)[: len(words)], ends
+
+
 class Pieces:
     """A vocabulary's pieces by hash, and the lengths that occur."""
 
@@ -63,14 +73,14 @@ class Depth:
         self.found: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
 
 
-def depths(words: Sequence[bytes], pieces: Pieces) -> Iterator[Depth]:
+def depths(words: Words, pieces: Pieces) -> Iterator[Depth]:
     """The depths of the trie of sorted, distinct words, from 1 on."""
-    buf, s, e = flat(words)
+    buf, s, e = words
     size = e - s
     lcp = _shared_prefix(buf, s, size)
     span = K.span_hasher(buf)
     keep = pieces.longest + 1
-    node_at = np.zeros((keep, len(words)), np.int32)  # of each word at the latest depths; at depth 0 all share the root
+    node_at = np.zeros((keep, len(s)), np.int32)  # of each word at the latest depths; at depth 0 all share the root
     live = np.flatnonzero(size > 0)
     t = 0
     while len(live):
@@ -93,12 +103,12 @@ def depths(words: Sequence[bytes], pieces: Pieces) -> Iterator[Depth]:
         live = live[~done]
 
 
-def best_counts(words: Sequence[bytes], pieces: Pieces, score: np.ndarray, unknown: float) -> np.ndarray:
+def best_counts(words: Words, pieces: Pieces, score: np.ndarray, unknown: float) -> np.ndarray:
     """Pieces in each word's best segmentation: the largest sum of scores, of equal ones the fewest pieces.
 
     A byte that no piece covers counts as one piece of score `unknown`.
     """
-    out = np.zeros(len(words), np.int64)
+    out = np.zeros(len(words[1]), np.int64)
     keep = pieces.longest + 1
     best: list[np.ndarray] = [np.zeros(1)] + [np.zeros(0)] * (keep - 1)
     count: list[np.ndarray] = [np.zeros(1, np.int64)] + [np.zeros(0, np.int64)] * (keep - 1)
@@ -113,15 +123,15 @@ def best_counts(words: Sequence[bytes], pieces: Pieces, score: np.ndarray, unkno
     return out
 
 
-def log_sums(words: Sequence[bytes], pieces: Pieces, log_p: np.ndarray) -> np.ndarray:
+def log_sums(words: Words, pieces: Pieces, log_p: np.ndarray) -> np.ndarray:
     """(word, column) log of the sum over all segmentations of the products of the pieces' probabilities.
 
     log_p: (piece, column). A word that no pieces make up has -inf.
     """
-    out = np.full((len(words), log_p.shape[1]), -np.inf)
+    out = np.full((len(words[1]), log_p.shape[1]), -np.inf)
     keep = pieces.longest + 1
     total: list[np.ndarray] = [np.zeros((1, log_p.shape[1]))] + [np.zeros((0, log_p.shape[1]))] * (keep - 1)
-    out[[i for i, w in enumerate(words) if not w]] = 0
+    out[words[1] == words[2]] = 0
     for d in depths(words, pieces):
         own = np.full((d.n, log_p.shape[1]), -np.inf)
         for k, i, up, piece in d.found:

@@ -51,9 +51,9 @@ class Counts:
         new = tokens - self.terminal.keys()
         if len(self.terminal) + len(new) > _KNOWN:
             self.terminal, new = {}, tokens
-        rows = sorted((t.encode(), t) for t in new)
-        counts = segment.best_counts([w for w, _ in rows], self.pieces, self.score, self.unknown)
-        self.terminal.update(zip([t for _, t in rows], counts.tolist(), strict=True))
+        words = sorted(new)  # texts and their bytes have one order
+        counts = segment.best_counts(segment.flat_texts(words), self.pieces, self.score, self.unknown)
+        self.terminal.update(zip(words, counts.tolist(), strict=True))
 
 
 def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:

@@ -53,13 +53,13 @@ def test_trie_finds_the_best_segmentation():
 
     rng = np.random.default_rng(1)
     words = sorted({"".join(rng.choice(list("abcdefghz"), rng.integers(0, 9))).encode() for _ in range(400)} | {b"abcdefgh" * 40})
-    assert segment.best_counts(words, segment.Pieces(pieces), score, unknown).tolist() == [brute(w) for w in words]
-    assert segment.best_counts([], segment.Pieces(pieces), score, unknown).tolist() == []
+    assert segment.best_counts(segment.flat(words), segment.Pieces(pieces), score, unknown).tolist() == [brute(w) for w in words]
+    assert segment.best_counts(segment.flat([]), segment.Pieces(pieces), score, unknown).tolist() == []
 
 
 def test_depths_visit_each_prefix_once():
     words = sorted({b"", b"a", b"ab", b"abc", b"abd", b"b", b"bcd"})
-    assert [d.n for d in segment.depths(words, segment.Pieces([b"a"]))] == [2, 2, 3]
+    assert [d.n for d in segment.depths(segment.flat(words), segment.Pieces([b"a"]))] == [2, 2, 3]
 
 
 def test_segments_are_all_maximal():
@@ -86,3 +86,21 @@ def test_packed_arrays_come_back():
     assert parts_of(joined([b"", b"ab", b"c"])) == [b"", b"ab", b"c"] and parts_of(b"") == []
     for x in (np.arange(1000, dtype=np.uint64) ** 3, np.zeros(0, np.int32), np.array([7, -1], np.int64)):
         assert np.array_equal(unpacked(packed(x), x.dtype), x)
+
+
+def test_flat_texts():
+    words = ["", "a", "né", "zz"]
+    for got in (segment.flat_texts(words), segment.flat([w.encode() for w in words])):
+        buf, s, e = got
+        assert [buf[a:b].tobytes().decode() for a, b in zip(s, e, strict=True)] == words
+    assert [len(x) for x in segment.flat_texts([])] == [0, 0, 0]
+
+
+def test_lookup_finds_what_is_there():
+    rng = np.random.default_rng(5)
+    keys = np.unique(np.concatenate([rng.integers(0, 2**63, 3000, dtype=np.uint64), np.arange(40, dtype=np.uint64) + K.U64(7 << 60)]))  # many in one slot
+    table = K.Lookup(keys, np.arange(len(keys)))
+    asked = np.concatenate([keys[::3], rng.integers(0, 2**63, 5000, dtype=np.uint64), keys[-5:]])
+    i, at = table.find(asked)
+    assert np.array_equal(table.keys[at], asked[i]) and set(i.tolist()) == set(np.flatnonzero(np.isin(asked, keys)).tolist())
+    assert len(K.Lookup(keys[:0], keys[:0]).find(asked)[0]) == 0
