@@ -24,6 +24,15 @@ FROM (SELECT s_suppkey % 20 AS identifier, CAST(FLOOR(s_suppkey / 20) AS BIGINT)
     "fx_specimen_edge": """SELECT CONCAT('N', CAST(n_nationkey AS VARCHAR(20))) AS child, CONCAT('R', CAST(n_regionkey AS VARCHAR(20))) AS parent FROM nation
 UNION ALL SELECT CONCAT('S', CAST(s_suppkey AS VARCHAR(20))), CONCAT('N', CAST(s_nationkey AS VARCHAR(20))) FROM supplier""",
     "fx_identifier": "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN s_name WHEN 1 THEN CONCAT(s_name, '^1.2.3^ISO') WHEN 2 THEN '^example.org^DNS' ELSE '' END AS issuer FROM supplier",
+    # samplings: slide samples from sections from blocks from specimens, some from two, some limited to one way up
+    "fx_sampling": """SELECT CONCAT(child, '<', parent) AS sampling, child, parent, ordinal, CASE WHEN follows_no IS NOT NULL AND substring(child, 1, 1) = 'S' THEN CONCAT(parent, '<B', CAST(follows_no AS VARCHAR(20))) ELSE NULL END AS follows,
+       CASE WHEN follows_no IS NULL THEN NULL WHEN follows_no % 7 = 0 THEN 'P999' ELSE CONCAT('B', CAST(follows_no AS VARCHAR(20))) END AS constraint_source
+FROM (SELECT CONCAT('S', CAST(o_orderkey AS VARCHAR(20))) AS child, CONCAT('C', CAST(o_orderkey % 300 AS VARCHAR(20))) AS parent, CAST(0 AS BIGINT) AS ordinal, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 300 % 60 ELSE NULL END AS follows_no FROM orders
+UNION ALL SELECT CONCAT('S', CAST(o_orderkey AS VARCHAR(20))), CONCAT('C', CAST((o_orderkey + 1) % 300 AS VARCHAR(20))), CAST(1 AS BIGINT), NULL FROM orders WHERE o_orderkey % 4 = 0
+UNION ALL SELECT DISTINCT CONCAT('C', CAST(s_suppkey % 300 AS VARCHAR(20))), CONCAT('B', CAST(s_suppkey % 300 % 60 AS VARCHAR(20))), CAST(0 AS BIGINT), CAST(NULL AS BIGINT) FROM supplier
+UNION ALL SELECT DISTINCT CONCAT('C', CAST(s_suppkey % 300 AS VARCHAR(20))), CONCAT('B', CAST((s_suppkey % 300 + 7) % 60 AS VARCHAR(20))), CAST(1 AS BIGINT), CAST(NULL AS BIGINT) FROM supplier WHERE s_suppkey % 300 % 5 = 0
+UNION ALL SELECT DISTINCT CONCAT('B', CAST(n_nationkey AS VARCHAR(20))), CONCAT('P', CAST(n_nationkey % 10 AS VARCHAR(20))), CAST(0 AS BIGINT), CAST(NULL AS BIGINT) FROM nation
+UNION ALL SELECT DISTINCT CONCAT('B', CAST(n_nationkey AS VARCHAR(20))), CONCAT('P', CAST((n_nationkey + 3) % 10 AS VARCHAR(20))), CAST(1 AS BIGINT), CAST(NULL AS BIGINT) FROM nation WHERE n_nationkey % 10 = 0) x""",
     # headers of instances: one for each slide, level and plane set, some of which share a pyramid
     "fx_instance": """SELECT l.slide_id, l.level, k AS ordinal, CONCAT('1.2.', CAST(l.slide_id AS VARCHAR(20)), '.', CAST(l.level AS VARCHAR(4)), '.', CAST(k AS VARCHAR(4))) AS uid, l.width, l.height, l.spacing_x,
        1 + (l.slide_id + k) % 3 AS n_planes, CAST((l.slide_id % 5) * 0.015E0 AS DOUBLE) AS origin_x, CAST(k % 2 AS INT) AS path_no, CASE WHEN (l.slide_id + k) % 7 = 0 THEN 'YES' ELSE 'NO' END AS ext_dof

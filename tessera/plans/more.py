@@ -68,19 +68,6 @@ def number_bytes(spark, sf):
     return rows.select("request_id", (byte(1) + 256 * byte(2)).alias("n"))
 
 
-@query("spm11_new_samples", "SELECT child, parent FROM fx_specimen_edge UNION ALL SELECT child || '.1' AS child, child AS parent FROM fx_specimen_edge WHERE child LIKE 'S%'")
-def new_samples(spark, sf):
-    edges = fx(spark, sf, "fx_specimen_edge")
-    taken = edges.where(F.col("child").startswith("S")).select(F.concat("child", F.lit(".1")).alias("child"), F.col("child").alias("parent"))
-    return edges.unionByName(taken)
-
-
-@query("spm12_step_kinds", "SELECT CASE WHEN event_id % 13 = 0 THEN 'sampling' WHEN event_id % 17 = 0 THEN 'collection' ELSE 'processing' END AS kind, count(*) AS n FROM events GROUP BY 1")
-def step_kinds(spark, sf):
-    kind = F.when(F.col("event_id") % 13 == 0, "sampling").when(F.col("event_id") % 17 == 0, "collection").otherwise("processing")
-    return fx(spark, sf, "events").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
-
-
 @query("md02_dump_by_kind", "SELECT file_id, CASE image_type WHEN 'VOLUME' THEN coalesce(organization, 'TILED_FULL') WHEN 'LABEL' THEN 'NONE' END AS organization, image_type <> 'LABEL' AS has_position FROM fx_header WHERE image_type IN ('VOLUME', 'LABEL')")
 def dump_by_kind(spark, sf):
     rows = fx(spark, sf, "fx_header").where(F.col("image_type").isin("VOLUME", "LABEL"))

@@ -37,62 +37,12 @@ def expanded_steps(spark, sf):
     return S.expanded_steps(rows).select("specimen", "ordinal", F.col("nth").cast("bigint").alias("nth"), "kind")
 
 
-@query("spm04_unknown_parent", f"SELECT ordinal, specimen, lag(specimen) OVER (ORDER BY first) AS previous FROM (SELECT specimen, min(ordinal) AS first, min(ordinal) AS ordinal FROM ({_STEPS}) GROUP BY specimen)")
-def unknown_parent(spark, sf):
-    """Specimens in the order first seen, each with the one before; a slide's specimens are few."""
-    first = _steps(spark, sf).groupBy("specimen").agg(F.min("ordinal").alias("ordinal"))
-    return first.select("ordinal", "specimen", F.lag("specimen").over(Window.orderBy("ordinal")).alias("previous"))
-
-
-@query("spm05_uniform_staining", f"SELECT specimen % 50 AS slide, count(DISTINCT kind) = 1 AS uniform FROM ({_STEPS}) GROUP BY 1")
-def uniform_staining(spark, sf):
-    return _steps(spark, sf).groupBy((F.col("specimen") % 50).alias("slide")).agg((F.count_distinct("kind") == 1).alias("uniform"))
-
-
 @query("spm06_invalid_steps", f"""SELECT specimen, ordinal, kind FROM (SELECT *, coalesce(max(CASE WHEN kind = 'sampling' THEN 1 ELSE 0 END) OVER (PARTITION BY specimen ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS after,
 row_number() OVER (PARTITION BY specimen ORDER BY ordinal) AS nth FROM ({_STEPS})) WHERE (after = 1 AND kind <> 'sampling') OR (kind = 'collection' AND nth > 1)""")
 def invalid_steps(spark, sf):
     return S.invalid_steps(_steps(spark, sf))
 
 
-@query("spm07_constraint_reachable", f"WITH RECURSIVE {_UP} SELECT child, max(CASE WHEN ancestor = 'R1' THEN 1 ELSE 0 END) = 1 AS reachable FROM r GROUP BY child")
-def constraint_reachable(spark, sf):
-    return S.ancestors(fx(spark, sf, "fx_specimen_edge")).groupBy("child").agg((F.max((F.col("ancestor") == "R1").cast("int")) == 1).alias("reachable"))
-
-
-@query("spm08_unambiguous", f"WITH RECURSIVE {_UP} SELECT child, max(n) = 1 AS unambiguous FROM (SELECT child, distance, count(*) AS n FROM r GROUP BY child, distance) GROUP BY child")
-def unambiguous(spark, sf):
-    each = S.ancestors(fx(spark, sf, "fx_specimen_edge")).groupBy("child", "distance").agg(F.count("*").alias("n"))
-    return each.groupBy("child").agg((F.max("n") == 1).alias("unambiguous"))
-
-
-@query("spm09_graph_to_steps", f"WITH RECURSIVE {_UP} SELECT child, string_agg(ancestor, '>' ORDER BY distance DESC, ancestor) AS chain FROM r GROUP BY child")
-def graph_to_steps(spark, sf):
-    rows = S.ancestors(fx(spark, sf, "fx_specimen_edge")).groupBy("child").agg(F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("d"), "ancestor"))).alias("a"))
-    return rows.select("child", F.array_join(F.transform("a", lambda x: x["ancestor"]), ">").alias("chain"))
-
-
-@query("spm10_graph_json", "SELECT child, parent FROM fx_specimen_edge")
-def graph_json(spark, sf):
-    """Edges written as JSON, one document a parent, and read back."""
-    text = fx(spark, sf, "fx_specimen_edge").groupBy("parent").agg(F.collect_list("child").alias("children")).select(F.to_json(F.struct("parent", "children")).alias("j"))
-    back = text.select(F.from_json("j", "parent string, children array<string>").alias("d"))
-    return back.select(F.explode("d.children").alias("child"), F.col("d.parent").alias("parent"))
-
-
-@query("jn11_step_specimen", f"SELECT s.ordinal, e.child FROM ({_STEPS}) s JOIN fx_specimen_edge e ON e.child = concat('S', CAST(s.specimen AS VARCHAR))")
-def step_specimen(spark, sf):
-    steps = _steps(spark, sf).withColumn("child", F.concat(F.lit("S"), F.col("specimen").cast("string")))
-    return steps.join(fx(spark, sf, "fx_specimen_edge"), "child").select("ordinal", "child")
-
-
-@query("jn12_parent_specimen", "SELECT a.child, a.parent, b.parent AS grandparent FROM fx_specimen_edge a LEFT JOIN fx_specimen_edge b ON b.child = a.parent")
-def parent_specimen(spark, sf):
-    edges = fx(spark, sf, "fx_specimen_edge")
-    up = edges.select(F.col("child").alias("parent"), F.col("parent").alias("grandparent"))
-    return edges.join(up, "parent", "left").select("child", "parent", "grandparent")
-
-
 @query("jn13_leaves", "SELECT DISTINCT child FROM fx_specimen_edge WHERE child NOT IN (SELECT parent FROM fx_specimen_edge)")
 def leaves(spark, sf):
     return S.leaves(fx(spark, sf, "fx_specimen_edge"))
