@@ -7,7 +7,8 @@ bucket of hashes; a task that has all rows of a bucket answers each in the order
 chunk joins the answers by place. A frequent n-gram is one entry a chunk, however many rows have it.
 
 Chunks are stored before they are asked, so what asks and what joins see the same n-grams even if an
-executor is lost between. Rows are (chunk, bucket, a, b, c, d) with bucket -1 for a chunk itself.
+executor is lost between. Rows are (chunk, bucket, a, b, c, d); a chunk itself and what it has learned have
+numbers below those of the buckets.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ _CHUNK_WORDS = 300_000
 _BUCKET_KEYS = 2_000_000
 _TASK_WORDS = 1_500_000
 ROW = "chunk string, bucket long, a binary, b binary, c binary, d binary"
+#: Instead of a bucket: a chunk itself, and what it has learned in earlier rounds.
+CHUNK, KNOWN = -2, -1
 _NAMES = ["chunk", "bucket", "a", "b", "c", "d"]
 
 
@@ -78,7 +81,7 @@ def chunk_row(name: str, ids: list[int | None], sizes: np.ndarray, words: np.nda
     vocabulary, index = np.unique(words, return_inverse=True)
     who = np.array([0 if i is None else i for i in ids], np.int64)
     docs = np.stack([who, np.where([i is None for i in ids], -1 - sizes, sizes)]).reshape(-1)
-    return name, -1, packed(docs), packed_sorted(vocabulary), packed(index.astype(np.int32)), more
+    return name, CHUNK, packed(docs), packed_sorted(vocabulary), packed(index.astype(np.int32)), more
 
 
 def _encode(kind: np.ndarray):
@@ -134,13 +137,13 @@ class Layout:
                 for r, a in zip(rows, answer(rows), strict=True):
                     yield batch_of([(r[0], r[1], a, b"", b"", b"")])
 
-        out = shared.table(asked.repartition(self.tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(K.lean(run), ROW), "answers")
-        shared.rest(asked.sparkSession)
-        return out
+        return shared.table(asked.repartition(self.tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(K.lean(run), ROW), "answers")
 
-    def together(self, chunks: DataFrame, answered: DataFrame) -> DataFrame:
-        """Each chunk's row followed by its answers in order of their buckets; read them with `runs(batches, 0)`."""
-        return chunks.unionByName(answered).repartition(self.tasks, "chunk").sortWithinPartitions("chunk", "bucket")
+    def together(self, chunks: DataFrame, *more: DataFrame) -> DataFrame:
+        """Each chunk's row, followed by what it knows and by its answers in order of their buckets; read them with `runs(batches, 0)`."""
+        for rows in more:
+            chunks = chunks.unionByName(rows)
+        return chunks.repartition(self.tasks, "chunk").sortWithinPartitions("chunk", "bucket")
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[list[tuple]]:

@@ -113,16 +113,21 @@ def _totals(rows: list[tuple]) -> Iterator[bytes]:
         lo += len(k)
 
 
+def _opened(rows: list[tuple]) -> tuple[B.Chunk, bytes, list[bytes]]:
+    """A chunk, what it knows, and its answers."""
+    known = [r[5] for r in rows[1:2] if r[1] == B.KNOWN]
+    return B.Chunk(*rows[0][2:5]), known[0] if known else b"", [r[2] for r in rows[1 + len(known) :]]
+
+
 def _more(rounds: _Rounds, nth: int, buckets: int):
-    """Each chunk with what it knows after the round before, and its requests of round nth."""
+    """What each chunk knows after the round before, and its requests of round nth."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in B.runs(batches, 0):
-            chunk, _, a, b, c, d = rows[0]
-            own = B.Chunk(a, b, c)
-            counts, known = rounds.learned(own, d, [r[2] for r in rows[1:]])
-            yield B.batch_of([(chunk, -1, a, b, c, known)])
-            yield from rounds.requests(chunk, own, nth, counts, buckets)
+            own, known, answers = _opened(rows)
+            counts, known = rounds.learned(own, known, answers)
+            yield B.batch_of([(rows[0][0], B.KNOWN, b"", b"", b"", known)])
+            yield from rounds.requests(rows[0][0], own, nth, counts, buckets)
 
     return run
 
@@ -130,8 +135,8 @@ def _more(rounds: _Rounds, nth: int, buckets: int):
 def _score(rounds: _Rounds, words: int, alpha: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in B.runs(batches, 0):
-            own = B.Chunk(*rows[0][2:5])
-            counts, _ = rounds.learned(own, rows[0][5], [r[2] for r in rows[1:]])
+            own, known, answers = _opened(rows)
+            counts, _ = rounds.learned(own, known, answers)
             size, gone, total = rounds.scores(own, counts, words, alpha)
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(own.ids, pa.int64(), mask=own.none), "n_words": pa.array(size), "n_backoff": pa.array(gone), "log_score": pa.array(total)})
 
@@ -146,12 +151,16 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     spark = docs.sparkSession
     layout = B.Layout(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body")), K.ALNUM, 2)
     rounds, buckets = _Rounds(order, min_count), layout.buckets
-    chunks, asked = layout.chunks, layout.chunks.mapInArrow(K.lean(_ask(rounds, buckets)), B.ROW)
+    asked, known = layout.chunks.mapInArrow(K.lean(_ask(rounds, buckets)), B.ROW), []
     for nth in range(len(rounds.lengths)):
-        together = layout.together(chunks, layout.answered(asked, _totals))
+        answered = layout.answered(asked, _totals)
+        del asked  # its shuffle goes with it
+        shared.rest(spark)
+        together = layout.together(layout.chunks, *known, answered)
         if nth + 1 < len(rounds.lengths):
             state = shared.table(together.mapInArrow(K.lean(_more(rounds, nth + 1, buckets)), B.ROW).withColumn("asks", F.col("bucket") >= 0), "state", "asks")
-            shared.release(spark, shared.opened()[-3:-1])  # the chunks and answers before
+            asked, known = state.where("asks").drop("asks"), [state.where("not asks").drop("asks")]
+            del together, answered
+            shared.release(spark, shared.opened()[-2 - (nth > 0) : -1])  # the answers, and the state before them
             shared.rest(spark)
-            chunks, asked = state.where("not asks").drop("asks"), state.where("asks").drop("asks")
     return together.mapInArrow(K.lean(_score(rounds, layout.words, alpha)), "doc_id long, n_words long, n_backoff long, log_score double")

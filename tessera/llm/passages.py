@@ -284,6 +284,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     state = layout.together(layout.chunks, found).mapInArrow(K.lean(_regions(reach, length, beside, layout.buckets)), B.ROW).withColumn("asks", F.col("bucket") >= 0)
     state = shared.table(state, "regions", "asks")
     shared.release(spark, shared.opened()[-3:-1])  # the chunks and the first answers
+    shared.rest(spark)
     owners = layout.answered(state.where("asks").drop("asks"), _owners)
     cut = layout.together(state.where("not asks").drop("asks"), owners).mapInArrow(K.lean(_paragraphs(length, least, percent)), _PARAGRAPH)
     paragraphs = shared.table(cut.withColumn("nth", F.monotonically_increasing_id()), "paragraphs")
