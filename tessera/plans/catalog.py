@@ -67,12 +67,6 @@ def accessors(spark, sf):
     return fx(spark, sf, "fx_level").select("slide_id", "level", F.round(F.col("spacing_x") * 1000, 9).alias("mpp"), F.round(F.col("width") * F.col("spacing_x"), 9).alias("width_mm"))
 
 
-@query("prj09_deidentify", "SELECT c_custkey, CAST(NULL AS VARCHAR) AS name, c_mktsegment AS segment FROM customer")
-def deidentify(spark, sf):
-    person = F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
-    return fx(spark, sf, "customer").select("c_custkey", person.withField("name", F.lit(None).cast("string")).alias("p")).select("c_custkey", "p.name", "p.segment")
-
-
 @query("agg01_instances", "SELECT coalesce(concat_uid, uid) AS identifier, count(*) AS files, CAST(sum(n_frames) AS BIGINT) AS frames, max_by(file_id, total_columns * 1000000 - file_id) AS base_file FROM fx_header GROUP BY 1")
 def instances(spark, sf):
     return C.instances(fx(spark, sf, "fx_header")).select("identifier", "files", "frames", "base_file")

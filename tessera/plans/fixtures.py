@@ -24,6 +24,14 @@ FROM (SELECT s_suppkey % 20 AS identifier, CAST(FLOOR(s_suppkey / 20) AS BIGINT)
     "fx_specimen_edge": """SELECT CONCAT('N', CAST(n_nationkey AS VARCHAR(20))) AS child, CONCAT('R', CAST(n_regionkey AS VARCHAR(20))) AS parent FROM nation
 UNION ALL SELECT CONCAT('S', CAST(s_suppkey AS VARCHAR(20))), CONCAT('N', CAST(s_nationkey AS VARCHAR(20))) FROM supplier""",
     "fx_identifier": "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN s_name WHEN 1 THEN CONCAT(s_name, '^1.2.3^ISO') WHEN 2 THEN '^example.org^DNS' ELSE '' END AS issuer FROM supplier",
+    # texts of headers, one a customer, as files have them
+    "fx_record": """SELECT c_custkey AS file_id, CONCAT('1.3.', CAST(c_custkey AS VARCHAR(20))) AS study_uid, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE CONCAT('T', CAST(c_custkey % 50 AS VARCHAR(20))) END AS study_id, CONCAT('2024', CASE WHEN c_custkey % 2 = 0 THEN '02' ELSE '11' END, CAST(10 + c_custkey % 19 AS VARCHAR(20))) AS study_date,
+       CONCAT(CAST(10 + c_custkey % 13 AS VARCHAR(20)), CAST(10 + c_custkey % 49 AS VARCHAR(20)), CAST(10 + c_custkey % 47 AS VARCHAR(20)), CASE WHEN c_custkey % 3 = 0 THEN '.250000' ELSE '' END) AS study_time, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE CONCAT('A', CAST(c_custkey AS VARCHAR(20))) END AS accession_number,
+       CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE 'House^Gregory' END AS referring_physician, CONCAT('1.4.', CAST(c_custkey AS VARCHAR(20))) AS series_uid, CAST(c_custkey % 9 AS INT) AS series_number,
+       CASE c_custkey % 4 WHEN 0 THEN CONCAT(c_mktsegment, '^', c_name) WHEN 1 THEN c_mktsegment WHEN 2 THEN CONCAT(c_mktsegment, '^Ann^Lee^^Jr') ELSE CONCAT('^', c_name) END AS patient_name, CAST(c_nationkey AS VARCHAR(20)) AS patient_id, CONCAT(CAST(1940 + c_custkey % 60 AS VARCHAR(20)), '0', CAST(1 + c_custkey % 9 AS VARCHAR(20)), '17') AS birth_date,
+       CASE c_custkey % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'M' ELSE 'O' END AS sex, CASE WHEN c_custkey % 2 = 0 THEN 'NO' ELSE NULL END AS identity_removed, c_mktsegment AS manufacturer, 'model 1' AS model, CAST(c_custkey AS VARCHAR(20)) AS serial, CASE WHEN c_custkey % 7 = 0 THEN 'v1\v2' ELSE 'v1' END AS software,
+       CONCAT('202402', CAST(10 + c_custkey % 19 AS VARCHAR(20)), '153000.', CASE WHEN c_custkey % 2 = 0 THEN '500000' ELSE '000000' END) AS acquired, 'VOLUME' AS image_type, CASE WHEN c_custkey % 3 = 1 THEN 'MANUAL' ELSE NULL END AS focus_method, CAST(0.00025E0 * (1 + c_custkey % 4) AS DOUBLE) AS spacing_x, CASE WHEN c_custkey % 5 < 2 THEN '01' ELSE '00' END AS lossy,
+       CAST(c_custkey % 2 AS VARCHAR(20)) AS path_id, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'brightfield' END AS path_description, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE '111744^DCM^Brightfield illumination' END AS illumination FROM customer""",
     # samplings: slide samples from sections from blocks from specimens, some from two, some limited to one way up
     "fx_sampling": """SELECT CONCAT(child, '<', parent) AS sampling, child, parent, ordinal, CASE WHEN follows_no IS NOT NULL AND substring(child, 1, 1) = 'S' THEN CONCAT(parent, '<B', CAST(follows_no AS VARCHAR(20))) ELSE NULL END AS follows,
        CASE WHEN follows_no IS NULL THEN NULL WHEN follows_no % 7 = 0 THEN 'P999' ELSE CONCAT('B', CAST(follows_no AS VARCHAR(20))) END AS constraint_source

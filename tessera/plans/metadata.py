@@ -24,13 +24,6 @@ def issuer_round_trip(spark, sf):
     return fx(spark, sf, "fx_identifier").select("s_suppkey", S.issuer_text(S.issuer(F.col("issuer"))).alias("issuer"))
 
 
-@query("strf03_code_lookup", "SELECT s.s_suppkey, n.n_nationkey AS code FROM supplier s JOIN nation n ON lower(n.n_name) = lower(upper(n.n_name)) AND n.n_nationkey = s.s_nationkey")
-def code_lookup(spark, sf):
-    table = fx(spark, sf, "nation").select(F.lower("n_name").alias("meaning"), F.col("n_nationkey").alias("code"))
-    asked = fx(spark, sf, "supplier").join(fx(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.lower(F.upper("n_name")).alias("meaning"))
-    return asked.join(table, "meaning").select("s_suppkey", "code")
-
-
 @query("strf04_unit_code", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'unary' WHEN 1 THEN 'ratio' ELSE 'um' END AS unit FROM events")
 def unit_code(spark, sf):
     code = F.element_at(F.array(F.lit("1"), F.lit("{ratio}"), F.lit("um")), (F.col("event_id") % 3 + 1).cast("int"))
@@ -47,11 +40,6 @@ def enum(spark, sf):
     return fx(spark, sf, "fx_header").select("file_id", S.enum(F.col("image_type"), "VOLUME", "LABEL").alias("kind"))
 
 
-@query("strf08_option_names", "SELECT file_id, lower(trim('  ' || image_type || ' ')) AS name FROM fx_header")
-def option_names(spark, sf):
-    return fx(spark, sf, "fx_header").select("file_id", F.lower(F.trim(F.concat(F.lit("  "), F.col("image_type"), F.lit(" ")))).alias("name"))
-
-
 @query("dt01_dates", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders")
 def dates(spark, sf):
     return fx(spark, sf, "orders").select("o_orderkey", S.date(F.date_format("o_orderdate", "yyyyMMdd")).cast("string").alias("d"))
@@ -81,24 +69,6 @@ def single_to_list(spark, sf):
     return fx(spark, sf, "events").select("event_id", F.size(F.array_compact(F.array(value))).alias("n"))
 
 
-@query("jsn01_typed_json", "SELECT s_suppkey, s_name AS name, round(s_acctbal, 2) AS amount FROM supplier")
-def typed_json(spark, sf):
-    text = F.to_json(F.struct(F.col("s_name").alias("name"), F.struct(F.col("s_acctbal").alias("value"), F.lit("um").alias("unit")).alias("measure")))
-    rows = fx(spark, sf, "supplier").select("s_suppkey", F.from_json(text, "name string, measure struct<value: double, unit: string>").alias("d"))
-    return rows.select("s_suppkey", "d.name", F.round("d.measure.value", 2).alias("amount"))
-
-
-@query("src26_metadata_json", "SELECT c_custkey, c_name AS name, c_mktsegment AS segment FROM customer")
-def metadata_json(spark, sf):
-    rows = fx(spark, sf, "customer").select(F.to_json(F.struct("c_custkey", F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")).alias("patient"))).alias("j"))
-    return rows.select(F.from_json("j", "c_custkey bigint, patient struct<name: string, segment: string>").alias("d")).select("d.c_custkey", "d.patient.name", "d.patient.segment")
-
-
-@query("snk24_json_dump", "SELECT n_nationkey, '{\"name\":\"' || n_name || '\",\"region\":' || CAST(n_regionkey AS VARCHAR) || '}' AS j FROM nation")
-def json_dump(spark, sf):
-    return fx(spark, sf, "nation").select("n_nationkey", F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))).alias("j"))
-
-
 @query("bin02_icc_header", "SELECT s_suppkey, 'scnr' AS device, CASE WHEN s_suppkey % 2 = 0 THEN 'RGB ' ELSE 'GRAY' END AS space, 'Lab ' AS connection FROM supplier")
 def icc_header(spark, sf):
     profile = F.concat(F.repeat(F.lit("\0"), F.lit(12)), F.lit("scnr"), F.when(F.col("s_suppkey") % 2 == 0, "RGB ").otherwise("GRAY"), F.lit("Lab ")).cast("binary")
@@ -106,43 +76,12 @@ def icc_header(spark, sf):
     return fx(spark, sf, "supplier").select("s_suppkey", device.alias("device"), space.alias("space"), connection.alias("connection"))
 
 
-@query("bin04_lut_segments", "SELECT s_suppkey, CAST(sum(CASE WHEN i <= 4 THEN s_suppkey % 50 ELSE floor((s_suppkey % 50) + (255 - (s_suppkey % 50)) * (i - 4) / 8.0) END) AS BIGINT) AS total, count(*) AS n FROM (SELECT s_suppkey, unnest(generate_series(1, 12)) AS i FROM supplier) GROUP BY s_suppkey")
-def lut_segments(spark, sf):
-    start = (F.col("s_suppkey") % 50).cast("int")
-    segment = lambda kind, end, n: F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), F.lit(n).alias("length"))
-    values = S.expand_segments(F.array(segment("constant", start, 4), segment("linear", F.lit(255), 8)))
-    return fx(spark, sf, "supplier").select("s_suppkey", F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"), F.size(values).cast("bigint").alias("n"))
-
-
-@query("agg16_lut_lengths", "SELECT s_suppkey, s_suppkey % 3 = s_suppkey % 2 AS equal FROM supplier")
-def lut_lengths(spark, sf):
-    red, green = F.array_repeat(F.lit(0), (F.col("s_suppkey") % 3).cast("int")), F.array_repeat(F.lit(0), (F.col("s_suppkey") % 2).cast("int"))
-    return fx(spark, sf, "supplier").select("s_suppkey", (F.size(red) == F.size(green)).alias("equal"))
-
-
-@query("md01_slide_metadata", "SELECT s.s_suppkey AS slide, n.n_name AS label, r.r_name AS overview FROM supplier s JOIN nation n ON n.n_nationkey = s.s_nationkey LEFT JOIN region r ON r.r_regionkey = n.n_regionkey AND r.r_regionkey < 3")
-def slide_metadata(spark, sf):
-    rows = fx(spark, sf, "supplier").join(fx(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return rows.join(fx(spark, sf, "region").where("r_regionkey < 3"), F.col("n_regionkey") == F.col("r_regionkey"), "left").select(F.col("s_suppkey").alias("slide"), F.col("n_name").alias("label"), F.col("r_name").alias("overview"))
-
-
-@query("md03_defaults", "SELECT file_id, coalesce(organization, 'NONE') AS organization, coalesce(z_offset, 0.0) AS z FROM fx_header")
-def defaults(spark, sf):
-    return fx(spark, sf, "fx_header").select("file_id", F.coalesce("organization", F.lit("NONE")).alias("organization"), F.coalesce("z_offset", F.lit(0.0)).alias("z"))
-
-
 @query("md04_flatten", "SELECT c_custkey, c_name, c_nationkey FROM customer")
 def flatten(spark, sf):
     nested = fx(spark, sf, "customer").select("c_custkey", F.struct("c_name", F.struct("c_nationkey").alias("place")).alias("person"))
     return nested.select("c_custkey", "person.c_name", "person.place.c_nationkey")
 
 
-@query("md05_required", "SELECT file_id, CASE WHEN study_uid IS NULL THEN 'study_uid' END AS missing FROM fx_header")
-def required(spark, sf):
-    missing = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in ("study_uid", "uid")]), lambda x: x.isNotNull())
-    return fx(spark, sf, "fx_header").select("file_id", F.get(missing, 0).alias("missing"))
-
-
 @query("md06_uid_generation")
 def uid_generation(spark, sf):
     return fx(spark, sf, "supplier").select("s_suppkey", S.uid_of(F.col("s_name")).alias("uid"))

@@ -52,29 +52,6 @@ def item_selection(spark, sf):
     return items.select("annotation_id", F.get(chosen, 0)["value"].alias("first_value"), F.size(chosen).cast("bigint").alias("n")).where("n > 0")
 
 
-@query("strf07_person_name", "SELECT c_custkey, split_part(c_name, '#', 1) AS family, split_part(c_name, '#', 2) AS given FROM customer")
-def person_name(spark, sf):
-    parts = F.split("c_name", "#")
-    return fx(spark, sf, "customer").select("c_custkey", F.get(parts, 0).alias("family"), F.coalesce(F.get(parts, 1), F.lit("")).alias("given"))
-
-
-@query("bin01_number_bytes", "SELECT request_id, x + 256 * y AS n FROM (SELECT request_id, x % 256 AS x, y % 256 AS y FROM fx_request)")
-def number_bytes(spark, sf):
-    """Two bytes, little end first, written and read as a number."""
-    text = F.concat(*[F.lpad(F.hex(F.col(c) % 256), 2, "0") for c in "xy"])
-    raw = F.unhex(text)
-    rows = fx(spark, sf, "fx_request").select("request_id", raw.alias("raw"))
-    byte = lambda i: F.conv(F.hex(F.substring("raw", i, 1)), 16, 10).cast("bigint")
-    return rows.select("request_id", (byte(1) + 256 * byte(2)).alias("n"))
-
-
-@query("md02_dump_by_kind", "SELECT file_id, CASE image_type WHEN 'VOLUME' THEN coalesce(organization, 'TILED_FULL') WHEN 'LABEL' THEN 'NONE' END AS organization, image_type <> 'LABEL' AS has_position FROM fx_header WHERE image_type IN ('VOLUME', 'LABEL')")
-def dump_by_kind(spark, sf):
-    rows = fx(spark, sf, "fx_header").where(F.col("image_type").isin("VOLUME", "LABEL"))
-    kind = F.when(F.col("image_type") == "VOLUME", F.coalesce("organization", F.lit("TILED_FULL"))).otherwise("NONE")
-    return rows.select("file_id", kind.alias("organization"), (F.col("image_type") != "LABEL").alias("has_position"))
-
-
 @query("lim02_top_per_key", "SELECT slide_id, file_id FROM (SELECT slide_id, file_id, row_number() OVER (PARTITION BY slide_id ORDER BY total_columns DESC, file_id) AS rn FROM fx_header) WHERE rn = 1")
 def top_per_key(spark, sf):
     return fx(spark, sf, "fx_header").groupBy("slide_id").agg(F.max_by("file_id", F.struct(F.col("total_columns"), -F.col("file_id"))).alias("file_id"))
@@ -112,17 +89,6 @@ def slide_origin(spark, sf):
     return fx(spark, sf, "fx_request").select("request_id", F.when(F.col("x") % 3 == 0, x).otherwise(x - 0.5).alias("x"))
 
 
-@query("strf09_printed", "SELECT slide_id, level, 'level ' || CAST(level AS VARCHAR) || ': ' || CAST(width AS VARCHAR) || ' x ' || CAST(height AS VARCHAR) AS line FROM fx_level")
-def printed(spark, sf):
-    return fx(spark, sf, "fx_level").select("slide_id", "level", F.format_string("level %d: %d x %d", "level", "width", "height").alias("line"))
-
-
-@query("md07_module_projection", "SELECT file_id, study_uid AS study, image_type AS image, photometric AS pixels FROM fx_header")
-def module_projection(spark, sf):
-    modules = F.struct(F.struct(F.col("study_uid").alias("uid")).alias("study"), F.struct(F.col("image_type").alias("kind"), F.col("photometric").alias("pixels")).alias("image"))
-    return fx(spark, sf, "fx_header").select("file_id", modules.alias("m")).select("file_id", F.col("m.study.uid").alias("study"), F.col("m.image.kind").alias("image"), F.col("m.image.pixels").alias("pixels"))
-
-
 @query("str01_accumulated_blocks", "SELECT CAST(floor(tile_x / 2) AS BIGINT) AS tile_x, CAST(floor(tile_y / 2) AS BIGINT) AS tile_y, count(DISTINCT vec_id) AS members FROM fx_pixel GROUP BY 1, 2")
 def accumulated_blocks(spark, sf):
     """Members of each block that a level's accumulator waits for; see tessera.streaming for the stateful form."""
