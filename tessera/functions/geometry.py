@@ -105,3 +105,26 @@ def fit(width: Column, height: Column, most_w: Column, most_h: Column) -> tuple[
     """Size that fits, never larger than the image, at least one pixel."""
     factor = F.least(most_w / width, most_h / height, F.lit(1.0))
     return F.greatest(half_even(width * factor), F.lit(1)), F.greatest(half_even(height * factor), F.lit(1))
+
+
+def orientation(degrees: Column) -> list[Column]:
+    """The six direction cosines of a rotation, to eight decimals."""
+    x, y = F.round(F.sin(F.radians(degrees)), 8), F.round(F.cos(F.radians(degrees)), 8)
+    return [-x, y, F.lit(0.0), y, x, F.lit(0.0)]
+
+
+def transformed(o: list[Column], x: Column, y: Column) -> tuple[Column, Column]:
+    """A point turned by an orientation."""
+    return o[0] * x + o[3] * y, o[1] * x + o[4] * y
+
+
+def transformed_back(o: list[Column], x: Column, y: Column) -> tuple[Column, Column]:
+    """The inverse of `transformed`."""
+    d = o[0] * o[4] - o[3] * o[1]
+    return (o[4] * x - o[3] * y) / d, (o[0] * y - o[1] * x) / d
+
+
+def interleaved(x: Column, y: Column, bits: int = 24) -> Column:
+    """The bits of x and y in turns: the order in which blocks are walked through quarter by quarter."""
+    each = [F.shiftright(c.cast("bigint"), b).bitwiseAND(F.lit(1).cast("bigint")) * F.lit(1 << (2 * b + k)).cast("bigint") for b in range(bits) for k, c in enumerate((x, y))]
+    return sum(each[1:], each[0])

@@ -36,3 +36,24 @@ def one_to_one(annotations: DataFrame, measurements: DataFrame, keys: list[str])
     each = measurements.groupBy(*keys, "annotation_id").agg(F.count("*").alias("n"))
     kinds = each.groupBy(*keys).agg(F.count("*").alias("having"), F.max("n").alias("most"))
     return kinds.crossJoin(F.broadcast(total)).select(*keys, ((F.col("having") == F.col("total")) & (F.col("most") == 1)).alias("one_to_one"))  # total is one row
+
+
+def with_index(lists: DataFrame, values: str, index: str) -> DataFrame:
+    """(..., nth, value): a list of values with the numbers of the annotations (from 1) that they are of, or of one each if there are no numbers; lists of other lengths are left out."""
+    own = F.coalesce(F.col(index), F.sequence(F.lit(1).cast("bigint"), F.size(values).cast("bigint")))
+    rows = lists.withColumn(index, own).where(F.size(index) == F.size(values))
+    others = [c for c in lists.columns if c not in (values, index)]
+    return rows.select(*others, F.explode(F.arrays_zip(F.col(index).alias("nth"), F.col(values).alias("value"))).alias("z")).select(*others, F.col("z.nth").alias("nth"), F.col("z.value").alias("value"))
+
+
+def from_geojson(features: DataFrame, text: str) -> DataFrame:
+    """(..., graphic, points) of GeoJSON features: Point, MultiPoint (one annotation a point), LineString, Polygon (its outer ring); others have no row."""
+    kind, coordinates = F.get_json_object(text, "$.geometry.type"), F.get_json_object(text, "$.geometry.coordinates")
+    one = F.array(F.array(F.from_json(coordinates, "array<double>")))
+    many = F.transform(F.from_json(coordinates, "array<array<double>>"), lambda p: F.array(p))
+    line = F.array(F.from_json(coordinates, "array<array<double>>"))
+    ring = F.array(F.get(F.from_json(coordinates, "array<array<array<double>>>"), 0))
+    each = F.when(kind == "Point", one).when(kind == "MultiPoint", many).when(kind == "LineString", line).when(kind == "Polygon", ring)
+    graphic = F.when(kind == "Polygon", "POLYGON").when(kind == "LineString", "POLYLINE").otherwise("POINT")
+    others = [c for c in features.columns if c != text]
+    return features.select(*others, graphic.alias("graphic"), F.explode(each).alias("points"))

@@ -34,13 +34,6 @@ def homogeneous(spark, sf):
     return A.polygons(fx(spark, sf, "fx_vertex")).groupBy("group_id").agg((F.count_distinct(kind) == 1).alias("homogeneous"), F.count("*").alias("annotations"))
 
 
-@query("ann03_encode_coordinates", "SELECT group_id, CAST(count(*) * 2 AS BIGINT) AS n, round(sum(CAST(CAST(x AS FLOAT) AS DOUBLE)), 3) AS sum_x FROM fx_vertex GROUP BY group_id")
-def encode_coordinates(spark, sf):
-    flat = A.flat(A.polygons(fx(spark, sf, "fx_vertex")))
-    xs = F.aggregate("points", F.lit(0.0), lambda a, p: a + p["x"].cast("float").cast("double"))
-    return flat.groupBy("group_id").agg(F.sum(F.size("coordinates")).alias("n"), F.round(F.sum(xs), 3).alias("sum_x"))
-
-
 @query("ann05_slice_access", f"SELECT group_id, annotation_id FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY annotation_id) AS rn FROM ({_LIST})) WHERE rn BETWEEN 3 AND 7")
 def slice_access(spark, sf):
     rows = A.polygons(fx(spark, sf, "fx_vertex")).withColumn("rn", F.row_number().over(Window.partitionBy("group_id").orderBy("annotation_id")))
@@ -57,11 +50,6 @@ def one_to_one(spark, sf):
     return A.one_to_one(fx(spark, sf, "fx_vertex"), fx(spark, sf, "fx_measurement"), ["code"])
 
 
-@query("agg12_annotation_count", "SELECT group_id, count(DISTINCT annotation_id) AS n FROM fx_vertex GROUP BY group_id")
-def annotation_count(spark, sf):
-    return fx(spark, sf, "fx_vertex").groupBy("group_id").agg(F.count_distinct("annotation_id").alias("n"))
-
-
 @query("flt13_measurement_filter", "SELECT annotation_id, ordinal, value FROM fx_measurement WHERE code = (SELECT min(code) FROM fx_measurement) AND unit = 'um'")
 def measurement_filter(spark, sf):
     rows = fx(spark, sf, "fx_measurement")
@@ -69,11 +57,6 @@ def measurement_filter(spark, sf):
     return rows.join(F.broadcast(wanted), F.col("code") == F.col("wanted")).where("unit = 'um'").select("annotation_id", "ordinal", "value")  # one row
 
 
-@query("jn10_measurement_join", "SELECT v.annotation_id, v.ordinal, v.x, m.value FROM fx_vertex v JOIN fx_measurement m ON m.annotation_id = v.annotation_id AND m.ordinal = v.ordinal")
-def measurement_join(spark, sf):
-    return fx(spark, sf, "fx_vertex").join(fx(spark, sf, "fx_measurement"), ["annotation_id", "ordinal"]).select("annotation_id", "ordinal", "x", "value")
-
-
 @query("win05_measurement_index", "SELECT annotation_id, code, row_number() OVER (PARTITION BY code ORDER BY annotation_id, ordinal) AS nth FROM fx_measurement")
 def measurement_index(spark, sf):
     return fx(spark, sf, "fx_measurement").select("annotation_id", "code", F.row_number().over(Window.partitionBy("code").orderBy("annotation_id", "ordinal")).cast("bigint").alias("nth"))
@@ -84,23 +67,3 @@ def pairs(spark, sf):
     flat = A.flat(A.polygons(fx(spark, sf, "fx_vertex")))
     back = F.transform(F.sequence(F.lit(1), F.size("coordinates"), F.lit(2)), lambda i: F.array(F.element_at("coordinates", i), F.element_at("coordinates", i + 1)))
     return flat.select("annotation_id", F.size("coordinates").cast("bigint").alias("flat"), F.size(back).cast("bigint").alias("pairs"))
-
-
-@query("arr03_geometry_equality", "SELECT a.annotation_id AS a, b.annotation_id AS b FROM (SELECT annotation_id, string_agg(CAST(ordinal AS VARCHAR), ',' ORDER BY ordinal) AS k, group_id FROM fx_vertex GROUP BY annotation_id, group_id) a JOIN (SELECT annotation_id, string_agg(CAST(ordinal AS VARCHAR), ',' ORDER BY ordinal) AS k, group_id FROM fx_vertex GROUP BY annotation_id, group_id) b ON a.k = b.k AND b.annotation_id = a.annotation_id + 10 AND a.group_id = b.group_id")
-def geometry_equality(spark, sf):
-    rows = fx(spark, sf, "fx_vertex").groupBy("annotation_id", "group_id").agg(F.sort_array(F.collect_list("ordinal")).alias("k"))
-    b = rows.select((F.col("annotation_id") - 10).alias("annotation_id"), "group_id", F.col("k").alias("kb"), F.col("annotation_id").alias("b"))
-    return rows.join(b, ["annotation_id", "group_id"]).where(F.col("k") == F.col("kb")).select(F.col("annotation_id").alias("a"), "b")
-
-
-@query("src25_geojson", "SELECT annotation_id, CASE WHEN annotation_id % 2 = 0 THEN 'Polygon' ELSE 'LineString' END AS kind, count(*) AS points FROM fx_vertex GROUP BY annotation_id")
-def geojson(spark, sf):
-    """Annotations written as GeoJSON text and read back: only a polygon's outer ring counts."""
-    rows = A.polygons(fx(spark, sf, "fx_vertex")).withColumn("line", F.transform("points", lambda p: F.array(p["x"], p["y"])))
-    polygon = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array("line").alias("coordinates")))
-    line = F.to_json(F.struct(F.lit("LineString").alias("type"), F.col("line").alias("coordinates")))
-    text = rows.select("annotation_id", F.when(F.col("annotation_id") % 2 == 0, polygon).otherwise(line).alias("geometry"))
-    kind = F.get_json_object("geometry", "$.type")
-    ring = F.from_json(F.get_json_object("geometry", "$.coordinates[0]"), "array<array<double>>")
-    flat = F.from_json(F.get_json_object("geometry", "$.coordinates"), "array<array<double>>")
-    return text.select("annotation_id", kind.alias("kind"), F.size(F.when(kind == "Polygon", ring).otherwise(flat)).cast("bigint").alias("points"))

@@ -141,12 +141,6 @@ def files_by_offset(spark, sf):
     return fx(spark, sf, "fx_concat_file").select("identifier", "part", F.row_number().over(Window.partitionBy("identifier").orderBy("frame_offset")).cast("bigint").alias("nth"))
 
 
-@query("srt04_z_order", """SELECT request_id, CAST(sum(((x >> b) & 1) * pow(2, 2 * b) + ((y >> b) & 1) * pow(2, 2 * b + 1)) AS BIGINT) AS z FROM (SELECT request_id, x, y, unnest(generate_series(0, 11)) AS b FROM fx_request) GROUP BY request_id""")
-def z_order(spark, sf):
-    bits = [F.shiftright(F.col(c), b).bitwiseAND(F.lit(1)) * (1 << (2 * b + k)) for b in range(12) for k, c in enumerate("xy")]
-    return fx(spark, sf, "fx_request").select("request_id", sum(bits[1:], bits[0]).cast("bigint").alias("z"))
-
-
 @query("srt06_even_chunks", "SELECT identifier, frame_index, CAST(floor((row_number() OVER (PARTITION BY identifier ORDER BY frame_index) - 1) / ceil(count(*) OVER (PARTITION BY identifier) / 7.0)) AS BIGINT) AS chunk FROM fx_frame_len")
 def even_chunks(spark, sf):
     w = Window.partitionBy("identifier")

@@ -95,12 +95,6 @@ def region_zoom(spark, sf):
     return fx(spark, sf, "fx_request").select("request_id", G.zoom(F.col("x"), F.col("w"), F.lit(2.0)).alias("x"), G.zoom(F.col("y"), F.col("h"), F.lit(0.5)).alias("y"))
 
 
-@query("geo11_rotation", """SELECT slide_id, level, round(((degrees(atan2(-sin(a), cos(a))) % 360) + 360) % 360, 6) AS turned FROM (SELECT slide_id, level, radians((slide_id * 7) % 180) AS a FROM fx_level WHERE (slide_id * 7) % 180 > 0)""")
-def rotation(spark, sf):
-    a = F.radians((F.col("slide_id") * 7) % 180)
-    return fx(spark, sf, "fx_level").where("(slide_id * 7) % 180 > 0").select("slide_id", "level", F.round(G.rotation(F.sin(a), F.cos(a)), 6).alias("turned"))
-
-
 @query("geo12_image_to_slide", """SELECT request_id, round(20 - sin(radians(slide_id * 90 % 360)) * x * 0.00025 + cos(radians(slide_id * 90 % 360)) * y * 0.00025, 7) AS sx,
   round(40 + cos(radians(slide_id * 90 % 360)) * x * 0.00025 + sin(radians(slide_id * 90 % 360)) * y * 0.00025, 7) AS sy FROM fx_request""")
 def image_to_slide(spark, sf):
@@ -117,13 +111,6 @@ def round_trip(spark, sf):
     return rows.select("request_id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y")).select("request_id", (F.col("x") + 0.0).alias("x"), (F.col("y") + 0.0).alias("y"))
 
 
-@query("geo14_mm_to_pixel", "SELECT q.request_id, CAST(trunc(q.x * 0.001E0 / l.spacing_x) AS BIGINT) AS px, CAST(trunc(q.y * 0.001E0 / l.spacing_x) AS BIGINT) AS py FROM fx_request q JOIN fx_level l ON l.slide_id = q.slide_id AND l.level = 0")
-def mm_to_pixel(spark, sf):
-    base = fx(spark, sf, "fx_level").where("level = 0").select("slide_id", "spacing_x")
-    rows = fx(spark, sf, "fx_request").join(base, "slide_id")
-    return rows.select("request_id", G.mm_to_pixel(F.col("x") * 0.001, F.col("spacing_x")).alias("px"), G.mm_to_pixel(F.col("y") * 0.001, F.col("spacing_x")).alias("py"))
-
-
 @query("geo16_level_index", "SELECT slide_id, level, CAST(round_even(log2(spacing_x / 0.00025), 0) AS BIGINT) AS found FROM fx_level")
 def level_index(spark, sf):
     return fx(spark, sf, "fx_level").select("slide_id", "level", G.level_index(F.col("spacing_x"), F.lit(0.00025)).alias("found"))

@@ -14,12 +14,6 @@ from tessera.plans.pixels import packed, unpacked
 from tessera.plans.registry import query
 
 
-@query("geo04_point_mm", "SELECT request_id, round(x * 0.5E0 + 1.25E0, 6) AS x, round(-(y * 0.5E0) + 0.5E0, 6) AS y, CAST(trunc(x * 0.5E0 / 0.3E0) AS BIGINT) AS steps FROM fx_request")
-def point_mm(spark, sf):
-    x, y = F.col("x") * 0.5, F.col("y") * 0.5
-    return fx(spark, sf, "fx_request").select("request_id", F.round(x + 1.25, 6).alias("x"), F.round(-y + 0.5, 6).alias("y"), G.truncate(x / 0.3).alias("steps"))
-
-
 @query("geo05_region_ends", "SELECT request_id, x + w AS x1, y + h AS y1, (x + w) * 3 AS x3 FROM fx_request")
 def region_ends(spark, sf):
     end = F.col("x") + F.col("w")
@@ -38,20 +32,6 @@ def region_mm_shift(spark, sf):
     return fx(spark, sf, "fx_request").select("request_id", F.round(x0, 6).alias("x0"), F.round(x0 + F.col("w") * 0.001, 6).alias("x1"))
 
 
-@query("geo21_plane_lookup", "SELECT i.uid, q.z AS plane, CASE WHEN q.z < i.n_planes THEN q.z END AS plane_no FROM fx_instance i CROSS JOIN (SELECT CAST(0 AS BIGINT) AS z UNION ALL SELECT 1 UNION ALL SELECT 2) q WHERE i.level = 0")
-def plane_lookup(spark, sf):
-    planes = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n_planes") - 1), lambda k: k * 1500)
-    rows = fx(spark, sf, "fx_instance").where("level = 0").select("uid", planes.alias("planes"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2).cast("bigint"))).alias("plane"))
-    return rows.select("uid", "plane", F.nullif(F.array_position("planes", F.col("plane") * 1500), F.lit(0).cast("bigint")).alias("n")).select("uid", "plane", (F.col("n") - 1).alias("plane_no"))
-
-
-@query("flt15_item_selection", "SELECT annotation_id, arg_min(value, ordinal) AS first_value, count(*) AS n FROM fx_measurement WHERE code = 'click' GROUP BY annotation_id")
-def item_selection(spark, sf):
-    items = fx(spark, sf, "fx_measurement").groupBy("annotation_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "code", "value"))).alias("items"))
-    chosen = F.filter("items", lambda i: i["code"] == "click")
-    return items.select("annotation_id", F.get(chosen, 0)["value"].alias("first_value"), F.size(chosen).cast("bigint").alias("n")).where("n > 0")
-
-
 @query("lim02_top_per_key", "SELECT slide_id, file_id FROM (SELECT slide_id, file_id, row_number() OVER (PARTITION BY slide_id ORDER BY total_columns DESC, file_id) AS rn FROM fx_header) WHERE rn = 1")
 def top_per_key(spark, sf):
     return fx(spark, sf, "fx_header").groupBy("slide_id").agg(F.max_by("file_id", F.struct(F.col("total_columns"), -F.col("file_id"))).alias("file_id"))
@@ -62,11 +42,6 @@ def tile_order(spark, sf):
     return fx(spark, sf, "fx_sparse_frame").select("slide_id", "frame_no", F.rank().over(Window.partitionBy("slide_id").orderBy("path", "z", "row_pos", "col_pos")).cast("bigint").alias("nth"))
 
 
-@query("srt05_raster_chunks", "SELECT slide_id, frame_no, CAST(floor((row_pos - 1) / 256 / 4) AS BIGINT) AS chunk FROM fx_sparse_frame")
-def raster_chunks(spark, sf):
-    return fx(spark, sf, "fx_sparse_frame").select("slide_id", "frame_no", F.floor(G.sparse_tile(F.col("row_pos"), F.lit(256)) / 4).alias("chunk"))
-
-
 @query("pix12_region_mpp", "SELECT q.request_id, max(l.level) AS level, CAST(trunc(q.w * 0.001E0 / (0.0003E0 * (1 + q.w % 9))) AS BIGINT) AS out_w FROM fx_request q JOIN fx_level l ON l.slide_id = q.slide_id AND l.spacing_x <= 0.0003E0 * (1 + q.w % 9) GROUP BY q.request_id, q.w")
 def region_mpp(spark, sf):
     stored = fx(spark, sf, "fx_level").groupBy("slide_id").agg(F.collect_list(F.struct("spacing_x", "level")).alias("l"))
@@ -80,16 +55,3 @@ def resequenced(spark, sf):
     """Frames that arrive out of order, in the order of the file again."""
     shuffled = fx(spark, sf, "fx_frame_len").repartition(7, F.xxhash64("frame_index"))
     return T.offsets(shuffled, item_header=0).select("identifier", "frame_index", (F.col("offset") + F.col("byte_len")).alias("upto"))
-
-
-@query("geo15_slide_origin", "SELECT request_id, CASE WHEN x % 3 = 0 THEN x * 0.001E0 ELSE x * 0.001E0 - 0.5E0 END AS x FROM fx_request")
-def slide_origin(spark, sf):
-    """A place given from the slide's origin, or from the image's corner."""
-    x = F.col("x") * 0.001
-    return fx(spark, sf, "fx_request").select("request_id", F.when(F.col("x") % 3 == 0, x).otherwise(x - 0.5).alias("x"))
-
-
-@query("str01_accumulated_blocks", "SELECT CAST(floor(tile_x / 2) AS BIGINT) AS tile_x, CAST(floor(tile_y / 2) AS BIGINT) AS tile_y, count(DISTINCT vec_id) AS members FROM fx_pixel GROUP BY 1, 2")
-def accumulated_blocks(spark, sf):
-    """Members of each block that a level's accumulator waits for; see tessera.streaming for the stateful form."""
-    return packed(spark, sf).groupBy(F.floor(F.col("tile_x") / 2).alias("tile_x"), F.floor(F.col("tile_y") / 2).alias("tile_y")).agg(F.count("*").alias("members"))

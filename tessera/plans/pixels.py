@@ -95,23 +95,12 @@ def stitch(spark, sf):
     return sums
 
 
-@query("pix01_read_tile", "SELECT vec_id, CAST(sum(v) AS BIGINT) AS total, CAST(max(CASE WHEN px = 0 AND py = 0 THEN v END) AS BIGINT) AS corner FROM fx_pixel GROUP BY vec_id")
-def read_tile(spark, sf):
-    pixels = unpacked(packed(spark, sf), 8)
-    return pixels.groupBy("vec_id").agg(F.sum("v").alias("total"), F.max(F.when((F.col("px") == 0) & (F.col("py") == 0), F.col("v"))).alias("corner"))
-
-
 @query("pix09_pad", "SELECT vec_id, CAST(sum(v) + 255 * (256 - 64) AS BIGINT) AS total FROM fx_pixel GROUP BY vec_id")
 def pad(spark, sf):
     tiles = P.apply_to_tiles(packed(spark, sf), lambda a: P.pad(a, 16, 16, P.blank_value("RGB")), (8, 8))
     return unpacked(tiles, 16).groupBy("vec_id").agg(F.sum("v").alias("total"))
 
 
-@query("pix13_rotate", "SELECT vec_id, CAST(py AS INT) AS px, CAST(7 - px AS INT) AS py, CAST(v AS BIGINT) AS v FROM fx_pixel")
-def rotate(spark, sf):
-    return unpacked(P.apply_to_tiles(packed(spark, sf), np.rot90, (8, 8)), 8).select("vec_id", "px", "py", "v")
-
-
 @query("pix16_blank", "SELECT file_id, CASE WHEN photometric = 'MONOCHROME2' THEN 0 ELSE 255 END AS blank FROM fx_header")
 def blank(spark, sf):
     return fx(spark, sf, "fx_header").select("file_id", F.when(F.col("photometric") == "MONOCHROME2", 0).otherwise(255).alias("blank"))
