@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,20 +29,26 @@ def split_by_frames(frames: DataFrame, count: int, key: str = "identifier", orde
 def split_by_bytes(frames: DataFrame, most: int, item_header: int = 8, key: str = "identifier", order: str = "frame_index", length: str = "byte_len") -> DataFrame:
     """(key, order, part): greedy, a new part where the next item would go beyond `most`; a part takes one at least.
 
-    The running size starts anew with every part, so no window frame expresses it; an instance's lengths
-    are folded as one array, a few bytes a frame.
+    The running size starts anew with every part, so no window frame expresses it. Frames are dealt out by
+    instance and sorted, and one running size goes through them: linear, and nothing is held.
     """
-    ordered = frames.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, length))).alias("items"))
-    zero = F.struct(F.lit(0).cast("bigint").alias("part"), F.lit(0).cast("bigint").alias("size"), F.array().cast("array<bigint>").alias("parts"))
+    kinds = {f.name: f.dataType.simpleString() for f in frames.schema}
 
-    def step(a: Column, x: Column) -> Column:
-        size = x[length] + item_header
-        new = (a["size"] > 0) & (a["size"] + size > most)
-        part = a["part"] + F.when(new, 1).otherwise(0)
-        return F.struct(part.cast("bigint").alias("part"), F.when(new, size).otherwise(a["size"] + size).cast("bigint").alias("size"), F.array_append(a["parts"], part.cast("bigint")).alias("parts"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, part, held = None, 0, 0
+        for batch in batches:
+            out = []
+            for k, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                size = n + item_header
+                if k != now:
+                    now, part, held = k, 0, 0
+                elif held + size > most:
+                    part, held = part + 1, 0
+                held += size
+                out.append(part)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], names=[key, order, "part"])
 
-    folded = ordered.withColumn("parts", F.aggregate("items", zero, step, lambda a: a["parts"]))
-    return folded.select(key, F.explode(F.arrays_zip("items", "parts")).alias("z")).select(key, F.col(f"z.items.{order}").alias(order), F.col("z.parts").alias("part"))
+    return frames.select(key, order, length).repartition(key).sortWithinPartitions(key, order).mapInArrow(run, f"{key} {kinds[key]}, {order} {kinds[order]}, part long")
 
 
 def select_levels(levels: DataFrame, positions: list[int] | None) -> DataFrame:
@@ -58,10 +67,3 @@ def plan_levels(wanted: DataFrame, stored: DataFrame) -> DataFrame:
     rows = wanted.join(have, "slide_id", "left")
     source = F.array_max(F.filter("have", lambda h: h <= F.col("level")))
     return rows.select("slide_id", "level", source.alias("source"), (source == F.col("level")).alias("read"))
-
-
-def equally_spaced(planes: DataFrame, key: str, z: str, threshold: float = 1e-6) -> DataFrame:
-    """Whether the planes of a key lie at equal distances."""
-    w = Window.partitionBy(key).orderBy(z)
-    steps = planes.withColumn("step", F.col(z) - F.lag(z).over(w))
-    return steps.groupBy(key).agg((F.coalesce(F.max("step") - F.min("step"), F.lit(0.0)) <= threshold).alias("equal"))

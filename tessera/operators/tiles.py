@@ -52,9 +52,19 @@ def last_frame(frames: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def file_of_frame(frames: DataFrame, files: DataFrame) -> DataFrame:
-    """The part file that holds each frame: parts of an identifier follow each other without gaps."""
-    hit = (F.col("frame_index") >= F.col("frame_offset")) & (F.col("frame_index") < F.col("frame_offset") + F.col("n_frames"))
-    return frames.join(files, "identifier").where(hit)
+    """The part file that holds each frame; parts of an identifier follow each other without gaps.
+
+    A frame's file is the last one that begins at it or before it: both go through one sort by position,
+    instead of a join that pairs every frame with every part.
+    """
+    rest = [c for c in files.columns if c != "identifier"]
+    kinds = {f.name: f.dataType for f in files.schema}
+    own = [c for c in frames.columns if c != "identifier"]
+    parts = files.select("identifier", F.col("frame_offset").alias("_at"), F.lit(0).alias("_turn"), F.struct(*rest).alias("_file"), F.lit(None).cast(frames.select(F.struct(*own).alias("x")).schema["x"].dataType).alias("_frame"))
+    asked = frames.select("identifier", F.col("frame_index").alias("_at"), F.lit(1).alias("_turn"), F.lit(None).cast(parts.schema["_file"].dataType).alias("_file"), F.struct(*own).alias("_frame"))
+    so_far = Window.partitionBy("identifier").orderBy("_at", "_turn").rowsBetween(Window.unboundedPreceding, 0)
+    rows = parts.unionByName(asked).withColumn("_file", F.last("_file", ignorenulls=True).over(so_far)).where("_turn = 1 and _at < _file.frame_offset + _file.n_frames")
+    return rows.select("identifier", "_frame.*", *[F.col(f"_file.{c}").cast(kinds[c]).alias(c) for c in rest])
 
 
 def offsets(frames: DataFrame, key: str = "identifier", index: str = "frame_index", length: str = "byte_len", item_header: int = 8) -> DataFrame:

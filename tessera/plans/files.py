@@ -19,7 +19,7 @@ from tessera.plans.registry import query
 from tessera.sources import annotations as A
 from tessera.sources import dicom
 from tessera.sources.plugin import ArraySlides
-from tessera.sources.sinks import prepare_folder, save_slides
+from tessera.sources.sinks import NotEmpty, prepare_folder, save_slides
 
 
 def _folder(spark) -> str:
@@ -208,19 +208,34 @@ def native_padding(spark, sf):
     return spark.createDataFrame(rows, "n int, length long")
 
 
-@query("snk25_implicit_file", "SELECT CAST(s_suppkey AS VARCHAR) AS uid, s_name AS label, s_acctbal AS value FROM supplier WHERE s_suppkey < 0")
-def implicit_file(spark, sf):
-    """Nothing is left of a dataset that was written as implicit and read again, but for what was written."""
+@query("snk25_dataset_forms", "SELECT k AS form, true AS same FROM (SELECT unnest(['implicit', 'undefined', 'implicit undefined', 'explicit']) AS k)")
+def dataset_forms(spark, sf):
+    """Datasets written with and without value representations, with and without lengths of sequences: read again they are the same."""
     folder = prepare_folder(_folder(spark))
-    wrong = []
-    for k, (syntax, undefined) in enumerate(((dicom.IMPLICIT, False), (dicom.EXPLICIT, True), (dicom.IMPLICIT, True))):
+    out = []
+    for k, (name, syntax, undefined) in enumerate((("implicit", dicom.IMPLICIT, False), ("undefined", dicom.EXPLICIT, True), ("implicit undefined", dicom.IMPLICIT, True), ("explicit", dicom.EXPLICIT, False))):
         values = {"SOPClassUID": dicom.SLIDE_CLASS, "SOPInstanceUID": "1.2", "Rows": 7, "PixelSpacing": [0.5, 0.25], "SharedFunctionalGroupsSequence": [{"PixelMeasuresSequence": [{"SliceThickness": 0.001}, {}]}], "FrameOfReferenceUID": "1.2.33"}
         dicom.write_dataset(f"{folder}/{k}", values, syntax, undefined)
         with dicom.open_stream(f"{folder}/{k}") as f:
             got = dicom.read_header(f)
-        if got.values != values or got.syntax != syntax:
-            wrong.append((str(k), syntax, 0.0))
-    return spark.createDataFrame(wrong, "uid string, label string, value double")
+        out.append((name, got.values == values and got.syntax == syntax))
+    return spark.createDataFrame(out, "form string, same boolean")
+
+
+@query("snk02_output_folder", "SELECT * FROM (VALUES ('new', false), ('empty', false), ('full', true)) v(folder, refused)")
+def output_folder(spark, sf):
+    """A folder is made if it isn't there; one that has files is refused."""
+    new = _folder(spark)
+    out = []
+    for name, path in (("new", new), ("empty", new), ("full", new)):
+        if name == "full":
+            dicom.write_manifest(f"{new}/DICOMDIR", [])
+        try:
+            prepare_folder(path)
+            out.append((name, False))
+        except NotEmpty:
+            out.append((name, True))
+    return spark.createDataFrame(out, "folder string, refused boolean")
 
 
 @query("src02_path_resolution", "SELECT CAST(7 AS BIGINT) AS folder, CAST(1 AS BIGINT) AS one, CAST(7 AS BIGINT) AS pattern")

@@ -120,13 +120,17 @@ def rle_round_trip(spark, sf):
 
 @query("pix06_downsample")
 def downsample(spark, sf):
-    """Every tile to 3x5 by each filter."""
-    out = None
-    for name in P.SUPPORT:
-        small = unpacked(P.apply_to_tiles(packed(spark, sf), lambda a, n=name: P.resample(a, 3, 5, n), (8, 8)), 5)
-        part = small.groupBy("vec_id").agg(F.sum("v").alias("total")).withColumn("filter", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Every tile to 3x5 by each filter: one pass, six sums a tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = list(P.SUPPORT)
+        for batch in batches:
+            tiles = [np.frombuffer(d, np.uint8).reshape(8, 8) for d in batch.column(1).to_pylist()]
+            totals = [int(P.resample(t, 3, 5, n).sum()) for t in tiles for n in names]
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(tiles)), len(names))))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(totals, pa.int64()), pa.array(names * len(tiles), pa.string())], names=["vec_id", "total", "filter"])
+
+    return packed(spark, sf).select("vec_id", "data").mapInArrow(run, "vec_id long, total long, filter string")
 
 
 @query("pix06_nearest", "SELECT vec_id, CAST(sum(v) AS BIGINT) AS total FROM fx_pixel WHERE px IN (1, 3, 5, 7) AND py IN (1, 3, 5, 7) GROUP BY vec_id")

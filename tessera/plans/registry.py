@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
-from tessera.plans import annotations, catalog, codecs, files, geometry, headers, layout, metadata, more, pixels, records, samples, shapes, specimens  # noqa: E402, F401
+from tessera.plans import annotations, catalog, codecs, files, geometry, headers, layout, metadata, more, pixels, records, samples, shapes, specimens, web  # noqa: E402, F401

@@ -2,7 +2,8 @@
 
 `dicomweb` gives one header row an instance; equality filters on series_uid, sop_class and modality go
 to the server as query parameters, and every other filter stays with Spark. A filter that the server
-rejects is dropped and applied to its answer instead. `dicomwebframes` gives one row a frame, fetched in
+rejects is dropped and applied to its answer instead; an optional field that it doesn't know isn't asked
+for again. Which one it is the server says, or is found by leaving out one after the other. `dicomwebframes` gives one row a frame, fetched in
 batches. Each instance is a partition.
 """
 
@@ -23,6 +24,8 @@ from tessera.sources import dicom
 #: Keywords of the query parameters and tags of the answers.
 PARAMETERS = {"series_uid": "SeriesInstanceUID", "sop_class": "SOPClassUID", "modality": "Modality"}
 COLUMNS = {"series_uid": "0020000E", "sop_class": "00080016", "modality": "00080060"}
+#: Fixed value: fields that are asked for and that a server may not know.
+OPTIONAL = ("AvailableTransferSyntaxUID",)
 HEADER = "study_uid string, series_uid string, sop_instance_uid string, sop_class string, modality string, n_frames long, tile_rows int, tile_columns int, syntaxes array<string>"
 FRAME = "sop_instance_uid string, frame_index long, data binary"
 
@@ -37,20 +40,35 @@ def _value(item: dict, tag: str, default=None):
     return got[0] if got else default
 
 
+def _without(sent: dict[str, str], fields: list[str], error: str) -> Iterator[tuple[dict[str, str], list[str]]]:
+    """What to ask instead: without the filter or field that the server names, else without any one of them."""
+    named = [k for k in sent if PARAMETERS[k] in error], [f for f in fields if f in error]
+    for k in named[0] or ([] if named[1] else list(sent)):
+        yield {x: v for x, v in sent.items() if x != k}, fields
+    for f in named[1] or ([] if named[0] else fields):
+        yield sent, [x for x in fields if x != f]
+
+
 def search(url: str, study: str, filters: dict[str, str]) -> list[dict]:
-    """Instances of a study; filters that the server rejects are applied here."""
-    sent = dict(filters)
-    while True:
-        query = urllib.parse.urlencode({PARAMETERS[k]: v for k, v in sent.items()})
+    """Instances of a study that the filters let through."""
+
+    def ask(sent: dict[str, str], fields: list[str]) -> list[dict]:
+        query = urllib.parse.urlencode([*((PARAMETERS[k], v) for k, v in sent.items()), *(("includefield", f) for f in fields)])
         try:
             raw, _ = _get(f"{url}/studies/{study}/instances" + (f"?{query}" if query else ""), "application/dicom+json")
-            break
         except urllib.error.HTTPError as e:
-            if e.code != 400 or not sent:
+            if e.code != 400:
                 raise
-            sent.popitem()
-    found = json.loads(raw or b"[]")
-    return [i for i in found if all(_value(i, COLUMNS[k]) == v for k, v in filters.items())]
+            for fewer in _without(sent, fields, e.read().decode("utf-8", "replace")):
+                try:
+                    return ask(*fewer)
+                except urllib.error.HTTPError as other:
+                    if other.code != 400:
+                        raise
+            raise
+        return json.loads(raw or b"[]")
+
+    return [i for i in ask(dict(filters), list(OPTIONAL)) if all(_value(i, COLUMNS[k]) == v for k, v in filters.items())]
 
 
 def parts_of(body: bytes, content_type: str) -> list[bytes]:

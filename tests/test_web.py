@@ -27,6 +27,15 @@ class Server(BaseHTTPRequestHandler):
             ASKED.append("rejected")
             self.send_error(400)
             return
+        if "SOPClassUID" in query or "includefield" in query and parts[0] == "strict":  # this one says what it doesn't know
+            name = "SOPClassUID" if "SOPClassUID" in query else query["includefield"][0]
+            ASKED.append(f"no {name}")
+            body = f"unknown attribute: {name}".encode()
+            self.send_response(400)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+            return
         if parts[-1] == "instances":
             ASKED.append(url.query)
             body = json.dumps([i for i in map(item, range(4)) if query.get("SeriesInstanceUID", [i["0020000E"]["Value"][0]]) == i["0020000E"]["Value"]]).encode()
@@ -56,7 +65,7 @@ def test_headers_and_pushed_filter(spark, url):
     ASKED.clear()
     got = rows.where("series_uid = '1.1' and tile_rows > 1").collect()
     assert {r.sop_instance_uid for r in got} == {"2.1", "2.3"} and got[0].n_frames == 3
-    assert "SeriesInstanceUID=1.1" in ASKED
+    assert any("SeriesInstanceUID=1.1" in a for a in ASKED)
 
 
 def test_rejected_filter_is_applied_locally(url):
@@ -76,3 +85,15 @@ def test_negotiation():
     assert dicomweb.negotiate(["a", "b"], ["b", "c"], None) == "b"
     assert dicomweb.negotiate(["a"], ["b"], None) is None
     assert dicomweb.negotiate(["a", "b"], None, lambda s: s == "b") == "b"
+
+
+def test_the_rejected_filter_or_field_goes(url):
+    """Only what the server names is dropped; the other filters are sent again, and the dropped one is applied here."""
+    ASKED.clear()
+    found = dicomweb.search(f"{url}/strict", "9", {"series_uid": "1.1", "sop_class": "slide"})
+    assert [i["00080018"]["Value"][0] for i in found] == ["2.1", "2.3"]
+    assert ASKED[:2] == ["no SOPClassUID", "no AvailableTransferSyntaxUID"] and ASKED[-1] == "SeriesInstanceUID=1.1"
+    assert dicomweb.search(f"{url}/strict", "9", {"series_uid": "1.1", "sop_class": "other"}) == []
+    ASKED.clear()
+    assert len(dicomweb.search(url, "9", {"modality": "SM", "series_uid": "1.0"})) == 2  # it doesn't say which one
+    assert ASKED[0] == "rejected" and any("SeriesInstanceUID=1.0" in a for a in ASKED)
