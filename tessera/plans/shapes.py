@@ -14,13 +14,13 @@ from tessera.plans.registry import query
 _PLACED = "SELECT q.request_id, q.x, q.y, q.w, q.h, l.spacing_x, l.spacing_x * 1.5E0 AS spacing_y, l.width, l.height FROM fx_request q JOIN fx_level l ON l.slide_id = q.slide_id AND l.level = q.level"
 
 
-@query("geo04_point_mm", """SELECT request_id, round(x * 0.5E0 + 1.25E0, 6) AS plus_x, round(y * 0.25E0 - 0.75E0, 6) AS minus_y, round(x * 0.5E0 * 3, 6) AS times_x, round(y * 0.25E0 / 4, 6) AS over_y, CAST(trunc(x * 0.5E0 / 0.3E0) AS BIGINT) AS steps_x, CAST(trunc(-(y * 0.25E0) / 0.2E0) AS BIGINT) AS steps_y, round(-(x * 0.5E0), 6) AS minus FROM fx_request""")
+@query("geo04_point_mm", """SELECT request_id, round(x * 0.5E0 + 1.25E0, 6) AS plus_x, round(y * 0.25E0 - 0.75E0, 6) AS minus_y, round(x * 0.5E0 * 3, 6) AS times_x, round(y * 0.25E0 / 4, 6) AS over_y, CAST(trunc(x * 0.5E0 / 0.3E0) AS BIGINT) AS steps_x, CAST(trunc(-(y * 0.25E0) / 0.2E0) AS BIGINT) AS steps_y, round(0 - x * 0.5E0, 6) AS minus FROM fx_request""")
 def point_mm(spark, sf):
     """Places in millimetres: sums and differences with points, products and quotients with numbers, whole steps of a spacing, the opposite."""
     x, y = F.col("x") * 0.5, F.col("y") * 0.25
     return fx(spark, sf, "fx_request").select(
         "request_id", F.round(x + 1.25, 6).alias("plus_x"), F.round(y - 0.75, 6).alias("minus_y"), F.round(x * 3, 6).alias("times_x"), F.round(y / 4, 6).alias("over_y"),
-        G.truncate(x / 0.3).alias("steps_x"), G.truncate(-y / 0.2).alias("steps_y"), F.round(-x, 6).alias("minus"),
+        G.truncate(x / 0.3).alias("steps_x"), G.truncate(-y / 0.2).alias("steps_y"), F.round(0 - x, 6).alias("minus"),
     )
 
 
