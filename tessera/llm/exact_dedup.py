@@ -2,14 +2,16 @@
 
 Each task fills a memtable, a map from normalised text to the identifiers that have it. A full
 memtable is flushed as a run: entries (digest, identifiers) in digest order. Because the map's keys
-are the texts, two texts share an entry only if their bytes are equal. Compaction merges all runs by
-digest and keeps one identifier, the smallest in the chosen order. A digest with entries in more than
-one place is a hit; a fixed-size Bloom filter of the hits lets a second scan send only the texts that
+are the texts, two texts share an entry only if their bytes are equal. Compaction deals the runs out by
+digest and merges them: entries come in digest order, those of one digest become one, and the smallest
+identifier in the chosen order stays; nothing is held but the entry at hand. A merged entry that several
+runs had is a hit; the hits' filter, sized by their number, lets a second scan send only the texts that
 need it, once per memtable, to a comparison of bytes. Digests whose texts turn out to differ are
 resolved by the texts themselves.
 
 Only digests and identifiers are shuffled, besides the texts of hits. A group of copies, however
-large, is one entry per memtable, so no task gets its rows together.
+large, is one entry per memtable, so no task gets its rows together. The filter grows with the hits up to
+`most_bits`; beyond that it lets more texts through than need be, and the result is the same.
 
 Defined results: a null text counts as empty; a null identifier counts as the last choice to stay;
 of rows that repeat both identifier and text, exactly one stays; an empty table gives no rows; other
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
@@ -138,40 +140,77 @@ def _hit_texts(docs: DataFrame, hits: bytes, bits: int, cut: int, memtable_bytes
     return docs.mapInArrow(K.lean(probe), "digest binary, body binary")
 
 
-def _winner(keep: str) -> Column:
-    """Aggregate: the entry whose identifier stays. Null identifiers lose to all others."""
-    if keep == "max":
-        return F.max(F.struct(F.col("best"), F.col("run")))
-    least = F.min(F.struct(F.col("best").isNull().alias("none"), F.col("best"), F.col("run")))
-    return F.struct(least["best"].alias("best"), least["run"].alias("run"))
+def filter_bits(keys: DataFrame, most: int) -> int:
+    """Bits of a filter that lets few others than the keys through: 16 a key, a power of two, up to a bound."""
+    return min(most, 1 << max(15, (16 * keys.count() - 1).bit_length()))
+
 
+def _better(keep: str):
+    """Order of the entries of a digest: the least one's identifier stays. Null identifiers lose to all others."""
+    if keep == "max":
+        return lambda best, run: (best is None, 0 if best is None else -best, run)
+    return lambda best, run: (best is None, 0 if best is None else best, run)
+
+
+def _merged(runs: DataFrame, keep: str, by: list[str]) -> DataFrame:
+    """(by ..., winner, group_size, entries): the runs' entries of each key as one, by a merge in key order."""
+    better, n = _better(keep), len(by)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, None  # the key at hand, and [order, best, run, rows, entries]
+        out: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            keys = [pa.array([k[i] for k, _ in out], pa.binary()) for i in range(n)]
+            rest = [pa.array([h[i] for _, h in out], t) for i, t in ((1, pa.int64()), (2, pa.string()), (3, pa.int64()), (4, pa.int64()))]
+            return pa.RecordBatch.from_arrays([*keys, *rest], names=[*by, "best", "run", "group_size", "entries"])
+
+        for rows in batches:
+            for *key, best, run, size in zip(*[rows.column(i).to_pylist() for i in range(n + 3)], strict=True):
+                order = better(best, run)
+                if key != now:
+                    if held:
+                        out.append((now, held))
+                        if len(out) >= 10_000:
+                            yield batch()
+                            out.clear()
+                    now, held = key, [order, best, run, size, 1]
+                else:
+                    held[3] += size
+                    held[4] += 1
+                    if order < held[0]:
+                        held[:3] = order, best, run
+        if held:
+            out.append((now, held))
+        yield batch()
 
-def _by_bytes(docs: DataFrame, digests: DataFrame, keep: str, cut: int, memtable_bytes: int) -> DataFrame:
-    """Entries of the few digests that different texts share, keyed by the text's own sha as well."""
-    return _runs(docs, keep, cut, memtable_bytes).join(digests, "digest", "left_semi")
+    dealt = runs.select(*by, "best", "run", F.size("ids").cast("long").alias("size")).repartition(*by).sortWithinPartitions(*by)
+    merged = dealt.mapInArrow(K.lean(merge), ", ".join([*(f"{c} binary" for c in by), "best long, run string, group_size long, entries long"]))
+    return merged.select(*by, F.struct("best", "run").alias("winner"), "group_size", "entries")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, keep: str = "min", digest_bytes: int = 32, memtable_bytes: int = 32 << 20, filter_bits: int = 1 << 23) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, keep: str = "min", digest_bytes: int = 32, memtable_bytes: int = 32 << 20, most_bits: int = 1 << 29) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, sha (of the normalised text).
 
     keep: "min" or "max", which identifier of a group stays. digest_bytes: bytes of the digest that
     the index is keyed by; fewer than 32 only make collisions likelier, which the comparison of bytes
-    catches. memtable_bytes bounds a task's map, filter_bits the filter sent to all tasks.
+    catches. memtable_bytes bounds a task's map, most_bits the filter sent to all tasks.
     """
     if keep not in ("min", "max"):
         raise ValueError(f"keep is min or max, not {keep!r}")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"))
     runs = shared.table(_runs(rows, keep, digest_bytes, memtable_bytes), "runs")
-    index = shared.table(runs.groupBy("digest").agg(_winner(keep).alias("winner"), F.sum(F.size("ids")).alias("group_size"), F.count("*").alias("entries")), "index")
+    index = shared.table(_merged(runs, keep, ["digest"]), "index")
     hits = index.where("entries > 1").select("digest")
-    texts = _hit_texts(rows, bloom(hits, filter_bits), filter_bits, digest_bytes, memtable_bytes).distinct()
+    bits = filter_bits(hits, most_bits)
+    texts = _hit_texts(rows, bloom(hits, bits), bits, digest_bytes, memtable_bytes).distinct()
     clash = shared.table(texts.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), "clash")
     if clash.isEmpty():
-        judged = runs.join(index, "digest")
+        judged = runs.join(index.drop("entries"), "digest")
     else:
         apart = shared.table(runs.join(clash, "digest", "left_semi").join(_sha_bodies(rows, clash, digest_bytes), "sha"), "apart")
-        by_text = apart.groupBy("digest", "body").agg(_winner(keep).alias("winner"), F.sum(F.size("ids")).alias("group_size"))
+        by_text = _merged(apart, keep, ["digest", "body"]).drop("entries")
         judged = (
             runs.join(clash, "digest", "left_anti").join(index.drop("entries"), "digest")
             .unionByName(apart.join(by_text, ["digest", "body"]).drop("body"))

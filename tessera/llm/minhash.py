@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tessera.llm import kernels as K
 from tessera.llm import shared
 from tessera.llm.components import components
-from tessera.llm.exact_dedup import bloom, _positions
+from tessera.llm.exact_dedup import _positions, bloom, filter_bits
 
 _BLOCK = 2048
 _BEST = 4
@@ -150,8 +150,9 @@ def _apart(x: str, y: str, plan: Plan) -> Column:
     return F.aggregate(F.zip_with(x, y, differ), F.lit(0), lambda a, v: a + v)
 
 
-def _bodies(docs: DataFrame, wanted: DataFrame, plan: Plan, bits: int) -> DataFrame:
-    """(klass, body) of the wanted classes, one text each; the filter lets a few others through."""
+def _bodies(docs: DataFrame, wanted: DataFrame, plan: Plan, most_bits: int) -> DataFrame:
+    """(klass, body) of the wanted classes, one text each; the filter, sized by them, lets a few others through."""
+    bits = filter_bits(wanted, most_bits)
     sent = docs.sparkSession.sparkContext.broadcast(bloom(wanted, bits))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,12 +333,12 @@ def _linked(labels: DataFrame, links: DataFrame) -> DataFrame:
     return components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
 
 
-def _rest(members: DataFrame, nodes: DataFrame, labels: DataFrame, texts: DataFrame, plan: Plan, filter_bits: int) -> DataFrame:
+def _rest(members: DataFrame, nodes: DataFrame, labels: DataFrame, texts: DataFrame, plan: Plan, most_bits: int) -> DataFrame:
     """labels with the links among what the first round left open."""
     rows = shared.table(_labelled(members, labels), "open")
     if rows.isEmpty():
         return labels
-    bodies = shared.table(_bodies(texts, rows.select("klass").distinct(), plan, filter_bits), "bodies")
+    bodies = shared.table(_bodies(texts, rows.select("klass").distinct(), plan, most_bits), "bodies")
     size_class = F.floor(F.log(F.col("n")) / math.log(100 / plan.percent)).cast("long")
     sized = shared.table(_long_signatures(bodies, plan).join(nodes.select("klass", "n", "bands"), "klass").withColumn("size_class", size_class), "sized")
     shared.rest(texts.sparkSession)
@@ -346,12 +347,13 @@ def _rest(members: DataFrame, nodes: DataFrame, labels: DataFrame, texts: DataFr
     return _linked(labels, _confirmed(_open_pairs(rows, sized, plan, None), bodies, plan))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80, rows: int = 6, bits: int = 2, miss: float = 1e-6, filter_bits: int = 1 << 23) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80, rows: int = 6, bits: int = 2, miss: float = 1e-6, most_bits: int = 1 << 29) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Texts are linked if 100 * common >= percent * union of their sets of lower-cased (A-Z) word
     shingles. rows: minima in a band; bits: low bits kept of each minimum; miss: accepted chance to miss
-    a pair at the threshold, for the bands and for the estimate. kept: doc_id is component_id.
+    a pair at the threshold, for the bands and for the estimate; most_bits: bound of the filters of
+    candidates that are sent to all tasks (beyond it more texts are sent than need be). kept: doc_id is component_id.
     """
     plan = Plan(shingle, percent, rows, bits, miss)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"))
@@ -362,8 +364,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = shared.table(spread.join(buckets.select("key", "center"), "key"), "members")
     stars = members.where("klass <> center").select(F.col("klass").alias("a"), F.col("center").alias("b")).distinct()
     stars = shared.table(_estimated(stars, nodes, plan), "stars")
-    labels = components(_confirmed(stars, shared.table(_bodies(texts, _ends(stars), plan, filter_bits), "bodies"), plan))
-    labels = _rest(members, nodes, labels, texts, plan, filter_bits)
+    labels = components(_confirmed(stars, shared.table(_bodies(texts, _ends(stars), plan, most_bits), "bodies"), plan))
+    labels = _rest(members, nodes, labels, texts, plan, most_bits)
     grouped = nodes.select("klass", "first_id").join(labels.withColumnRenamed("node", "klass"), "klass", "left").select("klass", "first_id", F.coalesce("component", "klass").alias("component"))
     least = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = grouped.join(least, "component").select("klass", "component_id")

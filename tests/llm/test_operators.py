@@ -37,7 +37,7 @@ def prose(n, seed=3, size=40):
 @pytest.mark.parametrize("keep", ["min", "max"])
 @pytest.mark.parametrize("digest_bytes", [32, 1])
 def test_exact_dedup(docs, keep, digest_bytes):
-    rows = exact_dedup(docs, keep=keep, digest_bytes=digest_bytes, memtable_bytes=2000, filter_bits=1 << 12).collect()
+    rows = exact_dedup(docs, keep=keep, digest_bytes=digest_bytes, memtable_bytes=2000, most_bits=1 << 12).collect()
     assert len(rows) == N
     groups = defaultdict(list)
     for i, t, *_ in awkward():
@@ -56,7 +56,7 @@ def test_exact_dedup(docs, keep, digest_bytes):
 def test_exact_dedup_many_collisions(spark):
     texts = [f"text {i % 400}" for i in range(1000)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    rows = exact_dedup(df, digest_bytes=1, memtable_bytes=5000, filter_bits=1 << 12).collect()
+    rows = exact_dedup(df, digest_bytes=1, memtable_bytes=5000, most_bits=1 << 12).collect()
     assert {r.doc_id for r in rows if r.kept} == set(range(400))
     assert all(r.keep_id == r.doc_id % 400 for r in rows)
 
