@@ -137,3 +137,20 @@ def downsample(spark, sf):
 def nearest(spark, sf):
     small = unpacked(P.apply_to_tiles(packed(spark, sf), lambda a: P.resample(a, 4, 4, "nearest"), (8, 8)), 4)
     return small.groupBy("vec_id").agg(F.sum("v").alias("total"))
+
+
+@query("pix07_kernel_choice", "SELECT f AS filter, n AS size, CASE WHEN f = 'nearest' AND 8 % n = 0 THEN 'stride' WHEN f = 'box' AND 8 % n = 0 THEN 'blocks' ELSE 'weights' END AS kernel, count(*) AS tiles, true AS same FROM embeddings, (SELECT unnest(['nearest', 'box', 'bilinear', 'hamming', 'bicubic', 'lanczos']) AS f), (SELECT unnest([2, 3, 4]) AS n) GROUP BY ALL")
+def kernel_choice(spark, sf):
+    """The kernel that shrinks a tile, by filter and size, and whether it gives what the weights give."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for d in batch.column(1).to_pylist():
+                tile = np.frombuffer(d, np.uint8).reshape(8, 8)
+                rows += [(f, n, P.kernel(f, 8, n), bool(np.array_equal(P.shrink(tile, n, n, f), P.resample(tile, n, n, f)))) for f in P.SUPPORT for n in (2, 3, 4)]
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["filter", "size", "kernel", "same"])
+
+    out = packed(spark, sf).select("vec_id", "data").mapInArrow(run, "filter string, size int, kernel string, same boolean")
+    return out.groupBy("filter", "size", "kernel").agg(F.count("*").alias("tiles"), F.bool_and("same").alias("same"))
