@@ -610,3 +610,61 @@ def test_toxicity_against_brute_force(spark):
     for i, t in rows:
         assert abs(got[i] - 1 / (1 + exp(-(beta[0] * log1p(evidence(word(t))) + beta[1])))) < 1e-6
     assert got[902] > got[903] > got[901]
+
+
+def test_quality_against_brute_force(spark):
+    """The whole query from dictionaries of n-grams: two models, log-ratios, the cut, noise, and the k largest keys."""
+    from math import log
+
+    from tessera.llm.quality import gumbel
+
+    buckets, seed = 1 << 22, 29
+    good = prose(60, seed=41, size=14)
+    rows = [(i, t.capitalize() + "." if i % 3 else f"{t.split()[0].upper()}!! " * 9 + "7 7") for i, t in enumerate(good)] + [(900, "Stone1, stone1 and THE river 42!"), (901, "..."), (902, None), (903, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(45)], "doc_id long, quality int")
+    half = {r.doc_id: r.h for r in df.selectExpr("doc_id", "pmod(xxhash64(coalesce(text, '')), 2) = 0 as h").collect()}
+
+    def grams(text):
+        tokens = re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+|[^0-9A-Za-z\x80-\U0010ffff\x20\x09-\x0d]+", text or "")
+        out, before, shape_before, word_before, words_ = [], None, None, None, 0
+        for t in tokens:
+            low = t.translate(LOWER)
+            is_word = bool(re.match(r"[0-9A-Za-z\x80-\U0010ffff]", t))
+            ups = sum("A" <= c <= "Z" for c in t)
+            shape = (4 if re.search("[0-9]", t) else 3 if ups >= 2 and 2 * ups > len(t.encode()) else 2 if ups else 1) if is_word else low
+            same = is_word and word_before == low
+            out += [(1, "same" if same else low), (2, "same") if same else (2, before, low), (3, shape_before, shape)]
+            before, shape_before = low, shape
+            if is_word:
+                word_before = low
+                words_ += 1
+        return out if words_ else out, words_
+
+    of = {i: grams(t) for i, t in rows}
+    raw = Counter(g for g, _ in of.values() for g in g)
+    picked = [i for i in range(45) if half[i] and i % 3]
+    target = Counter(g for i in picked for g in of[i][0])
+    whole = sum(raw.values()) + 0.5 * buckets
+
+    def ratio(g):
+        p = (raw[g] + 0.5) / whole
+        return log((target[g] + 2 * buckets * p) / (sum(target.values()) + 2 * buckets) / p)
+
+    mean = {i: sum(map(ratio, g)) / max(len(g), 1) for i, (g, w) in of.items()}
+    seen = sorted((mean[i], i % 3 > 0) for i in range(45) if not half[i])
+    n_good = sum(y for _, y in seen)
+    loss = [sum(4 / n_good for _, y in seen[:c] if y) + sum(1 / (len(seen) - n_good) for _, y in seen[c:] if not y) for c in range(len(seen) + 1)]
+    best = [c for c in range(len(loss)) if loss[c] <= min(loss) + 1e-12]
+    c = best[len(best) // 2]
+    cut = (seen[max(c - 1, 0)][0] + seen[min(c, len(seen) - 1)][0]) / 2
+    n = {i: len(g) if w else 0 for i, (g, w) in of.items()}
+    weight = {i: n[i] * (mean[i] - cut) for i in of}
+    noise = dict(zip(of, gumbel(np.array(list(of), np.int64).view(np.uint64), seed).tolist(), strict=True))
+    some = [i for i in of if n[i]]
+    k = sum(weight[i] >= 0 for i in some)
+    kept = set(sorted(some, key=lambda i: -weight[i] - noise[i])[:k])
+    got = {r.doc_id: r for r in quality(df, labels, buckets=buckets, seed=seed).collect()}
+    assert {i: r.n_grams for i, r in got.items()} == n
+    assert all(abs(got[i].log_weight - weight[i]) < 1e-6 * (1 + abs(weight[i])) for i in some)
+    assert {i for i, r in got.items() if r.kept} == kept and 0 < k < len(some)
