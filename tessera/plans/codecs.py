@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import codecs as C
@@ -32,7 +33,7 @@ def _stored(spark, sf, syntax: str, **options):
 
 def _pixels(frames, syntax: str, keep: list[str], rows: int = 8, columns: int = 8, samples: int = 1, bits: int = 8, photometric: str = "MONOCHROME2"):
     """(keep ..., px, py, v) of every pixel of the frames (keep ..., data)."""
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in frames.schema if f.name in keep), "px int, py int, v long"])
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in frames.select(*keep).schema), "px int, py int, v long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,3 +263,30 @@ def level_writer(spark, sf):
         tiles = quarters.mapInArrow(join, "slide long, tile_x long, tile_y long, data binary")
         across = -(-across // 2)
     return out
+
+
+@query("pix12_region_mpp", f"""WITH b AS (SELECT * FROM ({_IMAGE}) WHERE gx >= 16 AND gx < 80 AND gy >= 8 AND gy < 40)
+SELECT identifier, CAST(gx // 2 - 8 AS BIGINT) AS x, CAST(gy // 2 - 4 AS BIGINT) AS y, CAST((sum(v) + 2) // 4 AS BIGINT) AS v FROM b GROUP BY identifier, gx // 2, gy // 2""")
+def region_mpp(spark, sf):
+    """A region at twice the spacing that is stored: from the closest finer level, its size divided by the spacing."""
+    stored, wanted = 0.25, 0.5  # micrometres a pixel
+    factor = int(wanted / stored)
+    x, y, w, h = 16, 8, 64, 32
+    inside = (F.col("gx") >= x) & (F.col("gx") < x + w) & (F.col("gy") >= y) & (F.col("gy") < y + h)
+    shrunk = [F.floor(F.col(c) / factor) for c in ("gx", "gy")]
+    sums = _whole_images(spark, sf).where(inside).groupBy("identifier", shrunk[0].alias("x"), shrunk[1].alias("y")).agg(F.sum("v").alias("v"))
+    return sums.select("identifier", (F.col("x") - x // factor).alias("x"), (F.col("y") - y // factor).alias("y"), F.floor((F.col("v") + factor * factor // 2) / (factor * factor)).alias("v"))
+
+
+@query("pix17_tile_order", f"SELECT {_IDENTIFIER} AS identifier, CAST(floor(vec_id / 7) AS BIGINT) AS nth, CAST(sum(v) AS BIGINT) AS total FROM fx_pixel GROUP BY ALL")
+def tile_order(spark, sf):
+    """Decoded tiles of each slide in order of path, plane, row and column, from files whose frames are in another order."""
+    frames = _slides(spark, sf).select("slide", "tiles_x", "data", (F.col("frame_index") % 10).alias("tile_x"), F.floor(F.col("frame_index") / 10).alias("tile_y"))
+    turned = F.row_number().over(Window.partitionBy("slide").orderBy(F.desc("tile_x"), "tile_y")) - 1
+    folder = _folder(spark)
+    save_slides(frames.withColumn("frame_index", turned.cast("bigint")), folder, tile=8, columns="tiles_x", sparse=True).count()
+    dicom.register(spark)
+    read = spark.read.format("dicomframes").load(folder)
+    sums = _pixels(read, C.EXPLICIT, ["identifier", "optical_path", "z", "tile_y", "tile_x"]).groupBy("identifier", "optical_path", "z", "tile_y", "tile_x").agg(F.sum("v").alias("total"))
+    nth = F.row_number().over(Window.partitionBy("identifier").orderBy("optical_path", "z", "tile_y", "tile_x")) - 1
+    return sums.select("identifier", nth.cast("bigint").alias("nth"), "total")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import layout as L
+from tessera.operators import tiles as T
 from tessera.plans.fixtures import fx
 from tessera.plans.registry import query
 
@@ -64,3 +65,11 @@ def running_positions(spark, sf):
 def plane_steps(spark, sf):
     w = Window.partitionBy("slide_id").orderBy("z")
     return fx(spark, sf, "fx_sparse_frame").select("slide_id", "z").distinct().select("slide_id", "z", (F.col("z") - F.lag("z").over(w)).alias("step"))
+
+
+@query("win01_offsets_to_lengths", "SELECT identifier, frame_index, CAST(byte_len AS BIGINT) AS length FROM fx_frame_len")
+def offsets_to_lengths(spark, sf):
+    """Lengths of frames from their offsets alone: to the next one, the last to the end."""
+    placed = T.offsets(fx(spark, sf, "fx_frame_len"))
+    ends = placed.groupBy("identifier").agg(F.max(F.col("offset") + 8 + F.col("byte_len")).alias("end_offset"))
+    return T.lengths(placed.drop("byte_len").join(ends, "identifier")).select("identifier", "frame_index", "length")

@@ -82,6 +82,6 @@ def flatten(spark, sf):
     return nested.select("c_custkey", "person.c_name", "person.place.c_nationkey")
 
 
-@query("md06_uid_generation")
+@query("md06_uid_generation", "SELECT s_suppkey, '2.25.' || CAST(CAST('0x' || substring(sha256(s_name), 1, 15) AS BIGINT) AS VARCHAR) AS uid FROM supplier")
 def uid_generation(spark, sf):
     return fx(spark, sf, "supplier").select("s_suppkey", S.uid_of(F.col("s_name")).alias("uid"))

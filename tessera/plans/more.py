@@ -42,14 +42,6 @@ def tile_order(spark, sf):
     return fx(spark, sf, "fx_sparse_frame").select("slide_id", "frame_no", F.rank().over(Window.partitionBy("slide_id").orderBy("path", "z", "row_pos", "col_pos")).cast("bigint").alias("nth"))
 
 
-@query("pix12_region_mpp", "SELECT q.request_id, max(l.level) AS level, CAST(trunc(q.w * 0.001E0 / (0.0003E0 * (1 + q.w % 9))) AS BIGINT) AS out_w FROM fx_request q JOIN fx_level l ON l.slide_id = q.slide_id AND l.spacing_x <= 0.0003E0 * (1 + q.w % 9) GROUP BY q.request_id, q.w")
-def region_mpp(spark, sf):
-    stored = fx(spark, sf, "fx_level").groupBy("slide_id").agg(F.collect_list(F.struct("spacing_x", "level")).alias("l"))
-    wanted = 0.0003 * (1 + F.col("w") % 9)
-    best = F.array_max(F.filter("l", lambda x: x["spacing_x"] <= wanted))
-    return fx(spark, sf, "fx_request").join(stored, "slide_id").select("request_id", best["level"].alias("level"), G.truncate(F.col("w") * 0.001 / wanted).alias("out_w")).where("level is not null")
-
-
 @query("str03_resequenced", "SELECT identifier, frame_index, CAST(sum(byte_len) OVER (PARTITION BY identifier ORDER BY frame_index) AS BIGINT) AS upto FROM fx_frame_len")
 def resequenced(spark, sf):
     """Frames that arrive out of order, in the order of the file again."""

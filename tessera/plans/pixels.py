@@ -106,12 +106,6 @@ def blank(spark, sf):
     return fx(spark, sf, "fx_header").select("file_id", F.when(F.col("photometric") == "MONOCHROME2", 0).otherwise(255).alias("blank"))
 
 
-@query("pix17_tile_order", "SELECT vec_id, row_number() OVER (ORDER BY tile_y, tile_x) AS nth FROM (SELECT DISTINCT vec_id, tile_x, tile_y FROM fx_pixel)")
-def tile_order(spark, sf):
-    """Raster order as a number, from the place alone: no sort is needed."""
-    return packed(spark, sf).select("vec_id", (F.col("tile_y") * 20 + F.col("tile_x") + 1).alias("nth"))
-
-
 @query("pix20_rle_round_trip", "SELECT vec_id, CAST(sum(v) AS BIGINT) AS total FROM fx_pixel GROUP BY vec_id")
 def rle_round_trip(spark, sf):
     tiles = P.apply_to_tiles(packed(spark, sf), lambda a: P.rle_decode(P.rle_encode(a), 8, 8, 1, "uint8"), (8, 8))
