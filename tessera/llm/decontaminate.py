@@ -7,8 +7,8 @@ positions are never looked at. Where the shift is 0 the block selects the bucket
 with it; their window hashes are compared, and what agrees is confirmed by comparing the words' bytes.
 Many stretches of text are scanned in step, one numpy pass for each move.
 
-The texts are scanned where they are: no shuffle. The patterns are sent to the tasks in blocks of at
-most `block_bytes` of test text; more blocks only mean more scans.
+The texts are scanned where they are: no shuffle. The patterns are built and sent to the tasks in blocks
+of at most `block_bytes` of test text, a few at a time; more blocks only mean more scans.
 
 Defined results: a null or empty text, or one without words, has no words and no hit; an item without
 words never occurs; an occurrence of an item whose id is null marks words but no item; items that
@@ -19,6 +19,7 @@ struct `row`, so names can't clash.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
+from tessera.llm import shared
 
 _PASS = 4
 _STRETCH = 512
@@ -154,11 +156,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     row as the struct `row`.
     """
     spark = docs.sparkSession
-    sets = [spark.sparkContext.broadcast(build(b, window)) for b in _blocks_of(benchmark, item_col, item_text_col, block_bytes)]
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     out = docs.select(*row, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<string>").alias("items"), F.array().cast("array<long>").alias("spans"))
-    for k in range(0, max(len(sets), 1), _PASS):
-        out = out.mapInArrow(K.lean(_scanner(sets[k : k + _PASS])), out.schema)
+    blocks = _blocks_of(benchmark, item_col, item_text_col, block_bytes)
+    first = True
+    while group := list(islice(blocks, _PASS)) or ([[]] if first else []):
+        if not first:  # what a scan has found is stored before the next one, so that the patterns of one scan only are held
+            out = shared.table(out, "scanned")
+            for s in sets:
+                s.unpersist()
+        sets = [spark.sparkContext.broadcast(build(b, window)) for b in group]
+        out = out.mapInArrow(K.lean(_scanner(sets)), out.schema)
+        first = False
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: x - a)  # ... - start + end, pair by pair
     return out.select(*(["row"] if carry else []), "doc_id", "n_words", n_hit.alias("n_hit"), "items", "spans")
 
