@@ -24,7 +24,9 @@ from tessera.sources.sinks import NotEmpty, prepare_folder, save_slides
 
 def _folder(spark) -> str:
     """A new folder in the one that all executors share."""
-    return os.path.join(tables.shared_folder(spark).removeprefix("file://"), f"slides-{uuid.uuid4().hex}")
+    top = tables.shared_folder(spark)
+    top = "/" + top.removeprefix("file:").lstrip("/") if top.startswith("file:") else top
+    return os.path.join(top, f"slides-{uuid.uuid4().hex}")
 
 
 def _slides(spark, sf):

@@ -46,7 +46,8 @@ def typed_json(spark, sf):
 @query("src26_metadata_json", "SELECT file_id, nullif(split_part(patient_name, '^', 1), '') AS family, study_uid, strftime(strptime(birth_date, '%Y%m%d'), '%Y-%m-%d') AS birth_date, len(string_split(software, chr(92))) AS versions FROM fx_record")
 def metadata_json(spark, sf):
     """Metadata files: JSON documents in a folder, read with the records' schema."""
-    folder = f"file://{_folder(spark)}" if "://" not in _folder(spark) else _folder(spark)
+    folder = _folder(spark)
+    folder = folder if "://" in folder else f"file://{folder}"
     _headers(spark, sf).select("file_id", *M.from_header()).write.json(folder)
     rows = spark.read.schema(f"file_id bigint, {M.SCHEMA}").json(folder)
     return rows.select("file_id", F.col("patient.patient_name.family").alias("family"), "study.study_uid", F.col("patient.birth_date").cast("string").alias("birth_date"), F.size("equipment.software").cast("bigint").alias("versions"))
