@@ -295,7 +295,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     own = shared.table(paragraphs.drop("body").join(linked, "nth"), "linked")
     # in a struct nulls count, as the smallest
     ends = own.groupBy("component").agg(F.min(F.struct("doc_id")).alias("least"), F.max(F.struct("doc_id")).alias("most"))
-    ends = ends.select("component", F.col("least.doc_id").alias("first_doc"), (~F.col("least.doc_id").eqNullSafe(F.col("most.doc_id"))).alias("linked"))
+    # stored, so that a component with many paragraphs can be split in the join
+    ends = shared.table(ends.select("component", F.col("least.doc_id").alias("first_doc"), (~F.col("least.doc_id").eqNullSafe(F.col("most.doc_id"))).alias("linked")), "ends")
     each = F.struct("start", "end", "gone", "owners", "first_doc", "linked")
     by_row = own.join(ends, "component").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(each).alias("found"))  # bounded by the text
     return by_row.select("doc_id", "found").mapInArrow(K.lean(_merged), "doc_id long, n_passages long, repeated_words long, removed_words long, spans array<long>, removed array<long>, first_docs array<long>")
