@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tessera.llm import kernels as K
 from tessera.llm import shared
 
-_CHUNK_WORDS = 300_000
+_CHUNK_WORDS = 200_000  # rows of some 100 kB: larger ones crowd the JVM heap
 _BUCKET_KEYS = 2_000_000
 _TASK_WORDS = 1_500_000
 ROW = "chunk string, bucket long, a binary, b binary, c binary, d binary"
@@ -123,6 +123,7 @@ class Layout:
     """Chunks of (doc_id, body) rows, and how many tasks and buckets they need."""
 
     def __init__(self, texts: DataFrame, kind: np.ndarray, keys_per_word: float) -> None:
+        shared.rest(texts.sparkSession)
         self.chunks = shared.table(texts.mapInArrow(K.lean(_encode(kind)), ROW), "chunks")
         shared.rest(texts.sparkSession)
         self.words = self.chunks.select("a").mapInArrow(K.lean(_count), "n long").agg(F.sum("n")).first()[0] or 0
