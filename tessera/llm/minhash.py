@@ -7,7 +7,8 @@
    rows in a band and the accepted chance to miss a pair at the threshold (`miss`).
 3. In each bucket every class is paired with the bucket's smallest class only. Pairs whose similarity,
    estimated from equal low bits and corrected for chance collisions, is too far below the threshold
-   are dropped (again by `miss`); the others are confirmed on the full sets.
+   are dropped (again by `miss`); the others are confirmed on the full sets (by 64-bit hashes, and by the
+   shingles themselves where the count is so close that a collision could decide).
 4. What this leaves open are pairs of a bucket that lie in different components and of which neither
    is the smallest class. The classes of such buckets get signatures ten times as long, which narrow the
    estimate, and are compared class by class in cells of similar set size; a large cell is dealt out in
@@ -203,6 +204,26 @@ def shared_counts(left: pa.Array, right: pa.Array, shingle: int) -> tuple[np.nda
     return common, sizes[0], sizes[1]
 
 
+def shingle_set(text: bytes, shingle: int) -> set[tuple[bytes, ...]]:
+    """The shingles themselves, without hashes."""
+    low = K.LOWER[np.frombuffer(text, np.uint8)]
+    s, e, _ = K.words(low, np.array([0, len(low)]), K.SPACED)
+    data = low.tobytes()
+    w = [data[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)]
+    return {tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)} if len(w) >= shingle else {tuple(w)} if w else set()
+
+
+def linked(left: pa.Array, right: pa.Array, shingle: int, percent: int) -> np.ndarray:
+    """Whether each pair of texts reaches the threshold. Sets are counted by hashes; where a few equal hashes could decide, by the shingles."""
+    common, x, y = shared_counts(left, right, shingle)
+    over = 100 * common - percent * (x + y - common)
+    ok = over >= 0
+    for i in np.flatnonzero(np.abs(over) <= 3 * (100 + percent)).tolist():
+        a, b = (shingle_set(c[i].as_py(), shingle) for c in (left, right))
+        ok[i] = 100 * len(a & b) >= percent * len(a | b)
+    return ok
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("klass")).unionByName(pairs.select(F.col("b").alias("klass"))).distinct()
 
@@ -212,8 +233,7 @@ def _confirmed(pairs: DataFrame, bodies: DataFrame, plan: Plan) -> DataFrame:
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            common, x, y = shared_counts(batch.column(2), batch.column(3), plan.shingle)
-            ok = pa.array(100 * common >= plan.percent * (x + y - common))
+            ok = pa.array(linked(batch.column(2), batch.column(3), plan.shingle, plan.percent))
             yield pa.RecordBatch.from_pydict({"a": batch.column(0).filter(ok), "b": batch.column(1).filter(ok)})
 
     both = pairs.join(bodies.withColumnsRenamed({"klass": "a", "body": "x"}), "a").join(bodies.withColumnsRenamed({"klass": "b", "body": "y"}), "b")

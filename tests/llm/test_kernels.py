@@ -104,3 +104,18 @@ def test_lookup_finds_what_is_there():
     i, at = table.find(asked)
     assert np.array_equal(table.keys[at], asked[i]) and set(i.tolist()) == set(np.flatnonzero(np.isin(asked, keys)).tolist())
     assert len(K.Lookup(keys[:0], keys[:0]).find(asked)[0]) == 0
+
+
+def test_links_are_decided_by_shingles():
+    from tessera.llm.minhash import linked, shingle_set
+
+    rng = np.random.default_rng(6)
+    pairs = []
+    for _ in range(300):
+        a = [f"w{k}" for k in rng.integers(0, 30, rng.integers(0, 60))]
+        b = [w if rng.random() < 0.97 else "other" for w in a]
+        pairs.append((" ".join(a).encode(), " ".join(b).encode()))
+    got = linked(pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary()), 3, 85)
+    sets = [(shingle_set(a, 3), shingle_set(b, 3)) for a, b in pairs]
+    assert got.tolist() == [100 * len(a & b) >= 85 * len(a | b) for a, b in sets]
+    assert shingle_set(b"A b", 3) == {(b"a", b"b")} and shingle_set(b"", 3) == set()
