@@ -184,18 +184,37 @@ def reduce_level(tiles: DataFrame, size: int) -> DataFrame:
 
 
 def stitch(placed: DataFrame, key: str, size: int) -> DataFrame:
-    """Regions from their tiles: (key, w, h, data). placed: key, x, y, w, h, tile_x, tile_y, data (null is blank)."""
+    """Regions from their tiles: (key, w, h, data). placed: key, x, y, w, h, tile_x, tile_y, data (null is blank).
 
-    def put(frame: pd.DataFrame) -> pd.DataFrame:
-        x, y, w, h = (int(frame[c].iloc[0]) for c in ("x", "y", "w", "h"))
-        out = np.zeros((h, w), np.uint8)
-        for tx, ty, d in zip(frame["tile_x"], frame["tile_y"], frame["data"], strict=True):
-            if d is None:
-                continue
-            x0, y0 = max(x, tx * size), max(y, ty * size)
-            x1, y1 = min(x + w, (tx + 1) * size), min(y + h, (ty + 1) * size)
-            tile = np.frombuffer(d, np.uint8).reshape(size, size)
-            out[y0 - y : y1 - y, x0 - x : x1 - x] = tile[y0 - ty * size : y1 - ty * size, x0 - tx * size : x1 - tx * size]
-        return pd.DataFrame({key: [frame[key].iloc[0]], "w": [w], "h": [h], "data": [out.tobytes()]})
-
-    return placed.groupBy(key).applyInPandas(put, f"{key} long, w long, h long, data binary")
+    Tiles are dealt out and sorted by region, and a task draws one region after the other.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, out = None, np.zeros((0, 0), np.uint8)
+        done: list[tuple[int, int, int, bytes]] = []
+        held = 0
+
+        def batch() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate(kinds)], names=[key, "w", "h", "data"])
+
+        for rows in batches:
+            for k, x, y, w, h, tx, ty, d in zip(*[c.to_pylist() for c in rows.columns], strict=True):
+                if k != now:
+                    if now is not None:
+                        done.append((now, out.shape[1], out.shape[0], out.tobytes()))
+                        held += out.size
+                    now, out = k, np.zeros((h, w), np.uint8)
+                    if held > 8 << 20:
+                        yield batch()
+                        done, held = [], 0
+                if d is not None:
+                    x0, y0, x1, y1 = max(x, tx * size), max(y, ty * size), min(x + w, (tx + 1) * size), min(y + h, (ty + 1) * size)
+                    tile = np.frombuffer(d, np.uint8).reshape(size, size)
+                    out[y0 - y : y1 - y, x0 - x : x1 - x] = tile[y0 - ty * size : y1 - ty * size, x0 - tx * size : x1 - tx * size]
+        if now is not None:
+            done.append((now, out.shape[1], out.shape[0], out.tobytes()))
+        yield batch()
+
+    names = [key, "x", "y", "w", "h", "tile_x", "tile_y", "data"]
+    return placed.select(*names).repartition(key).sortWithinPartitions(key).mapInArrow(run, f"{key} long, w long, h long, data binary")

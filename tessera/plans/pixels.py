@@ -91,8 +91,13 @@ def _placed(spark, sf):
 @query("pix04_stitch", f"SELECT a.request_id, a.w, a.h, CAST(coalesce(sum(p.v), 0) AS BIGINT) AS total FROM ({_ASKED}) a LEFT JOIN (SELECT tile_x * 8 + px AS gx, tile_y * 8 + py AS gy, v FROM fx_pixel) p ON p.gx >= a.x AND p.gx < a.x + a.w AND p.gy >= a.y AND p.gy < a.y + a.h GROUP BY a.request_id, a.w, a.h")
 def stitch(spark, sf):
     regions = P.stitch(_placed(spark, sf), "request_id", 8)
-    sums = unpacked(regions, 1).groupBy("request_id", "w", "h").agg(F.sum("v").alias("total"))
-    return sums
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = [int(np.frombuffer(d, np.uint8).sum()) for d in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).cast(pa.int64()) for k in range(3)], pa.array(total, pa.int64())], names=["request_id", "w", "h", "total"])
+
+    return regions.select("request_id", "w", "h", "data").mapInArrow(run, "request_id long, w long, h long, total long")
 
 
 @query("pix09_pad", "SELECT vec_id, CAST(sum(v) + 255 * (256 - 64) AS BIGINT) AS total FROM fx_pixel GROUP BY vec_id")
