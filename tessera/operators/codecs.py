@@ -37,7 +37,8 @@ def _native(data: bytes, syntax: str, rows: int, columns: int, samples: int, bit
 DECODERS: list[tuple[tuple[str, ...], Callable, int, int]] = [
     (NATIVE, _native, 16, 16),
     ((RLE,), lambda d, _, r, c, s, b, rgb: P.rle_decode(d, r, c, s, "uint8" if b <= 8 else "uint16"), 16, 16),
-    ((JPEG_BASELINE, JPEG_EXTENDED), lambda d, _, r, c, s, b, rgb: jpeg.decode(d, rgb), 8, 8),
+    ((JPEG_BASELINE,), lambda d, _, r, c, s, b, rgb: jpeg.decode(d, rgb), 8, 8),
+    ((JPEG_EXTENDED,), lambda d, _, r, c, s, b, rgb: jpeg.decode(d, rgb), 12, 8),
     ((JPEG_LOSSLESS, JPEG_LOSSLESS_FIRST), lambda d, _, r, c, s, b, rgb: jpeg.decode(d, False), 16, 16),
     ((JPEG_LS,), lambda d, _, r, c, s, b, rgb: jpegls.decode(d), 16, 16),
 ]
@@ -70,7 +71,9 @@ def encode_frame(a: np.ndarray, syntax: str, quality: int = 90, halved: tuple[in
         return a.astype(a.dtype.newbyteorder(">")).tobytes()
     if syntax == RLE:
         return P.rle_encode(a)
-    if syntax == JPEG_BASELINE:
+    if syntax in (JPEG_BASELINE, JPEG_EXTENDED):
+        if syntax == JPEG_BASELINE and a.dtype != np.uint8:
+            raise Unsupported("baseline frames have 8 bits")
         return jpeg.encode(a, quality, halved if photometric == "YBR_FULL_422" else (1, 1), photometric != "RGB")
     if syntax in (JPEG_LOSSLESS, JPEG_LOSSLESS_FIRST):
         return jpeg.encode_lossless(a)
@@ -112,7 +115,7 @@ def coding(kind: Column, bits: Column, channels: Column, lossless: Column, predi
 
 def support_matrix(spark) -> DataFrame:
     """(syntax, samples, bits, decodes, encodes) of what this package reads and writes."""
-    written = {IMPLICIT, EXPLICIT, BIG_ENDIAN, RLE, JPEG_BASELINE, JPEG_LOSSLESS, JPEG_LOSSLESS_FIRST, JPEG_LS}
+    written = {IMPLICIT, EXPLICIT, BIG_ENDIAN, RLE, JPEG_BASELINE, JPEG_EXTENDED, JPEG_LOSSLESS, JPEG_LOSSLESS_FIRST, JPEG_LS}
     every = [*NATIVE, RLE, JPEG_BASELINE, JPEG_EXTENDED, JPEG_LOSSLESS, JPEG_LOSSLESS_FIRST, JPEG_LS, JPEG_LS_NEAR, JPEG_2000_LOSSLESS, JPEG_2000, HT_LOSSLESS, HT_LOSSLESS_RPCL, HT, JPEG_XL_LOSSLESS, JPEG_XL]
-    rows = [(s, n, b, decoder(s, n, b) is not None, s in written and decoder(s, n, b) is not None) for s in every for n in (1, 3) for b in (8, 16)]
+    rows = [(s, n, b, decoder(s, n, b) is not None, s in written and decoder(s, n, b) is not None) for s in every for n in (1, 3) for b in (8, 12, 16)]
     return spark.createDataFrame(rows, "syntax string, samples int, bits int, decodes boolean, encodes boolean")

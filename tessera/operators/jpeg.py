@@ -2,7 +2,7 @@
 
 Encoding transforms and entropy-codes all blocks of a frame at once; decoding walks the bit stream symbol
 by symbol and transforms all blocks at once. Baseline: 8 bits, one or three samples, chroma at full size
-or halved in either direction, restart intervals. Lossless: the process with prediction from the left
+or halved in either direction, restart intervals. Extended: 12 bits of one sample. Lossless: the process with prediction from the left
 (or any of the seven predictors when decoding), 2 to 16 bits, one or three samples.
 """
 
@@ -24,7 +24,7 @@ LUMINANCE = np.array([
     18, 22, 37, 56, 68, 109, 103, 77, 24, 35, 55, 64, 81, 104, 113, 92, 49, 64, 78, 87, 103, 121, 120, 101, 72, 92, 95, 98, 112, 100, 103, 99,
 ])
 CHROMINANCE = np.array([17, 18, 24, 47, 99, 99, 99, 99, 18, 21, 26, 66, 99, 99, 99, 99, 24, 26, 56, 99, 99, 99, 99, 99, 47, 66] + [99] * 38)
-START, END, SCAN, QUANT, HUFFMAN, RESTART, BASELINE, LOSSLESS = 0xD8, 0xD9, 0xDA, 0xDB, 0xC4, 0xDD, 0xC0, 0xC3
+SCAN, QUANT, HUFFMAN, RESTART, BASELINE, EXTENDED, LOSSLESS = 0xDA, 0xDB, 0xC4, 0xDD, 0xC0, 0xC1, 0xC3
 
 _COS = np.cos((2 * np.arange(8)[None, :] + 1) * np.arange(8)[:, None] * np.pi / 16) * np.where(np.arange(8) == 0, np.sqrt(1 / 8), 0.5)[:, None]
 
@@ -128,9 +128,13 @@ def _blocks(plane: np.ndarray, rows: int, columns: int) -> np.ndarray:
 
 
 def encode(a: np.ndarray, quality: int = 90, halved: tuple[int, int] = (1, 1), colour: bool = True) -> bytes:
-    """A frame of bytes, (rows, columns) or (rows, columns, 3). halved: by how much chroma is smaller, down and across; colour: RGB becomes luminance and chroma."""
-    if a.dtype != np.uint8:
-        raise Unsupported("baseline frames have 8 bits")
+    """A frame of bytes, (rows, columns) or (rows, columns, 3), or of 12-bit numbers, (rows, columns).
+
+    halved: by how much chroma is smaller, down and across; colour: RGB becomes luminance and chroma.
+    """
+    deep = 12 if a.dtype == np.uint16 else 8
+    if a.dtype not in (np.uint8, np.uint16) or deep == 12 and (a.ndim != 2 or int(a.max(initial=0)) > 4095):
+        raise Unsupported("lossy frames have 8 bits, or 12 of one sample")
     planes = [a.astype(float)] if a.ndim == 2 else list(np.moveaxis(to_ycc(a) if colour else a.astype(float), -1, 0))
     v, h = halved if len(planes) == 3 else (1, 1)
     rows, columns = (-(-n // (8 * k)) for n, k in zip(a.shape, (v, h), strict=False))  # of minimum coded units
@@ -141,7 +145,7 @@ def encode(a: np.ndarray, quality: int = 90, halved: tuple[int, int] = (1, 1), c
             p = np.pad(p, [(0, -p.shape[0] % v), (0, -p.shape[1] % h)], mode="edge")
             p = p.reshape(p.shape[0] // v, v, p.shape[1] // h, h).mean(axis=(1, 3))
         dv, dh = (v, h) if c == 0 else (1, 1)
-        b = _COS @ (_blocks(p, rows * dv, columns * dh) - 128) @ _COS.T
+        b = _COS @ (_blocks(p, rows * dv, columns * dh) - (1 << (deep - 1))) @ _COS.T
         q = np.round(b.reshape(*b.shape[:2], 64) / tables[min(c, 1)]).astype(np.int64)[..., ZIGZAG]
         order.append(q.reshape(rows, dv, columns, dh, 64).transpose(0, 2, 1, 3, 4).reshape(rows * columns, dv * dh, 64))
     per = [o.shape[1] for o in order]
@@ -173,7 +177,7 @@ def encode(a: np.ndarray, quality: int = 90, halved: tuple[int, int] = (1, 1), c
     for n in range(min(len(planes), 2)):
         out.append(_segment(QUANT, bytes([n]) + bytes(tables[n][ZIGZAG].tolist())))
     frame = b"".join(bytes([c + 1, (v * 1 + h * 16) if c == 0 else 0x11, min(c, 1)]) for c in range(len(planes)))
-    out.append(_segment(BASELINE, struct.pack(">BHHB", 8, *a.shape[:2], len(planes)) + frame))
+    out.append(_segment(BASELINE if deep == 8 else EXTENDED, struct.pack(">BHHB", deep, *a.shape[:2], len(planes)) + frame))
     for n, (bits, symbols) in made.items():
         out.append(_segment(HUFFMAN, bytes([(n // 2) * 16 + n % 2]) + bytes(bits) + bytes(symbols)))
     out.append(_segment(SCAN, bytes([len(planes)]) + b"".join(bytes([c + 1, min(c, 1) * 0x11]) for c in range(len(planes))) + b"\0\x3f\0"))
@@ -284,7 +288,7 @@ def decode(data: bytes, rgb: bool = True) -> np.ndarray:
                 body = body[17 + sum(bits) :]
         elif marker == RESTART:
             interval = struct.unpack(">H", body)[0]
-        elif marker in (BASELINE, 0xC1, LOSSLESS):
+        elif marker in (BASELINE, EXTENDED, LOSSLESS):
             bits, rows, columns, n = struct.unpack(">BHHB", body[:6])
             frame = (marker, bits, rows, columns, [tuple(body[6 + 3 * c : 9 + 3 * c]) for c in range(n)])
         elif 0xC0 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
@@ -302,7 +306,7 @@ def decode(data: bytes, rgb: bool = True) -> np.ndarray:
     stream = _Bits(data[at:])
     if kind == LOSSLESS:
         return _lossless(stream, bits, rows, columns, [huff[t >> 4] for t in tables], body[1 + 2 * len(parts)], body[3 + 2 * len(parts)] & 15, interval)
-    if bits != 8:
+    if bits != 8 and (bits != 12 or len(parts) > 1):
         raise Unsupported(f"{bits} bits in a lossy frame")
     h, v = max(p[1] >> 4 for p in parts), max(p[1] & 15 for p in parts)
     if len(parts) == 1:
@@ -335,12 +339,12 @@ def decode(data: bytes, rgb: bool = True) -> np.ndarray:
     for (_, sampling, q), co in zip(parts, coefficients, strict=True):
         b = np.zeros(co.shape)
         b[..., ZIGZAG] = co * quant[q]
-        p = _COS.T @ b.reshape(*co.shape[:2], 8, 8) @ _COS + 128
+        p = _COS.T @ b.reshape(*co.shape[:2], 8, 8) @ _COS + (1 << (bits - 1))
         p = p.transpose(0, 2, 1, 3).reshape(co.shape[0] * 8, co.shape[1] * 8)
-        p = np.clip(np.round(p), 0, 255)
+        p = np.clip(np.round(p), 0, (1 << bits) - 1)
         planes.append(np.repeat(np.repeat(p, v // (sampling & 15), axis=0), h // (sampling >> 4), axis=1)[:rows, :columns])
     if len(planes) == 1:
-        return planes[0].astype(np.uint8)
+        return planes[0].astype(np.uint8 if bits == 8 else np.uint16)
     out = np.stack(planes, axis=-1)
     ids = bytes(p[0] for p in parts)
     if rgb and adobe != 0 and ids != b"RGB":

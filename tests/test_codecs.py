@@ -44,6 +44,18 @@ def test_jpeg_ls_example_of_the_standard():
     assert jpegls.encode(a).hex() == "ffd8fff7000b080004000401011100ffda0008010100000000c000006c80208e01c00000574000006ee6000001bc18000005d800009160ffd9"
 
 
+def test_extended_of_12_bits():
+    y, x = np.mgrid[:37, :45]
+    a = np.clip(2047 + 1900 * np.sin(x / 9) * np.cos(y / 7) + np.random.default_rng(7).normal(0, 9, x.shape), 0, 4095).astype(np.uint16)
+    data = C.encode_frame(a, C.JPEG_EXTENDED, quality=100)
+    assert np.abs(C.decode_frame(data, C.JPEG_EXTENDED, 37, 45, 1, 12).astype(int) - a).max() <= 3
+    with pytest.raises(Unsupported):
+        jpeg.encode(np.full((8, 8), 5000, np.uint16))
+    with pytest.raises(Unsupported):
+        C.encode_frame(a, C.JPEG_BASELINE)
+    assert C.decoder(C.JPEG_EXTENDED, 1, 12) and C.decoder(C.JPEG_EXTENDED, 3, 12) is None and C.decoder(C.JPEG_EXTENDED, 1, 16) is None
+
+
 def test_restart_intervals():
     """A stretch that starts anew after every unit decodes like one that doesn't."""
     a = smooth(16, 24, 1)
