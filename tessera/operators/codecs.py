@@ -40,7 +40,7 @@ DECODERS: list[tuple[tuple[str, ...], Callable, int, int]] = [
     ((JPEG_BASELINE,), lambda d, _, r, c, s, b, rgb: jpeg.decode(d, rgb), 8, 8),
     ((JPEG_EXTENDED,), lambda d, _, r, c, s, b, rgb: jpeg.decode(d, rgb), 12, 8),
     ((JPEG_LOSSLESS, JPEG_LOSSLESS_FIRST), lambda d, _, r, c, s, b, rgb: jpeg.decode(d, False), 16, 16),
-    ((JPEG_LS,), lambda d, _, r, c, s, b, rgb: jpegls.decode(d), 16, 16),
+    ((JPEG_LS, JPEG_LS_NEAR), lambda d, _, r, c, s, b, rgb: jpegls.decode(d), 16, 16),
 ]
 
 
@@ -63,8 +63,8 @@ def decode_frame(data: bytes, syntax: str, rows: int, columns: int, samples: int
     return out
 
 
-def encode_frame(a: np.ndarray, syntax: str, quality: int = 90, halved: tuple[int, int] = (2, 1), photometric: str = "YBR_FULL_422") -> bytes:
-    """A frame in a syntax that this package writes. quality, halved: of lossy frames."""
+def encode_frame(a: np.ndarray, syntax: str, quality: int = 90, halved: tuple[int, int] = (2, 1), near: int = 1, photometric: str = "YBR_FULL_422") -> bytes:
+    """A frame in a syntax that this package writes. quality, halved: of lossy JPEG frames; near: how far pixels of near-lossless ones may be off."""
     if syntax in (IMPLICIT, EXPLICIT):
         return a.astype(a.dtype.newbyteorder("<")).tobytes()
     if syntax == BIG_ENDIAN:
@@ -77,8 +77,8 @@ def encode_frame(a: np.ndarray, syntax: str, quality: int = 90, halved: tuple[in
         return jpeg.encode(a, quality, halved if photometric == "YBR_FULL_422" else (1, 1), photometric != "RGB")
     if syntax in (JPEG_LOSSLESS, JPEG_LOSSLESS_FIRST):
         return jpeg.encode_lossless(a)
-    if syntax == JPEG_LS:
-        return jpegls.encode(a)
+    if syntax in (JPEG_LS, JPEG_LS_NEAR):
+        return jpegls.encode(a, near=near if syntax == JPEG_LS_NEAR else 0)
     raise Unsupported(f"no encoder for {syntax}")
 
 
@@ -115,7 +115,7 @@ def coding(kind: Column, bits: Column, channels: Column, lossless: Column, predi
 
 def support_matrix(spark) -> DataFrame:
     """(syntax, samples, bits, decodes, encodes) of what this package reads and writes."""
-    written = {IMPLICIT, EXPLICIT, BIG_ENDIAN, RLE, JPEG_BASELINE, JPEG_EXTENDED, JPEG_LOSSLESS, JPEG_LOSSLESS_FIRST, JPEG_LS}
+    written = {IMPLICIT, EXPLICIT, BIG_ENDIAN, RLE, JPEG_BASELINE, JPEG_EXTENDED, JPEG_LOSSLESS, JPEG_LOSSLESS_FIRST, JPEG_LS, JPEG_LS_NEAR}
     every = [*NATIVE, RLE, JPEG_BASELINE, JPEG_EXTENDED, JPEG_LOSSLESS, JPEG_LOSSLESS_FIRST, JPEG_LS, JPEG_LS_NEAR, JPEG_2000_LOSSLESS, JPEG_2000, HT_LOSSLESS, HT_LOSSLESS_RPCL, HT, JPEG_XL_LOSSLESS, JPEG_XL]
     rows = [(s, n, b, decoder(s, n, b) is not None, s in written and decoder(s, n, b) is not None) for s in every for n in (1, 3) for b in (8, 12, 16)]
     return spark.createDataFrame(rows, "syntax string, samples int, bits int, decodes boolean, encodes boolean")

@@ -1,6 +1,6 @@
-"""Lossless JPEG-LS frames: prediction from three neighbours, adaptive Golomb codes, runs.
+"""JPEG-LS frames: prediction from three neighbours, adaptive Golomb codes, runs.
 
-One scan for each sample; 2 to 16 bits. Encoder and decoder walk the same model; only what they do with a
+One scan for each sample; 2 to 16 bits; lossless, or no pixel off by more than `near`. Encoder and decoder walk the same model; only what they do with a
 number differs, so the model is written once.
 """
 
@@ -74,17 +74,35 @@ class _In:
         return high << k | self.bits(0, k) if high < limit - wide - 1 else self.bits(0, wide) + 1
 
 
-def _code(plane: list[list[int]], rows: int, columns: int, bits: int, stream, write: bool) -> None:
-    """Encodes the plane to the stream, or fills it from the stream."""
-    top = (1 << bits) - 1
-    span, limit = top + 1, 2 * (max(2, bits) + max(8, bits))
+def _code(plane: list[list[int]], rows: int, columns: int, bits: int, stream, write: bool, near: int = 0) -> None:
+    """Encodes the plane to the stream, or fills it from the stream; an encoded plane holds what a decoder will have."""
+    top, unit = (1 << bits) - 1, 2 * near + 1
+    span, limit = (top + 2 * near) // unit + 1, 2 * (max(2, bits) + max(8, bits))
+    wide = max((span - 1).bit_length(), 1)
     factor = (min(top, 4095) + 128) // 256
-    t1, t2, t3 = (factor * (t - b) + b for t, b in zip(THRESHOLDS, (2, 3, 4), strict=True)) if top >= 128 else (max(b, t // (256 // (top + 1))) for t, b in zip(THRESHOLDS, (2, 3, 4), strict=True))
+    basic = (factor * (t - b) + b for t, b in zip(THRESHOLDS, (2, 3, 4), strict=True)) if top >= 128 else (max(b, t // (256 // (top + 1))) for t, b in zip(THRESHOLDS, (2, 3, 4), strict=True))
+    t1, t2, t3 = (t + k * near for t, k in zip(basic, (3, 5, 7), strict=True))
+    low = near + 1
+    t1 = t1 if low <= t1 <= top else low
+    t2 = t2 if t1 <= t2 <= top else t1
+    t3 = t3 if t2 <= t3 <= top else t2
     size, drift, fix, seen = [max(2, (span + 32) // 64)] * 367, [0] * 365, [0] * 365, [1] * 367
     below = [0, 0]  # negative errors after runs, by type
     run_index = 0
-    step = lambda d: (d > 0) - (d < 0) if abs(d) < t1 else (2 if abs(d) < t2 else 3 if abs(d) < t3 else 4) * (1 if d > 0 else -1)
+    step = lambda d: 0 if abs(d) <= near else (d > 0) - (d < 0) if abs(d) < t1 else (2 if abs(d) < t2 else 3 if abs(d) < t3 else 4) * (1 if d > 0 else -1)
     before, before_left = [0] * (columns + 2), 0
+
+    def error(x: int, guess: int, sign: int) -> int:
+        """The number that is coded for a pixel: its distance from the guess in units, folded into the span."""
+        e = (x - guess) * sign
+        e = ((e + near) // unit if e > 0 else -((near - e) // unit)) % span
+        return e - span if e >= (span + 1) // 2 else e
+
+    def pixel(e: int, guess: int, sign: int) -> int:
+        v = guess + sign * e * unit
+        v = v + span * unit if v < -near else v - span * unit if v > top + near else v
+        return min(max(v, 0), top)
+
     for y in range(rows):
         line = plane[y]
         left_edge = before[0]  # stands in for the left neighbour of the first one
@@ -94,12 +112,13 @@ def _code(plane: list[list[int]], rows: int, columns: int, bits: int, stream, wr
             a = line[x - 1] if x else left_edge
             c = before[x - 1] if x else before_left
             d = before[x + 1] if x + 1 < columns else b
-            if a == b == c == d:
+            if abs(d - b) <= near and abs(b - c) <= near and abs(c - a) <= near:
                 n = 0
                 if write:
-                    while x + n < columns and line[x + n] == a:
+                    while x + n < columns and abs(line[x + n] - a) <= near:
                         n += 1
                     rest = n
+                    line[x : x + n] = [a] * n
                     while rest >= 1 << RUN_BITS[run_index]:
                         stream.bits(1, 1)
                         rest -= 1 << RUN_BITS[run_index]
@@ -129,7 +148,7 @@ def _code(plane: list[list[int]], rows: int, columns: int, bits: int, stream, wr
                 # the one that ends the run
                 b = before[x]
                 a = line[x - 1] if x else left_edge
-                alike = int(a == b)
+                alike = int(abs(a - b) <= near)
                 guess, sign = (a, 1) if alike else (b, -1 if a > b else 1)
                 q = 365 + alike
                 scale = size[366] + (seen[366] >> 1) if alike else size[365]
@@ -138,15 +157,14 @@ def _code(plane: list[list[int]], rows: int, columns: int, bits: int, stream, wr
                     k += 1
                 e = 0
                 if write:
-                    e = (line[x] - guess) * sign % span
-                    e = e - span if e >= (span + 1) // 2 else e
+                    e = error(line[x], guess, sign)
                 flip = lambda e: int(k == 0 and e > 0 and 2 * below[alike] < seen[q] or e < 0 and (k != 0 or 2 * below[alike] >= seen[q]))  # noqa: E731, B023
-                mapped = stream.golomb(2 * abs(e) - alike - flip(e), k, limit - RUN_BITS[run_index] - 1, bits)
+                mapped = stream.golomb(2 * abs(e) - alike - flip(e), k, limit - RUN_BITS[run_index] - 1, wide)
                 if not write:
                     half = (mapped + alike + 1) // 2
                     odd = (mapped + alike) & 1  # whether the sign was flipped
                     e = next(v for v in ((half, -half) if half else (0,)) if flip(v) == odd)
-                    line[x] = (guess + sign * e) % span
+                line[x] = pixel(e, guess, sign)
                 run_index = max(run_index - 1, 0)
                 below[alike] += e < 0
                 size[q] += (mapped + 1 - alike) >> 1
@@ -163,19 +181,18 @@ def _code(plane: list[list[int]], rows: int, columns: int, bits: int, stream, wr
             k, n = 0, seen[q]
             while n << k < size[q]:
                 k += 1
-            turned = k == 0 and 2 * drift[q] <= -n
+            turned = k == 0 and not near and 2 * drift[q] <= -n
             e = 0
             if write:
-                e = (line[x] - guess) * sign % span
-                e = e - span if e >= (span + 1) // 2 else e
+                e = error(line[x], guess, sign)
                 mapped = (2 * e + 1 if e >= 0 else -2 * (e + 1)) if turned else (2 * e if e >= 0 else -2 * e - 1)
-                stream.golomb(mapped, k, limit, bits)
+                stream.golomb(mapped, k, limit, wide)
             else:
-                mapped = stream.golomb(0, k, limit, bits)
+                mapped = stream.golomb(0, k, limit, wide)
                 e = -(mapped >> 1) - 1 if mapped & 1 else mapped >> 1
                 e = -e - 1 if turned else e
-                line[x] = (guess + sign * e) % span
-            drift[q] += e
+            line[x] = pixel(e, guess, sign)
+            drift[q] += e * unit
             size[q] += abs(e)
             if n == RESET:
                 size[q], drift[q], seen[q] = size[q] >> 1, drift[q] >> 1, n >> 1
@@ -190,21 +207,21 @@ def _code(plane: list[list[int]], rows: int, columns: int, bits: int, stream, wr
         before_left, before = left_edge, line
 
 
-def encode(a: np.ndarray, bits: int | None = None) -> bytes:
-    """A frame of bytes or 16-bit numbers, (rows, columns) or (rows, columns, samples)."""
+def encode(a: np.ndarray, bits: int | None = None, near: int = 0) -> bytes:
+    """A frame of bytes or 16-bit numbers, (rows, columns) or (rows, columns, samples); near: how far a decoded pixel may be off."""
     bits = bits or 8 * a.dtype.itemsize
     planes = a.reshape(*a.shape[:2], -1)
     n = planes.shape[2]
     out = [b"\xff\xd8", struct.pack(">BBHBHHB", 0xFF, FRAME, 8 + 3 * n, bits, *a.shape[:2], n), *[bytes([c + 1, 0x11, 0]) for c in range(n)]]
     for c in range(n):
         stream = _Out()
-        _code(planes[..., c].tolist(), *a.shape[:2], bits, stream, True)
-        out += [struct.pack(">BBHB", 0xFF, SCAN, 8, 1), bytes([c + 1, 0, 0, 0, 0]), stream.done()]
+        _code(planes[..., c].tolist(), *a.shape[:2], bits, stream, True, near)
+        out += [struct.pack(">BBHB", 0xFF, SCAN, 8, 1), bytes([c + 1, 0, near, 0, 0]), stream.done()]
     return b"".join([*out, b"\xff\xd9"])
 
 
 def decode(data: bytes) -> np.ndarray:
-    """The frame of an encoder that leaves samples apart, codes without loss and has the basic thresholds."""
+    """The frame of an encoder that leaves samples apart and has the default thresholds."""
     at, head, planes = 2, None, []
     while at + 4 <= len(data) and data[at + 1] != 0xD9:
         marker, length = data[at + 1], struct.unpack(">H", data[at + 2 : at + 4])[0]
@@ -215,14 +232,14 @@ def decode(data: bytes) -> np.ndarray:
         elif marker == 0xF8:
             raise Unsupported("parameters of its own")
         elif marker == SCAN:
-            if head is None or body[0] != 1 or body[3] or body[4]:
-                raise Unsupported("samples together, or coded with loss")
+            if head is None or body[0] != 1 or body[4]:
+                raise Unsupported("samples together")
             end = at
             while not (data[end] == 0xFF and data[end + 1] >= 0x80):
                 end += 1
             bits, rows, columns, _ = head
             plane = [[0] * columns for _ in range(rows)]
-            _code(plane, rows, columns, bits, _In(data[at:end]), False)
+            _code(plane, rows, columns, bits, _In(data[at:end]), False, body[3])
             planes.append(plane)
             at = end
     if head is None or len(planes) != head[3]:

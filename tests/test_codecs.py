@@ -39,6 +39,17 @@ def test_lossless(codec, dtype, shape):
         assert np.array_equal(codec[1](codec[0](a)), a)
 
 
+@pytest.mark.parametrize("near", [1, 3, 10])
+@pytest.mark.parametrize("dtype", [np.uint8, np.uint16])
+def test_near_lossless(near, dtype):
+    r, top = np.random.default_rng(8), np.iinfo(dtype).max
+    for a in (r.integers(0, top + 1, (20, 33)), np.full((9, 9), top), 100 + r.integers(0, 9, (16, 40, 3)), np.cumsum(r.integers(0, 2, (12, 50)), axis=1)):
+        a = a.astype(dtype)
+        data = jpegls.encode(a, near=near)
+        assert np.abs(jpegls.decode(data).astype(int) - a).max() <= near
+    assert len(jpegls.encode(smooth(64, 64, 1), near=near)) < len(jpegls.encode(smooth(64, 64, 1)))
+
+
 def test_jpeg_ls_example_of_the_standard():
     a = np.array([[0, 0, 90, 74], [68, 50, 43, 205], [64, 145, 145, 145], [100, 145, 145, 145]], np.uint8)
     assert jpegls.encode(a).hex() == "ffd8fff7000b080004000401011100ffda0008010100000000c000006c80208e01c00000574000006ee6000001bc18000005d800009160ffd9"
