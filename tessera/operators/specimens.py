@@ -74,8 +74,8 @@ def ordered_steps(edges: DataFrame, steps: DataFrame, starts: DataFrame, most: i
     """(start, nth, specimen, step): the preparation of each start in order, its ancestors' steps first.
 
     edges: sampling, child, parent, ordinal, follows (the sampling of the parent that this one is limited
-    to, or null); steps: specimen, ordinal, step. After what was done to a specimen comes the sampling from it. The walk is in
-    post-order: rows carry their way up as an array that sorts so.
+    to, or null); steps: specimen, ordinal, step. After what was done to a specimen comes the sampling from it, and what was done to the start itself in
+    the end. The walk is in post-order: rows carry their way up as an array that sorts so.
     """
     last = F.lit(1 << 30)
     ups = edges.select("sampling", "child", "parent", "ordinal", "follows")
@@ -91,13 +91,14 @@ def ordered_steps(edges: DataFrame, steps: DataFrame, starts: DataFrame, most: i
         front = here.select("start", "node", "way", "follows")
     else:
         raise ValueError(f"no end after {most} steps: the specimen graph has a cycle")
-    if reached is None:
-        return starts.select("start", F.lit(0).cast("bigint").alias("nth"), F.lit("").alias("specimen"), F.lit("").alias("step")).limit(0)
     own = steps.select(F.col("specimen").alias("node"), F.col("ordinal").alias("o"), "step")
+    last_own = starts.join(own, F.col("start") == F.col("node")).select("start", F.array(last, F.col("o").cast("int")).alias("key"), F.col("node").alias("specimen"), "step")
+    nth = F.row_number().over(Window.partitionBy("start").orderBy("key")) - 1
+    if reached is None:
+        return last_own.select("start", nth.cast("bigint").alias("nth"), "specimen", "step")
     done = reached.join(own, "node").select("start", F.concat("way", F.array(last, F.col("o").cast("int"))).alias("key"), F.col("node").alias("specimen"), "step")
     taken = reached.select("start", F.concat("way", F.array(last, last)).alias("key"), F.col("node").alias("specimen"), F.lit("sampling").alias("step"))
-    nth = F.row_number().over(Window.partitionBy("start").orderBy("key")) - 1
-    return done.unionByName(taken).select("start", nth.cast("bigint").alias("nth"), "specimen", "step")
+    return done.unionByName(taken).unionByName(last_own).select("start", nth.cast("bigint").alias("nth"), "specimen", "step")
 
 
 def with_parents(samplings: DataFrame, known: DataFrame) -> DataFrame:

@@ -58,10 +58,10 @@ def test_profile_descriptions(multi):
 
 def test_ordered_steps_follow_the_constraint(spark):
     edges = spark.createDataFrame([("s<c", "s", "c", 0, "c<b2"), ("c<b1", "c", "b1", 0, None), ("c<b2", "c", "b2", 1, None), ("b2<p", "b2", "p", 0, None)], "sampling string, child string, parent string, ordinal int, follows string")
-    steps = spark.createDataFrame([("p", 0, "collection"), ("b1", 0, "never"), ("b2", 0, "embedding"), ("c", 0, "staining")], "specimen string, ordinal int, step string")
+    steps = spark.createDataFrame([("p", 0, "collection"), ("b1", 0, "never"), ("b2", 0, "embedding"), ("c", 0, "staining"), ("s", 0, "mounting")], "specimen string, ordinal int, step string")
     starts = spark.createDataFrame([("s",)], "start string")
     got = [(r.specimen, r.step) for r in S.ordered_steps(edges, steps, starts).orderBy("nth").collect()]
-    assert got == [("p", "collection"), ("p", "sampling"), ("b2", "embedding"), ("b2", "sampling"), ("c", "staining"), ("c", "sampling")]
+    assert got == [("p", "collection"), ("p", "sampling"), ("b2", "embedding"), ("b2", "sampling"), ("c", "staining"), ("c", "sampling"), ("s", "mounting")]
     loop = spark.createDataFrame([("a<a", "s", "s", 0, None)], "sampling string, child string, parent string, ordinal int, follows string")
     with pytest.raises(ValueError, match="cycle"):
         S.ordered_steps(loop, steps, starts, most=4)
