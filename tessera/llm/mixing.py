@@ -3,7 +3,7 @@
 Sources share the total size by weight. A source that would have to repeat more than `max_epochs`
 times is clamped there and its excess goes to the others by weight, until none is above its cap. In
 order of cap over weight the clamped sources come first, so running sums give the result without
-iterating.
+iterating. Sources are taken to be few: the weights go over one row a source, in one task.
 
 A source then takes each document floor(target / size) times whole, and the fraction that is left by
 one more copy of some documents: those first in a seeded order of hashes, up to the words still
