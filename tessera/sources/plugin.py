@@ -51,11 +51,10 @@ class _Reader(DataSourceReader):
         self.source = source
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p, _ in dicom._listed(self.source.options["path"])]
+        return dicom.whole_files(self.source.options["path"])
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        path = partition.value
-        for i in self.source.images(path):
+        for path, i in ((p, i) for p, *_ in partition.files for i in self.source.images(p)):
             for y in range(-(-i.height // i.tile)):
                 for x in range(-(-i.width // i.tile)):
                     yield path, i.identifier, i.kind, i.width, i.height, i.samples, x, y, np.ascontiguousarray(self.source.tile(path, i, x, y)).tobytes()

@@ -40,7 +40,7 @@ def _values(r: dict, tile: int, samples: int, bits: int, photometric: str, spars
     if samples > 1:
         out["PlanarConfiguration"] = 0
     if parts:
-        out |= {"ConcatenationUID": f"{uid}.0", "SOPInstanceUIDOfConcatenationSource": f"{uid}.9", "InConcatenationNumber": int(r["part"]) + 1, "ConcatenationFrameOffsetNumber": int(r["first"])}
+        out |= {"ConcatenationUID": f"{uid}.0", "SOPInstanceUIDOfConcatenationSource": f"{uid}.9", **dicom.numbered(int(r["part"]) + 1), "ConcatenationFrameOffsetNumber": int(r["first"])}
     if sparse:
         place = lambda x, y: {"PlanePositionSlideSequence": [{"ColumnPositionInTotalImagePixelMatrix": x * tile + 1, "RowPositionInTotalImagePixelMatrix": y * tile + 1, "ZOffsetInSlideCoordinateSystem": 0.0}]}
         out["PerFrameFunctionalGroupsSequence"] = [place(x, y) for x, y in sparse]
