@@ -14,3 +14,13 @@ def test_many_files_share_partitions(tmp_path):
     parts = dicom._FrameReader({"path": str(tmp_path), "splitbytes": "3"}).partitions()
     assert len(parts) == 64 and sorted((f[0], i) for p in parts for f in p.files for i in range(f[1], f[2])) == [(str(tmp_path / f"{k:03}.dcm"), i) for k in range(300) for i in range(4)]
     assert len(dicom._FrameReader({"path": str(tmp_path / "00*.dcm")}).partitions()) == 10
+
+
+def test_parts_beyond_16_bits(tmp_path):
+    """snk13: the standard's element for a part's number has 16 bits; another one holds what is larger."""
+    for n in (1, 65535, 65536, 300_000):
+        dicom.write_file(str(tmp_path / str(n)), HEADER | dicom.numbered(n), [b"\0" * 16])
+        with open(tmp_path / str(n), "rb") as f:
+            v = dicom.read_header(f).values
+        assert dicom.part_number(v) == n and ("InConcatenationNumber" in v) == (n < 65536)
+    assert dicom.part_number({"PartCreator": "other", "PartNumber": 4}) is None
