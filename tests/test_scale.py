@@ -1,6 +1,9 @@
 """Rules that keep queries whole on larger tables."""
 
+import pytest
+
 from tessera.sources import dicom
+from tessera.sources import elements as E
 
 HEADER = {"SOPInstanceUID": "1.2.3.4", "StudyInstanceUID": "1.2", "Rows": 4, "Columns": 4, "SamplesPerPixel": 1, "BitsAllocated": 8}
 
@@ -24,3 +27,23 @@ def test_parts_beyond_16_bits(tmp_path):
             v = dicom.read_header(f).values
         assert dicom.part_number(v) == n and ("InConcatenationNumber" in v) == (n < 65536)
     assert dicom.part_number({"PartCreator": "other", "PartNumber": 4}) is None
+
+
+@pytest.mark.parametrize("undefined", [False, True])
+def test_only_the_wanted_frames_items_are_read(tmp_path, monkeypatch, undefined):
+    """src12: a range of a file reads the items of its own frames and the first, and still sees that a file is cut."""
+    at = [{"PlanePositionSlideSequence": [{"ColumnPositionInTotalImagePixelMatrix": 4 * k + 1, "RowPositionInTotalImagePixelMatrix": 1}]} for k in range(50)]
+    path = str(tmp_path / "a.dcm")
+    dicom.write_file(path, HEADER | {"PerFrameFunctionalGroupsSequence": at}, [b"\0" * 16] * 50, undefined=undefined)
+    with open(path, "rb") as f:
+        whole, parsed, parse = dicom.read_header(f), [], E.parse
+        f.seek(0)
+        monkeypatch.setattr(E, "parse", lambda *a, **k: parsed.append(1) or parse(*a, **k))
+        some = dicom.read_header(f, lambda n: range(n - 3, n))
+    assert len(parsed) == 1 + 2 * 4 and (some.pixels_at, some.pixels_length) == (whole.pixels_at, whole.pixels_length)
+    assert list(dicom.places(some, range(47, 50))) == list(dicom.places(whole, range(47, 50)))
+    raw = open(path, "rb").read()
+    (tmp_path / "cut.dcm").write_bytes(raw[: whole.pixels_at - 80])
+    if not undefined:
+        with open(tmp_path / "cut.dcm", "rb") as f, pytest.raises(E.Truncated):
+            dicom.read_header(f, lambda n: range(0))
