@@ -110,8 +110,14 @@ def with_parents(samplings: DataFrame, known: DataFrame) -> DataFrame:
 def matched_steps(steps: DataFrame, specimens: DataFrame) -> DataFrame:
     """(step, specimen) by identifier; issuers must be equal where both are there, equal ones first, then in order.
 
-    An equi-join on the identifier; issuers only choose among the few that share it.
+    Steps look up the first specimen of their identifier and issuer, of their identifier without an issuer, and of
+    any issuer, each of which is one row at most: what is joined doesn't grow with the specimens that share an identifier.
     """
-    both = steps.join(specimens, "identifier").where(F.col("step_issuer").isNull() | F.col("issuer").isNull() | (F.col("step_issuer") == F.col("issuer")))
-    best = F.min_by("specimen", F.struct((~F.col("step_issuer").eqNullSafe(F.col("issuer"))).alias("relaxed"), "nth"))
-    return both.groupBy("step").agg(best.alias("specimen"))
+    own = specimens.groupBy("identifier", "issuer").agg(F.min(F.struct("nth", "specimen")).alias("at"))
+    rows = steps.join(own.where("issuer is not null").select("identifier", F.col("issuer").alias("step_issuer"), F.col("at").alias("same")), ["identifier", "step_issuer"], "left")
+    rows = rows.join(own.where("issuer is null").select("identifier", F.col("at").alias("unknown")), "identifier", "left")
+    rows = rows.join(own.groupBy("identifier").agg(F.min("at").alias("any")), "identifier", "left")
+    best = F.when(F.col("step_issuer").isNull(), F.coalesce("unknown", "any")).otherwise(F.coalesce("same", "unknown"))
+    relaxed = F.when(F.col("step_issuer").isNull(), F.col("unknown").isNull()).otherwise(F.col("same").isNull())
+    found = rows.select("step", F.struct(relaxed.alias("relaxed"), best.alias("at")).alias("best")).where("best.at is not null")
+    return found.groupBy("step").agg(F.min("best")["at"]["specimen"].alias("specimen"))

@@ -1,7 +1,11 @@
 """Rules that keep queries whole on larger tables."""
 
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.operators import specimens as S
 from tessera.sources import dicom
 from tessera.sources import elements as E
 
@@ -47,3 +51,18 @@ def test_only_the_wanted_frames_items_are_read(tmp_path, monkeypatch, undefined)
     if not undefined:
         with open(tmp_path / "cut.dcm", "rb") as f, pytest.raises(E.Truncated):
             dicom.read_header(f, lambda n: range(0))
+
+
+def test_steps_of_a_frequent_identifier(spark):
+    """jn11: 30,000 steps and 30,000 specimens of one identifier are no pairs."""
+    issuer = lambda c, n: F.when(c % n > 0, F.concat(F.lit("lab"), (c % n).cast("string")))
+    k = F.col("id")
+    specimens = spark.range(1, 30_001).select(k.alias("specimen"), k.alias("nth"), F.lit("x").alias("identifier"), issuer(k, 3).alias("issuer"))
+    steps = spark.range(30_000).select(k.alias("step"), F.lit("x").alias("identifier"), issuer(k, 5).alias("step_issuer"))
+    began = time.monotonic()
+    got = {r.step: r.specimen for r in S.matched_steps(steps, specimens).collect()}
+    assert time.monotonic() - began < 30
+    # specimens 1, 2 and 3 are the first of lab1, of lab2 and without an issuer
+    assert got == {i: {0: 3, 1: 1, 2: 2}.get(i % 5, 3) for i in range(30_000)}
+    few = S.matched_steps(steps.limit(10), specimens.where("issuer is not null"))  # no specimen without an issuer
+    assert {r.step: r.specimen for r in few.collect()} == {i: {0: 1, 1: 1, 2: 2}[i % 5] for i in range(10) if i % 5 < 3}
