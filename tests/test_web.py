@@ -97,3 +97,31 @@ def test_the_rejected_filter_or_field_goes(url):
     ASKED.clear()
     assert len(dicomweb.search(url, "9", {"modality": "SM", "series_uid": "1.0"})) == 2  # it doesn't say which one
     assert ASKED[0] == "rejected" and any("SeriesInstanceUID=1.0" in a for a in ASKED)
+
+
+def test_connections_are_kept_and_partitions_shared(monkeypatch):
+    """src07, src09, src11: a partition has many instances and asks for them over one connection."""
+    opened = []
+
+    class Keeping(Server):
+        protocol_version = "HTTP/1.1"
+
+        def setup(self):
+            opened.append(1)
+            super().setup()
+
+        def do_GET(self):  # noqa: N802
+            many = self.path.endswith("instances") or "instances?" in self.path
+            body = json.dumps([item(n) for n in range(300)] if many else [item(int(self.path.split("/")[-2].split(".")[1]))]).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Keeping)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    reader = dicomweb._Headers({"url": f"http://127.0.0.1:{server.server_port}", "study": "9"})
+    parts = reader.partitions()
+    assert len(parts) == 64 and [r[2] for p in parts for r in reader.read(p)] == [f"2.{n}" for n in range(300)]
+    assert len(opened) == 1 + len(parts)
+    server.shutdown()
