@@ -1,7 +1,7 @@
 """Building a pyramid from tiles that arrive in any order.
 
 A 2x2 block of tiles is reduced when all of its members that exist have arrived (blocks at the edge have
-fewer); what has come so far is the block's state, and goes when the block is emitted.
+fewer, and so have those of a level with gaps, which tiles say themselves); what has come so far is the block's state, and goes when the block is emitted.
 """
 
 from __future__ import annotations
@@ -24,14 +24,28 @@ def members(x: int, y: int, tiles_x: int, tiles_y: int) -> int:
     return max(0, min(2, tiles_x - 2 * x)) * max(0, min(2, tiles_y - 2 * y))
 
 
+def with_members(tiles: DataFrame) -> DataFrame:
+    """Stored tiles with the number of those in their block."""
+    block = [F.floor(F.col(c) / 2).alias(f"block_{c}") for c in ("tile_x", "tile_y")]
+    there = tiles.select("tile_x", "tile_y").distinct().groupBy(*block).agg(F.count("*").cast("int").alias("members"))
+    return tiles.select("*", *block).join(there, ["block_tile_x", "block_tile_y"]).drop("block_tile_x", "block_tile_y")
+
+
 def accumulate(tiles: DataFrame, size: int, tiles_x: int, tiles_y: int) -> DataFrame:
-    """A stream (tile_x, tile_y, data) of one level to the stream of the next."""
+    """A stream (tile_x, tile_y, data) of one level to the stream of the next.
+
+    A column `members` says how many tiles of its block there are; without it the whole grid is expected.
+    """
+    said = "members" in tiles.columns
     half = size // 2
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         x, y = key
         xs, ys, data = ([list(s) for s in state.get] if state.exists else [[], [], []])
+        wanted = None if said else members(x, y, tiles_x, tiles_y)
         for frame in frames:
+            if said and len(frame):
+                wanted = int(frame["members"].iloc[0])
             for tx, ty, d in zip(frame["tile_x"], frame["tile_y"], frame["data"], strict=True):
                 small = halve(np.frombuffer(d, np.uint8).reshape(size, size)).astype(np.uint8).tobytes()
                 at = (int(tx % 2), int(ty % 2))
@@ -42,7 +56,7 @@ def accumulate(tiles: DataFrame, size: int, tiles_x: int, tiles_y: int) -> DataF
                     xs.append(at[0])
                     ys.append(at[1])
                     data.append(small)
-        if len(data) < members(x, y, tiles_x, tiles_y):
+        if wanted is None or len(data) < wanted:
             state.update((xs, ys, data))
             return
         if state.exists:
