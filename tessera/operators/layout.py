@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera import tables
+
 #: 1024-based units of sizes.
 UNITS = {"": 1, "B": 1, "K": 1 << 10, "KB": 1 << 10, "M": 1 << 20, "MB": 1 << 20, "G": 1 << 30, "GB": 1 << 30}
 
@@ -48,7 +50,7 @@ def split_by_bytes(frames: DataFrame, most: int, item_header: int = 8, key: str
                 out.append(part)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], names=[key, order, "part"])
 
-    return frames.select(key, order, length).repartition(key).sortWithinPartitions(key, order).mapInArrow(run, f"{key} {kinds[key]}, {order} {kinds[order]}, part long")
+    return tables.together(frames.select(key, order, length), [key], order).mapInArrow(run, f"{key} {kinds[key]}, {order} {kinds[order]}, part long")
 
 
 def select_levels(levels: DataFrame, positions: list[int] | None) -> DataFrame:

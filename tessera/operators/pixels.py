@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera import tables
+
 #: Support of each filter, in pixels of the smaller image.
 SUPPORT = {"nearest": 0.0, "box": 0.5, "bilinear": 1.0, "hamming": 1.0, "bicubic": 2.0, "lanczos": 3.0}
 
@@ -217,4 +219,4 @@ def stitch(placed: DataFrame, key: str, size: int) -> DataFrame:
         yield batch()
 
     names = [key, "x", "y", "w", "h", "tile_x", "tile_y", "data"]
-    return placed.select(*names).repartition(key).sortWithinPartitions(key).mapInArrow(run, f"{key} long, w long, h long, data binary")
+    return tables.together(placed.select(*names), [key]).mapInArrow(run, f"{key} long, w long, h long, data binary")

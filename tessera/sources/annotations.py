@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from tessera import tables
 from tessera.errors import AnnotationError, NotASlide
 from tessera.sources import dicom
 from tessera.sources import elements as E
@@ -255,4 +256,4 @@ def save_annotations(annotations: DataFrame, folder: str, *, double: bool = True
             done.append(store(at[0], groups))
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate((pa.int64(), pa.string(), pa.int64()))], names=["file", "path", "annotations"])
 
-    return annotations.repartition("file").sortWithinPartitions("file", "group_id", "annotation_id").mapInArrow(run, "file long, path string, annotations long")
+    return tables.together(annotations, ["file"], "group_id", "annotation_id").mapInArrow(run, "file long, path string, annotations long")

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera import tables
 from tessera.sources import dicom
 
 _RESULT = "slide long, part long, path string, n_frames long, bytes long"
@@ -60,13 +61,12 @@ def save_slides(
     folder = prepare_folder(folder)
     part = F.floor(F.col("frame_index") / per_part) if per_part else F.lit(0).cast("bigint")
     place = [F.col("tile_x").cast("bigint"), F.col("tile_y").cast("bigint")] if sparse else [F.lit(0).cast("bigint")] * 2
-    rows = frames.select(F.col("slide").cast("bigint").alias("slide"), part.alias("part"), F.col("frame_index").cast("bigint").alias("frame_index"), F.col(columns).cast("bigint").alias("across"), place[0].alias("x"), place[1].alias("y"), "data")
-    sizes = rows.groupBy("slide", "part").agg(F.count("*").alias("frames"), F.min("frame_index").alias("first"), F.sort_array(F.collect_list(F.struct("frame_index", "x", "y"))).alias("at") if sparse else F.lit(None).alias("at"))
+    rows = frames.select(F.col("slide").cast("bigint").alias("slide"), part.alias("part"), F.col("frame_index").cast("bigint").alias("frame_index"), F.col(columns).cast("bigint").alias("across"), place[0].alias("x"), place[1].alias("y"), "data").where("slide is not null and part is not null")
+    sizes = rows.groupBy("slide", "part").agg(F.count("*").alias("frames"), F.min("frame_index").alias("first"), F.min_by("across", F.struct("frame_index", "across")).alias("across"), F.sort_array(F.collect_list(F.struct("frame_index", "x", "y"))).alias("at") if sparse else F.lit(None).cast("array<struct<x:bigint,y:bigint>>").alias("at"))
     whole = rows.groupBy("slide").agg(F.max("frame_index").alias("last")).select("slide", (F.col("last") + 1).alias("whole"))
-    ordered = rows.drop("x", "y").join(sizes.drop("at"), ["slide", "part"]).join(whole, "slide").repartition("slide", "part").sortWithinPartitions("slide", "part", "frame_index")
-    if sparse:  # a part's places go with its first frame
-        at = F.when(F.col("frame_index") == F.col("first"), F.col("at"))
-        ordered = ordered.join(sizes.select("slide", "part", "at"), ["slide", "part"]).withColumn("at", at).repartition("slide", "part").sortWithinPartitions("slide", "part", "frame_index")
+    heads = sizes.join(whole, "slide").withColumn("head", F.lit(True))
+    body = rows.select("slide", "part", "frame_index", "data", F.lit(False).alias("head"))
+    ordered = tables.together(heads.unionByName(body, allowMissingColumns=True), ["slide", "part"], F.desc("head"), "frame_index")  # a file's frames come after what its header says
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, key, partial, done = None, None, "", []
@@ -81,7 +81,7 @@ def save_slides(
             names = batch.schema.names
             for values in zip(*[batch.column(i).to_pylist() for i in range(len(names))], strict=True):
                 r = dict(zip(names, values, strict=True))
-                if (r["slide"], r["part"]) != key:
+                if r["head"]:
                     if writer is not None:
                         finish()
                     key = (r["slide"], r["part"])
@@ -89,7 +89,8 @@ def save_slides(
                     partial = os.path.join(folder, f"{name}.dcm.{os.getpid()}.part")
                     at = [(p["x"], p["y"]) for p in r["at"]] if sparse else None
                     writer = dicom.FrameWriter(partial, _values(r, tile, samples, bits, photometric, at, bool(per_part), kind), syntax, table, undefined)
-                writer.add(r["data"])
+                else:
+                    writer.add(r["data"])
         if writer is not None:
             finish()
         columns_ = list(zip(*done, strict=True)) or [[]] * 5

@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OPEN: list[str] = []
 _ROW_GROUP = 32 << 20
@@ -39,6 +40,15 @@ def table(df: DataFrame, name: str, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def together(df: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
+    """Rows of equal keys in one partition, one after the other, in order.
+
+    A repartition by the columns that a join or an aggregate has dealt by already is left out by Spark, which may then split
+    that one (skewed joins) or read it where it was written (broadcast joins). By a hash of them it stays.
+    """
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
+
+
 def opened() -> list[str]:
     """Paths of the tables that are still there, in order."""
     return list(_OPEN)

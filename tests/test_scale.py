@@ -12,6 +12,7 @@ from tessera.plans import registry
 from tessera.sources import annotations as A
 from tessera.sources import dicom
 from tessera.sources import elements as E
+from tessera.sources.sinks import save_slides
 
 HEADER = {"SOPInstanceUID": "1.2.3.4", "StudyInstanceUID": "1.2", "Rows": 4, "Columns": 4, "SamplesPerPixel": 1, "BitsAllocated": 8}
 
@@ -37,6 +38,28 @@ def test_parts_beyond_16_bits(tmp_path):
     assert dicom.part_number({"PartCreator": "other", "PartNumber": 4}) is None
 
 
+@pytest.mark.parametrize("sparse", [False, True])
+def test_frames_of_a_file_stay_together(spark, tmp_path, sparse):
+    """snk13: joins with small tables, seen as such only when they run, don't deal a file's frames to several tasks."""
+    frames = spark.range(0, 6000, 1, 8).mapInArrow(lambda b: b, "id long").select((F.col("id") % 3).alias("slide"), F.floor(F.col("id") / 3).alias("frame_index"), F.lit(10).alias("across"), (F.floor(F.col("id") / 3) % 10).alias("tile_x"), F.floor(F.col("id") / 30).alias("tile_y"), F.unhex(F.lpad(F.hex("id"), 32, "0")).alias("data"))
+    kept = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10m")
+        saved = save_slides(frames, str(tmp_path), tile=4, columns="across", per_part=16, sparse=sparse)
+        written = {(r.slide, r.part): r.n_frames for r in saved.collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert written == {(s, p): 16 for s in range(3) for p in range(125)}
+    ran = saved._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "REPARTITION_BY_COL" in ran  # without it tasks got what joins had read locally
+    with open(tmp_path / "2-7.dcm", "rb") as f:
+        h = dicom.read_header(f)
+        found = [(f.seek(at), int.from_bytes(f.read(n), "big"))[1] for at, n in dicom.frames(f, h)]
+    assert found == [3 * k + 2 for k in range(7 * 16, 8 * 16)] and next(dicom.places(h, range(1)))[:2] == (2, 11)
+
+
 @pytest.mark.parametrize("undefined", [False, True])
 def test_only_the_wanted_frames_items_are_read(tmp_path, monkeypatch, undefined):
     """src12: a range of a file reads the items of its own frames and the first, and still sees that a file is cut."""
