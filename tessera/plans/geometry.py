@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera import tables
 from tessera.functions import geometry as G
 from tessera.operators import tiles as T
 from tessera.plans.fixtures import fx
@@ -132,7 +133,7 @@ t AS (SELECT g.*, unnest(generate_series(0, nx * ny * n_planes * n_paths - 1)) A
 SELECT slide_id, level, f AS frame, f % nx AS x, CAST(floor(f / nx) AS BIGINT) % ny AS y, CAST(floor(f / (nx * ny)) AS BIGINT) % n_planes AS z, CAST(floor(f / (nx * ny * n_planes)) AS BIGINT) AS p FROM t""")
 def full_frame_index(spark, sf):
     nx, ny = G.tiles(F.col("width"), F.col("tile_w")), G.tiles(F.col("height"), F.col("tile_h"))
-    rows = fx(spark, sf, "fx_level").select("slide_id", "level", nx.alias("nx"), ny.alias("ny"), "n_planes", "n_paths")
+    rows = tables.spread(fx(spark, sf, "fx_level").select("slide_id", "level", nx.alias("nx"), ny.alias("ny"), "n_planes", "n_paths"), ["slide_id", "level"])
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
     rows = rows.withColumn("p", upto("n_paths")).withColumn("z", upto("n_planes")).withColumn("y", upto("ny")).withColumn("x", upto("nx"))
     frame = G.full_frame(*[F.col(c) for c in ("x", "y", "z", "p", "nx", "ny", "n_planes")])

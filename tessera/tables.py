@@ -49,6 +49,11 @@ def together(df: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
     return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
 
 
+def spread(df: DataFrame, keys: list[str], rows: int = 5000) -> DataFrame:
+    """df over one partition for so many rows: for rows of few bytes, which files hold in one or two splits, that become many."""
+    return df.repartition(max(1, -(-df.count() // rows)), *keys)
+
+
 def opened() -> list[str]:
     """Paths of the tables that are still there, in order."""
     return list(_OPEN)

@@ -118,3 +118,10 @@ def test_annotations_are_held_as_arrays(tmp_path):
     assert rows == n and peak < 60 << 20  # 9 MB of file; lists took several times as much
     last = list(A._decoded(group, 2))[n - 2]
     assert last[0].tolist() == [[10.0 * (n - 2) + 2 * i, 10.0 * (n - 2) + 2 * i + 1] for i in range(5)] and last[1] == [("c", "um", float(n - 2))]
+
+
+def test_few_rows_that_become_many_are_spread(spark, tmp_path):
+    """geo19: levels of one file's split are dealt to partitions before their frames are counted up."""
+    spark.range(12_000).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    got = registry.QUERIES["geo19_full_frame_index"](spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() == 3
