@@ -147,16 +147,29 @@ def sparse_tile_index(spark, sf):
     return T.last_frame(rows, ["slide_id", "x", "y", "z", "path"], "frame_no").withColumnRenamed("frame_no", "frame")
 
 
+def _grids(spark, sf, frames):
+    """(slide_id, x, y) of all tiles, of slides that have frames and of those that have none: only the first ask for a frame and are shuffled."""
+    nx, ny = G.tiles(F.col("width"), F.col("tile_w")), G.tiles(F.col("height"), F.col("tile_h"))
+    levels = fx(spark, sf, "fx_level").where("level = 0").select("slide_id", nx.alias("nx"), ny.alias("ny"))
+    slides = frames.select("slide_id").distinct()
+
+    def tiles(kind: str):
+        rows = tables.spread(levels.join(slides, "slide_id", kind), ["slide_id"])
+        return rows.withColumn("y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("ny") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nx") - 1))).select("slide_id", "x", "y")
+
+    return tiles("left_semi"), tiles("left_anti")
+
+
 @query("jn01_tile_frame", """WITH g AS (SELECT slide_id, CAST(ceil(width / 256) AS BIGINT) AS nx, CAST(ceil(height / 256) AS BIGINT) AS ny FROM fx_level WHERE level = 0),
 t AS (SELECT slide_id, nx, ny, unnest(generate_series(0, nx * ny - 1)) AS i FROM g),
 f AS (SELECT slide_id, CAST(floor((col_pos - 1) / 256) AS BIGINT) AS x, CAST(floor((row_pos - 1) / 256) AS BIGINT) AS y, max(frame_no) AS frame FROM fx_sparse_frame WHERE z = 0 GROUP BY ALL)
 SELECT t.slide_id, CAST(count(*) AS BIGINT) AS tiles, CAST(count(f.frame) AS BIGINT) AS stored, CAST(sum(CASE WHEN f.frame IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS blank
 FROM t LEFT JOIN f ON f.slide_id = t.slide_id AND f.x = t.i % t.nx AND f.y = CAST(floor(t.i / t.nx) AS BIGINT) GROUP BY t.slide_id""")
 def tile_frame(spark, sf):
-    nx, ny = G.tiles(F.col("width"), F.col("tile_w")), G.tiles(F.col("height"), F.col("tile_h"))
-    grid = fx(spark, sf, "fx_level").where("level = 0").withColumn("y", F.explode(F.sequence(F.lit(0).cast("bigint"), ny - 1))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("bigint"), nx - 1))).select("slide_id", "x", "y")
     frames = fx(spark, sf, "fx_sparse_frame").where("z = 0").select("slide_id", G.sparse_tile(F.col("col_pos"), F.lit(256)).alias("x"), G.sparse_tile(F.col("row_pos"), F.lit(256)).alias("y"), "frame_no")
-    joined = T.with_frames(grid, T.last_frame(frames, ["slide_id", "x", "y"], "frame_no"), ["slide_id", "x", "y"])
+    last = tables.table(T.last_frame(frames, ["slide_id", "x", "y"], "frame_no"), "frames")
+    grid, blank = _grids(spark, sf, last)
+    joined = T.with_frames(grid, last, ["slide_id", "x", "y"]).unionByName(blank, allowMissingColumns=True)
     return joined.groupBy("slide_id").agg(F.count("*").alias("tiles"), F.count("frame_no").alias("stored"), F.count_if(F.col("frame_no").isNull()).alias("blank"))
 
 
@@ -165,10 +178,10 @@ t AS (SELECT slide_id, nx, unnest(generate_series(0, nx * ny - 1)) AS i FROM g)
 SELECT slide_id, i % nx AS x, CAST(floor(i / nx) AS BIGINT) AS y FROM t ANTI JOIN (SELECT DISTINCT slide_id AS s, CAST(floor((col_pos - 1) / 256) AS BIGINT) AS x, CAST(floor((row_pos - 1) / 256) AS BIGINT) AS y FROM fx_sparse_frame) f
 ON f.s = t.slide_id AND f.x = t.i % t.nx AND f.y = CAST(floor(t.i / t.nx) AS BIGINT)""")
 def sparse_tiles(spark, sf):
-    nx, ny = G.tiles(F.col("width"), F.col("tile_w")), G.tiles(F.col("height"), F.col("tile_h"))
-    grid = fx(spark, sf, "fx_level").where("level = 0").withColumn("y", F.explode(F.sequence(F.lit(0).cast("bigint"), ny - 1))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("bigint"), nx - 1))).select("slide_id", "x", "y")
     frames = fx(spark, sf, "fx_sparse_frame").select("slide_id", G.sparse_tile(F.col("col_pos"), F.lit(256)).alias("x"), G.sparse_tile(F.col("row_pos"), F.lit(256)).alias("y")).distinct()
-    return grid.join(frames, ["slide_id", "x", "y"], "left_anti")
+    stored = tables.table(frames, "frames")
+    grid, blank = _grids(spark, sf, stored)
+    return grid.join(stored, ["slide_id", "x", "y"], "left_anti").unionByName(blank)
 
 
 @query("geo23_thumbnail_size", "SELECT slide_id, level, greatest(CAST(round_even(width * least(200 / width, 150 / height, 1.0), 0) AS BIGINT), 1) AS w, greatest(CAST(round_even(height * least(200 / width, 150 / height, 1.0), 0) AS BIGINT), 1) AS h FROM fx_level")

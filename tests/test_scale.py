@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import specimens as S
-from tessera.plans import registry
+from tessera.plans import geometry, registry
 from tessera.sources import annotations as A
 from tessera.sources import dicom
 from tessera.sources import elements as E
@@ -125,3 +125,15 @@ def test_few_rows_that_become_many_are_spread(spark, tmp_path):
     spark.range(12_000).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
     got = registry.QUERIES["geo19_full_frame_index"](spark, str(tmp_path))
     assert got.rdd.getNumPartitions() == 3
+
+
+def test_only_slides_with_frames_ask_for_them(spark, tmp_path):
+    """jn01, flt14: tiles of slides without frames aren't joined, and none is lost."""
+    spark.range(4000).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    frames = spark.createDataFrame([(3, 0, 0), (7, 1, 2)], "slide_id long, x long, y long")
+    asked, blank = geometry._grids(spark, str(tmp_path), frames)
+    assert {r.slide_id for r in asked.select("slide_id").distinct().collect()} == {3, 7}
+    assert blank.select("slide_id").distinct().count() == 998
+    tiles = {(r.slide_id, r.x, r.y) for r in asked.unionByName(blank).collect()}
+    size = lambda base, k, m: -(-(base + k % m) // 256)
+    assert len(tiles) == sum(size(1024, s * 977, 7168) * size(768, s * 613, 5120) for s in range(1000))
