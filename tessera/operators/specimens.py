@@ -24,6 +24,11 @@ def ancestors(edges: DataFrame, most: int = 32) -> DataFrame:
     raise ValueError(f"no end after {most} steps: the specimen graph has a cycle")
 
 
+def inner(edges: DataFrame) -> DataFrame:
+    """Distinct (child, parent) of specimens that something was taken from: the graph without its leaves, which are most of it."""
+    return edges.join(edges.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").distinct()
+
+
 def leaves(edges: DataFrame) -> DataFrame:
     """Specimens that nothing was taken from."""
     return edges.select("child").distinct().join(edges.select(F.col("parent").alias("child")), "child", "left_anti")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera import tables
 from tessera.operators import specimens as S
 from tessera.plans.fixtures import fx
 from tessera.plans.registry import query
@@ -33,7 +34,9 @@ _UP = "u AS (SELECT child, child AS a FROM (SELECT child FROM fx_sampling UNION
 def constraint_reachable(spark, sf):
     """Whether the specimen that a sampling is limited to is the sampled one or among its ancestors."""
     rows = _samplings(spark, sf).where("constraint_source is not null").select("sampling", "parent", "constraint_source")
-    up = S.ancestors(_samplings(spark, sf).select("child", "parent").distinct()).select(F.col("child").alias("parent"), F.col("ancestor").alias("constraint_source"), F.lit(True).alias("above")).distinct()
+    edges = _samplings(spark, sf).select("child", "parent")
+    inner = tables.table(S.inner(edges), "edges")  # only what something was taken from is asked for
+    up = S.ancestors(inner).select(F.col("child").alias("parent"), F.col("ancestor").alias("constraint_source"), F.lit(True).alias("above")).distinct()
     found = rows.join(up, ["parent", "constraint_source"], "left")
     return found.select("sampling", (F.coalesce("above", F.lit(False)) | (F.col("parent") == F.col("constraint_source"))).alias("reachable"))
 

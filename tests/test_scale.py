@@ -137,3 +137,12 @@ def test_only_slides_with_frames_ask_for_them(spark, tmp_path):
     tiles = {(r.slide_id, r.x, r.y) for r in asked.unionByName(blank).collect()}
     size = lambda base, k, m: -(-(base + k % m) // 256)
     assert len(tiles) == sum(size(1024, s * 977, 7168) * size(768, s * 613, 5120) for s in range(1000))
+
+
+def test_ancestors_without_leaves(spark):
+    """spm07: samples that nothing was taken from don't go through the rounds; the ancestors of the others are the same."""
+    edges = spark.createDataFrame([("C1", "B1"), ("B1", "P1"), ("C2", "B1"), ("C2", "B2")] + [(f"S{k}", f"C{1 + k % 2}") for k in range(100)] * 2, "child string, parent string")
+    inner = S.inner(edges)
+    assert sorted(map(tuple, inner.collect())) == [("B1", "P1"), ("C1", "B1"), ("C2", "B1"), ("C2", "B2")]
+    whole = {(r.child, r.ancestor) for r in S.ancestors(edges.distinct()).collect() if r.child[0] != "S"}
+    assert {(r.child, r.ancestor) for r in S.ancestors(inner).collect()} == whole
