@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera import tables
 from tessera.functions import geometry as G
 from tessera.operators import catalog as C
 from tessera.plans.fixtures import fx
@@ -36,8 +37,9 @@ def size_comparisons(spark, sf):
 
 @query("flt11_identifier_relaxed", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM fx_identifier a JOIN fx_identifier b ON a.s_suppkey % 10 = b.s_suppkey % 10 AND a.s_suppkey < b.s_suppkey WHERE a.issuer = '' OR b.issuer = '' OR a.issuer = b.issuer")
 def identifier_relaxed(spark, sf):
+    """Pairs, whose number is quadratic by nature; one side is spread, so that a task meets some of it with the other."""
     a, b = (fx(spark, sf, "fx_identifier").select(F.col("s_suppkey").alias(n), F.nullif("issuer", F.lit("")).alias(f"issuer_{n}"), (F.col("s_suppkey") % 10).alias("value")) for n in "ab")
-    return a.join(b, "value").where((F.col("a") < F.col("b")) & (F.col("issuer_a").isNull() | F.col("issuer_b").isNull() | (F.col("issuer_a") == F.col("issuer_b")))).select("a", "b")
+    return tables.spread(a, ["a"], 500).join(b, "value").where((F.col("a") < F.col("b")) & (F.col("issuer_a").isNull() | F.col("issuer_b").isNull() | (F.col("issuer_a") == F.col("issuer_b")))).select("a", "b")
 
 
 @query("flt12_code_equality", "SELECT count(*) AS pairs FROM fx_measurement a JOIN fx_measurement b ON a.annotation_id = b.annotation_id AND a.ordinal < b.ordinal AND a.code = b.code AND a.unit = b.unit")

@@ -146,3 +146,10 @@ def test_ancestors_without_leaves(spark):
     assert sorted(map(tuple, inner.collect())) == [("B1", "P1"), ("C1", "B1"), ("C2", "B1"), ("C2", "B2")]
     whole = {(r.child, r.ancestor) for r in S.ancestors(edges.distinct()).collect() if r.child[0] != "S"}
     assert {(r.child, r.ancestor) for r in S.ancestors(inner).collect()} == whole
+
+
+def test_pairs_of_few_values_are_spread(spark, tmp_path):
+    """flt11: pairs of a small file with ten values aren't made by one task."""
+    k = F.col("id")
+    spark.range(2000).select(k.alias("s_suppkey"), k.cast("string").alias("s_name"), k.alias("s_nationkey")).coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    assert registry.QUERIES["flt11_identifier_relaxed"](spark, str(tmp_path)).rdd.getNumPartitions() == 4
