@@ -6,7 +6,7 @@ Halving works tile by tile before tiles meet, so a shuffle carries a quarter of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from tessera import tables
 
+#: Numbers that a step holds of a batch at once.
+_CELLS = 1 << 16
 #: Support of each filter, in pixels of the smaller image.
 SUPPORT = {"nearest": 0.0, "box": 0.5, "bilinear": 1.0, "hamming": 1.0, "bicubic": 2.0, "lanczos": 3.0}
 
@@ -158,11 +160,27 @@ def rle_decode(data: bytes, rows: int, columns: int, samples: int, dtype: str) -
     return out[:, :, 0] if samples == 1 else out
 
 
+def cut(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, so that what a step makes of one (`cells` numbers a row) stays small however many rows Spark sends at once."""
+    rows = max(1, _CELLS // max(cells, 1))
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            yield batch.slice(i, rows)
+
+
+def packing(batches: Iterator[pa.RecordBatch], each: Callable[[bytes], bytes] | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches (vec_id, embedding of numbers from -1 to 1) to (vec_id, data), one byte a number; each: what becomes of a tile's bytes."""
+    for batch in cut(batches, 64):
+        v = np.floor((batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float) + 1) * 127.5).astype(np.uint8)
+        data = [r.tobytes() for r in v.reshape(len(batch), -1)]
+        yield pa.RecordBatch.from_pydict({"vec_id": batch.column(0), "data": pa.array([each(d) for d in data] if each else data, pa.binary())})
+
+
 def apply_to_tiles(tiles: DataFrame, function, shape: tuple[int, int]) -> DataFrame:
     """Each tile's `data` through a kernel of two-dimensional 8-bit arrays; other columns stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cut(batches, shape[0] * shape[1]):
             at = batch.schema.get_field_index("data")
             out = [None if d is None else function(np.frombuffer(d, np.uint8).reshape(shape)).astype(np.uint8).tobytes() for d in batch.column(at).to_pylist()]
             yield batch.set_column(at, "data", pa.array(out, pa.binary()))

@@ -1,12 +1,15 @@
 """Rules that keep queries whole on larger tables."""
 
+import re
 import time
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import pixels as P
 from tessera.operators import specimens as S
 from tessera.plans import geometry, registry
 from tessera.sources import annotations as A
@@ -153,3 +156,24 @@ def test_pairs_of_few_values_are_spread(spark, tmp_path):
     k = F.col("id")
     spark.range(2000).select(k.alias("s_suppkey"), k.cast("string").alias("s_name"), k.alias("s_nationkey")).coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
     assert registry.QUERIES["flt11_identifier_relaxed"](spark, str(tmp_path)).rdd.getNumPartitions() == 4
+
+
+def _python_steps(df) -> int:
+    return len(re.findall(r"(?m)^[ :*()0-9+-]*(?:MapInArrow|PythonMapInArrow|ArrowEvalPython|BatchScan)", df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]))
+
+
+def _vectors(spark, folder, n: int):
+    """n vectors of 64 numbers from -1 to 1 as the table of embeddings."""
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (((F.col("id") * 64 + i) * 7919 % 2001 - 1000) / 1000).cast("float"))
+    spark.range(n).select(F.col("id").alias("vec_id"), numbers.alias("embedding")).coalesce(1).write.parquet(str(folder / "embeddings.parquet"))
+
+
+def test_encoders_share_a_step(spark, tmp_path):
+    """pix19: one Python step for all encoders, over partitions that follow the rows, in batches that don't follow Spark's."""
+    _vectors(spark, tmp_path, 2500)
+    got = registry.QUERIES["pix19_encode"](spark, str(tmp_path))
+    assert _python_steps(got) == 1 and got.where("frames = 2500 and even and again").count() == 6
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2500)), pa.array([[0.5] * 64] * 2500, pa.list_(pa.float32()))], names=["vec_id", "embedding"])
+    parts = list(P.packing(iter([batch])))
+    assert [len(p) for p in parts] == [1024, 1024, 452] and pa.Table.from_batches(parts).column(0).to_pylist() == list(range(2500))
+    assert sum(1 for _ in P.cut(iter([batch]), 1 << 20)) == 2500
