@@ -142,16 +142,13 @@ def printed(spark, sf):
 
 @query("bin01_number_bytes", "SELECT vec_id, k AS kind, len(embedding) * CASE k WHEN 'double' THEN 8 ELSE 4 END AS bytes, round(CASE k WHEN 'long' THEN list_sum(list_transform(embedding, lambda x: CAST(trunc(CAST(x AS DOUBLE) * 1000) AS DOUBLE))) ELSE list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) END, 6) AS total FROM embeddings, (SELECT unnest(['double', 'float', 'long']) AS k)")
 def number_bytes(spark, sf):
-    """Numbers to bytes and back: doubles, floats and 32-bit integers, little end first."""
-    out = None
-    for kind in B.KINDS:
-        factor = 1000 if kind == "long" else 1
-        v = F.transform("embedding", lambda x: x.cast("double") * factor)  # noqa: B023
-        raw = fx(spark, sf, "embeddings").select("vec_id", B.number_bytes(v, kind).alias("raw"))
-        back = raw.select("vec_id", F.lit(kind).alias("kind"), F.length("raw").cast("bigint").alias("bytes"), B.numbers(F.col("raw"), kind).alias("v"))
-        one = back.select("vec_id", "kind", "bytes", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Numbers to bytes and back: doubles, floats and 32-bit integers, little end first. All kinds, and both ways, go through one worker."""
+    rows = fx(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.transform("embedding", lambda x: x.cast("double") * 1000).alias("thousandths"))
+    raw = {kind: B.number_bytes(F.col("thousandths" if kind == "long" else "v"), kind) for kind in B.KINDS}
+    both = rows.select("vec_id", *[c for kind, r in raw.items() for c in (r.alias(f"{kind}_raw"), B.numbers(r, kind).alias(kind))])
+    total = lambda kind: F.round(F.aggregate(kind, F.lit(0.0), lambda a, x: a + x), 6)
+    each = [F.struct(F.lit(kind).alias("kind"), F.length(f"{kind}_raw").cast("bigint").alias("bytes"), total(kind).alias("total")) for kind in raw]
+    return both.select("vec_id", F.explode(F.array(*each)).alias("k")).select("vec_id", "k.*")
 
 
 def _profiles(spark, sf):

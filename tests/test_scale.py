@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import binary as B
 from tessera.operators import pixels as P
 from tessera.operators import specimens as S
 from tessera.plans import geometry, registry
@@ -177,3 +178,16 @@ def test_encoders_share_a_step(spark, tmp_path):
     parts = list(P.packing(iter([batch])))
     assert [len(p) for p in parts] == [1024, 1024, 452] and pa.Table.from_batches(parts).column(0).to_pylist() == list(range(2500))
     assert sum(1 for _ in P.cut(iter([batch]), 1 << 20)) == 2500
+
+
+def test_kinds_of_numbers_share_a_step(spark, tmp_path):
+    """bin01: all kinds go to bytes and back in one Python step; nulls, bytes left over and empty lists stay what they were."""
+    _vectors(spark, tmp_path, 50)
+    got = registry.QUERIES["bin01_number_bytes"](spark, str(tmp_path))
+    assert _python_steps(got) == 1 and {(r.kind, r.bytes, r["count"]) for r in got.groupBy("kind", "bytes").count().collect()} == {("double", 512, 50), ("float", 256, 50), ("long", 256, 50)}
+    lists = spark.createDataFrame([(0, [1.5, -2.0]), (1, None), (2, []), (3, [3.25])], "id long, v array<double>").coalesce(1)
+    raw = lists.select("id", B.number_bytes(F.col("v"), "long").alias("raw"))
+    assert {r.id: r.raw and bytes(r.raw) for r in raw.collect()} == {0: b"\x01\0\0\0\xfe\xff\xff\xff", 1: None, 2: bytearray(), 3: b"\x03\0\0\0"}
+    odd = raw.select("id", F.when(F.col("id") == 3, F.substring("raw", 1, 3)).otherwise(F.col("raw")).cast("binary").alias("raw"))
+    assert {r.id: r.v for r in odd.select("id", B.numbers(F.col("raw"), "long").alias("v")).collect()} == {0: [1.0, -2.0], 1: None, 2: [], 3: None}
+    assert raw.where("id > 9").select(B.numbers(F.col("raw"), "long")).collect() == []
