@@ -25,7 +25,7 @@ _IDENTIFIER = "'1.2.3.' || CAST(vec_id % 7 AS VARCHAR)"
 def _stored(spark, sf, syntax: str, **options):
     """The fixture's frames written in a syntax and read again."""
     folder = _folder(spark)
-    frames = C.transcoded(_slides(spark, sf), syntax, 8, 8, **options)
+    frames = _slides(spark, sf, C.transcoder(syntax, 8, 8, **options))
     save_slides(frames, folder, tile=8, columns="tiles_x", syntax=syntax).count()
     dicom.register(spark)
     return spark.read.format("dicomframes").load(folder).select("identifier", "frame_index", "tile_x", "tile_y", "data")
@@ -36,7 +36,7 @@ def _pixels(frames, syntax: str, keep: list[str], rows: int = 8, columns: int =
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in frames.select(*keep).schema), "px int, py int, v long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in P.cut(batches, rows * columns * samples):
             a = np.stack([C.decode_frame(d, syntax, rows, columns, samples, bits, photometric) for d in batch.column(len(keep)).to_pylist()]).reshape(len(batch), -1) if len(batch) else np.zeros((0, rows * columns))
             row = pa.array(np.repeat(np.arange(len(batch)), a.shape[1]))
             i = np.tile(np.arange(a.shape[1]) // samples, len(batch))
@@ -134,10 +134,13 @@ def encoded_tile(spark, sf):
 _IMAGE = f"SELECT {_IDENTIFIER} AS identifier, (CAST(floor(vec_id / 7) AS BIGINT) % 10) * 8 + px AS gx, CAST(floor(floor(vec_id / 7) / 10) AS BIGINT) * 8 + py AS gy, v FROM fx_pixel"
 
 
-def _whole_images(spark, sf, syntax: str = C.JPEG_LS):
-    """(identifier, gx, gy, v): slides' images from their files."""
-    p = _pixels(_stored(spark, sf, syntax), syntax, ["identifier", "tile_x", "tile_y"])
-    return p.select("identifier", (F.col("tile_x") * 8 + F.col("px")).alias("gx"), (F.col("tile_y") * 8 + F.col("py")).alias("gy"), "v")
+def _inside(spark, sf, x: int, y: int, w: int, h: int, syntax: str = C.JPEG_LS):
+    """(identifier, gx, gy, v): a region of slides' images from their files; only tiles that it touches are decoded."""
+    frames = _stored(spark, sf, syntax)
+    touched = frames.where(F.col("tile_x").between(x // 8, (x + w - 1) // 8) & F.col("tile_y").between(y // 8, (y + h - 1) // 8))
+    p = _pixels(touched, syntax, ["identifier", "tile_x", "tile_y"])
+    gx, gy = F.col("tile_x") * 8 + F.col("px"), F.col("tile_y") * 8 + F.col("py")
+    return p.where((gx >= x) & (gx < x + w) & (gy >= y) & (gy < y + h)).select("identifier", gx.alias("gx"), gy.alias("gy"), "v")
 
 
 @query("pix03_region_pixels", f"SELECT identifier, gx - 5 AS x, gy - 3 AS y, CAST(v AS BIGINT) AS v FROM ({_IMAGE}) WHERE gx >= 5 AND gx < 60 AND gy >= 3 AND gy < 40")
@@ -171,8 +174,7 @@ def _region(x: int, y: int, w: int, h: int) -> str:
 
 
 def _summed(spark, sf, x: int, y: int, w: int, h: int):
-    inside = (F.col("gx") >= x) & (F.col("gx") < x + w) & (F.col("gy") >= y) & (F.col("gy") < y + h)
-    return _whole_images(spark, sf).where(inside).groupBy("identifier").agg(F.sum("v").alias("total"), F.count("*").alias("pixels"))
+    return _inside(spark, sf, x, y, w, h).groupBy("identifier").agg(F.sum("v").alias("total"), F.count("*").alias("pixels"))
 
 
 @query("pix11_region_mm", _region(8, 4, 40, 20))
@@ -278,9 +280,8 @@ def region_mpp(spark, sf):
     stored, wanted = 0.25, 0.5  # micrometres a pixel
     factor = int(wanted / stored)
     x, y, w, h = 16, 8, 64, 32
-    inside = (F.col("gx") >= x) & (F.col("gx") < x + w) & (F.col("gy") >= y) & (F.col("gy") < y + h)
     shrunk = [F.floor(F.col(c) / factor) for c in ("gx", "gy")]
-    sums = _whole_images(spark, sf).where(inside).groupBy("identifier", shrunk[0].alias("x"), shrunk[1].alias("y")).agg(F.sum("v").alias("v"))
+    sums = _inside(spark, sf, x, y, w, h).groupBy("identifier", shrunk[0].alias("x"), shrunk[1].alias("y")).agg(F.sum("v").alias("v"))
     return sums.select("identifier", (F.col("x") - x // factor).alias("x"), (F.col("y") - y // factor).alias("y"), F.floor((F.col("v") + factor * factor // 2) / (factor * factor)).alias("v"))
 
 

@@ -29,8 +29,9 @@ def _folder(spark) -> str:
     return os.path.join(top, f"slides-{uuid.uuid4().hex}")
 
 
-def _slides(spark, sf):
-    return packed(spark, sf).select((F.col("vec_id") % 7).alias("slide"), F.floor(F.col("vec_id") / 7).alias("frame_index"), F.lit(10).alias("tiles_x"), "data")
+def _slides(spark, sf, each=None):
+    """Frames of the fixture; each: what becomes of a frame's bytes, in the step that makes them."""
+    return packed(spark, sf, each).select((F.col("vec_id") % 7).alias("slide"), F.floor(F.col("vec_id") / 7).alias("frame_index"), F.lit(10).alias("tiles_x"), "data")
 
 
 def _saved(spark, sf, frames, **options) -> str:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tessera.functions import binary as B
 from tessera.operators import pixels as P
 from tessera.operators import specimens as S
-from tessera.plans import geometry, registry
+from tessera.plans import registry  # first: it reads the others
+from tessera.plans import codecs, geometry
 from tessera.sources import annotations as A
 from tessera.sources import dicom
 from tessera.sources import elements as E
@@ -191,3 +192,15 @@ def test_kinds_of_numbers_share_a_step(spark, tmp_path):
     odd = raw.select("id", F.when(F.col("id") == 3, F.substring("raw", 1, 3)).otherwise(F.col("raw")).cast("binary").alias("raw"))
     assert {r.id: r.v for r in odd.select("id", B.numbers(F.col("raw"), "long").alias("v")).collect()} == {0: [1.0, -2.0], 1: None, 2: [], 3: None}
     assert raw.where("id > 9").select(B.numbers(F.col("raw"), "long")).collect() == []
+
+
+def test_tiles_outside_a_region_are_not_decoded(spark, tmp_path, monkeypatch):
+    """pix11: frames are encoded in the step that packs them, and only those that the region touches become pixels."""
+    _vectors(spark, tmp_path, 1400)
+    seen, whole, steps = [], codecs._pixels, []
+    stored = codecs.save_slides
+    monkeypatch.setattr(codecs, "_pixels", lambda frames, *a, **k: seen.append(frames) or whole(frames, *a, **k))
+    monkeypatch.setattr(codecs, "save_slides", lambda frames, *a, **k: steps.append(_python_steps(frames)) or stored(frames, *a, **k))
+    got = {r.identifier: r.pixels for r in registry.QUERIES["pix11_region_mm"](spark, str(tmp_path)).collect()}
+    assert got == {f"1.2.3.{k}": 800 for k in range(7)} and steps == [1]
+    assert seen[0].count() == 7 * 5 * 3  # of 1400
