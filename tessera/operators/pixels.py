@@ -203,10 +203,11 @@ def reduce_level(tiles: DataFrame, size: int) -> DataFrame:
     return keyed.groupBy("x", "y").applyInPandas(put, "tile_x long, tile_y long, data binary")
 
 
-def stitch(placed: DataFrame, key: str, size: int) -> DataFrame:
+def stitch(placed: DataFrame, key: str, size: int, parts: int | None = None) -> DataFrame:
     """Regions from their tiles: (key, w, h, data). placed: key, x, y, w, h, tile_x, tile_y, data (null is blank).
 
-    Tiles are dealt out and sorted by region, and a task draws one region after the other.
+    Tiles are dealt out and sorted by region, and a task draws one region after the other. parts: over how many partitions,
+    so that what a task sorts doesn't follow the input; else Spark decides.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,4 +238,4 @@ def stitch(placed: DataFrame, key: str, size: int) -> DataFrame:
         yield batch()
 
     names = [key, "x", "y", "w", "h", "tile_x", "tile_y", "data"]
-    return tables.together(placed.select(*names), [key]).mapInArrow(run, f"{key} long, w long, h long, data binary")
+    return tables.together(placed.select(*names), [key], parts=parts).mapInArrow(run, f"{key} long, w long, h long, data binary")

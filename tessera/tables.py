@@ -40,13 +40,14 @@ def table(df: DataFrame, name: str, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def together(df: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
-    """Rows of equal keys in one partition, one after the other, in order.
+def together(df: DataFrame, keys: list[str], *order: str | Column, parts: int | None = None) -> DataFrame:
+    """Rows of equal keys in one partition, one after the other, in order. parts: number of partitions, which Spark then leaves as it is.
 
     A repartition by the columns that a join or an aggregate has dealt by already is left out by Spark, which may then split
     that one (skewed joins) or read it where it was written (broadcast joins). By a hash of them it stays.
     """
-    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
+    by = F.xxhash64(*keys)
+    return (df.repartition(max(1, parts), by) if parts is not None else df.repartition(by)).sortWithinPartitions(*keys, *order)
 
 
 def spread(df: DataFrame, keys: list[str], rows: int = 5000) -> DataFrame:

@@ -204,3 +204,15 @@ def test_tiles_outside_a_region_are_not_decoded(spark, tmp_path, monkeypatch):
     got = {r.identifier: r.pixels for r in registry.QUERIES["pix11_region_mm"](spark, str(tmp_path)).collect()}
     assert got == {f"1.2.3.{k}": 800 for k in range(7)} and steps == [1]
     assert seen[0].count() == 7 * 5 * 3  # of 1400
+
+
+def test_regions_asked_for_twice_are_drawn_once(spark, tmp_path, monkeypatch):
+    """pix04: 300 requests of 3 regions draw 3, in partitions that follow their number."""
+    _vectors(spark, tmp_path, 400)
+    k = F.col("id")
+    spark.range(300).select((k % 3 + 126_000 * F.floor(k / 3)).alias("event_id")).write.parquet(str(tmp_path / "events.parquet"))
+    seen, own = [], P.stitch
+    monkeypatch.setattr(P, "stitch", lambda *a: seen.append(own(*a)) or seen[-1])
+    got = registry.QUERIES["pix04_stitch"](spark, str(tmp_path)).collect()
+    assert seen[0].count() == 3 and seen[0].rdd.getNumPartitions() == 1
+    assert len({r.request_id for r in got}) == len(got) == 300 and len({(r.request_id % 3, r.w, r.h, r.total) for r in got}) == 3
