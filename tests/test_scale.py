@@ -216,3 +216,20 @@ def test_regions_asked_for_twice_are_drawn_once(spark, tmp_path, monkeypatch):
     got = registry.QUERIES["pix04_stitch"](spark, str(tmp_path)).collect()
     assert seen[0].count() == 3 and seen[0].rdd.getNumPartitions() == 1
     assert len({r.request_id for r in got}) == len(got) == 300 and len({(r.request_id % 3, r.w, r.h, r.total) for r in got}) == 3
+
+
+def test_pixels_are_decoded_in_batches_of_bounded_size():
+    """pix18: what the decoding step holds of a batch doesn't follow the number of rows that Spark sends at once."""
+
+    class Frames:
+        schema = ()
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    batch = pa.RecordBatch.from_arrays([pa.array([bytes(range(64))] * 2500, pa.binary())], names=["data"])
+    parts = list(codecs._pixels(Frames(), codecs.C.EXPLICIT, [])(iter([batch])))
+    assert [len(p) for p in parts] == [65536, 65536, 28928] and pa.Table.from_batches(parts).column("v").to_pylist() == list(range(64)) * 2500
